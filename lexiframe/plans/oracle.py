@@ -171,3 +171,178 @@ ORACLE = {
     "nb_confusion": NB_TF + CONFUSION,
     "nb_metrics": NB_TF + METRICS,
 }
+
+
+# ---------------------------------------------------------------------------
+# Second half: batches, vectors, augmentation, round trips, registry, scoring
+# ---------------------------------------------------------------------------
+
+E_D = "CAST(embedding AS DOUBLE[])"
+NORM_E = ("list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12))")
+LOGITS = "CAST(embedding[1:10] AS DOUBLE[])"
+ARGMAX_L = "list_position(l, list_max(l)) - 1"
+
+VOCAB_IDS = ("v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS term_id "
+             "FROM (SELECT DISTINCT token FROM tr) x)")
+IDS = (
+    "pt AS (SELECT doc_id, unnest(t) AS token, unnest(range(len(t))) AS i FROM "
+    "(SELECT doc_id, regexp_extract_all(lower(text), '" + TOKEN_RE + "') AS t FROM documents) y), "
+    "idl AS (SELECT pt.doc_id, list(CAST(coalesce(v.term_id + 2, 1) AS INTEGER) ORDER BY pt.i) AS input_ids "
+    "FROM pt LEFT JOIN v USING (token) GROUP BY pt.doc_id), "
+    "ids AS (SELECT d.doc_id, coalesce(idl.input_ids, CAST([] AS INTEGER[])) AS input_ids FROM documents d "
+    "LEFT JOIN idl USING (doc_id))"
+)
+IDS_ALL = "WITH " + SPLIT + ", " + TOK + ", " + TRAIN_TC + ", " + VOCAB_IDS + ", " + IDS
+
+
+def _words(prefix: str) -> str:
+    """CTEs ``<p>c(doc_id, i, word, chosen)`` for the seeded 30 % word choice."""
+    p = prefix
+    return (
+        p + "w0 AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '" + WS_RE + "'), lambda x: x <> '') "
+        "AS words FROM documents), "
+        + p + "w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i, len(words) AS L FROM "
+        + p + "w0), "
+        + p + "h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY md5('42:' || CAST(doc_id AS VARCHAR) "
+        "|| ':' || CAST(i AS VARCHAR))) AS hr, greatest(1, floor(CAST(0.3 AS DOUBLE) * L)) AS n FROM " + p + "w), "
+        + p + "c AS (SELECT doc_id, i, word, hr <= n AS chosen FROM " + p + "h)"
+    )
+
+
+def _swap(prefix: str) -> str:
+    p = prefix
+    return (
+        _words(p) + ", "
+        + p + "cr AS (SELECT doc_id, i, word, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, "
+        "count(*) OVER (PARTITION BY doc_id) AS m FROM " + p + "c WHERE chosen), "
+        + p + "rot AS (SELECT a.doc_id, a.i, b.word FROM " + p + "cr a JOIN " + p + "cr b ON a.doc_id = b.doc_id "
+        "AND b.k = (a.k % a.m) + 1), "
+        + p + "o AS (SELECT c.doc_id, c.i, coalesce(r.word, c.word) AS word FROM " + p + "c c LEFT JOIN "
+        + p + "rot r ON r.doc_id = c.doc_id AND r.i = c.i), "
+        + p + "out AS (SELECT d.doc_id, coalesce(s.text, '') AS text FROM documents d LEFT JOIN "
+        "(SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM " + p + "o GROUP BY doc_id) s USING (doc_id))"
+    )
+
+
+def _delete(prefix: str) -> str:
+    p = prefix
+    return (
+        _words(p) + ", "
+        + p + "out AS (SELECT d.doc_id, coalesce(s.text, '') AS text FROM documents d LEFT JOIN "
+        "(SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM " + p + "c WHERE NOT chosen "
+        "GROUP BY doc_id) s USING (doc_id))"
+    )
+
+
+def _pick_hash(key: str) -> str:
+    return ("CAST(('0x' || substr(md5('42:' || CAST(" + key + " AS VARCHAR) || ':pick'), 1, 8)) AS BIGINT)")
+
+
+def _batch(order: str, size: int) -> str:
+    return "CAST(floor((row_number() OVER (ORDER BY " + order + ") - 1) / " + str(size) + ") AS BIGINT)"
+
+
+NULLS = "'nan'"
+LIAR_TEXT = ("concat_ws(' [SEP] ', coalesce(d.text, 'nan'), coalesce(d.source, 'nan'), coalesce(c.role, 'nan'), "
+             + ", ".join([NULLS] * 3) + ", coalesce(CAST(l.quality AS VARCHAR), 'nan'), "
+             "coalesce(CAST(l.toxic AS VARCHAR), 'nan'), " + ", ".join([NULLS] * 3)
+             + ", coalesce(d.source, 'nan'))")
+
+METRIC_LOG = ("log AS (SELECT CAST(user_id AS VARCHAR) AS run, event_type AS metric, event_id AS step, value "
+              "FROM events)")
+
+ORACLE.update({
+    "batches": ("SELECT doc_id, CAST(floor(rn / 10) AS BIGINT) AS batch_id, CAST(rn % 10 AS INTEGER) AS pos_in_batch "
+                "FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) x"),
+    "batch_max_len": (
+        "SELECT doc_id, batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY batch_id) AS batch_max_len FROM "
+        "(SELECT doc_id, len(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS n_tokens, "
+        + _batch("doc_id", 8) + " AS batch_id FROM documents) x"),
+    "token_ids": IDS_ALL + " SELECT doc_id, input_ids FROM ids",
+    "truncate_pad_mask": (
+        IDS_ALL + ", tb AS (SELECT doc_id, " + _batch("doc_id", 8) + " AS batch_id, list_slice(input_ids, 1, 512) "
+        "AS t FROM ids), tm AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_id) AS m FROM tb) "
+        "SELECT doc_id, batch_id, CAST(list_resize(t, m, 0) AS INTEGER[]) AS input_ids, "
+        "CAST(list_transform(range(m), lambda j: CASE WHEN j < len(t) THEN 1 ELSE 0 END) AS INTEGER[]) "
+        "AS attention_mask FROM tm"),
+    "step_epoch_accuracy": (
+        "WITH e AS (SELECT vec_id, label, " + ARGMAX_L + " AS prediction, " + _batch("vec_id", 10) + " AS batch_id "
+        "FROM (SELECT vec_id, label, " + LOGITS + " AS l FROM embeddings) x) "
+        "SELECT 'probe' AS run, batch_id, round(avg(CASE WHEN label = prediction THEN CAST(1 AS DOUBLE) "
+        "ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy, count(*) AS n, "
+        "CASE WHEN grouping(batch_id) = 1 THEN 'epoch' ELSE 'step' END AS grain "
+        "FROM e GROUP BY GROUPING SETS ((batch_id), ())"),
+    "l2_normalise": ("SELECT vec_id, list_transform(" + NORM_E + ", lambda x: round(x, 6)) AS embedding FROM "
+                     "(SELECT vec_id, " + E_D + " AS e FROM embeddings) x"),
+    "cosine_in_batch": (
+        "WITH b AS (SELECT vec_id, label, " + NORM_E + " AS z, " + _batch("vec_id", 10) + " AS batch_id FROM "
+        "(SELECT vec_id, label, " + E_D + " AS e FROM embeddings) x) "
+        "SELECT a.batch_id, a.vec_id AS a_pos, c.vec_id AS b_pos, a.label AS a_label, a.label = c.label AS same_label, "
+        "round(list_dot_product(a.z, c.z), 6) AS sim FROM b a JOIN b c ON a.batch_id = c.batch_id "
+        "AND a.vec_id <> c.vec_id"),
+    "softmax_argmax": (
+        "SELECT vec_id, " + ARGMAX_L + " AS prediction, list_transform(l, lambda x: round(exp(x - list_max(l)) / "
+        "list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 6)) AS probs FROM "
+        "(SELECT vec_id, " + LOGITS + " AS l FROM embeddings) x"),
+    "cross_entropy": (
+        "SELECT round(avg(m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1]), 6) "
+        "AS cross_entropy, count(*) AS n FROM (SELECT label, l, list_max(l) AS m FROM "
+        "(SELECT label, " + LOGITS + " AS l FROM embeddings) x) y"),
+    "supcon_loss": (
+        "WITH b AS (SELECT vec_id, label, " + NORM_E + " AS z, "
+        + _batch("md5('42:' || CAST(vec_id AS VARCHAR)), vec_id", 10) + " AS batch_id FROM "
+        "(SELECT vec_id, label, " + E_D + " AS e FROM embeddings) x), "
+        "p AS (SELECT a.batch_id, a.vec_id AS i, a.label = c.label AS same, "
+        "list_dot_product(a.z, c.z) / CAST(0.1 AS DOUBLE) AS s FROM b a JOIN b c ON a.batch_id = c.batch_id "
+        "AND a.vec_id <> c.vec_id), "
+        "pm AS (SELECT *, max(s) OVER (PARTITION BY batch_id, i) AS mx FROM p), "
+        "per AS (SELECT batch_id, i, max(mx) + ln(sum(exp(s - mx))) AS lse, "
+        "sum(CASE WHEN same THEN s ELSE 0 END) AS ps, sum(CASE WHEN same THEN 1 ELSE 0 END) AS np "
+        "FROM pm GROUP BY batch_id, i), "
+        "anchor AS (SELECT b.batch_id, CASE WHEN per.np > 0 THEN -(per.ps - per.np * per.lse) / per.np "
+        "ELSE 0 END AS loss FROM b LEFT JOIN per ON per.batch_id = b.batch_id AND per.i = b.vec_id) "
+        "SELECT batch_id, count(*) AS n, round(avg(coalesce(loss, 0)), 6) AS loss FROM anchor GROUP BY batch_id"),
+    "embedding_union": (
+        "SELECT 'vf' AS source, vec_id, 'vf' || CAST(label AS VARCHAR) AS label, " + E_D + " AS embedding "
+        "FROM embeddings UNION ALL SELECT 'xf' AS source, vec_id, 'xf' || CAST(label AS VARCHAR) AS label, "
+        "list_transform(" + NORM_E + ", lambda x: round(x, 6)) AS embedding FROM "
+        "(SELECT vec_id, label, " + E_D + " AS e FROM embeddings) x"),
+    "augment_swap": "WITH " + _swap("s") + " SELECT doc_id, text FROM sout",
+    "augment_delete": "WITH " + _delete("d") + " SELECT doc_id, text FROM dout",
+    "augment_pick": (
+        "WITH " + QUOTES + ", c AS (SELECT conv_id, quote_1 AS anchor, list_filter([quote_2, quote_3, quote_4, "
+        "quote_5, quote_6], lambda x: x IS NOT NULL) AS cands, " + _pick_hash("conv_id") + " AS h FROM q) "
+        "SELECT conv_id, anchor, CASE WHEN len(cands) > 0 THEN cands[1 + (h % len(cands))] END AS pick FROM c"),
+    "contrastive_pairs": (
+        "WITH " + _swap("s") + ", " + _delete("d") + ", "
+        "a AS (SELECT doc.doc_id, doc.lang AS label, doc.text, CASE WHEN " + _pick_hash("doc.doc_id")
+        + " % 2 = 0 THEN sout.text ELSE dout.text END AS augmented, "
+        + _batch("md5('42:' || CAST(doc.doc_id AS VARCHAR)), doc.doc_id", 5) + " AS batch_id "
+        "FROM documents doc JOIN sout USING (doc_id) JOIN dout USING (doc_id)) "
+        "SELECT doc_id, label, batch_id, 0 AS view, text FROM a UNION ALL "
+        "SELECT doc_id, label, batch_id, 1 AS view, augmented AS text FROM a"),
+    "translations_wide": (
+        "SELECT doc_id, text, " + ", ".join(f"'[{g}] ' || text AS augmented_{g}" for g in
+                                            ("en", "tl", "vi", "th", "zh")) + " FROM documents"),
+    "csv_round_trip": "SELECT doc_id, text, lang FROM documents",
+    "tsv_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
+    "liar_layout": (
+        "SELECT d.doc_id AS id, d.lang AS label, " + LIAR_TEXT + " AS text FROM documents d "
+        "LEFT JOIN (SELECT conv_id, role FROM conversations WHERE turn = 0) c ON c.conv_id = d.doc_id "
+        "LEFT JOIN labels l ON l.doc_id = d.doc_id"),
+    "embedding_export": ("SELECT 'vf' AS tag, vec_id AS key, CAST(label AS VARCHAR) AS label, embedding "
+                         "FROM embeddings"),
+    "metric_log_topk": (
+        "WITH " + METRIC_LOG + ", r AS (SELECT *, row_number() OVER (PARTITION BY run, metric ORDER BY value DESC, "
+        "step) AS rk FROM log) SELECT run, metric, step, value, CAST(rk AS INTEGER) AS rank, 'top' AS kind "
+        "FROM r WHERE rk <= 2 UNION ALL SELECT l.run, l.metric, l.step, l.value, 0 AS rank, 'last' AS kind "
+        "FROM log l JOIN (SELECT run, metric, max(step) AS step FROM log GROUP BY run, metric) m "
+        "ON l.run = m.run AND l.metric = m.metric AND l.step = m.step"),
+    "registry": (
+        "SELECT 'benchmark_items' AS dataset, count(*) AS n_rows, 1 AS n_labels, 1 AS num_classes FROM benchmark "
+        "UNION ALL SELECT 'documents_lang', count(*), count(DISTINCT lang), 4 FROM documents "
+        "UNION ALL SELECT 'documents_quality', count(*), count(DISTINCT l.quality), 2 FROM documents d "
+        "JOIN labels l USING (doc_id)"),
+    "score_batch": ("SELECT vec_id, " + ARGMAX_L + " AS prediction FROM (SELECT vec_id, " + LOGITS
+                    + " AS l FROM embeddings) x"),
+})
