@@ -83,7 +83,7 @@ def fit_linear_svm(train: DataFrame, text: str, label: str, weighting: str = "co
     featurised = PipelineModel(stages=stages).transform(toks).select("features", "label").persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
-        ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg)).fit(featurised)
+        ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=reg), parallelism=4).fit(featurised)
     finally:
         featurised.unpersist()
     return PipelineModel(stages=[*stages, ovr])
@@ -127,7 +127,7 @@ def fit_rff_svm(train: DataFrame, text: str, label: str, n_in: int = RFF_INPUT_F
     data = z.select(array_to_vector("rff").alias("features"),
                     F.col(label).cast("double").alias("label")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=0.0)).fit(data)
+        ovr = OneVsRest(classifier=LinearSVC(maxIter=max_iter, regParam=0.0), parallelism=4).fit(data)
     finally:
         data.unpersist()
     return feats, ovr, dict(n_in=n_in, n_components=n_components, gamma=gamma, seed=seed)

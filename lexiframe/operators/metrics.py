@@ -59,20 +59,21 @@ def confusion_long(df: DataFrame, label: str = "label", prediction: str = "predi
     """``(label, prediction, n)`` for every pair of classes, zero-filled.
 
     The class axis is ``labels`` when given, else truth and predictions
-    together.  Both axes come from one array of classes (a scalar subquery
-    over the per-class table), exploded twice: the output is the C x C matrix
-    itself, independent of the number of rows.
+    together.  The axis is one array built by a global aggregate over the
+    (at most C x C) count table and exploded twice: the output is the C x C
+    matrix itself, independent of the number of rows, and the counts are
+    computed once (no subquery re-runs the scoring plan).
     """
     counts = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
     if labels is not None:
-        axis = F.array(*[F.lit(v) for v in sorted(labels)])
+        axis_row = counts.sparkSession.range(1).select(
+            F.array(*[F.lit(v) for v in sorted(labels)]).alias("_lf_axis"))
     else:
-        classes = df.select(F.col(label).alias("c")).union(df.select(F.col(prediction).alias("c"))).distinct()
-        axis = classes.select(F.array_sort(F.collect_list("c"))).scalar()
-    grid = (spark.range(1).select(F.explode(axis).alias("label"))
-            .select("label", F.explode(axis).alias("prediction")))
+        axis_row = counts.agg(F.sort_array(F.array_union(F.collect_set("label"),
+                                                         F.collect_set("prediction"))).alias("_lf_axis"))
+    grid = (axis_row.select(F.explode("_lf_axis").alias("label"), "_lf_axis")
+            .select("label", F.explode("_lf_axis").alias("prediction")))
     return (grid.join(counts, ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n")))
 

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiframe.session import cut_lineage
+
 
 @dataclass
 class NaiveBayesModel:
@@ -48,14 +50,19 @@ class NaiveBayesModel:
 
 
 def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label: str = "label",
-                    value: str = "tf", alpha: float = 1.0) -> NaiveBayesModel:
+                    value: str = "tf", alpha: float = 1.0, materialize: bool = True) -> NaiveBayesModel:
     """Fit from long features ``(key, token, value)`` and ``(key, label)`` rows.
 
     Every labelled document counts toward the prior, even one without tokens.
     """
     labelled = features.join(doc_labels.select(key, label), key, "inner")
     terms_raw = labelled.groupBy(label, "token").agg(F.sum(value).cast("double").alias("n_ct"))
-    vocab = features.select("token").distinct()
+    if materialize:
+        # Fitting is an action: the (class, token) sums are written once to the
+        # shared checkpoint folder, and every model table below reads them
+        # instead of re-tokenising the training texts.
+        terms_raw = cut_lineage(terms_raw)
+    vocab = terms_raw.select("token").distinct()
     v_size = vocab.select(F.count(F.lit(1))).scalar()
     n_docs = doc_labels.select(F.count(F.lit(1))).scalar()
     per_class_docs = doc_labels.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))

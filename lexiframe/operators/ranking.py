@@ -17,7 +17,7 @@ instead of landing in one.  The result equals a single global sort.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -143,23 +143,84 @@ def _n_from_fraction(fraction: float, n: Column, rounding: str) -> Column:
     return (F.ceil(x) if rounding == "ceil" else F.floor(x)).cast("bigint")
 
 
+_H, _K = "_lf_h", "_lf_k"
+
+
+def rank_boundaries(df: DataFrame, key: str, seed, label: str | None,
+                    cuts: Callable[[Column], dict]) -> DataFrame:
+    """Per stratum, the (hash, key) of the row at each cut rank.
+
+    ``cuts(n)`` maps a cut name to a 0-based rank expression given the
+    stratum size ``n``; a row lies before cut c exactly when its
+    (md5, key) is smaller than the boundary (NULL boundary = cut at or past
+    the end).  Only the ids are read; of the rows, only the bucket holding
+    each cut is sorted, so the work is a histogram plus a few small sorts.
+    """
+    parts = [label] if label else []
+    keyed = df.select(*parts, F.col(key).alias(_K), seeded_md5(seed, key).alias(_H))
+    keyed = keyed.withColumn(_B, hex_bucket(F.col(_H), BUCKET_HEX_DIGITS))
+    hist = keyed.groupBy(*parts, _B).agg(F.count(F.lit(1)).alias(_N))
+    before = Window.partitionBy(*parts).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = hist.select(*parts, _B, _N, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF),
+                          F.sum(_N).over(Window.partitionBy(*parts)).alias(_TOT))
+    cut_map = cuts(F.col(_TOT))
+    names = list(cut_map)
+    cut_rows = F.explode(F.array(*[F.struct(F.lit(nm).alias("cut"), cut_map[nm].cast("bigint").alias("r"))
+                                   for nm in names]))
+    targets = (offsets.select(*parts, _B, _N, _OFF, cut_rows.alias("_lf_c"))
+               .select(*parts, _B, _OFF, "_lf_c.cut", "_lf_c.r", _N)
+               .filter((F.col("r") >= F.col(_OFF)) & (F.col("r") < F.col(_OFF) + F.col(_N))))
+    hit = keyed.join(targets.select(*parts, _B, "cut", "r", _OFF), parts + [_B], "inner")
+    w = Window.partitionBy(*parts, _B, "cut").orderBy(_H, _K)
+    at = (hit.withColumn("_lf_rn", F.col(_OFF) + F.row_number().over(w) - 1)
+          .filter(F.col("_lf_rn") == F.col("r"))
+          .select(*parts, "cut", F.struct(F.col(_H).alias("h"), F.col(_K).alias("k")).alias("at")))
+    strata = offsets.select(*parts, _TOT).distinct()
+    wide = at.groupBy(*parts).pivot("cut", names).agg(F.first("at"))
+    if parts:
+        return strata.join(wide, parts, "left").withColumnRenamed(_TOT, "_lf_n")
+    return wide.select(*names)
+
+
+def _before(boundary: Column, h: Column, k: Column) -> Column:
+    """Row (h, k) sorts before the boundary; a NULL boundary means 'everything'."""
+    return boundary.isNull() | (F.struct(h.alias("h"), k.alias("k")) < boundary)
+
+
+def _attach(df: DataFrame, bounds: DataFrame, label: str | None) -> DataFrame:
+    # One row per stratum: AQE broadcasts it at runtime, so the rows (with
+    # their text) never move.  Without strata the single row is attached by a
+    # scalar subquery per cut instead of a join.
+    if label:
+        return df.join(bounds, label, "left")
+    out = df
+    for c in bounds.columns:
+        out = out.withColumn(c, bounds.select(c).scalar())
+    return out
+
+
 def split_two_way(df: DataFrame, key: str, seed=42, test_size: float | None = None,
                   train_size: float | None = None, out: str = "split") -> DataFrame:
     """Seeded two-way split with exact sizes.
 
     ``test_size`` gives ``ceil(test_size*n)`` test rows; ``train_size`` alone
     gives ``floor(train_size*n)`` train rows; the rest go to the other side.
-    Both computed in DOUBLE arithmetic.
+    Both computed in DOUBLE arithmetic.  The first rows of the seeded order
+    are the test rows.
     """
     if test_size is None and train_size is None:
         test_size = 0.25
-    ranked = md5_rank(df, key, seed, out="_lf_rank")
-    n = df.select(F.count(F.lit(1))).scalar()
-    if test_size is not None:
-        n_test = _n_from_fraction(test_size, n, "ceil")
-    else:
-        n_test = n - _n_from_fraction(train_size, n, "floor")
-    return ranked.withColumn(out, F.when(F.col("_lf_rank") < n_test, "test").otherwise("train")).drop("_lf_rank")
+
+    def cuts(n):
+        if test_size is not None:
+            return {"_lf_c1": _n_from_fraction(test_size, n, "ceil")}
+        return {"_lf_c1": n - _n_from_fraction(train_size, n, "floor")}
+
+    bounds = rank_boundaries(df, key, seed, None, cuts)
+    h = seeded_md5(seed, key)
+    tagged = _attach(df, bounds, None)
+    return (tagged.withColumn(out, F.when(_before(F.col("_lf_c1"), h, F.col(key)), "test").otherwise("train"))
+            .drop("_lf_c1"))
 
 
 def stratified_split(df: DataFrame, key: str, label: str, seed=42, test_size: float = 0.3,
@@ -167,19 +228,26 @@ def stratified_split(df: DataFrame, key: str, label: str, seed=42, test_size: fl
     """Per-label exact split: test first, then validation out of the rest.
 
     For a label with n rows: ``n_test = ceil(test_size*n)``,
-    ``n_val = ceil(val_size*(n-n_test))``, the rest is train.  One ranking
-    pass over the data replaces the per-class, per-stage splits.
+    ``n_val = ceil(val_size*(n-n_test))``, the rest is train, following the
+    seeded md5 order inside the label.  The rows themselves are never
+    shuffled: each compares its own (md5, key) with its label's two
+    boundaries (see ``rank_boundaries``).
     """
-    ranked = md5_rank(df, key, seed, out="_lf_rank", partition_cols=[label], total_col="_lf_n_label")
-    n = F.col("_lf_n_label")
-    n_test = _n_from_fraction(test_size, n, "ceil")
-    r = F.col("_lf_rank")
-    if val_size is None:
-        split = F.when(r < n_test, "test").otherwise("train")
-    else:
-        n_val = _n_from_fraction(val_size, n - n_test, "ceil")
-        split = F.when(r < n_test, "test").when(r < n_test + n_val, "val").otherwise("train")
-    return ranked.withColumn(out, split).drop("_lf_rank", "_lf_n_label")
+    def cuts(n):
+        n_test = _n_from_fraction(test_size, n, "ceil")
+        c = {"_lf_c1": n_test}
+        if val_size is not None:
+            c["_lf_c2"] = n_test + _n_from_fraction(val_size, n - n_test, "ceil")
+        return c
+
+    bounds = rank_boundaries(df, key, seed, label, cuts).drop("_lf_n")
+    h = seeded_md5(seed, key)
+    tagged = _attach(df, bounds, label)
+    split = F.when(_before(F.col("_lf_c1"), h, F.col(key)), "test")
+    if val_size is not None:
+        split = split.when(_before(F.col("_lf_c2"), h, F.col(key)), "val")
+    cols = [c for c in ("_lf_c1", "_lf_c2") if c in bounds.columns]
+    return tagged.withColumn(out, split.otherwise("train")).drop(*cols)
 
 
 def min_class_size(df: DataFrame, label: str) -> DataFrame:
@@ -189,8 +257,9 @@ def min_class_size(df: DataFrame, label: str) -> DataFrame:
 def balanced_downsample(df: DataFrame, key: str, label: str, seed=42) -> DataFrame:
     """Every label cut to the smallest label's size by the seeded order."""
     m = min_class_size(df, label).scalar()
-    ranked = md5_rank(df, key, seed, out="_lf_rank", partition_cols=[label])
-    return ranked.filter(F.col("_lf_rank") < m).drop("_lf_rank")
+    bounds = rank_boundaries(df, key, seed, label, lambda n: {"_lf_c1": m}).drop("_lf_n")
+    tagged = _attach(df, bounds, label)
+    return tagged.filter(_before(F.col("_lf_c1"), seeded_md5(seed, key), F.col(key))).drop("_lf_c1")
 
 
 def balanced_split(df: DataFrame, key: str, label: str, seed=42, test_size: float = 0.3,

@@ -24,22 +24,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def doc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, label, split)``: documents' language as a 4-class label,
-    stratified 50/20/30 by the seeded md5 order."""
-    docs = documents(spark, sf_dir).select("doc_id", F.col("lang").alias("label"))
+def doc_split(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    """``(doc_id, label, split[, text])``: documents' language as a 4-class
+    label, stratified 50/20/30 by the seeded md5 order.  The split is decided
+    row by row against per-label boundaries, so the text is not shuffled."""
+    cols = ["doc_id", F.col("lang").alias("label")] + (["text"] if with_text else [])
+    docs = documents(spark, sf_dir).select(*cols)
     return stratified_split(docs, "doc_id", "label", SEED, TEST_SIZE, VAL_SIZE)
 
 
-def split_term_counts(spark: SparkSession, sf_dir: str):
-    """Term counts of all documents plus the split table."""
-    tc = term_counts(documents(spark, sf_dir), "doc_id", "text")
-    return tc, doc_split(spark, sf_dir)
+class SplitFeatures:
+    """Term counts of the train and test documents, each document tokenised
+    once on its own side of the split."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.docs = doc_split(spark, sf_dir, with_text=True)
+        self.split = self.docs.select("doc_id", "label", "split")
 
-def rows_of(df: DataFrame, split: DataFrame, name: str, key: str = "doc_id") -> DataFrame:
-    ids = split.filter(F.col("split") == name).select(key)
-    return df.join(ids, key, "left_semi")
+    def docs_of(self, name: str) -> DataFrame:
+        return self.docs.filter(F.col("split") == name)
+
+    def labels_of(self, name: str) -> DataFrame:
+        return self.split.filter(F.col("split") == name).select("doc_id", "label")
+
+    def tc(self, name: str) -> DataFrame:
+        return term_counts(self.docs_of(name), "doc_id", "text")
+
+    def n_docs(self, name: str):
+        return self.split.filter(F.col("split") == name).select(F.count(F.lit(1))).scalar()
 
 
 def quote_table(spark: SparkSession, sf_dir: str, n_quotes: int = 10) -> DataFrame:

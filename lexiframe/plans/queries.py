@@ -17,8 +17,8 @@ from lexiframe.operators import metrics as met
 from lexiframe.operators import naive_bayes as nb
 from lexiframe.operators import ranking as rk
 from lexiframe.operators import tables as tab
-from lexiframe.plans.common import (SEED, TEST_SIZE, VAL_SIZE, doc_split, documents, quote_table,
-                                    rows_of, split_term_counts, table)
+from lexiframe.plans.common import (SEED, TEST_SIZE, VAL_SIZE, SplitFeatures, doc_split, documents,
+                                    quote_table, table)
 
 R = 6  # digits kept for floating results
 
@@ -150,24 +150,23 @@ def term_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vocab(spark: SparkSession, d: str) -> DataFrame:
-    tc, split = split_term_counts(spark, d)
-    return feat.vocabulary(rows_of(tc, split, "train"), "doc_id", with_ids=True)
+    sf = SplitFeatures(spark, d)
+    return feat.vocabulary(sf.tc("train"), "doc_id", with_ids=True)
 
 
 def known_terms(spark: SparkSession, d: str) -> DataFrame:
-    tc, split = split_term_counts(spark, d)
-    v = feat.vocabulary(rows_of(tc, split, "train"), "doc_id")
-    return feat.known_terms(rows_of(tc, split, "test"), v)
+    sf = SplitFeatures(spark, d)
+    v = feat.vocabulary(sf.tc("train"), "doc_id")
+    return feat.known_terms(sf.tc("test"), v)
 
 
-def _train_idf(tc, split):
-    n_train = split.filter(F.col("split") == "train").select(F.count(F.lit(1))).scalar()
-    return feat.idf_table(rows_of(tc, split, "train"), "doc_id", n_docs=n_train)
+def _train_idf(sf: SplitFeatures):
+    return feat.idf_table(sf.tc("train"), "doc_id", n_docs=sf.n_docs("train"))
 
 
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    tc, split = split_term_counts(spark, d)
-    w = feat.tfidf(rows_of(tc, split, "test"), _train_idf(tc, split), "doc_id")
+    sf = SplitFeatures(spark, d)
+    w = feat.tfidf(sf.tc("test"), _train_idf(sf), "doc_id")
     return w.select("doc_id", "token", F.round("weight", R).alias("weight"))
 
 
@@ -176,15 +175,14 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def _nb_fit_predict(spark: SparkSession, d: str, weights: str = "tf"):
-    tc, split = split_term_counts(spark, d)
-    train_docs = split.filter(F.col("split") == "train").select("doc_id", "label")
-    test_docs = split.filter(F.col("split") == "test").select("doc_id", "label")
+    sf = SplitFeatures(spark, d)
+    train_docs, test_docs = sf.labels_of("train"), sf.labels_of("test")
     if weights == "tf":
-        train_x, test_x, value = rows_of(tc, split, "train"), rows_of(tc, split, "test"), "tf"
+        train_x, test_x, value = sf.tc("train"), sf.tc("test"), "tf"
     else:
-        idf = _train_idf(tc, split)
-        train_x = feat.tfidf(rows_of(tc, split, "train"), idf, "doc_id")
-        test_x = feat.tfidf(rows_of(tc, split, "test"), idf, "doc_id")
+        idf = _train_idf(sf)
+        train_x = feat.tfidf(sf.tc("train"), idf, "doc_id")
+        test_x = feat.tfidf(sf.tc("test"), idf, "doc_id")
         value = "weight"
     model = nb.fit_naive_bayes(train_x, train_docs, "doc_id", "label", value=value)
     pred = nb.predict_naive_bayes(model, test_x, test_docs, "doc_id", value=value)

@@ -17,7 +17,7 @@ from lexiframe.operators import linear as lin
 from lexiframe.operators import metrics as met
 from lexiframe.operators import ranking as rk
 from lexiframe.operators import scoring as sc
-from lexiframe.plans.common import SEED, documents, quote_table, rows_of, split_term_counts, table
+from lexiframe.plans.common import SEED, SplitFeatures, documents, quote_table, table
 from lexiframe.session import scratch_path
 from lexiframe.sinks import writers as wr
 from lexiframe.sources import delimited as dl
@@ -47,8 +47,7 @@ def batch_max_len(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _token_ids(spark: SparkSession, d: str) -> DataFrame:
-    tc, split = split_term_counts(spark, d)
-    v = feat.vocabulary(rows_of(tc, split, "train"), "doc_id", with_ids=True)
+    v = feat.vocabulary(SplitFeatures(spark, d).tc("train"), "doc_id", with_ids=True)
     return bt.token_ids(documents(spark, d).select("doc_id", "text"), "doc_id", v)
 
 
