@@ -90,5 +90,7 @@ def check_row_count(df: DataFrame, expected: int) -> DataFrame:
     """Fail the job when the row count differs (an unterminated quote swallows
     the rest of a file silently)."""
     n = df.select(F.count(F.lit(1))).scalar()
-    return df.withColumn("_lf_chk", F.when(n != F.lit(expected), F.raise_error(
-        F.concat(F.lit(f"expected {expected} rows, read "), n.cast("string"))))).drop("_lf_chk")
+    # The check sits in a filter predicate so column pruning cannot drop it.
+    ok = F.when(n == F.lit(expected), F.lit(True)).otherwise(F.raise_error(
+        F.concat(F.lit(f"expected {expected} rows, read "), n.cast("string"))).cast("boolean"))
+    return df.filter(ok)
