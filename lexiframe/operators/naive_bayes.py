@@ -61,7 +61,7 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
         # Fitting is an action: the (class, token) sums are written once to the
         # shared checkpoint folder, and every model table below reads them
         # instead of re-tokenising the training texts.
-        terms_raw = cut_lineage(terms_raw)
+        terms_raw = cut_lineage(terms_raw, "nb-terms")
     vocab = terms_raw.select("token").distinct()
     v_size = vocab.select(F.count(F.lit(1))).scalar()
     n_docs = doc_labels.select(F.count(F.lit(1))).scalar()
@@ -78,24 +78,36 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
         F.log(F.col("n_docs") / n_docs).alias("log_prior"),
         (F.lit(log_alpha) - F.log(F.col("n_c") + F.lit(alpha) * v_size)).alias("base_rate"),
     )
+    # One row per token carries is_first, so the scoring join also yields the
+    # document's known-token mass without a second pass over the tokens.
+    first_label = F.min(label).over(Window.partitionBy("token"))
     terms = terms_raw.select("token", F.col(label).alias("label"),
-                             (F.log(F.col("n_ct") + alpha) - F.lit(log_alpha)).alias("log_excess"))
+                             (F.log(F.col("n_ct") + alpha) - F.lit(log_alpha)).alias("log_excess"),
+                             (F.col(label) == first_label).alias("is_first"))
     return NaiveBayesModel(classes, terms, vocab, alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, features: DataFrame, docs: DataFrame, key: str,
                         value: str = "tf", out: str = "prediction", with_scores: bool = False) -> DataFrame:
-    """Predict for every row of ``docs`` (documents with no known token get the prior)."""
-    known = features.join(model.vocab, "token", "left_semi")
-    mass = known.groupBy(key).agg(F.sum(value).cast("double").alias("_lf_len"))
-    sparse = (known.join(model.terms, "token", "inner")
-              .groupBy(key, "label").agg(F.sum(F.col(value) * F.col("log_excess")).alias("_lf_s"))
-              .groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "_lf_s"))).alias("_lf_sparse")))
+    """Predict for every row of ``docs`` (documents with no known token get the prior).
+
+    One join of the document tokens with the (class, token) table: unknown
+    tokens fall out, every matching row adds ``value * log_excess`` to its
+    class, and the row flagged ``is_first`` adds ``value`` once to the
+    document's known-token mass.
+    """
+    joined = features.join(model.terms, "token", "inner")
+    per_class = joined.groupBy(key, "label").agg(
+        F.sum(F.col(value) * F.col("log_excess")).alias("_lf_s"),
+        F.sum(F.when(F.col("is_first"), F.col(value)).otherwise(F.lit(0))).cast("double").alias("_lf_m"))
+    per_doc = per_class.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "_lf_s"))).alias("_lf_sparse"),
+        F.sum("_lf_m").alias("_lf_len"))
     class_arr = model.classes.select(
-        F.array_sort(F.collect_list(F.struct("class_index", "label", "log_prior", "base_rate")))).scalar()
+        F.sort_array(F.collect_list(F.struct("class_index", "label", "log_prior", "base_rate")))).scalar()
     # The subquery value is attached as a column first: higher-order functions
     # may not contain subqueries.
-    scored = (docs.select(key).join(mass, key, "left").join(sparse, key, "left")
+    scored = (docs.select(key).join(per_doc, key, "left")
               .withColumn("_lf_len", F.coalesce(F.col("_lf_len"), F.lit(0.0)))
               .withColumn("_lf_classes", class_arr))
     scores = F.transform(F.col("_lf_classes"), lambda c: F.struct(
@@ -104,5 +116,4 @@ def predict_naive_bayes(model: NaiveBayesModel, features: DataFrame, docs: DataF
         (-c["class_index"]).alias("neg_index"),
         c["label"].alias("label")))
     best = F.array_max(scores)
-    result = scored.select(key, best["label"].alias(out), *([scores.alias("scores")] if with_scores else []))
-    return result
+    return scored.select(key, best["label"].alias(out), *([scores.alias("scores")] if with_scores else []))

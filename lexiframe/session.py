@@ -60,7 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/lexiframe/{name}-{suffix}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet into the shared checkpoint folder and read
+    it back: the lineage is cut and the data survives executor loss.
+
+    (A reliable ``checkpoint()`` of an uncached Dataset computes it twice:
+    once for the action and once more to write the checkpoint files.)
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
