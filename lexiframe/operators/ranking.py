@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.functions.hashing import hex_bucket, seeded_md5
+from lexiframe.session import cut_lineage
 
 # Fixed value: leading hex digits of the md5 rank key used as bucket (16 bits).
 BUCKET_HEX_DIGITS = 4
@@ -188,11 +189,14 @@ def _before(boundary: Column, h: Column, k: Column) -> Column:
 
 
 def _attach(df: DataFrame, bounds: DataFrame, label: str | None) -> DataFrame:
-    # One row per stratum: AQE broadcasts it at runtime, so the rows (with
-    # their text) never move.  Without strata the single row is attached by a
+    # With strata: the boundary table (one row per stratum, computed from the
+    # ids only) is written to the shared checkpoint folder first.  The planner
+    # then knows its real size: it is broadcast when under the broadcast
+    # threshold, so the rows (with their text) never move, and joined by a
+    # shuffle otherwise.  Without strata the single row is attached by a
     # scalar subquery per cut instead of a join.
     if label:
-        return df.join(bounds, label, "left")
+        return df.join(cut_lineage(bounds, "split-bounds"), label, "left")
     out = df
     for c in bounds.columns:
         out = out.withColumn(c, bounds.select(c).scalar())
