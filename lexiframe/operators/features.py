@@ -11,6 +11,8 @@ task, not one per document.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +34,13 @@ def mean_word_count(df: DataFrame, text: str = "text") -> DataFrame:
     return df.agg(F.avg(word_count(text)).alias("mean_words"), F.count(F.lit(1)).alias("n_rows"))
 
 
-def term_counts(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``(key, token, tf)``: occurrences of each token in each row's whole text."""
-    tokens = df.select(key, F.explode(word_tokens(text)).alias("token"))
-    return tokens.groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+def term_counts(df: DataFrame, key: str, text: str = "text", carry: Sequence[str] = ()) -> DataFrame:
+    """``(key, [carry...], token, tf)``: occurrences of each token in each
+    row's whole text.  ``carry`` columns (for example the label) are constant
+    per row and ride along, so no join is needed to get them back."""
+    carry = list(carry)
+    tokens = df.select(key, *carry, F.explode(word_tokens(text)).alias("token"))
+    return tokens.groupBy(key, *carry, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(tc: DataFrame, key: str, with_ids: bool = False) -> DataFrame:
@@ -44,7 +49,9 @@ def vocabulary(tc: DataFrame, key: str, with_ids: bool = False) -> DataFrame:
     Ids are dense ranks in binary string order, computed with a two-byte
     prefix histogram instead of a single-task global sort.
     """
-    vocab = tc.groupBy("token").agg(F.countDistinct(key).alias("df"))
+    # Term-count rows are unique per (key, token): a plain count is the
+    # document frequency (no distinct aggregation needed).
+    vocab = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     if not with_ids:
         return vocab
     ranked = global_row_number(vocab, [F.col("token")], utf8_prefix_bucket(F.col("token"), 2), out="term_id")
@@ -74,7 +81,7 @@ def tfidf(tc: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     """
     w = tc.join(idf, "token", "inner").withColumn("_lf_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_lf_w") * F.col("_lf_w")).over(Window.partitionBy(key)))
-    return w.select(key, "token", "tf", (F.col("_lf_w") / norm).alias("weight"))
+    return w.select(*tc.columns, (F.col("_lf_w") / norm).alias("weight"))
 
 
 def doc_vectors_long(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -55,7 +55,10 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
 
     Every labelled document counts toward the prior, even one without tokens.
     """
-    labelled = features.join(doc_labels.select(key, label), key, "inner")
+    if label in features.columns:
+        labelled = features          # labels carried from tokenisation
+    else:
+        labelled = features.join(doc_labels.select(key, label), key, "inner")
     terms_raw = labelled.groupBy(label, "token").agg(F.sum(value).cast("double").alias("n_ct"))
     if materialize:
         # Fitting is an action: the (class, token) sums are written once to the

@@ -47,8 +47,8 @@ class SplitFeatures:
     def labels_of(self, name: str) -> DataFrame:
         return self.split.filter(F.col("split") == name).select("doc_id", "label")
 
-    def tc(self, name: str) -> DataFrame:
-        return term_counts(self.docs_of(name), "doc_id", "text")
+    def tc(self, name: str, with_label: bool = False) -> DataFrame:
+        return term_counts(self.docs_of(name), "doc_id", "text", carry=["label"] if with_label else [])
 
     def n_docs(self, name: str):
         return self.split.filter(F.col("split") == name).select(F.count(F.lit(1))).scalar()

@@ -178,10 +178,10 @@ def _nb_fit_predict(spark: SparkSession, d: str, weights: str = "tf"):
     sf = SplitFeatures(spark, d)
     train_docs, test_docs = sf.labels_of("train"), sf.labels_of("test")
     if weights == "tf":
-        train_x, test_x, value = sf.tc("train"), sf.tc("test"), "tf"
+        train_x, test_x, value = sf.tc("train", with_label=True), sf.tc("test"), "tf"
     else:
         idf = _train_idf(sf)
-        train_x = feat.tfidf(sf.tc("train"), idf, "doc_id")
+        train_x = feat.tfidf(sf.tc("train", with_label=True), idf, "doc_id")
         test_x = feat.tfidf(sf.tc("test"), idf, "doc_id")
         value = "weight"
     model = nb.fit_naive_bayes(train_x, train_docs, "doc_id", "label", value=value)
