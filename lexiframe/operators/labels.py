@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiframe.session import cut_lineage
+
 # The seven X-Fact classes and their ids.
 XFACT_LABELS = {
     "true": 0,
@@ -30,7 +32,7 @@ def distinct_labels(df: DataFrame, label: str, pos: str | None = None) -> DataFr
 
 
 def fit_label_map(df: DataFrame, label: str, pos: str | None = None,
-                  order: str = "first_seen") -> DataFrame:
+                  order: str = "first_seen", materialize: bool = True) -> DataFrame:
     """``(label, label_id)`` with ids by first appearance or alphabetically.
 
     ``first_seen`` needs ``pos``: ids follow ``min(pos)`` per label.  The
@@ -48,7 +50,10 @@ def fit_label_map(df: DataFrame, label: str, pos: str | None = None,
     else:
         raise ValueError(f"unknown order {order!r}")
     out = firsts.select(F.col(label).alias("label"), (F.row_number().over(w) - 1).cast("int").alias("label_id"))
-    return out
+    # Fitting is an action: the map is written once to the shared folder, so
+    # later joins see its real (class-sized) file size and the planner
+    # broadcasts it by that measured size, or shuffles when it is large.
+    return cut_lineage(out, "label-map") if materialize else out
 
 
 def fixed_label_map(spark: SparkSession, mapping: dict) -> DataFrame:
@@ -62,8 +67,9 @@ def encode_labels(df: DataFrame, label_map: DataFrame, label: str = "label", out
 
     ``on_unknown``: ``error`` fails the job on a label missing from the map (the
     reference's dict lookup raises), ``keep`` leaves NULL, ``skip`` drops the row.
-    The map is joined without a hint; AQE turns it into a broadcast at runtime
-    because it has one row per class.
+    The map is joined without a hint: a fitted (written) map is broadcast by
+    the planner's size check; a large one is shuffle-joined with AQE skew
+    splitting, so a hot label does not land in one task.
     """
     lm = label_map.select(F.col("label").alias("_lf_label"), F.col("label_id").alias(out))
     how = "inner" if on_unknown == "skip" else "left"

@@ -59,18 +59,24 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
         labelled = features          # labels carried from tokenisation
     else:
         labelled = features.join(doc_labels.select(key, label), key, "inner")
+    log_alpha = math.log(alpha)
     terms_raw = labelled.groupBy(label, "token").agg(F.sum(value).cast("double").alias("n_ct"))
+    # One row per token carries is_first, so the scoring join also yields the
+    # document's known-token mass without a second pass over the tokens.
+    first_label = F.min(label).over(Window.partitionBy("token"))
+    terms = terms_raw.select("token", F.col(label).alias("label"), "n_ct",
+                             (F.log(F.col("n_ct") + alpha) - F.lit(log_alpha)).alias("log_excess"),
+                             (F.col(label) == first_label).alias("is_first"))
     if materialize:
-        # Fitting is an action: the (class, token) sums are written once to the
-        # shared checkpoint folder, and every model table below reads them
-        # instead of re-tokenising the training texts.
-        terms_raw = cut_lineage(terms_raw, "nb-terms")
-    vocab = terms_raw.select("token").distinct()
+        # Fitting is an action: the (class, token) table is written once to the
+        # shared checkpoint folder; every model table reads it instead of
+        # re-tokenising the training texts, and scoring joins see its real size.
+        terms = cut_lineage(terms, "nb-terms")
+    vocab = terms.filter(F.col("is_first")).select("token")
     v_size = vocab.select(F.count(F.lit(1))).scalar()
     n_docs = doc_labels.select(F.count(F.lit(1))).scalar()
     per_class_docs = doc_labels.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
-    per_class_mass = terms_raw.groupBy(label).agg(F.sum("n_ct").alias("n_c"))
-    log_alpha = math.log(alpha)
+    per_class_mass = terms.groupBy(F.col("label").alias(label)).agg(F.sum("n_ct").alias("n_c"))
     classes = (per_class_docs.join(per_class_mass, label, "left")
                .select(F.col(label).alias("label"), "n_docs",
                        F.coalesce(F.col("n_c"), F.lit(0.0)).alias("n_c")))
@@ -81,12 +87,7 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
         F.log(F.col("n_docs") / n_docs).alias("log_prior"),
         (F.lit(log_alpha) - F.log(F.col("n_c") + F.lit(alpha) * v_size)).alias("base_rate"),
     )
-    # One row per token carries is_first, so the scoring join also yields the
-    # document's known-token mass without a second pass over the tokens.
-    first_label = F.min(label).over(Window.partitionBy("token"))
-    terms = terms_raw.select("token", F.col(label).alias("label"),
-                             (F.log(F.col("n_ct") + alpha) - F.lit(log_alpha)).alias("log_excess"),
-                             (F.col(label) == first_label).alias("is_first"))
+    terms = terms.select("token", "label", "log_excess", "is_first")
     return NaiveBayesModel(classes, terms, vocab, alpha)
 
 
