@@ -113,7 +113,7 @@ def top_k_runs(metrics: DataFrame, run: str, step: str, value: str, k: int = 2,
     w = Window.partitionBy(*parts).orderBy(order, F.col(step))
     best = metrics.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     best = best.select(*parts, step, value, F.col("rank").cast("int").alias("rank"), F.lit("top").alias("kind"))
-    last = metrics.groupBy(*parts).agg(F.max(step).alias(step))
-    last = (last.join(metrics.select(*parts, step, value), parts + [step], "inner")
-            .select(*parts, step, value, F.lit(0).alias("rank"), F.lit("last").alias("kind")))
+    # The last entry in one aggregate (max_by), partial per task: no join back.
+    last = metrics.groupBy(*parts).agg(F.max(step).alias(step), F.max_by(value, step).alias(value))
+    last = last.select(*parts, step, value, F.lit(0).alias("rank"), F.lit("last").alias("kind"))
     return best.unionByName(last)
