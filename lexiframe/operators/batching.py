@@ -48,3 +48,28 @@ def pad_batches(df: DataFrame, batch: str, ids: str = "input_ids", max_length: i
     return (t.withColumn("attention_mask", attention_mask(ids, F.col("_lf_m")))
             .withColumn(ids, pad_to(ids, F.col("_lf_m"), pad_id))
             .drop("_lf_m"))
+
+
+def tokenize_with(df: DataFrame, text: str, make_tokenizer, max_length: int | None = 512,
+                  out: str = "input_ids") -> DataFrame:
+    """Plug-in tokenizer seam: ``make_tokenizer()`` returns ``encode(list[str])
+    -> list[list[int]]`` and is called once per Python worker; texts arrive in
+    Arrow batches through an iterator pandas UDF.  Truncation to
+    ``max_length`` (None: none) happens after encoding the whole text."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def encode(batches):
+        tok = make_tokenizer()
+        for s in batches:
+            ids = tok(s.fillna("").tolist())
+            if max_length is not None:
+                ids = [x[:max_length] for x in ids]
+            yield pd.Series(ids)
+
+    # Real type objects (this module uses postponed annotations) select the
+    # iterator-of-series UDF form.
+    encode.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    udf = F.pandas_udf(encode, "array<int>")
+    return df.withColumn(out, udf(F.col(text)))
