@@ -176,11 +176,10 @@ def rank_boundaries(df: DataFrame, key: str, seed, label: str | None,
     at = (hit.withColumn("_lf_rn", F.col(_OFF) + F.row_number().over(w) - 1)
           .filter(F.col("_lf_rn") == F.col("r"))
           .select(*parts, "cut", F.struct(F.col(_H).alias("h"), F.col(_K).alias("k")).alias("at")))
-    strata = offsets.select(*parts, _TOT).distinct()
+    # A stratum (or cut) without a boundary row has every row before that cut;
+    # the left join in _attach turns the missing boundary into NULL = "before".
     wide = at.groupBy(*parts).pivot("cut", names).agg(F.first("at"))
-    if parts:
-        return strata.join(wide, parts, "left").withColumnRenamed(_TOT, "_lf_n")
-    return wide.select(*names)
+    return wide.select(*parts, *names)
 
 
 def _before(boundary: Column, h: Column, k: Column) -> Column:
@@ -244,7 +243,7 @@ def stratified_split(df: DataFrame, key: str, label: str, seed=42, test_size: fl
             c["_lf_c2"] = n_test + _n_from_fraction(val_size, n - n_test, "ceil")
         return c
 
-    bounds = rank_boundaries(df, key, seed, label, cuts).drop("_lf_n")
+    bounds = rank_boundaries(df, key, seed, label, cuts)
     h = seeded_md5(seed, key)
     tagged = _attach(df, bounds, label)
     split = F.when(_before(F.col("_lf_c1"), h, F.col(key)), "test")
@@ -261,7 +260,7 @@ def min_class_size(df: DataFrame, label: str) -> DataFrame:
 def balanced_downsample(df: DataFrame, key: str, label: str, seed=42) -> DataFrame:
     """Every label cut to the smallest label's size by the seeded order."""
     m = min_class_size(df, label).scalar()
-    bounds = rank_boundaries(df, key, seed, label, lambda n: {"_lf_c1": m}).drop("_lf_n")
+    bounds = rank_boundaries(df, key, seed, label, lambda n: {"_lf_c1": m})
     tagged = _attach(df, bounds, label)
     return tagged.filter(_before(F.col("_lf_c1"), seeded_md5(seed, key), F.col(key))).drop("_lf_c1")
 

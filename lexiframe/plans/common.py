@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexiframe.operators.features import term_counts
 from lexiframe.operators.ranking import stratified_split
 from lexiframe.operators.tables import wide_by_position
+from lexiframe.session import spread_small_input
 
 # The seed and split ratios of the reference's dataset notebooks
 # (test 30 %, then validation 2/7 of the rest -> 50/20/30).
@@ -21,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread_small_input(table(spark, sf_dir, "documents"))
 
 
 def doc_split(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:

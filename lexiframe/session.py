@@ -70,3 +70,17 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster's
+    default parallelism (for example one parquet row group of long texts), so
+    text-heavy stages use every core.  Large inputs already have many splits
+    and pass through unchanged."""
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            return df.repartition(target)
+    except Exception:  # noqa: BLE001 - e.g. a client session without RDD access
+        pass
+    return df
