@@ -41,14 +41,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a folder every executor can reach; it is
-    only filled in here when unset (local runs and tests).
+    On a cluster this setting names a folder every executor can reach and is
+    read from the session.  Only when neither the setting nor the context's
+    checkpoint folder exists (local runs, tests) is a local folder made and
+    registered with ``setCheckpointDir`` (the setting itself cannot be changed
+    on a running session).
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="lexiframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
 
