@@ -3,7 +3,6 @@
 import os
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from lexiframe.operators import augment as aug
 from lexiframe.operators import batching as bt

@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lexiframe.functions.vectors import argmax, log_softmax, logsumexp, softmax
 from lexiframe.operators import contrastive as con

@@ -2,7 +2,6 @@
 (the driver repeats this at sf0.01)."""
 
 import math
-import os
 
 import duckdb
 import pytest

@@ -5,7 +5,6 @@ import re
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from lexiframe.functions.text import join_columns, whitespace_tokens, word_tokens
 from lexiframe.sources import delimited as dl
