@@ -171,7 +171,11 @@ def rank_boundaries(df: DataFrame, key: str, seed, label: str | None,
     targets = (offsets.select(*parts, _B, _N, _OFF, cut_rows.alias("_lf_c"))
                .select(*parts, _B, _OFF, "_lf_c.cut", "_lf_c.r", _N)
                .filter((F.col("r") >= F.col(_OFF)) & (F.col("r") < F.col(_OFF) + F.col(_N))))
-    hit = keyed.join(targets.select(*parts, _B, "cut", "r", _OFF), parts + [_B], "inner")
+    # The target table (strata x cuts rows) is written first so the planner
+    # broadcasts it by its measured size: the join is then a local filter and
+    # only the rows of the few hit buckets reach the window's shuffle.
+    targets = cut_lineage(targets.select(*parts, _B, "cut", "r", _OFF), "rank-targets")
+    hit = keyed.join(targets, parts + [_B], "inner")
     w = Window.partitionBy(*parts, _B, "cut").orderBy(_H, _K)
     at = (hit.withColumn("_lf_rn", F.col(_OFF) + F.row_number().over(w) - 1)
           .filter(F.col("_lf_rn") == F.col("r"))
