@@ -346,3 +346,11 @@ ORACLE.update({
     "score_batch": ("SELECT vec_id, " + ARGMAX_L + " AS prediction FROM (SELECT vec_id, " + LOGITS
                     + " AS l FROM embeddings) x"),
 })
+
+SPLIT_QUALITY = (
+    "split AS (SELECT doc_id, label, " + SPLIT_CASE + " AS split FROM ("
+    " SELECT d.doc_id, l.quality AS label,"
+    " row_number() OVER (PARTITION BY l.quality ORDER BY md5('42:' || CAST(d.doc_id AS VARCHAR)), d.doc_id) - 1 AS rk,"
+    " count(*) OVER (PARTITION BY l.quality) AS n FROM documents d JOIN labels l USING (doc_id)) s0)"
+)
+ORACLE["nb_quality_metrics"] = "WITH " + SPLIT_QUALITY + ", " + TOK + ", " + _nb("tf", "tc", "tc") + METRICS

@@ -245,3 +245,23 @@ QUERIES = {
     "nb_confusion": nb_confusion,
     "nb_metrics": nb_metrics,
 }
+
+
+def nb_quality_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Naive Bayes on the labelled documents (documents joined with labels,
+    2-class ``quality`` with one dominant class), stratified split, evaluated."""
+    labelled = documents(spark, d).join(
+        table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "inner")
+    split = rk.stratified_split(labelled.select("doc_id", "label", "text"), "doc_id", "label",
+                                SEED, TEST_SIZE, VAL_SIZE)
+    train = split.filter(F.col("split") == "train")
+    test = split.filter(F.col("split") == "test")
+    model = nb.fit_naive_bayes(feat.term_counts(train, "doc_id", "text", carry=["label"]),
+                               train.select("doc_id", "label"), "doc_id", "label")
+    pred = nb.predict_naive_bayes(model, feat.term_counts(test, "doc_id", "text"), test.select("doc_id"), "doc_id")
+    ev = met.evaluate(pred.join(test.select("doc_id", "label"), "doc_id", "inner"), "label", "prediction")
+    return ev.select(F.round("accuracy", R).alias("accuracy"), F.round("macro_f1", R).alias("macro_f1"),
+                     "n", "n_classes")
+
+
+QUERIES["nb_quality_metrics"] = nb_quality_metrics
