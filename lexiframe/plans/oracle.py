@@ -27,7 +27,7 @@ SPLIT = (
 TOK = ("tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS token "
        "FROM documents), tc AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY doc_id, token)")
 
-WORDS = "len(list_filter(regexp_split_to_array(text, '" + WS_RE + "'), lambda x: x <> ''))"
+WORDS = "CAST(len(list_filter(regexp_split_to_array(text, '" + WS_RE + "'), lambda x: x <> '')) AS INTEGER)"
 
 TRAIN_TC = "tr AS (SELECT * FROM tc WHERE doc_id IN (SELECT doc_id FROM split WHERE split = 'train'))"
 TEST_TC = "te AS (SELECT * FROM tc WHERE doc_id IN (SELECT doc_id FROM split WHERE split = 'test'))"
@@ -98,7 +98,7 @@ CONFUSION = (
 METRICS = (
     ", " + PER_CLASS + " SELECT round(sum(tp) / sum(n_true), 6) AS accuracy, "
     "round(avg(CASE WHEN n_true + n_pred > 0 THEN CAST(2 AS DOUBLE) * tp / (n_true + n_pred) ELSE 0 END), 6) "
-    "AS macro_f1, sum(n_true) AS n, count(*) AS n_classes FROM f"
+    "AS macro_f1, CAST(sum(n_true) AS BIGINT) AS n, count(*) AS n_classes FROM f"
 )
 
 RANK_BY_LANG = ("SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY lang ORDER BY " + SEED_KEY
@@ -151,7 +151,7 @@ ORACLE = {
     "stage_rows": "WITH " + SPLIT + " SELECT doc_id, label, split FROM split WHERE split IN ('train', 'val')",
     "mean_word_count": "SELECT round(avg(" + WORDS + "), 6) AS mean_words, count(*) AS n_rows FROM documents",
     "word_tokens": (
-        "SELECT doc_id, len(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS n_tokens, "
+        "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS INTEGER) AS n_tokens, "
         + WORDS + " AS n_words FROM documents"),
     "term_counts": "WITH " + TOK + " SELECT doc_id, token, tf FROM tc",
     "vocab": (
@@ -256,7 +256,7 @@ ORACLE.update({
                 "FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS rn FROM documents) x"),
     "batch_max_len": (
         "SELECT doc_id, batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY batch_id) AS batch_max_len FROM "
-        "(SELECT doc_id, len(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS n_tokens, "
+        "(SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS INTEGER) AS n_tokens, "
         + _batch("doc_id", 8) + " AS batch_id FROM documents) x"),
     "token_ids": IDS_ALL + " SELECT doc_id, input_ids FROM ids",
     "truncate_pad_mask": (
@@ -339,7 +339,8 @@ ORACLE.update({
         "FROM log l JOIN (SELECT run, metric, max(step) AS step FROM log GROUP BY run, metric) m "
         "ON l.run = m.run AND l.metric = m.metric AND l.step = m.step"),
     "registry": (
-        "SELECT 'benchmark_items' AS dataset, count(*) AS n_rows, 1 AS n_labels, 1 AS num_classes FROM benchmark "
+        "SELECT 'benchmark_items' AS dataset, count(*) AS n_rows, CAST(1 AS BIGINT) AS n_labels, 1 AS num_classes "
+        "FROM benchmark "
         "UNION ALL SELECT 'documents_lang', count(*), count(DISTINCT lang), 4 FROM documents "
         "UNION ALL SELECT 'documents_quality', count(*), count(DISTINCT l.quality), 2 FROM documents d "
         "JOIN labels l USING (doc_id)"),
