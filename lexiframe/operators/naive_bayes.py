@@ -87,6 +87,10 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
         F.log(F.col("n_docs") / n_docs).alias("log_prior"),
         (F.lit(log_alpha) - F.log(F.col("n_c") + F.lit(alpha) * v_size)).alias("base_rate"),
     )
+    if materialize:
+        # One row per class: written once so scoring reads the parameters
+        # instead of recomputing class sizes from the training split.
+        classes = cut_lineage(classes, "nb-classes")
     terms = terms.select("token", "label", "log_excess", "is_first")
     return NaiveBayesModel(classes, terms, vocab, alpha)
 
