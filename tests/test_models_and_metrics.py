@@ -114,3 +114,19 @@ def test_step_epoch_grouping(spark):
     rows = {(r.grain, r.batch): r.accuracy for r in met.step_and_epoch(df, "run", "batch").collect()}
     assert rows[("step", 0)] == 0.5 and rows[("step", 1)] == 1.0
     assert rows[("epoch", None)] == pytest.approx(2 / 3)
+
+
+def test_naive_bayes_save_load_round_trip(spark, tmp_dir):
+    import os
+    tr = spark.createDataFrame([(0, "alpha beta beta", "x"), (1, "gamma delta", "y"), (2, "beta alpha", "x")],
+                               "doc_id long, text string, label string")
+    te = spark.createDataFrame([(5, "beta gamma"), (6, "delta delta")], "doc_id long, text string")
+    model = nb.fit_naive_bayes(term_counts(tr, "doc_id"), tr.select("doc_id", "label"), "doc_id", "label")
+    path = os.path.join(tmp_dir, "nb")
+    model.save(path)
+    loaded = nb.NaiveBayesModel.load(spark, path)
+    a = {r.doc_id: r.prediction for r in
+         nb.predict_naive_bayes(model, term_counts(te, "doc_id"), te.select("doc_id"), "doc_id").collect()}
+    b = {r.doc_id: r.prediction for r in
+         nb.predict_naive_bayes(loaded, term_counts(te, "doc_id"), te.select("doc_id"), "doc_id").collect()}
+    assert a == b == {5: "x", 6: "y"}
