@@ -96,3 +96,14 @@ def test_workbook_sheet(spark, tmp_dir):
     df = read_sheet(spark, os.path.join(tmp_dir, "*.xlsx"), "rated_with_quotes", ["RATING", "QUOTE 1"])
     rows = sorted(df.collect(), key=lambda r: r.pos)
     assert [(r.pos, r.RATING, r["QUOTE 1"]) for r in rows] == [(0, "FAKE", "first quote"), (1, "FALSE", None)]
+
+
+def test_row_positions_across_files(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "parts")
+    os.makedirs(folder)
+    for name, rows in (("a.csv", ["x1", "x2", "x3"]), ("b.csv", ["y1"]), ("c.csv", ["z1", "z2"])):
+        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
+            f.write("text,label\n" + "".join(f"{r},L\n" for r in rows))
+    df = dl.read_csv(spark, folder, ["text", "label"], with_position="pos")
+    got = sorted((r.pos, r.text) for r in df.collect())
+    assert got == list(enumerate(["x1", "x2", "x3", "y1", "z1", "z2"]))
