@@ -137,7 +137,7 @@ def write_sequences(docs: DataFrame, id_col: str, text_col: str, tokenizer_path:
                 sink = filesystem.open_output_stream(f"{folder}/{name}")
                 out = SequenceWriter(sink, tok.dtype, length, rows)
             counts = []
-            for raw in tok.encode(batch.column("text").to_pylist()):
+            for raw in tok.encode_column(batch.column("text")):
                 ids = np.append(np.frombuffer(raw, dtype=tok.dtype), tok.dtype.type(end_id))
                 out.add(ids)
                 counts.append(len(ids))

@@ -1,11 +1,14 @@
 """Exact tokenisation by the ``tokenizers`` library with a word cache.
 
-A text is cut where white space follows a non-space character.  Neither the
-byte-level nor the word-end pre-tokeniser ever joins characters across such a
-place, so each piece is encoded by itself and the ids are joined; pieces seen
-before come from a bounded cache that lives as long as the Python worker.
-Texts with the separators U+001C-U+001F (white space for Python, not for the
-tokeniser) are encoded whole.
+A text is cut at places that no token crosses: before white space that follows
+a non-space character, and after a run of letters (or letters and digits) that
+starts with a Latin letter, where neither a letter nor a digit follows.  Both
+kinds of pre-tokeniser used here (byte-level, word-end) keep letters, numbers,
+and the rest apart, so each piece is encoded by itself and the ids are joined.
+Pieces seen before come from a bounded cache that lives as long as the Python
+worker.  Encoded whole, without cuts: texts with U+001C-U+001F (white space for
+Python, not for the tokeniser), texts that the tokeniser's NFC step would
+change, and texts with the two letters whose lower case depends on their place.
 
 New pieces are encoded many at a time: joined by a special token, which the
 library always splits off first, so that each piece is still encoded alone.
@@ -13,21 +16,26 @@ library always splits off first, so that each piece is still encoded alone.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
 
 #: Pieces kept by one Python worker; later ones are encoded again when they return.
-CACHE_PIECES = 600_000
-#: Characters of the texts that are cut into pieces at once.
-SLICE_CHARS = 2_000_000
+CACHE_PIECES = 400_000
+#: Characters of the texts that are cut into pieces at once, and rows taken from Arrow at once.
+SLICE_CHARS, SLICE_ROWS = 1_000_000, 512
 #: Pieces encoded in one call.
 JOINED = 512
 _ODD = re.compile("[\x1c-\x1f]")
-_WITH_SPACE = re.compile(r"\s*\S+|\s+$")
-_NO_SPACE = re.compile(r"\S+")
+_CASED = re.compile("[\u0130\u03a3]")
+#: Latin letters (a subset of the letters is enough: it only decides where cuts are made).
+_L = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_WITH_SPACE = re.compile(rf"\s?[{_L}]+[^\W_]*|\s*[^\s{_L}]*[{_L}]+[^\W_]*|\s*[^\s{_L}]+|\s+$")
+_NO_SPACE = re.compile(rf"[{_L}]+[^\W_]*|[^\s{_L}]*[{_L}]+[^\W_]*|[^\s{_L}]+")
 
 
 @lru_cache(maxsize=4)
@@ -43,9 +51,10 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.splitter = Tokenizer.from_file(path)
-        added = {i: str(t.content) for i, t in self.splitter.get_added_tokens_decoder().items() if t.special}
+        with open(path, encoding="utf-8") as f:
+            steps = str(json.load(f).get("normalizer"))
+        self.composes, self.lowers = "'NFC'" in steps, "'Lowercase'" in steps
+        added = {i: str(t.content) for i, t in self.tok.get_added_tokens_decoder().items() if t.special}
         self.special = tuple(added.values())
         self.sep_id, self.sep = next(iter(added.items()), (None, ""))
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
@@ -53,6 +62,7 @@ class CachedTokenizer:
         self.cache: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
+        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype).tobytes()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
@@ -62,7 +72,8 @@ class CachedTokenizer:
         for i in range(0, len(pieces), JOINED):
             part = pieces[i: i + JOINED]
             joined = self.sep.join(part)
-            ids = np.array(self.splitter.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            self.tok.encode_special_tokens = False
+            ids = np.array(self.tok.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=self.dtype)
             at = np.flatnonzero(ids == self.sep_id) * width
             if len(at) != len(part) - 1 or any(joined.count(s) != (len(part) - 1) * (s == self.sep) for s in self.special):
                 out.extend(map(self._alone, part))  # a piece holds the string of a special token
@@ -71,6 +82,19 @@ class CachedTokenizer:
             out.extend(raw[a:b] for a, b in zip([0, *(at + width).tolist()], [*at.tolist(), len(raw)], strict=True))
         return out
 
+    def _cut(self, text: str) -> list[str] | None:
+        """The pieces of a text; None: encode it whole."""
+        if _ODD.search(text) or (self.composes and not unicodedata.is_normalized("NFC", text)):
+            return None
+        if self.lowers:
+            return None if _CASED.search(text) else self.cut(text.lower())
+        return self.cut(text)
+
+    def encode_column(self, column):
+        """Yield the ids of each text of an Arrow string column."""
+        for i in range(0, len(column), SLICE_ROWS):
+            yield from self.encode(column.slice(i, SLICE_ROWS).to_pylist())
+
     def encode(self, texts):
         """Yield the ids of each text as bytes of ``self.dtype``, in order."""
         at, cache = 0, self.cache
@@ -79,7 +103,7 @@ class CachedTokenizer:
             while to < len(texts) and (to == at or chars + len(texts[to]) <= SLICE_CHARS):
                 chars += len(texts[to])
                 to += 1
-            cuts = [None if _ODD.search(t) else self.cut(t) for t in texts[at:to]]
+            cuts = [self._cut(t) for t in texts[at:to]]
             pieces: set[str] = set()
             for cut in cuts:
                 pieces.update(cut or ())
