@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from lexiframe.llm.jaccard_groups import op6_jaccard_groups
 from lexiframe.llm.packing import op7_bin_completion
 from lexiframe.llm.robust_rules import op2_robust_rules
 from lexiframe.llm.sequence_files import op3_sequence_files
 from lexiframe.llm.sharding import op5_jump_shards
 
-QUERIES = {f.__name__: f for f in (op2_robust_rules, op3_sequence_files, op5_jump_shards, op7_bin_completion)}
+QUERIES = {f.__name__: f for f in (op2_robust_rules, op3_sequence_files, op5_jump_shards, op6_jaccard_groups, op7_bin_completion)}
 ORACLE: dict[str, str] = {}
