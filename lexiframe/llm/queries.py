@@ -7,6 +7,8 @@ from lexiframe.llm.packing import op7_bin_completion
 from lexiframe.llm.robust_rules import op2_robust_rules
 from lexiframe.llm.sequence_files import op3_sequence_files
 from lexiframe.llm.sharding import op5_jump_shards
+from lexiframe.llm.templates import op10_template_leaks
 
-QUERIES = {f.__name__: f for f in (op2_robust_rules, op3_sequence_files, op5_jump_shards, op6_jaccard_groups, op7_bin_completion)}
+QUERIES = {f.__name__: f for f in (op2_robust_rules, op3_sequence_files, op5_jump_shards, op6_jaccard_groups, op7_bin_completion,
+                                op10_template_leaks)}
 ORACLE: dict[str, str] = {}
