@@ -118,6 +118,7 @@ def with_groups(rows: DataFrame, lang: str, source: str) -> DataFrame:
     pairs = pairs.withColumn("_group", F.when(~small, F.col("_pair")).when(pool >= MIN_GROUP, F.concat(F.lit("*"), F.col("_lang"))).otherwise(F.lit("**")))
     size = pairs.groupBy("_group").agg(F.sum("_n").alias("_m"))
     groups = pairs.join(size, "_group").select("_pair", F.when(F.col("_m") >= MIN_GROUP, F.col("_group")).alias("_group"))
+    groups = written(groups, "group-names")  # its size is then known, and the rows stay where they are if it is small
     return rows.join(groups, "_pair", "left").drop("_lang", "_pair")
 
 
@@ -165,7 +166,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     """Two deterministic starts per group: the plain mean and scatter, and the
     medians with the median deviations (grid values are few, so medians are exact)."""
     plain = with_factor(rows.groupBy("_group").agg(*_sums())).withColumn("_start", F.lit(0))
-    middle = rows.groupBy("_group").agg(*[F.percentile(a, 0.5).alias(f"c_{a}") for a in X])
+    middle = written(rows.groupBy("_group").agg(*[F.percentile(a, 0.5).alias(f"c_{a}") for a in X]), "medians")
     around = rows.join(middle, "_group").groupBy("_group").agg(
         *[F.first(f"c_{a}").alias(f"c_{a}") for a in X],
         *[F.percentile(F.abs(F.col(a) - F.col(f"c_{a}")), 0.5).alias(f"d_{a}") for a in X])
