@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexiframe.llm.compact_windows import op4_compact_windows
 from lexiframe.llm.html_text import op8_tag_ratio_text
 from lexiframe.llm.jaccard_groups import op6_jaccard_groups
 from lexiframe.llm.packing import op7_bin_completion
@@ -13,6 +14,6 @@ from lexiframe.llm.warc_audit import ORACLE as AUDIT_SQL
 from lexiframe.llm.warc_audit import op9_merkle_audit
 from lexiframe.llm.weak_labels import op1_weak_label_quality
 
-QUERIES = {f.__name__: f for f in (op1_weak_label_quality, op2_robust_rules, op3_sequence_files, op5_jump_shards, op6_jaccard_groups, op7_bin_completion,
+QUERIES = {f.__name__: f for f in (op1_weak_label_quality, op2_robust_rules, op3_sequence_files, op4_compact_windows, op5_jump_shards, op6_jaccard_groups, op7_bin_completion,
                                 op8_tag_ratio_text, op9_merkle_audit, op10_template_leaks)}
 ORACLE: dict[str, str] = {"op9_merkle_audit": AUDIT_SQL}

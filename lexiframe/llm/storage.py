@@ -46,3 +46,12 @@ def plus(schema: StructType, **fields: str) -> StructType:
     for name, kind in fields.items():
         out.add(name, kind)
     return out
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps: it does so
+    when the driver's garbage is collected, which may otherwise be much later."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
