@@ -6,8 +6,9 @@ window (l, c, r): the subtree of c in the Cartesian tree of the hashes.  Only
 windows of at least ``MIN_WORDS`` words matter, about 2 / (t + 1) per shingle.
 
 1. Windows with the same minimum are grouped by its hash.  Each is also given
-   the minimum of another function around c; windows that agree in both are
-   tied to the first of them, and these firsts to the first of the group.
+   the minima of two other functions around c, its contexts; windows that agree
+   in hash and a context are tied to the first of them, and the firsts by the
+   first context to the first of the group.
    Groups are tied inside each task before the shuffle, so a passage that a
    third of all documents hold is one row per task and hash there.
 2. Interval join: ties of one pair of documents whose windows overlap by at
@@ -105,29 +106,39 @@ def compact_windows(sh: np.ndarray, doc: np.ndarray):
         left = np.where(before >= 0, c[before] + 1, first[c])
         right = np.where(after < len(c), c[np.minimum(after, len(c) - 1)] - 1, last[c])
         around = np.clip(c - WIDTH // 2, first[c], last[c] - WIDTH + 1)
-        other = (i + 1) % HASHES
-        context = values[other][(minima[other][around] & low).astype(np.int64)] >> U64(33)
-        yield (values[i][c] & ~U64(7)) | U64(i), context.astype(np.int64), c, left, right
+        one, two = ((values[o][(minima[o][around] & low).astype(np.int64)] >> U64(33)).astype(np.int64)
+                    for o in ((i + 1) % HASHES, (i + 2) % HASHES))
+        yield (values[i][c] & ~U64(7)) | U64(i), one, two, c, left, right
 
 
-ROWS = "key long, doc long, place long, reach int"       # place: context * 2**32 + c; reach: left * 2**16 + right
+#: place: first context * 2**32 + c; reach: left * 2**16 + right; second: second context.
+ROWS = "key long, doc long, place long, reach int, second int"
 TIES = "a long, b long, ac int, bc int, al int, ar int, bl int, br int, mark int"
 
 
-def _ties(key, doc, place, reach):
-    """Ties of rows sorted by key, context, document and place, and the first
-    row of every (key, context)."""
-    n = len(key)
-    context = place >> 32
+def _heads(key, context):
+    """For sorted rows: which begin a (key, context), and each row's beginning."""
+    new = np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1]))
+    heads = np.flatnonzero(new)
+    return new, heads[np.cumsum(new) - 1]
+
+
+def _ties(key, doc, place, reach, second):
+    """Ties of rows sorted by key, first context, document and place, and the
+    rows that are the first of their key and a context."""
+    rows = np.arange(len(key))
     new_key = np.append(True, key[1:] != key[:-1])
-    new_context = new_key | np.append(True, context[1:] != context[:-1])
-    heads = np.flatnonzero(new_context)
-    head = heads[np.cumsum(new_context) - 1]
-    group = np.flatnonzero(new_key)[np.cumsum(new_key) - 1]
-    rows = np.arange(n)
-    a = np.concatenate([rows[head != rows], heads[group[heads] != heads]])
-    b = np.concatenate([head[head != rows], group[heads][group[heads] != heads]])
-    agree = np.concatenate([np.ones((head != rows).sum(), np.int32), np.zeros((group[heads] != heads).sum(), np.int32)])
+    group = rows[new_key][np.cumsum(new_key) - 1]
+    begins, head = _heads(key, place >> 32)
+    order = np.lexsort((place & 0xFFFFFFFF, doc, second, key))
+    begins_second, head_second = _heads(key[order], second[order])
+    other_head = np.empty_like(rows)
+    other_head[order] = order[head_second]
+    heads = np.flatnonzero(begins | np.isin(rows, order[begins_second]))
+    a = np.concatenate([rows[head != rows], rows[(other_head != rows) & (other_head != head)], rows[begins & (group != rows)]])
+    b = np.concatenate([head[head != rows], other_head[(other_head != rows) & (other_head != head)], group[begins & (group != rows)]])
+    agree = np.ones(len(a), np.int32)
+    agree[len(a) - int((begins & (group != rows)).sum()):] = 0
     other = doc[a] != doc[b]
     a, b, agree = a[other], b[other], agree[other]
     swap = doc[a] < doc[b]
@@ -145,7 +156,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
     """Rows for the shuffle by key, and (key NULL) ties found inside the task,
     in one table: ``ROWS`` plus ``TIES``."""
     names = [f.split()[0] for f in f"{ROWS}, {TIES}".split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 7]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.int32()] * 7]
 
     def padded(n, **given):
         return pa.RecordBatch.from_arrays([given[x] if x in given else pa.nulls(n, k) for x, k in zip(names, kinds, strict=True)], names=names)
@@ -154,11 +165,11 @@ def window_rows(docs: DataFrame) -> DataFrame:
         held, rows = [], 0
 
         def flush():
-            key, doc, place, reach = (np.concatenate(c) for c in zip(*held, strict=True))
+            key, doc, place, reach, second = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((place & 0xFFFFFFFF, doc, place >> 32, key))
-            key, doc, place, reach = key[order], doc[order], place[order], reach[order]
-            ties, heads = _ties(key, doc, place, reach)
-            yield padded(len(heads), key=pa.array(key[heads]), doc=pa.array(doc[heads]), place=pa.array(place[heads]), reach=pa.array(reach[heads]))
+            cols = [c[order] for c in (key, doc, place, reach, second)]
+            ties, heads = _ties(*cols)
+            yield padded(len(heads), **{x: pa.array(c[heads]) for x, c in zip(names, cols, strict=False)})
             if ties.num_rows:
                 yield padded(ties.num_rows, **dict(zip(ties.schema.names, ties.columns, strict=True)))
 
@@ -170,10 +181,10 @@ def window_rows(docs: DataFrame) -> DataFrame:
                 sh, at = shingles(w, SHINGLE)
                 doc = w.doc[at]
                 start = np.searchsorted(doc, np.arange(hi - lo))
-                for h, context, c, left, right in compact_windows(sh, doc):
-                    place = (context << 32) | (c - start[doc[c]])
+                for h, one, two, c, left, right in compact_windows(sh, doc):
+                    place = (one << 32) | (c - start[doc[c]])
                     reach = (np.minimum(c - left, _REACH) << 16 | np.minimum(right - c, _REACH)).astype(np.uint32).view(np.int32)
-                    held.append((h.view(np.int64), ids[lo:hi][doc[c]], place, reach))
+                    held.append((h.view(np.int64), ids[lo:hi][doc[c]], place, reach, two.astype(np.int32)))
                     rows += len(c)
                 if rows >= TIE_ROWS:
                     yield from flush()
@@ -202,7 +213,7 @@ def all_ties(rows: DataFrame) -> DataFrame:
                 batch = batch.filter(pc.is_valid(batch.column("key")))
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("key", "doc", "place", "reach")]
+            cols = [batch.column(c).to_numpy() for c in ("key", "doc", "place", "reach", "second")]
             if rest is not None:
                 cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
             key = cols[0]
