@@ -33,13 +33,3 @@ def hex_bucket(hex_col: Column, hex_digits: int = 4) -> Column:
 def hex_to_long(hex_col: Column, hex_digits: int = 8) -> Column:
     """Leading 32 bits of a hex digest as a non-negative BIGINT."""
     return F.conv(F.substring(hex_col, 1, hex_digits), 16, 10).cast("bigint")
-
-
-def utf8_prefix_bucket(text_col: Column, n_bytes: int = 2) -> Column:
-    """First ``n_bytes`` of the UTF-8 encoding as an int, zero padded.
-
-    Monotone in binary string order (the order Spark and DuckDB sort strings
-    in), so it can bucket a global string sort.
-    """
-    hexed = F.hex(F.substring(F.encode(text_col, "UTF-8"), 1, n_bytes))
-    return F.conv(F.rpad(hexed, 2 * n_bytes, "0"), 16, 10).cast("int")

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexiframe.functions.hashing import hex_to_long, seeded_md5
 from lexiframe.functions.text import whitespace_tokens
@@ -111,36 +112,37 @@ def pick_one(candidates: Sequence, key, seed=42, salt: str = "pick") -> Column:
     return F.when(k > 0, F.element_at(arr, (F.pmod(h, F.greatest(k, F.lit(1))) + 1).cast("int")))
 
 
-def translate_wide(df: DataFrame, key: str, text: str, langs: Sequence[str],
+def translate_wide(df: DataFrame, text: str, langs: Sequence[str],
                    translate: Callable[[list[str], str], list[str]], chunk: int = TRANSLATE_CHUNK,
                    prefix: str = "augmented_") -> DataFrame:
     """Add one ``augmented_<lang>`` column per language.
 
     ``translate(texts, lang)`` is called on chunks of ``chunk`` texts in row
     order within each partition, once per language, and must return one
-    output per input.  Rows keep their key and are emitted wide directly, so
-    no pivot or join (and no shuffle) is needed.  The translator is a pure
-    function of its input, so a retried task gives the same rows.
+    output per input; NULL texts are not sent and stay NULL.  All columns of
+    ``df`` are kept and rows are emitted wide directly, so no pivot or join
+    (and no shuffle) is needed.  The translator is a pure function of its
+    input, so a retried task gives the same rows.
     """
     langs = list(langs)
     out_cols = [f"{prefix}{lang}" for lang in langs]
-    schema = df.select(key, text).schema
-    for c in out_cols:
-        schema = schema.add(c, "string")
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.StringType()) for c in out_cols]])
 
     def run(batches):
-        for pdf in batches:
-            texts = pdf[text].tolist()
-            result = {key: pdf[key].tolist(), text: texts}
-            for lang, col in zip(langs, out_cols):
-                translated: list = []
-                for s in range(0, len(texts), chunk):
-                    part = texts[s:s + chunk]
-                    got = list(translate(part, lang))
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            at = [i for i, t in enumerate(texts) if t is not None]
+            columns = []
+            for lang in langs:
+                translated: list = [None] * len(texts)
+                for s in range(0, len(at), chunk):
+                    part = at[s:s + chunk]
+                    got = list(translate([texts[i] for i in part], lang))
                     if len(got) != len(part):
                         raise ValueError(f"translator returned {len(got)} texts for {len(part)}")
-                    translated.extend(got)
-                result[col] = translated
-            yield pd.DataFrame(result, columns=[key, text, *out_cols])
+                    for i, t in zip(part, got, strict=True):
+                        translated[i] = t
+                columns.append(pa.array(translated, pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *out_cols])
 
-    return df.select(key, text).mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)

@@ -5,17 +5,17 @@ For a batch of vectors z (L2-normalised) with labels y and temperature tau:
     lse_i  = log sum_{k != i} exp(s_ik)                  (max subtracted first)
     loss_i = -(1 / P_i) sum_{j != i, y_j = y_i} (s_ij - lse_i),  0 if P_i = 0
     loss   = mean_i loss_i                               (per batch)
-Pairs come from a self-join on the batch id; a batch has at most B rows, so
-the join emits at most B - 1 partners per row and never more.  The masks are
-built from each batch's own labels.
+A batch has at most B rows.  Pairs come from a self-join on the batch id, which
+emits at most B - 1 partners per row; the loss is computed on one array per
+batch.  The masks are built from each batch's own labels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.functions.vectors import dot, l2_normalize
+from lexiframe.functions.vectors import dot, l2_normalize, logsumexp
 
 # Fixed value: default temperature of the loss.
 DEFAULT_TEMPERATURE = 0.1
@@ -45,22 +45,25 @@ def in_batch_pairs(df: DataFrame, batch: str, pos: str, label: str, vec: str,
 
 def supcon_per_anchor(df: DataFrame, batch: str, pos: str, label: str, vec: str,
                       temperature: float = DEFAULT_TEMPERATURE) -> DataFrame:
-    """``(batch, pos, n_pos, loss)`` per anchor; anchors alone in a batch get 0."""
-    pairs = in_batch_pairs(df, batch, pos, label, vec, temperature)
-    m = F.max("sim").over(Window.partitionBy(batch, "a_pos"))
-    pairs = pairs.withColumn("_lf_m", m)
-    per = pairs.groupBy(batch, "a_pos").agg(
-        (F.first("_lf_m") + F.log(F.sum(F.exp(F.col("sim") - F.col("_lf_m"))))).alias("_lf_lse"),
-        F.sum(F.when(F.col("same_label"), F.col("sim")).otherwise(F.lit(0.0))).alias("_lf_pos_sum"),
-        F.sum(F.col("same_label").cast("long")).alias("n_pos"))
-    per = per.select(batch, F.col("a_pos").alias(pos), "n_pos",
-                     F.when(F.col("n_pos") > 0,
-                            -(F.col("_lf_pos_sum") - F.col("n_pos") * F.col("_lf_lse")) / F.col("n_pos"))
-                     .otherwise(F.lit(0.0)).alias("loss"))
-    anchors = df.select(batch, pos)
-    return (anchors.join(per, [batch, pos], "left")
-            .select(batch, pos, F.coalesce("n_pos", F.lit(0)).alias("n_pos"),
-                    F.coalesce("loss", F.lit(0.0)).alias("loss")))
+    """``(batch, pos, n_pos, loss)`` per anchor; anchors alone in a batch get 0.
+
+    The rows of a batch (at most its size) meet in one array, in one exchange,
+    and all similarities are computed inside that row."""
+    item = F.struct(F.col(pos).alias("p"), F.col(label).alias("y"), l2_normalize(vec).alias("z"))
+    rows = df.groupBy(batch).agg(F.sort_array(F.collect_list(item)).alias("_lf_items"))
+    # per anchor: (same label, similarity) of every other row
+    others = F.transform("_lf_items", lambda a, i: F.struct(a["p"].alias("p"), F.filter(F.transform(
+        "_lf_items", lambda b, j: F.struct(j.alias("j"), (a["y"] == b["y"]).alias("same"),
+                                           (dot(a["z"], b["z"]) / F.lit(float(temperature))).alias("s"))),
+        lambda x: x["j"] != i).alias("o")))
+    rows = rows.select(batch, F.explode(others).alias("_lf_a")).select(batch, F.col("_lf_a.p").alias(pos), F.col("_lf_a.o").alias("_lf_o"))
+    sims = F.transform("_lf_o", lambda x: x["s"])
+    same = F.filter("_lf_o", lambda x: x["same"])
+    total = F.aggregate(same, F.lit(0.0), lambda acc, x: acc + x["s"])
+    rows = rows.select(batch, pos, F.size(same).cast("long").alias("n_pos"), total.alias("_lf_sum"),
+                       F.when(F.size("_lf_o") > 0, logsumexp(sims)).alias("_lf_lse"))
+    loss = -(F.col("_lf_sum") - F.col("n_pos") * F.col("_lf_lse")) / F.col("n_pos")
+    return rows.select(batch, pos, "n_pos", F.when(F.col("n_pos") > 0, loss).otherwise(F.lit(0.0)).alias("loss"))
 
 
 def supcon_loss(df: DataFrame, batch: str, pos: str, label: str, vec: str,

@@ -16,9 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiframe.functions.hashing import utf8_prefix_bucket
 from lexiframe.functions.text import whitespace_tokens, word_count, word_tokens
-from lexiframe.operators.ranking import global_row_number
+from lexiframe.operators.ranking import range_rank
+from lexiframe.session import cut_lineage
 
 
 def tokenize(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -43,18 +43,30 @@ def term_counts(df: DataFrame, key: str, text: str = "text", carry: Sequence[str
     return tokens.groupBy(key, *carry, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def occurrences(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
+    """``(keep..., token, tf = 1)``: one row per occurrence, for sums that need no
+    counts per document (class sums, scores): no exchange by (document, token)."""
+    return df.select(*keep, F.explode(word_tokens(text)).alias("token"), F.lit(1).alias("tf"))
+
+
+def document_frequency(df: DataFrame, text: str = "text") -> DataFrame:
+    """``(token, df)`` straight from the texts: each document's distinct tokens
+    are found inside its row, so only tokens are exchanged."""
+    return df.select(F.explode(F.array_distinct(word_tokens(text))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
 def vocabulary(tc: DataFrame, key: str, with_ids: bool = False) -> DataFrame:
     """``(token, df[, term_id])`` from term counts; ``term_id`` by sorted token.
 
-    Ids are dense ranks in binary string order, computed with a two-byte
-    prefix histogram instead of a single-task global sort.
+    Ids are dense ranks in binary string order by range partitioning, so that
+    a vocabulary in one script is spread like any other (runs a job).
     """
     # Term-count rows are unique per (key, token): a plain count is the
     # document frequency (no distinct aggregation needed).
     vocab = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     if not with_ids:
         return vocab
-    ranked = global_row_number(vocab, [F.col("token")], utf8_prefix_bucket(F.col("token"), 2), out="term_id")
+    ranked = range_rank(vocab, "token", out="term_id")
     return ranked.withColumn("term_id", F.col("term_id").cast("int"))
 
 
@@ -63,13 +75,12 @@ def known_terms(tc: DataFrame, vocab: DataFrame) -> DataFrame:
     return tc.join(vocab.select("token"), "token", "left_semi")
 
 
-def idf_table(train_tc: DataFrame, key: str, n_docs=None) -> DataFrame:
-    """``(token, idf)`` with ``idf = ln((1+n)/(1+df)) + 1`` (smoothed, +1)."""
-    if n_docs is None:
-        n_docs = train_tc.select(F.countDistinct(key)).scalar()
-    df_tab = train_tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
-    return df_tab.select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+def idf_table(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``(token, idf)`` with ``idf = ln((1+n)/(1+df)) + 1`` (smoothed, +1), of the
+    given documents.  Fitting runs a job: the table is written once."""
+    n = docs.select(F.count(F.lit(1))).scalar()
+    idf = document_frequency(docs, text).select("token", (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf"))
+    return cut_lineage(idf, "idf")
 
 
 def tfidf(tc: DataFrame, idf: DataFrame, key: str) -> DataFrame:
@@ -84,12 +95,7 @@ def tfidf(tc: DataFrame, idf: DataFrame, key: str) -> DataFrame:
     return w.select(*tc.columns, (F.col("_lf_w") / norm).alias("weight"))
 
 
-def doc_vectors_long(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Alias of term counts named for vector building."""
-    return term_counts(df, key, text)
-
-
 __all__ = [
     "tokenize", "token_count", "mean_word_count", "term_counts", "vocabulary", "known_terms",
-    "idf_table", "tfidf", "whitespace_tokens",
+    "idf_table", "tfidf", "whitespace_tokens", "occurrences", "document_frequency",
 ]

@@ -9,12 +9,14 @@ and V the vocabulary size.
 Predict, for a document with feature values x_t over known tokens:
     score[c] = log_prior[c] + L * (ln alpha - ln(N_c + alpha V))
                + sum_{t : N_ct > 0} x_t * (ln(N_ct + alpha) - ln alpha)
-with L = sum_t x_t.  Only (class, token) pairs seen in training are joined,
-so the scoring join is sparse and no classes-by-vocabulary table is built.
-The class parameters (one row per class) travel as one array value through a
-scalar subquery, so every document scores all classes without a cross join.
-The argmax takes the highest score and, on ties, the first class in sorted
-order.
+with L = sum_t x_t.  The term table has one row per token seen in training,
+with one value per class, so a document's tokens are joined once and summed per
+document in one exchange.  The class parameters (one row per class) travel as
+one array value through a scalar subquery, so every document scores all classes
+without a cross join.  The argmax takes the highest score and, on ties, the
+first class in sorted order.
+
+Fitting runs jobs: the term and class tables are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -31,97 +33,83 @@ from lexiframe.session import cut_lineage
 @dataclass
 class NaiveBayesModel:
     classes: DataFrame   # label, class_index, n_docs, log_prior, base_rate
-    terms: DataFrame     # token, label, log_excess   (only N_ct > 0)
-    vocab: DataFrame     # token
+    terms: DataFrame     # token, excess: one value per class in class order (0 where N_ct = 0)
     alpha: float
 
+    @property
+    def vocab(self) -> DataFrame:
+        return self.terms.select("token")
+
     def save(self, path: str) -> None:
         self.classes.write.mode("overwrite").parquet(f"{path}/classes")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")
         spark = self.classes.sparkSession
         spark.createDataFrame([(self.alpha,)], "alpha double").write.mode("overwrite").parquet(f"{path}/params")
 
     @classmethod
     def load(cls, spark, path: str) -> "NaiveBayesModel":
         alpha = spark.read.parquet(f"{path}/params").first()["alpha"]
-        return cls(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/terms"),
-                   spark.read.parquet(f"{path}/vocab"), alpha)
+        return cls(spark.read.parquet(f"{path}/classes"), spark.read.parquet(f"{path}/terms"), alpha)
 
 
 def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label: str = "label",
-                    value: str = "tf", alpha: float = 1.0, materialize: bool = True) -> NaiveBayesModel:
-    """Fit from long features ``(key, token, value)`` and ``(key, label)`` rows.
+                    value: str = "tf", alpha: float = 1.0) -> NaiveBayesModel:
+    """Fit from rows ``(label, token, value)`` and ``(key, label)`` rows.
 
-    Every labelled document counts toward the prior, even one without tokens.
+    ``features`` may hold several rows of a label and token: single
+    occurrences, or (document, token) counts or weights; they are summed in
+    every task before the exchange by (label, token).  Every labelled document
+    counts toward the prior, even one without tokens.
     """
-    if label in features.columns:
-        labelled = features          # labels carried from tokenisation
-    else:
-        labelled = features.join(doc_labels.select(key, label), key, "inner")
+    labelled = features if label in features.columns else features.join(doc_labels.select(key, label), key, "inner")
     log_alpha = math.log(alpha)
-    terms_raw = labelled.groupBy(label, "token").agg(F.sum(value).cast("double").alias("n_ct"))
-    # One row per token carries is_first, so the scoring join also yields the
-    # document's known-token mass without a second pass over the tokens.
-    first_label = F.min(label).over(Window.partitionBy("token"))
-    terms = terms_raw.select("token", F.col(label).alias("label"), "n_ct",
-                             (F.log(F.col("n_ct") + alpha) - F.lit(log_alpha)).alias("log_excess"),
-                             (F.col(label) == first_label).alias("is_first"))
-    if materialize:
-        # Fitting is an action: the (class, token) table is written once to the
-        # shared checkpoint folder; every model table reads it instead of
-        # re-tokenising the training texts, and scoring joins see its real size.
-        terms = cut_lineage(terms, "nb-terms")
-    vocab = terms.filter(F.col("is_first")).select("token")
-    v_size = vocab.select(F.count(F.lit(1))).scalar()
-    n_docs = doc_labels.select(F.count(F.lit(1))).scalar()
-    per_class_docs = doc_labels.groupBy(label).agg(F.count(F.lit(1)).alias("n_docs"))
-    per_class_mass = terms.groupBy(F.col("label").alias(label)).agg(F.sum("n_ct").alias("n_c"))
-    classes = (per_class_docs.join(per_class_mass, label, "left")
-               .select(F.col(label).alias("label"), "n_docs",
-                       F.coalesce(F.col("n_c"), F.lit(0.0)).alias("n_c")))
-    classes = classes.select(
+    sums = labelled.groupBy(F.col(label).alias("label"), "token").agg(F.sum(value).cast("double").alias("n_ct"))
+    sums = cut_lineage(sums, "nb-sums")  # the training texts are tokenised once
+    per_class = doc_labels.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_docs"))
+    per_class = cut_lineage(per_class, "nb-docs")
+    mass = sums.groupBy("label").agg(F.sum("n_ct").alias("n_c"))
+    v_size = sums.select(F.countDistinct("token")).scalar()
+    n_docs = per_class.select(F.sum("n_docs")).scalar()
+    classes = (per_class.join(mass, "label", "left")
+               .select("label", "n_docs", F.coalesce(F.col("n_c"), F.lit(0.0)).alias("n_c")))
+    classes = cut_lineage(classes.select(
         "label",
-        (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("class_index"),
+        (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("class_index"),  # one row per class
         "n_docs",
         F.log(F.col("n_docs") / n_docs).alias("log_prior"),
         (F.lit(log_alpha) - F.log(F.col("n_c") + F.lit(alpha) * v_size)).alias("base_rate"),
-    )
-    if materialize:
-        # One row per class: written once so scoring reads the parameters
-        # instead of recomputing class sizes from the training split.
-        classes = cut_lineage(classes, "nb-classes")
-    terms = terms.select("token", "label", "log_excess", "is_first")
-    return NaiveBayesModel(classes, terms, vocab, alpha)
+    ), "nb-classes")
+    order = [r["label"] for r in classes.orderBy("class_index").select("label").collect()]  # one value per class
+    excess = [F.coalesce(F.max(F.when(F.col("label") == F.lit(c), F.log(F.col("n_ct") + alpha) - F.lit(log_alpha))), F.lit(0.0))
+              for c in order]
+    terms = sums.groupBy("token").agg(F.array(*excess).alias("excess")) if order else sums.select(
+        "token", F.array().cast("array<double>").alias("excess"))
+    return NaiveBayesModel(classes, cut_lineage(terms, "nb-terms"), alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, features: DataFrame, docs: DataFrame, key: str,
                         value: str = "tf", out: str = "prediction", with_scores: bool = False) -> DataFrame:
-    """Predict for every row of ``docs`` (documents with no known token get the prior).
+    """Add ``out`` to every row of ``docs`` (documents with no known token get the prior).
 
-    One join of the document tokens with the (class, token) table: unknown
-    tokens fall out, every matching row adds ``value * log_excess`` to its
-    class, and the row flagged ``is_first`` adds ``value`` once to the
-    document's known-token mass.
+    Every row of ``features`` adds ``value * excess`` to each class of its
+    document and ``value`` to its known-token mass; unknown tokens fall out.
     """
-    joined = features.join(model.terms, "token", "inner")
-    per_class = joined.groupBy(key, "label").agg(
-        F.sum(F.col(value) * F.col("log_excess")).alias("_lf_s"),
-        F.sum(F.when(F.col("is_first"), F.col(value)).otherwise(F.lit(0))).cast("double").alias("_lf_m"))
-    per_doc = per_class.groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("label", "_lf_s"))).alias("_lf_sparse"),
-        F.sum("_lf_m").alias("_lf_len"))
+    n_classes = model.classes.count()
+    joined = features.select(key, "token", F.col(value).alias("_lf_v")).join(model.terms, "token", "inner")
+    per_doc = joined.groupBy(key).agg(
+        F.sum("_lf_v").cast("double").alias("_lf_len"),
+        *[F.sum(F.col("_lf_v") * F.col("excess")[i]).alias(f"_lf_{i}") for i in range(n_classes)])
     class_arr = model.classes.select(
         F.sort_array(F.collect_list(F.struct("class_index", "label", "log_prior", "base_rate")))).scalar()
+    sums = F.array(*[F.coalesce(F.col(f"_lf_{i}"), F.lit(0.0)) for i in range(n_classes)]) if n_classes else F.array().cast("array<double>")
     # The subquery value is attached as a column first: higher-order functions
     # may not contain subqueries.
-    scored = (docs.select(key).join(per_doc, key, "left")
+    scored = (docs.join(per_doc, key, "left").withColumn("_lf_sums", sums)
               .withColumn("_lf_len", F.coalesce(F.col("_lf_len"), F.lit(0.0)))
               .withColumn("_lf_classes", class_arr))
-    scores = F.transform(F.col("_lf_classes"), lambda c: F.struct(
-        (c["log_prior"] + F.col("_lf_len") * c["base_rate"]
-         + F.coalesce(F.try_element_at(F.col("_lf_sparse"), c["label"]), F.lit(0.0))).alias("score"),
+    scores = F.zip_with("_lf_classes", "_lf_sums", lambda c, x: F.struct(
+        (c["log_prior"] + F.col("_lf_len") * c["base_rate"] + x).alias("score"),
         (-c["class_index"]).alias("neg_index"),
         c["label"].alias("label")))
     best = F.array_max(scores)
-    return scored.select(key, best["label"].alias(out), *([scores.alias("scores")] if with_scores else []))
+    return scored.select(*docs.columns, best["label"].alias(out), *([scores.alias("scores")] if with_scores else []))

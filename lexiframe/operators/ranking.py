@@ -1,23 +1,23 @@
 """Global positions, seeded shuffles, exact splits, sampling and batching.
 
 A global ``row_number()`` over an un-partitioned window moves every row into
-one task.  Instead, positions are computed in three steps:
-
-1. every row gets a *bucket* that is monotone in the sort order (the leading
-   16 bits of an md5 rank key, the leading bytes of a string, or a fixed-width
-   range of an integer key); buckets are at most 65,536 per stratum;
-2. a histogram of rows per bucket (bounded by the bucket count, not by the
-   data) is turned into running offsets;
-3. rows are numbered inside their bucket and the bucket offset is added.
-
-Step 3 shuffles the data once on the bucket; every task holds one bucket's
-share of the rows, so hot labels are spread over 65,536 tasks-worth of keys
-instead of landing in one.  The result equals a single global sort.
+one task.  Positions are computed without one, in two ways:
+
+* seeded orders: the md5 rank key is uniform, so its leading 16 bits are a
+  *bucket* (at most 65,536 per stratum); a histogram of the buckets gives
+  offsets, and rows are numbered inside their bucket;
+* orders of the data's own keys: rows are range-partitioned by the key (bounds
+  sampled from the data, so outliers, gaps and scripts do not matter) and
+  numbered where they lie; a count per partition gives offsets.
+
+Both equal a single global sort.  NULL keys sort first and keep their rows;
+NULL labels are a stratum of their own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,7 +60,7 @@ def global_row_number(df: DataFrame, order_cols, bucket: Column, out: str = "rn"
         offsets = F.broadcast(offsets)
     # With strata the table is bounded by strata x buckets; AQE broadcasts it
     # at runtime when it is small and shuffles it otherwise.
-    ranked = keyed.join(offsets, grp, "inner")
+    ranked = null_safe_join(keyed, offsets, grp)
     within = Window.partitionBy(*grp).orderBy(*_cols(order_cols))
     ranked = ranked.withColumn(out, (F.col(_OFF) + F.row_number().over(within) - 1).cast("bigint"))
     if total_col:
@@ -68,27 +68,50 @@ def global_row_number(df: DataFrame, order_cols, bucket: Column, out: str = "rn"
     return ranked.drop(_B, _OFF)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the keys appear once."""
+    names = {k: f"_lf_right_{i}" for i, k in enumerate(keys)}
+    renamed = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(renamed, reduce(lambda x, y: x & y, on), how).drop(*names.values())
+
+
+def range_rank(df: DataFrame, order_cols, out: str = "rn") -> DataFrame:
+    """Dense 0-based position of each row in ``order_cols`` order, for keys of
+    any distribution.
+
+    Runs two jobs: the rows are range-partitioned, sorted, numbered where they
+    lie and written once (a second evaluation might sample other bounds);
+    offsets come from one row per partition.  Pass only the columns needed.
+    Rows with equal keys are numbered in any order.
+    """
+    cols = _cols(order_cols)
+    at = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_lf_at", F.monotonically_increasing_id())
+    # monotonically_increasing_id: partition in the upper 31 bits, place in the lower 33
+    placed = (at.withColumn("_lf_part", F.shiftright("_lf_at", 33))
+              .withColumn("_lf_place", F.col("_lf_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_lf_at"))
+    placed = cut_lineage(placed, "range-rank")
+    sizes = placed.groupBy("_lf_part").agg(F.count(F.lit(1)).alias(_N))
+    before = Window.orderBy("_lf_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_lf_part", F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
+    ranked = placed.join(offsets, "_lf_part")
+    return ranked.withColumn(out, (F.col(_OFF) + F.col("_lf_place")).cast("bigint")).drop("_lf_part", "_lf_place", _OFF)
+
+
 def md5_rank(df: DataFrame, key: str, seed, out: str = "rank",
              partition_cols: Sequence[str] = (), total_col: str | None = None) -> DataFrame:
     """Position in the seeded permutation ordered by md5('seed:key'), then key."""
     h = "_lf_h"
     keyed = df.withColumn(h, seeded_md5(seed, key))
-    ranked = global_row_number(keyed, [F.col(h), F.col(key)], hex_bucket(F.col(h), BUCKET_HEX_DIGITS),
+    bucket = F.coalesce(hex_bucket(F.col(h), BUCKET_HEX_DIGITS), F.lit(-1))  # NULL keys sort first
+    ranked = global_row_number(keyed, [F.col(h), F.col(key)], bucket,
                                out=out, partition_cols=partition_cols, total_col=total_col)
     return ranked.drop(h)
 
 
 def position_rank(df: DataFrame, pos: str, out: str = "rn") -> DataFrame:
-    """Dense 0-based position of each row by an integer key (ties by the key only).
-
-    The key range is cut into at most MAX_BUCKETS equal-width buckets; for a
-    unique key each bucket holds at most ``width`` rows.
-    """
-    lo = df.select(F.min(pos)).scalar()
-    hi = df.select(F.max(pos)).scalar()
-    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / F.lit(MAX_BUCKETS)))
-    bucket = F.floor((F.col(pos) - lo) / width).cast("int")
-    return global_row_number(df, [F.col(pos)], bucket, out=out)
+    """Dense 0-based position of each row by a key of the data."""
+    return range_rank(df, pos, out)
 
 
 # --------------------------------------------------------------------------
@@ -103,21 +126,11 @@ def seeded_shuffle(df: DataFrame, key: str, seed=42, out: str = "shuffle_rank")
 def row_at(df: DataFrame, pos: str, i: int) -> DataFrame:
     """The row at 0-based position ``i`` in ``pos`` order (``iloc[i]``).
 
-    Only the bucket that holds position ``i`` is sorted: the histogram tells
-    which one, and a broadcast semi-join keeps that bucket's rows.
+    Only the keys are ranked; the row is fetched by its key (one row, so
+    broadcast).  Of rows that share the key, the one that comes first is taken.
     """
-    lo = df.select(F.min(pos)).scalar()
-    hi = df.select(F.max(pos)).scalar()
-    width = F.greatest(F.lit(1), F.ceil((hi - lo + 1) / F.lit(MAX_BUCKETS)))
-    keyed = df.withColumn(_B, F.floor((F.col(pos) - lo) / width).cast("int"))
-    hist = keyed.groupBy(_B).agg(F.count(F.lit(1)).alias(_N))
-    before = Window.orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(_B, _N, F.coalesce(F.sum(_N).over(before), F.lit(0)).alias(_OFF))
-    hit = offsets.filter((F.col(_OFF) <= i) & (F.lit(i) < F.col(_OFF) + F.col(_N))).select(_B, _OFF)
-    rows = keyed.join(F.broadcast(hit), _B, "inner")
-    w = Window.partitionBy(_B).orderBy(pos)
-    rows = rows.withColumn("_lf_rn", F.col(_OFF) + F.row_number().over(w) - 1)
-    return rows.filter(F.col("_lf_rn") == i).drop(_B, _OFF, "_lf_rn")
+    at = range_rank(df.select(pos), pos, "_lf_rn").filter(F.col("_lf_rn") == i).select(F.col(pos).alias("_lf_key"))
+    return df.join(F.broadcast(at), F.col(pos).eqNullSafe(F.col("_lf_key"))).drop("_lf_key").limit(1)
 
 
 def first_n(df: DataFrame, order_cols, n: int) -> DataFrame:
@@ -147,6 +160,12 @@ def _n_from_fraction(fraction: float, n: Column, rounding: str) -> Column:
 _H, _K = "_lf_h", "_lf_k"
 
 
+def _split_hash(seed, key: str) -> Column:
+    """The rank key of a split; a row without a key has no place, which is an error."""
+    missing = F.raise_error(F.lit(f"NULL in split key {key}")).cast("string")
+    return F.coalesce(seeded_md5(seed, key), missing)
+
+
 def rank_boundaries(df: DataFrame, key: str, seed, label: str | None,
                     cuts: Callable[[Column], dict]) -> DataFrame:
     """Per stratum, the (hash, key) of the row at each cut rank.
@@ -158,7 +177,7 @@ def rank_boundaries(df: DataFrame, key: str, seed, label: str | None,
     each cut is sorted, so the work is a histogram plus a few small sorts.
     """
     parts = [label] if label else []
-    keyed = df.select(*parts, F.col(key).alias(_K), seeded_md5(seed, key).alias(_H))
+    keyed = df.select(*parts, F.col(key).alias(_K), _split_hash(seed, key).alias(_H))
     keyed = keyed.withColumn(_B, hex_bucket(F.col(_H), BUCKET_HEX_DIGITS))
     hist = keyed.groupBy(*parts, _B).agg(F.count(F.lit(1)).alias(_N))
     before = Window.partitionBy(*parts).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
@@ -175,13 +194,14 @@ def rank_boundaries(df: DataFrame, key: str, seed, label: str | None,
     # broadcasts it by its measured size: the join is then a local filter and
     # only the rows of the few hit buckets reach the window's shuffle.
     targets = cut_lineage(targets.select(*parts, _B, "cut", "r", _OFF), "rank-targets")
-    hit = keyed.join(targets, parts + [_B], "inner")
+    hit = null_safe_join(keyed, targets, parts + [_B])
     w = Window.partitionBy(*parts, _B, "cut").orderBy(_H, _K)
     at = (hit.withColumn("_lf_rn", F.col(_OFF) + F.row_number().over(w) - 1)
           .filter(F.col("_lf_rn") == F.col("r"))
           .select(*parts, "cut", F.struct(F.col(_H).alias("h"), F.col(_K).alias("k")).alias("at")))
-    # A stratum (or cut) without a boundary row has every row before that cut;
+    # A stratum (or cut) without a boundary row has its cut at or past its end:
     # the left join in _attach turns the missing boundary into NULL = "before".
+    # NULL labels are a stratum with boundaries like any other.
     wide = at.groupBy(*parts).pivot("cut", names).agg(F.first("at"))
     return wide.select(*parts, *names)
 
@@ -199,7 +219,7 @@ def _attach(df: DataFrame, bounds: DataFrame, label: str | None) -> DataFrame:
     # shuffle otherwise.  Without strata the single row is attached by a
     # scalar subquery per cut instead of a join.
     if label:
-        return df.join(cut_lineage(bounds, "split-bounds"), label, "left")
+        return null_safe_join(df, cut_lineage(bounds, "split-bounds"), [label], "left")
     out = df
     for c in bounds.columns:
         out = out.withColumn(c, bounds.select(c).scalar())
@@ -224,7 +244,7 @@ def split_two_way(df: DataFrame, key: str, seed=42, test_size: float | None = No
         return {"_lf_c1": n - _n_from_fraction(train_size, n, "floor")}
 
     bounds = rank_boundaries(df, key, seed, None, cuts)
-    h = seeded_md5(seed, key)
+    h = _split_hash(seed, key)
     tagged = _attach(df, bounds, None)
     return (tagged.withColumn(out, F.when(_before(F.col("_lf_c1"), h, F.col(key)), "test").otherwise("train"))
             .drop("_lf_c1"))
@@ -248,7 +268,7 @@ def stratified_split(df: DataFrame, key: str, label: str, seed=42, test_size: fl
         return c
 
     bounds = rank_boundaries(df, key, seed, label, cuts)
-    h = seeded_md5(seed, key)
+    h = _split_hash(seed, key)
     tagged = _attach(df, bounds, label)
     split = F.when(_before(F.col("_lf_c1"), h, F.col(key)), "test")
     if val_size is not None:
@@ -266,7 +286,7 @@ def balanced_downsample(df: DataFrame, key: str, label: str, seed=42) -> DataFra
     m = min_class_size(df, label).scalar()
     bounds = rank_boundaries(df, key, seed, label, lambda n: {"_lf_c1": m})
     tagged = _attach(df, bounds, label)
-    return tagged.filter(_before(F.col("_lf_c1"), seeded_md5(seed, key), F.col(key))).drop("_lf_c1")
+    return tagged.filter(_before(F.col("_lf_c1"), _split_hash(seed, key), F.col(key))).drop("_lf_c1")
 
 
 def balanced_split(df: DataFrame, key: str, label: str, seed=42, test_size: float = 0.3,

@@ -88,7 +88,10 @@ def wide_by_position(long_df: DataFrame, key: str, position: str, value: str, po
     """Long ``(key, position, value)`` rows to one column per position.
 
     ``pivot`` is given the explicit value list so no extra job collects the
-    distinct positions; ``max`` is exact because (key, position) is unique.
+    distinct positions; ``max`` is exact because (key, position) is unique.  A
+    position outside the list is an error, never dropped.
     """
-    wide = long_df.groupBy(key).pivot(position, list(positions)).agg(F.max(value))
+    outside = F.raise_error(F.concat(F.lit(f"{position} outside the given positions: "), F.col(position).cast("string")))
+    checked = F.when(F.col(position).isin(list(positions)), F.col(position)).otherwise(outside.cast(long_df.schema[position].dataType))
+    wide = long_df.withColumn(position, checked).groupBy(key).pivot(position, list(positions)).agg(F.max(value))
     return wide.toDF(key, *[f"{prefix}{p}" for p in positions])

@@ -179,7 +179,12 @@ ORACLE = {
 
 E_D = "CAST(embedding AS DOUBLE[])"
 NORM_E = ("list_transform(e, lambda x: x / greatest(sqrt(list_sum(list_transform(e, lambda y: y * y))), 1e-12))")
-LOGITS = "CAST(embedding[1:10] AS DOUBLE[])"
+# dot products of the whole vector with each label's mean, in label order
+MEANS = ("mv AS (SELECT label, list(a ORDER BY i) AS mean FROM (SELECT label, i, avg(CAST(v AS DOUBLE)) AS a FROM "
+         "(SELECT label, unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) u "
+         "GROUP BY label, i) g GROUP BY label), mm AS (SELECT list(mean ORDER BY label) AS means FROM mv), "
+         "lg AS (SELECT vec_id, label, list_transform(means, lambda q: list_dot_product(CAST(embedding AS DOUBLE[]), q)) AS l "
+         "FROM embeddings, mm)")
 ARGMAX_L = "list_position(l, list_max(l)) - 1"
 
 VOCAB_IDS = ("v AS (SELECT token, CAST(row_number() OVER (ORDER BY token) - 1 AS INTEGER) AS term_id "
@@ -266,8 +271,8 @@ ORACLE.update({
         "CAST(list_transform(range(m), lambda j: CASE WHEN j < len(t) THEN 1 ELSE 0 END) AS INTEGER[]) "
         "AS attention_mask FROM tm"),
     "step_epoch_accuracy": (
-        "WITH e AS (SELECT vec_id, label, " + ARGMAX_L + " AS prediction, " + _batch("vec_id", 10) + " AS batch_id "
-        "FROM (SELECT vec_id, label, " + LOGITS + " AS l FROM embeddings) x) "
+        "WITH " + MEANS + ", e AS (SELECT vec_id, label, " + ARGMAX_L + " AS prediction, " + _batch("vec_id", 10)
+        + " AS batch_id FROM lg) "
         "SELECT 'probe' AS run, batch_id, round(avg(CASE WHEN label = prediction THEN CAST(1 AS DOUBLE) "
         "ELSE CAST(0 AS DOUBLE) END), 6) AS accuracy, count(*) AS n, "
         "CASE WHEN grouping(batch_id) = 1 THEN 'epoch' ELSE 'step' END AS grain "
@@ -281,13 +286,11 @@ ORACLE.update({
         "round(list_dot_product(a.z, c.z), 6) AS sim FROM b a JOIN b c ON a.batch_id = c.batch_id "
         "AND a.vec_id <> c.vec_id"),
     "softmax_argmax": (
-        "SELECT vec_id, " + ARGMAX_L + " AS prediction, list_transform(l, lambda x: round(exp(x - list_max(l)) / "
-        "list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 6)) AS probs FROM "
-        "(SELECT vec_id, " + LOGITS + " AS l FROM embeddings) x"),
+        "WITH " + MEANS + " SELECT vec_id, " + ARGMAX_L + " AS prediction, list_transform(l, lambda x: round(exp(x - list_max(l)) / "
+        "list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 6)) AS probs FROM lg"),
     "cross_entropy": (
-        "SELECT round(avg(m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1]), 6) "
-        "AS cross_entropy, count(*) AS n FROM (SELECT label, l, list_max(l) AS m FROM "
-        "(SELECT label, " + LOGITS + " AS l FROM embeddings) x) y"),
+        "WITH " + MEANS + " SELECT round(avg(m + ln(list_sum(list_transform(l, lambda x: exp(x - m)))) - l[label + 1]), 6) "
+        "AS cross_entropy, count(*) AS n FROM (SELECT label, l, list_max(l) AS m FROM lg) y"),
     "supcon_loss": (
         "WITH b AS (SELECT vec_id, label, " + NORM_E + " AS z, "
         + _batch("md5('42:' || CAST(vec_id AS VARCHAR)), vec_id", 10) + " AS batch_id FROM "
@@ -322,7 +325,7 @@ ORACLE.update({
         "SELECT doc_id, label, batch_id, 0 AS view, text FROM a UNION ALL "
         "SELECT doc_id, label, batch_id, 1 AS view, augmented AS text FROM a"),
     "translations_wide": (
-        "SELECT doc_id, text, " + ", ".join(f"'[{g}] ' || text AS augmented_{g}" for g in
+        "SELECT doc_id, text, lang AS label, " + ", ".join(f"'[{g}] ' || text AS augmented_{g}" for g in
                                             ("en", "tl", "vi", "th", "zh")) + " FROM documents"),
     "csv_round_trip": "SELECT doc_id, text, lang FROM documents",
     "tsv_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
@@ -344,8 +347,45 @@ ORACLE.update({
         "UNION ALL SELECT 'documents_lang', count(*), count(DISTINCT lang), 4 FROM documents "
         "UNION ALL SELECT 'documents_quality', count(*), count(DISTINCT l.quality), 2 FROM documents d "
         "JOIN labels l USING (doc_id)"),
-    "score_batch": ("SELECT vec_id, " + ARGMAX_L + " AS prediction FROM (SELECT vec_id, " + LOGITS
-                    + " AS l FROM embeddings) x"),
+    "score_batch": "WITH " + MEANS + " SELECT vec_id, " + ARGMAX_L + " AS prediction FROM lg",
+    "score_from_text": (
+        IDS_ALL + ", cut AS (SELECT doc_id, list_slice(input_ids, 1, 512) AS t FROM ids), "
+        "lg AS (SELECT doc_id, list_transform([0, 1, 2, 3], lambda j: len(list_filter(t, lambda x: x % 4 = j)) "
+        "* CAST(4 AS DOUBLE) / greatest(len(t), 1)) AS l FROM cut) "
+        "SELECT doc_id, list_transform(l, lambda x: round(exp(x - list_max(l)) / "
+        "list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 6)) AS probs, "
+        "['de', 'en', 'es', 'fr'][" + ARGMAX_L + " + 1] AS prediction FROM lg"),
+    "pool_project": (
+        "WITH f AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS e FROM embeddings GROUP BY label) "
+        "SELECT label, list_transform(range(8), lambda i: round(list_sum(list_transform(range(64), lambda j: "
+        "e[j + 1] * CAST(((i * 7 + j * 3) % 11 - 5) AS DOUBLE) / 10)), 6)) AS projected FROM f"),
+    "embedding_tsv_pair": ("SELECT vec_id AS key, CAST(label AS VARCHAR) AS label, list_transform(CAST(embedding AS DOUBLE[]), "
+                           "lambda x: round(x, 6)) AS embedding FROM embeddings"),
+    "workbook_quotes": (
+        "WITH " + QUOTES + " SELECT conv_id, ['FALSE', 'FAKE', 'MISLEADING', 'TRUE'][CAST(conv_id % 4 + 1 AS INTEGER)] AS rating, "
+        "concat_ws(' ', " + ", ".join(f"coalesce(quote_{i}, '')" for i in range(1, 11)) + ") AS text FROM q WHERE conv_id % 4 <> 3"),
+    "csv_by_name": "SELECT doc_id, lang FROM documents",
+    "encode_fixed_map": ("SELECT doc_id, lang, CAST(CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 "
+                         "WHEN 'es' THEN 3 END AS INTEGER) AS label_id FROM documents"),
+    "split_null_label": (
+        "SELECT doc_id, label, " + SPLIT_CASE + " AS split FROM (SELECT d.doc_id, l.quality AS label, "
+        "row_number() OVER (PARTITION BY l.quality ORDER BY md5('42:' || CAST(d.doc_id AS VARCHAR)), d.doc_id) - 1 AS rk, "
+        "count(*) OVER (PARTITION BY l.quality) AS n FROM documents d LEFT JOIN labels l USING (doc_id)) s0"),
+    "nb_confusion_classes": (
+        NB_TF + ", ax AS (SELECT unnest(['de', 'en', 'es', 'fr', 'other']) AS c), "
+        "cnt AS (SELECT label, prediction, count(*) AS n FROM res GROUP BY label, prediction) "
+        "SELECT a.c AS label, b.c AS prediction, coalesce(cnt.n, 0) AS n FROM ax a CROSS JOIN ax b "
+        "LEFT JOIN cnt ON cnt.label = a.c AND cnt.prediction = b.c"),
+    "linear_probe": (
+        "SELECT CAST(sum(n - ceil(CAST(0.3 AS DOUBLE) * n)) AS BIGINT) AS n, TRUE AS loss_below_guessing, "
+        "TRUE AS gradient_near_zero FROM (SELECT count(*) AS n FROM embeddings GROUP BY label) c"),
+    "model_round_trip": (
+        "SELECT vec_id, TRUE AS same FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY "
+        "md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS rk, count(*) OVER (PARTITION BY label) AS n FROM embeddings) s "
+        "WHERE rk < " + N_TEST),
+    **{name: ("SELECT CAST(sum(" + N_TEST + ") AS BIGINT) AS n, TRUE AS beats_majority FROM "
+              "(SELECT count(*) AS n FROM documents GROUP BY lang) c")
+       for name in ("linear_svm", "svm_tfidf", "rff_svm", "rff_svm_counts")},
 })
 
 SPLIT_QUALITY = (

@@ -1,7 +1,9 @@
 """The registered queries: one per operator group of the inventory.
 
 Each query takes ``(spark, sf_dir)``, reads the driver tables and returns a
-lazy DataFrame whose column names match the oracle SQL in ``oracle.py``.
+DataFrame whose column names match the oracle SQL in ``oracle.py``.  Operators
+that fit something (label maps, splits, ranks, IDF, naive Bayes) run jobs while
+the query is built; the rest is lazy.
 Floating results are rounded to 6 digits on both sides.
 """
 
@@ -48,6 +50,25 @@ def encode_decode(spark: SparkSession, d: str) -> DataFrame:
     return lab.decode_labels(enc, lm, id_col="label_id", out="decoded")
 
 
+def encode_fixed_map(spark: SparkSession, d: str) -> DataFrame:
+    """A fixed map instead of a learned one; labels outside it are an error."""
+    lm = lab.fixed_label_map(spark, {"en": 0, "de": 1, "fr": 2, "es": 3})
+    return lab.encode_labels(documents(spark, d).select("doc_id", "lang"), lm, label="lang", out="label_id")
+
+
+def split_null_label(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with their quality label where there is one: documents
+    without are a stratum of their own, split like any other."""
+    labels = table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
+    docs = documents(spark, d).select("doc_id").join(labels, "doc_id", "left")
+    return rk.stratified_split(docs, "doc_id", "label", SEED, TEST_SIZE, VAL_SIZE)
+
+
+def nb_confusion_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion over configured classes, one of which never occurs."""
+    return met.confusion_long(_nb_fit_predict(spark, d)[1], "label", "prediction", labels=["de", "en", "es", "fr", "other"])
+
+
 def filter_isin(spark: SparkSession, d: str) -> DataFrame:
     return tab.filter_isin(documents(spark, d), "lang", ["en", "fr"]).select("doc_id", "lang", "source")
 
@@ -161,7 +182,7 @@ def known_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _train_idf(sf: SplitFeatures):
-    return feat.idf_table(sf.tc("train"), "doc_id", n_docs=sf.n_docs("train"))
+    return feat.idf_table(sf.docs_of("train"))
 
 
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
@@ -174,23 +195,26 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 # Step 4: naive Bayes and evaluation
 # --------------------------------------------------------------------------
 
-def _nb_fit_predict(spark: SparkSession, d: str, weights: str = "tf"):
-    sf = SplitFeatures(spark, d)
-    train_docs, test_docs = sf.labels_of("train"), sf.labels_of("test")
+def _nb_fit(sf: SplitFeatures, weights: str = "tf"):
+    """The model and what its prediction needs: test features and the value column."""
     if weights == "tf":
-        train_x, test_x, value = sf.tc("train", with_label=True), sf.tc("test"), "tf"
+        train_x, test_x, value = feat.occurrences(sf.docs_of("train"), ["label"]), feat.occurrences(sf.docs_of("test"), ["doc_id"]), "tf"
     else:
         idf = _train_idf(sf)
         train_x = feat.tfidf(sf.tc("train", with_label=True), idf, "doc_id")
         test_x = feat.tfidf(sf.tc("test"), idf, "doc_id")
         value = "weight"
-    model = nb.fit_naive_bayes(train_x, train_docs, "doc_id", "label", value=value)
-    pred = nb.predict_naive_bayes(model, test_x, test_docs, "doc_id", value=value)
-    return model, pred.join(test_docs, "doc_id", "inner")
+    return nb.fit_naive_bayes(train_x, sf.labels_of("train"), "doc_id", "label", value=value), test_x, value
+
+
+def _nb_fit_predict(spark: SparkSession, d: str, weights: str = "tf"):
+    sf = SplitFeatures(spark, d)
+    model, test_x, value = _nb_fit(sf, weights)
+    return model, nb.predict_naive_bayes(model, test_x, sf.labels_of("test"), "doc_id", value=value)
 
 
 def nb_model(spark: SparkSession, d: str) -> DataFrame:
-    model, _ = _nb_fit_predict(spark, d)
+    model, _, _ = _nb_fit(SplitFeatures(spark, d))
     return model.classes.select("label", "class_index", "n_docs", F.round("log_prior", R).alias("log_prior"),
                                 F.round("base_rate", R).alias("base_rate"))
 
@@ -218,6 +242,9 @@ QUERIES = {
     "min_class_size": min_class_size,
     "label_map_first_seen": label_map_first_seen,
     "encode_decode": encode_decode,
+    "encode_fixed_map": encode_fixed_map,
+    "split_null_label": split_null_label,
+    "nb_confusion_classes": nb_confusion_classes,
     "filter_isin": filter_isin,
     "dropna_project": dropna_project,
     "fillna_concat": fillna_concat,
@@ -256,10 +283,9 @@ def nb_quality_metrics(spark: SparkSession, d: str) -> DataFrame:
                                 SEED, TEST_SIZE, VAL_SIZE)
     train = split.filter(F.col("split") == "train")
     test = split.filter(F.col("split") == "test")
-    model = nb.fit_naive_bayes(feat.term_counts(train, "doc_id", "text", carry=["label"]),
-                               train.select("doc_id", "label"), "doc_id", "label")
-    pred = nb.predict_naive_bayes(model, feat.term_counts(test, "doc_id", "text"), test.select("doc_id"), "doc_id")
-    ev = met.evaluate(pred.join(test.select("doc_id", "label"), "doc_id", "inner"), "label", "prediction")
+    model = nb.fit_naive_bayes(feat.occurrences(train, ["label"]), train.select("doc_id", "label"), "doc_id", "label")
+    pred = nb.predict_naive_bayes(model, feat.occurrences(test, ["doc_id"]), test.select("doc_id", "label"), "doc_id")
+    ev = met.evaluate(pred, "label", "prediction")
     return ev.select(F.round("accuracy", R).alias("accuracy"), F.round("macro_f1", R).alias("macro_f1"),
                      "n", "n_classes")
 

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiframe.functions.text import join_columns, with_prefix, word_tokens
-from lexiframe.functions.vectors import argmax, as_doubles, l2_normalize, round_all, softmax
+from lexiframe.functions.text import attention_mask, join_columns, truncate, with_prefix, word_tokens
+from lexiframe.functions.vectors import argmax, first_element, l2_normalize, round_all, softmax
 from lexiframe.operators import augment as aug
 from lexiframe.operators import batching as bt
 from lexiframe.operators import contrastive as con
@@ -17,18 +17,20 @@ from lexiframe.operators import linear as lin
 from lexiframe.operators import metrics as met
 from lexiframe.operators import ranking as rk
 from lexiframe.operators import scoring as sc
+from lexiframe.operators import tables as tab
 from lexiframe.plans.common import SEED, SplitFeatures, documents, quote_table, table
 from lexiframe.session import scratch_path
 from lexiframe.sinks import writers as wr
 from lexiframe.sources import delimited as dl
 from lexiframe.sources.registry import DatasetSpec, Registry
+from lexiframe.sources.workbook import read_sheet
 
 R = 6
-N_LOGITS = 10  # the first 10 embedding elements serve as logits (10 labels)
 
 
 def _logits(df: DataFrame) -> DataFrame:
-    return df.withColumn("logits", as_doubles(F.slice("embedding", 1, N_LOGITS)))
+    """Logits over the labels from the whole vector: its dot product with each label's mean."""
+    return sc.mean_logits(df, "embedding", sc.class_means(df, "embedding", "label"))
 
 
 # --------------------------------------------------------------------------
@@ -56,7 +58,8 @@ def token_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def truncate_pad_mask(spark: SparkSession, d: str) -> DataFrame:
-    b = rk.assign_batches(_token_ids(spark, d), "doc_id", 8)
+    # batches are made of the ids alone; the token arrays are attached afterwards
+    b = rk.assign_batches(documents(spark, d).select("doc_id"), "doc_id", 8).join(_token_ids(spark, d), "doc_id")
     return bt.pad_batches(b, "batch_id", "input_ids", 512).select("doc_id", "batch_id", "input_ids",
                                                                   "attention_mask")
 
@@ -152,8 +155,8 @@ def tagging_translator(texts: list[str], lang: str) -> list[str]:
 
 
 def translations_wide(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d).select("doc_id", "text")
-    return aug.translate_wide(docs, "doc_id", "text", TARGET_LANGS, tagging_translator)
+    docs = documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
+    return aug.translate_wide(docs, "text", TARGET_LANGS, tagging_translator)
 
 
 # --------------------------------------------------------------------------
@@ -163,15 +166,23 @@ def translations_wide(spark: SparkSession, d: str) -> DataFrame:
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "csv")
     wr.write_delimited(documents(spark, d).select("doc_id", "text", "lang"), path, sep=",")
-    back = dl.read_csv(spark, path, ["doc_id", "text", "lang"])
+    back = dl.read_csv(spark, path, ["doc_id", "text", "lang"], multi_line=True)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
 
 
+def csv_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """A file with more columns, in another order, read by two names (splittable)."""
+    path = scratch_path(spark, "csv")
+    wr.write_delimited(documents(spark, d).select("n_chars", "lang", "doc_id", "source"), path, sep=",")
+    back = dl.read_csv(spark, path, ["doc_id", "lang"])
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang")
+
+
 def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "tsv")
     conv = table(spark, d, "conversations")
     wr.write_delimited(conv, path, sep="\t")
-    back = dl.read_tsv(spark, path, ["conv_id", "turn", "role", "text"])
+    back = dl.read_tsv(spark, path, ["conv_id", "turn", "role", "text"], multi_line=True)
     return back.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"),
                        "role", "text")
 
@@ -192,17 +203,42 @@ def liar_layout(spark: SparkSession, d: str) -> DataFrame:
                     null.alias("pants_on_fire_n"), F.col("source").alias("context")))
     path = scratch_path(spark, "liar")
     wr.write_delimited(rows, path, sep="\t", header=False)
-    back = dl.read_liar(spark, path)
+    back = dl.read_liar(spark, path, multi_line=True)
     text = join_columns(list(dl.LIAR_COLUMNS[2:]), " [SEP] ", "nan")
     return back.select(F.col("id").cast("bigint").alias("id"), "label", text.alias("text"))
 
 
 def embedding_export(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "emb")
-    wr.export_embeddings(table(spark, d, "embeddings"), path, "vf", "vec_id", "label", "embedding", tsv_pair=True)
+    wr.export_embeddings(table(spark, d, "embeddings"), path, "vf", "vec_id", "label", "embedding")
     return spark.read.parquet(path).select("tag", "key", "label", "embedding")
 
 
+def embedding_tsv_pair(spark: SparkSession, d: str) -> DataFrame:
+    """The exported vector and metadata files, read back line for line."""
+    path = scratch_path(spark, "emb")
+    wr.export_embeddings(table(spark, d, "embeddings"), path, "vf", "vec_id", "label", "embedding", tsv_pair=True)
+    back = wr.read_tsv_pair(spark, path, "vf")
+    return back.select(F.col("key").cast("bigint").alias("key"), "label", round_all("embedding", R).alias("embedding"))
+
+
+RATINGS = ["FALSE", "FAKE", "MISLEADING", "TRUE"]
+
+
+def workbook_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written as workbooks with a rating (by the id) and ten
+    quotes, read back: three ratings kept, missing quotes filled, quotes joined."""
+    quotes = [f"QUOTE {i}" for i in range(1, 11)]
+    wide = quote_table(spark, d).toDF("conv_id", *quotes)
+    rated = wide.withColumn("RATING", F.element_at(F.array(*[F.lit(r) for r in RATINGS]), (F.col("conv_id") % 4 + 1).cast("int")))
+    path = scratch_path(spark, "books")
+    wr.write_workbooks(rated, path, "rated_with_quotes", ["conv_id", "RATING", *quotes])
+    back = read_sheet(spark, f"{path}/*.xlsx", "rated_with_quotes", ["conv_id", "RATING", *quotes])
+    kept = tab.fill_empty(tab.filter_isin(back, "RATING", ["FALSE", "FAKE", "MISLEADING"]), "")
+    out = tab.concat_columns(kept, quotes, "text", " ")
+    return out.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("RATING").alias("rating"), "text")
+
+
 def _metric_log(spark: SparkSession, d: str) -> DataFrame:
     ev = table(spark, d, "events")
     rows = ev.select(F.col("user_id").cast("string").alias("run"), F.lit("val").alias("split"),
@@ -260,12 +296,22 @@ def _emb_split(spark: SparkSession, d: str) -> DataFrame:
     return rk.stratified_split(emb, "vec_id", "label", SEED, test_size=0.3, val_size=None)
 
 
+def _floor(pred: DataFrame, label: str) -> DataFrame:
+    """One row: test rows, and whether accuracy beats always guessing the commonest label."""
+    right = (F.col(label) == F.col("prediction")).cast("long")
+    per = pred.groupBy(label).agg(F.count("*").alias("c"), F.sum(right).alias("r"))
+    return per.agg(F.sum("c").alias("n"), (F.sum("r") > F.max("c")).alias("beats_majority"))
+
+
 def linear_probe(spark: SparkSession, d: str) -> DataFrame:
+    """Trained linear head: the table's labels carry no signal, so the fit is
+    checked, not its accuracy (loss under that of guessing, gradient near 0)."""
     s = _emb_split(spark, d)
-    model = lin.fit_linear_probe(s.filter(F.col("split") == "train"), "embedding", "label")
-    test = s.filter(F.col("split") == "test")
-    pred = lin.apply_linear_probe(model, test, "embedding", keep=["vec_id", "label"])
-    return pred
+    train = s.filter(F.col("split") == "train")
+    model = lin.fit_linear_probe(train, "embedding", "label")
+    return lin.probe_optimality(model, train, "embedding", "label").select(
+        "n", (F.col("loss") < F.log(F.col("n_classes"))).alias("loss_below_guessing"),
+        (F.col("gradient") < 0.01).alias("gradient_near_zero"))
 
 
 def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
@@ -273,42 +319,85 @@ def model_round_trip(spark: SparkSession, d: str) -> DataFrame:
     model = lin.fit_linear_probe(s.filter(F.col("split") == "train"), "embedding", "label")
     path = scratch_path(spark, "model")
     lin.save_model(model, path)
-    loaded = lin.load_model(path)
-    return lin.apply_linear_probe(loaded, s.filter(F.col("split") == "test"), "embedding", keep=["vec_id", "label"])
+    test = s.filter(F.col("split") == "test")
+    before = lin.apply_linear_probe(model, test, "embedding", keep=["vec_id"])
+    after = lin.apply_linear_probe(lin.load_model(path), test, "embedding", keep=["vec_id"]).withColumnRenamed("prediction", "after")
+    return before.join(after, "vec_id").select("vec_id", (F.col("prediction") == F.col("after")).alias("same"))
 
 
 def _doc_label_split(spark: SparkSession, d: str):
-    from lexiframe.plans.common import doc_split
-    split = doc_split(spark, d)
-    lm = lab.fit_label_map(split, "label", order="alphabetical")
-    docs = documents(spark, d).select("doc_id", "text").join(split, "doc_id", "inner")
-    return lab.encode_labels(docs, lm, "label", "label_id")
+    """Train and test documents; the label map is fit on the training rows alone."""
+    docs = SplitFeatures(spark, d).docs
+    train = docs.filter(F.col("split") == "train")
+    lm = lab.fit_label_map(train, "label", order="alphabetical")
+    enc = lab.encode_labels(docs, lm, "label", "label_id", on_unknown="skip")
+    return enc.filter(F.col("split") == "train"), enc.filter(F.col("split") == "test")
 
 
 def linear_svm(spark: SparkSession, d: str) -> DataFrame:
-    docs = _doc_label_split(spark, d)
-    model = lin.fit_linear_svm(docs.filter(F.col("split") == "train"), "text", "label_id", weighting="count")
-    return lin.apply_text_model(model, docs.filter(F.col("split") == "test"), "text", keep=["doc_id", "label_id"])
+    train, test = _doc_label_split(spark, d)
+    model = lin.fit_linear_svm(train, "text", "label_id", weighting="count")
+    return _floor(lin.apply_text_model(model, test, "text", keep=["label_id"]), "label_id")
 
 
 def svm_tfidf(spark: SparkSession, d: str) -> DataFrame:
-    docs = _doc_label_split(spark, d)
-    model = lin.fit_linear_svm(docs.filter(F.col("split") == "train"), "text", "label_id", weighting="tfidf")
-    return lin.apply_text_model(model, docs.filter(F.col("split") == "test"), "text", keep=["doc_id", "label_id"])
+    train, test = _doc_label_split(spark, d)
+    model = lin.fit_linear_svm(train, "text", "label_id", weighting="tfidf")
+    return _floor(lin.apply_text_model(model, test, "text", keep=["label_id"]), "label_id")
 
 
 def rff_svm(spark: SparkSession, d: str) -> DataFrame:
-    docs = _doc_label_split(spark, d)
-    fitted = lin.fit_rff_svm(docs.filter(F.col("split") == "train"), "text", "label_id")
-    return lin.apply_rff_svm(fitted, docs.filter(F.col("split") == "test"), "text", keep=["doc_id", "label_id"])
+    train, test = _doc_label_split(spark, d)
+    fitted = lin.fit_rff_svm(train, "doc_id", "text", "label_id")
+    return _floor(lin.apply_rff_svm(fitted, test, "doc_id", "text", "label_id"), "label_id")
+
+
+def rff_svm_counts(spark: SparkSession, d: str) -> DataFrame:
+    train, test = _doc_label_split(spark, d)
+    fitted = lin.fit_rff_svm(train, "doc_id", "text", "label_id", weighting="count", gamma=1e-4)
+    return _floor(lin.apply_rff_svm(fitted, test, "doc_id", "text", "label_id"), "label_id")
 
 
 def score_batch(spark: SparkSession, d: str) -> DataFrame:
+    """The batch scoring seam with a caller's model (a linear read-out of the whole vector)."""
     emb = table(spark, d, "embeddings")
-    scored = sc.score_vectors(emb, "embedding", sc.first_k_logits_model(N_LOGITS), N_LOGITS, dim=64)
+    means = sc.class_means(emb, "embedding", "label")
+    scored = sc.score_vectors(emb, "embedding", sc.means_model(means), means.count(), dim=64)
     return scored.select("vec_id", argmax("logits").alias("prediction"))
 
 
+def _residue_model():
+    """A caller's model over token ids: four logits, each the share of unmasked
+    ids that leave this remainder (times four)."""
+    import numpy as np
+
+    def predict(ids, mask):
+        n = np.maximum(mask.sum(axis=1), 1)
+        return np.stack([((ids % 4 == j) & (mask == 1)).sum(axis=1) * 4.0 / n for j in range(4)], axis=1)
+
+    return predict
+
+
+def score_from_text(spark: SparkSession, d: str) -> DataFrame:
+    """Text to ids and mask, logits, probabilities and the label's name."""
+    docs = _token_ids(spark, d).withColumn("input_ids", truncate("input_ids", 512))
+    docs = docs.withColumn("attention_mask", attention_mask("input_ids", F.size("input_ids")))
+    out = sc.score_text(docs, "input_ids", "attention_mask", _residue_model, 4, ["de", "en", "es", "fr"], keep=["doc_id"])
+    return out.select("doc_id", round_all("probs", R).alias("probs"), "prediction")
+
+
+PROJECTION = [[((i * 7 + j * 3) % 11 - 5) / 10 for j in range(64)] for i in range(8)]
+
+
+def pool_project(spark: SparkSession, d: str) -> DataFrame:
+    """First-token pooling and a linear projection: the vectors of a label in
+    order stand for a sequence of hidden states, whose first state is projected."""
+    emb = table(spark, d, "embeddings")
+    first = emb.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("state"))
+    pooled = first.select("label", first_element(F.array("state")).alias("pooled"))
+    return pooled.select("label", round_all(sc.project("pooled", PROJECTION), R).alias("projected"))
+
+
 QUERIES = {
     "batches": batches,
     "batch_max_len": batch_max_len,
@@ -327,9 +416,12 @@ QUERIES = {
     "contrastive_pairs": contrastive_pairs,
     "translations_wide": translations_wide,
     "csv_round_trip": csv_round_trip,
+    "csv_by_name": csv_by_name,
     "tsv_round_trip": tsv_round_trip,
     "liar_layout": liar_layout,
     "embedding_export": embedding_export,
+    "embedding_tsv_pair": embedding_tsv_pair,
+    "workbook_quotes": workbook_quotes,
     "metric_log_topk": metric_log_topk,
     "registry": registry,
     "linear_probe": linear_probe,
@@ -337,5 +429,8 @@ QUERIES = {
     "linear_svm": linear_svm,
     "svm_tfidf": svm_tfidf,
     "rff_svm": rff_svm,
+    "rff_svm_counts": rff_svm_counts,
     "score_batch": score_batch,
+    "score_from_text": score_from_text,
+    "pool_project": pool_project,
 }

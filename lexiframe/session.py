@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,14 +44,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a folder every executor can reach and is
-    read from the session.  Only when neither the setting nor the context's
-    checkpoint folder exists (local runs, tests) is a local folder made and
-    registered with ``setCheckpointDir`` (the setting itself cannot be changed
-    on a running session).
+    read from the session.  Only under a ``local`` master, where driver and
+    executors are one process, is a temporary folder made when neither the
+    setting nor the context's checkpoint folder exists; any other master
+    without a shared folder is an error, because executors would write to
+    disks of their own.  The temporary folder goes when the process ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         path = tempfile.mkdtemp(prefix="lexiframe-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -71,17 +78,3 @@ def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def spread_small_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer partitions than the cluster's
-    default parallelism (for example one parquet row group of long texts), so
-    text-heavy stages use every core.  Large inputs already have many splits
-    and pass through unchanged."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < target:
-            return df.repartition(target)
-    except Exception:  # noqa: BLE001 - e.g. a client session without RDD access
-        pass
-    return df

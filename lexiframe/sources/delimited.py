@@ -3,7 +3,7 @@
 Files are read as strings under a declared schema (no schema inference:
 no extra pass, no per-file drift); typed casts come afterwards.  Quoting
 follows the common spreadsheet convention: ``"a ""q"" b"`` is one field and
-quoted newlines stay inside the field (``multiLine``).  Missing-value tokens
+quoted newlines stay inside the field if ``multi_line`` is asked for.  Missing-value tokens
 become NULL, as a pandas reader would treat them.
 """
 
@@ -33,24 +33,47 @@ def string_schema(names: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType(), True) for n in names])
 
 
-def read_delimited(spark: SparkSession, path, columns: Sequence[str], sep: str = ",", header: bool = True,
-                   na_tokens: Sequence[str] | None = NA_TOKENS, with_position: str | None = None) -> DataFrame:
-    """Read CSV/TSV files as strings under ``columns``.
+#: Column that receives the text of rows with the wrong number of cells.
+MALFORMED = "_malformed"
+
+
+def header_names(spark: SparkSession, path, sep: str, multi_line: bool) -> list[str]:
+    """Column names of the header line of the first file (its head alone is
+    read; the other files' headers are checked when they are read)."""
+    first = spark.read.options(header=True, sep=sep, quote='"', escape='"', inferSchema=False, multiLine=multi_line)
+    return first.csv(path).columns
 
-    ``with_position`` adds a dense 0-based row position in file order (files
-    in path order, rows in file order) without moving rows to one task.
+
+def read_delimited(spark: SparkSession, path, columns: Sequence[str], sep: str = ",", header: bool = True,
+                   na_tokens: Sequence[str] | None = NA_TOKENS, with_position: str | None = None,
+                   multi_line: bool = False, malformed: str = "fail") -> DataFrame:
+    """Read the named ``columns`` of CSV/TSV files as strings.
+
+    With a header, columns are taken by name from whatever columns the files
+    have; a missing one, or a file with another header, is an error.  Without, ``columns`` names all cells
+    in order.  ``multi_line``: quoted fields may hold line breaks (a file is
+    then one task's work; without it files are split).  ``malformed``: rows
+    with too few or too many cells make the job ``fail``, are dropped
+    (``drop``), or are kept with their text in ``MALFORMED`` (``keep``).
+    ``with_position`` adds a dense 0-based row position in file order.
     """
-    reader = (spark.read.schema(string_schema(columns))
-              .option("header", header).option("sep", sep).option("multiLine", True)
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE"))
-    df = reader.csv(path)
-    if na_tokens is not None:
-        tokens = list(na_tokens)
-        df = df.select(*[F.when(F.col(c).isin(tokens), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
-                         for c in columns])
-    if with_position:
-        df = with_row_position(df, with_position)
-    return df
+    present = header_names(spark, path, sep, multi_line) if header else list(columns)
+    missing = [c for c in columns if c not in present]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in {present}")
+    # the whole line comes along, so that no cell can be lost or shifted without notice
+    schema = string_schema([*present, MALFORMED])
+    raw = (spark.read.schema(schema).option("header", header).option("sep", sep).option("multiLine", multi_line)
+           .option("quote", '"').option("escape", '"').option("enforceSchema", not header)
+           .option("columnPruning", False)  # else only the selected cells of a row are checked
+           .option("columnNameOfCorruptRecord", MALFORMED)
+           .option("mode", {"fail": "FAILFAST", "drop": "DROPMALFORMED", "keep": "PERMISSIVE"}[malformed]).csv(path))
+    keep = list(columns) + ([MALFORMED] if malformed == "keep" else [])
+    tokens = list(na_tokens or ())
+    cells = [F.when(F.col(f"`{c}`").isin(tokens), F.lit(None).cast("string")).otherwise(F.col(f"`{c}`")).alias(c)
+             if tokens and c != MALFORMED else F.col(f"`{c}`") for c in keep]
+    df = raw.select(*cells)
+    return with_row_position(df, with_position) if with_position else df
 
 
 def read_csv(spark: SparkSession, path, columns: Sequence[str], **kw) -> DataFrame:
@@ -71,7 +94,8 @@ def with_row_position(df: DataFrame, out: str = "pos") -> DataFrame:
 
     ``monotonically_increasing_id`` is not dense; it is used only inside a
     file block.  A histogram of rows per (file, block) - one row per input
-    split, bounded by the number of splits - gives each block its offset.
+    split - gives each block its offset; the planner broadcasts it or not by
+    its size.
     """
     meta = df.select("*", F.col("_metadata.file_path").alias("_lf_file"),
                      F.col("_metadata.file_block_start").alias("_lf_block"),
@@ -81,7 +105,7 @@ def with_row_position(df: DataFrame, out: str = "pos") -> DataFrame:
     before = Window.orderBy("_lf_file", "_lf_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_lf_file", "_lf_block", "_lf_first",
                             F.coalesce(F.sum("_lf_n").over(before), F.lit(0)).alias("_lf_off"))
-    joined = meta.join(F.broadcast(offsets), ["_lf_file", "_lf_block"], "inner")
+    joined = meta.join(offsets, ["_lf_file", "_lf_block"], "inner")
     pos = (F.col("_lf_off") + F.col("_lf_mid") - F.col("_lf_first")).cast("bigint")
     return joined.withColumn(out, pos).drop("_lf_file", "_lf_block", "_lf_mid", "_lf_first", "_lf_off")
 

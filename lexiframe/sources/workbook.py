@@ -2,8 +2,8 @@
 
 Spark has no workbook source.  Files are listed with the ``binaryFile``
 source (one row per file), and each task parses its own workbooks with the
-standard library (a workbook is a zip of XML parts), emitting long rows
-``(path, row, col, value)``.  One workbook is one file, parsed by one task.
+standard library (a workbook is a zip of XML parts).  One workbook is one file,
+parsed once by one task.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ import io
 import re
 import zipfile
 from xml.etree import ElementTree as ET
+from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 # The spreadsheet XML namespaces.
 NS_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -75,30 +75,54 @@ def parse_sheet(content: bytes, sheet: str):
         yield int(m.group(2)) - 1, _col_index(m.group(1)), value
 
 
-def read_sheet_cells(spark: SparkSession, path: str, sheet: str) -> DataFrame:
-    """Long cells ``(path, row, col, value)`` of one sheet in every matching workbook."""
+def workbook_bytes(sheet: str, names: list[str], rows) -> bytes:
+    """A workbook of one sheet with a header line; cells are inline strings."""
+    def cell(col: int, row: int, value: str) -> str:
+        letters, n = "", col + 1
+        while n:
+            n, k = divmod(n - 1, 26)
+            letters = chr(65 + k) + letters
+        return f'<c r="{letters}{row}" t="inlineStr"><is><t xml:space="preserve">{escape(value)}</t></is></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{NS_MAIN}" xmlns:r="{NS_REL}"><sheets><sheet name="{escape(sheet)}" '
+                                      'sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{NS_PKG_REL}"><Relationship Id="rId1" '
+                                                 'Target="worksheets/sheet1.xml" Type="sheet"/></Relationships>')
+        with z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(f'<worksheet xmlns="{NS_MAIN}"><sheetData>'.encode())
+            for r, row in enumerate([names, *rows], 1):
+                cells = "".join(cell(c, r, v) for c, v in enumerate(row) if v is not None)
+                f.write(f'<row r="{r}">{cells}</row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def read_sheet(spark: SparkSession, path: str, sheet: str, columns: list[str]) -> DataFrame:
+    """Rows ``(path, pos, columns...)`` of a sheet whose first row is a header;
+    ``columns`` picks and orders the wanted header names (missing cells are
+    NULL, a missing column is an error).  Each workbook is parsed once, by one
+    task, which holds one workbook at a time."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
+    names = list(columns)
 
     def run(batches):
         for pdf in batches:
-            out = {"path": [], "row": [], "col": [], "value": []}
-            for p, content in zip(pdf["path"], pdf["content"]):
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                header: dict[int, str] = {}
+                rows: dict[int, dict[str, str]] = {}
                 for r, c, v in parse_sheet(bytes(content), sheet):
-                    out["path"].append(p)
-                    out["row"].append(r)
-                    out["col"].append(c)
-                    out["value"].append(v)
-            yield pd.DataFrame(out)
-
-    return files.mapInPandas(run, "path string, row int, col int, value string")
-
-
-def read_sheet(spark: SparkSession, path: str, sheet: str, columns: list[str]) -> DataFrame:
-    """Wide rows of a sheet whose first row is a header; ``columns`` picks and
-    orders the wanted header names (missing cells are NULL)."""
-    cells = read_sheet_cells(spark, path, sheet)
-    header = cells.filter(F.col("row") == 0).select("path", "col", F.col("value").alias("name"))
-    body = cells.filter(F.col("row") > 0).join(header, ["path", "col"], "inner")
-    wide = body.groupBy("path", "row").pivot("name", columns).agg(F.max("value"))
-    pos = F.row_number().over(Window.partitionBy("path").orderBy("row")) - 1
-    return wide.withColumn("pos", pos.cast("bigint")).select("path", "pos", *columns)
+                    if r == 0:
+                        header[c] = v
+                    else:
+                        rows.setdefault(r, {})[header.get(c, "")] = v
+                missing = [n for n in names if n not in header.values()]
+                if missing and header:
+                    raise ValueError(f"{p}: no column {', '.join(missing)} in sheet {sheet}")
+                order = sorted(rows)
+                yield pd.DataFrame({"path": [p] * len(order), "pos": range(len(order)),
+                                    **{n: [rows[r].get(n) for r in order] for n in names}})
+
+    schema = "path string, pos long" + "".join(f", `{n}` string" for n in names)
+    return files.mapInPandas(run, schema)

@@ -55,12 +55,23 @@ def test_translate_wide_chunks(spark):
         calls.append(len(texts))
         return [lang + ":" + t for t in texts]
 
-    out = aug.translate_wide(_docs(spark), "doc_id", "text", ["tl", "vi"], translator, chunk=32)
+    out = aug.translate_wide(_docs(spark), "text", ["tl", "vi"], translator, chunk=32)
     rows = out.collect()
     assert all(r.augmented_tl == "tl:" + r.text and r.augmented_vi == "vi:" + r.text for r in rows)
     assert len(rows) == _docs(spark).count()
 
 
+def test_translate_keeps_columns_and_nulls(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, None, "y")], "k long, text string, label string")
+
+    def translator(texts, lang):
+        assert None not in texts
+        return [lang + t for t in texts]
+
+    got = {r.k: (r.label, r.augmented_tl) for r in aug.translate_wide(df, "text", ["tl"], translator).collect()}
+    assert got == {1: ("x", "tla"), 2: ("y", None)}
+
+
 def test_metric_stream_and_best(spark, tmp_dir):
     src, table, ckpt = (os.path.join(tmp_dir, p) for p in ("src", "table", "ckpt"))
     log = spark.createDataFrame(

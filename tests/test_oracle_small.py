@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
 
-TABLES = "documents labels embeddings conversations benchmark events nation region".split()
+TABLES = "documents labels embeddings conversations benchmark events nation region pages".split()
 SQL = E.oracle_sql()
 CHECKED = sorted(SQL)
 

@@ -2,6 +2,8 @@
 
 import math
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,51 @@ def test_row_at_and_batches(spark):
         sizes[r.batch_id] = sizes.get(r.batch_id, 0) + 1
     assert max(sizes) == (len(b) - 1) // 8
     assert all(v == 8 for k, v in sizes.items() if k < max(sizes))
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None if i % 4 == 0 else i, i) for i in range(40)], "key long, v long")
+    assert sorted(r["rank"] for r in rk.seeded_shuffle(df, "key", 7, out="rank").collect()) == list(range(40))
+    batches = rk.assign_batches(df, "key", 8).collect()
+    assert len(batches) == 40 and all(r.batch_id in (0, 1) for r in batches if r.key is None)
+
+
+def test_null_keys_cannot_be_split(spark):
+    df = spark.createDataFrame([(None, "a"), (1, "a"), (2, "a")], "key long, label string")
+    with pytest.raises(Exception, match="NULL in split key"):
+        rk.stratified_split(df, "key", "label", 42).collect()
+
+
+def test_null_labels_are_a_stratum(spark):
+    df = spark.range(100).select(F.col("id").alias("key"), F.when(F.col("id") < 60, F.lit("a")).when(F.col("id") < 80, F.lit("b")).alias("label"))
+    sizes = {(r.label, r.split): r["count"] for r in rk.stratified_split(df, "key", "label", 42).groupBy("label", "split").count().collect()}
+    assert sizes[(None, "test")] == 6 and sizes[(None, "val")] == 4 and sizes[(None, "train")] == 10
+    kept = {r.label: r["count"] for r in rk.balanced_downsample(df, "key", "label", 42).groupBy("label").count().collect()}
+    assert kept == {"a": 20, "b": 20, None: 20}
+
+
+def test_outlier_position_does_not_gather_rows(spark):
+    ids = spark.range(20_000).select("id").union(spark.createDataFrame([(1 << 50,)], "id long")).repartition(8)
+    ranked = rk.range_rank(ids, "id", "rn")
+    rows = {r.id: r.rn for r in ranked.collect()}
+    assert rows[1 << 50] == 20_000 and all(rows[i] == i for i in range(20_000))
+
+
+def test_ranks_of_one_script_are_spread(spark):
+    from lexiframe.operators.features import vocabulary
+
+    words = [chr(0x0915 + i % 30) + chr(0x093E) + chr(0x0915 + i // 30) for i in range(600)]
+    tc = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "doc_id long, token string").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.token: r.term_id for r in vocabulary(tc, "doc_id", with_ids=True).collect()}
+        spread = vocabulary(tc, "doc_id").repartitionByRange("token").withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [w for w, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(set(words), key=lambda w: w.encode())
+    assert len(spread) > 4
+
+
+def test_row_at_reads_keys_of_any_distribution(spark):
+    df = spark.createDataFrame([(1 << 40, "far"), (3, "c"), (1, "a"), (2, "b")], "k long, v string")
+    assert [rk.row_at(df, "k", i).first().v for i in range(4)] == ["a", "b", "c", "far"]

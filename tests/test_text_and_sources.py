@@ -44,7 +44,7 @@ def test_csv_quotes_newlines_na(spark, tmp_dir):
     path = os.path.join(tmp_dir, "f.csv")
     with open(path, "w", encoding="utf-8") as f:
         f.write('QUOTE,RATING\n"a ""q"" b",FAKE\n"line one\nline two",FALSE\nNA,TRUE\n,MISLEADING\n')
-    df = dl.read_csv(spark, path, ["QUOTE", "RATING"], with_position="pos")
+    df = dl.read_csv(spark, path, ["QUOTE", "RATING"], with_position="pos", multi_line=True)
     rows = sorted(df.collect(), key=lambda r: r.pos)
     assert [r.pos for r in rows] == [0, 1, 2, 3]
     assert rows[0].QUOTE == 'a "q" b'
@@ -67,7 +67,7 @@ def test_unterminated_quote_is_caught_by_row_count(spark, tmp_dir):
     path = os.path.join(tmp_dir, "bad.tsv")
     with open(path, "w", encoding="utf-8") as f:
         f.write('claim\tlabel\n"open quote\ttrue\nnext\tfalse\nlast\tother\n')
-    df = dl.read_tsv(spark, path, ["claim", "label"])
+    df = dl.read_tsv(spark, path, ["claim", "label"], multi_line=True, malformed="keep").select("claim", "label")
     with pytest.raises(Exception):
         dl.check_row_count(df, 3).collect()
 
@@ -107,3 +107,43 @@ def test_row_positions_across_files(spark, tmp_dir):
     df = dl.read_csv(spark, folder, ["text", "label"], with_position="pos")
     got = sorted((r.pos, r.text) for r in df.collect())
     assert got == list(enumerate(["x1", "x2", "x3", "y1", "z1", "z2"]))
+
+
+def _file(folder, name, body):
+    path = os.path.join(folder, name)
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(body)
+    return path
+
+
+def test_columns_are_taken_by_name(spark, tmp_dir):
+    path = _file(tmp_dir, "f.csv", "ID,RATING,QUOTE\n1,FAKE,x\n2,TRUE,y\n")
+    rows = dl.read_csv(spark, path, ["QUOTE", "RATING"]).orderBy("QUOTE").collect()
+    assert [tuple(r) for r in rows] == [("x", "FAKE"), ("y", "TRUE")]
+    with pytest.raises(ValueError, match="no column NOPE"):
+        dl.read_csv(spark, path, ["NOPE"])
+
+
+def test_files_with_other_headers_fail(spark, tmp_dir):
+    folder = os.path.join(tmp_dir, "mixed")
+    os.makedirs(folder)
+    _file(folder, "a.csv", "x,y\n1,2\n")
+    _file(folder, "b.csv", "y,x\n1,2\n")
+    with pytest.raises(Exception):
+        dl.read_csv(spark, folder, ["x"]).collect()
+
+
+@pytest.mark.parametrize("row", ["2", "2,TRUE,y,z"])
+def test_malformed_rows_fail_or_are_told(spark, tmp_dir, row):
+    path = _file(tmp_dir, "bad.csv", f"ID,RATING,QUOTE\n1,FAKE,x\n{row}\n")
+    with pytest.raises(Exception):
+        dl.read_csv(spark, path, ["QUOTE"]).collect()
+    assert dl.read_csv(spark, path, ["ID"], malformed="drop").count() == 1
+    kept = dl.read_csv(spark, path, ["ID"], malformed="keep")
+    assert sorted(r[dl.MALFORMED] or "" for r in kept.collect()) == ["", row]
+
+
+def test_workbook_without_the_column_fails(spark, tmp_dir):
+    _xlsx(os.path.join(tmp_dir, "book.xlsx"))
+    with pytest.raises(Exception, match="no column"):
+        read_sheet(spark, os.path.join(tmp_dir, "*.xlsx"), "rated_with_quotes", ["QUOTE 9"]).collect()
