@@ -6,16 +6,18 @@ window (l, c, r): the subtree of c in the Cartesian tree of the hashes.  Only
 windows of at least ``MIN_WORDS`` words matter, about 2 / (t + 1) per shingle.
 
 1. Windows with the same minimum are grouped by its hash.  Each is also given
-   the minima of two other functions around c, its contexts; windows that agree
-   in hash and a context are tied to the first of them, and the firsts by the
-   first context to the first of the group.
+   the minima of two other functions around c, its contexts.  A window is tied
+   to the earliest document of its group and, where these differ, to the
+   earliest one that agrees in either context, too.
    Groups are tied inside each task before the shuffle, so a passage that a
    third of all documents hold is one row per task and hash there.
 2. Interval join: ties of one pair of documents whose windows overlap by at
    least ``MIN_WORDS`` words on both sides are joined; a region counts when two
-   or more hashes agree there.
+   or more hashes agree there.  For each place of a document the region with
+   most hashes comes first, the others are held back.
 3. Regions are verified on the words: stretches of at least ``MIN_WORDS`` words
    whose 5-word shingles have a Jaccard similarity of ``PERCENT`` or more.
+   Regions that were held back are verified where no passage was found yet.
 
 A row of the result is a verified pair of passages, the later document (larger
 id) first: every repeat is tied to an earlier one, not to all others.  Passages
@@ -37,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.llm.kernels import U64, blocks, mix, shingles, string_buffers, words_of
+from lexiframe.llm.kernels import U64, blocks, mix, shingle_lists, shingles, string_buffers, words_of
 from lexiframe.llm.storage import plus, release, table, written
 
 SHINGLE, MIN_WORDS, PERCENT = 5, 50, 80
@@ -127,23 +129,22 @@ def _ties(key, doc, place, reach, second):
     """Ties of rows sorted by key, first context, document and place, and the
     rows that are the first of their key and a context."""
     rows = np.arange(len(key))
-    new_key = np.append(True, key[1:] != key[:-1])
-    group = rows[new_key][np.cumsum(new_key) - 1]
     begins, head = _heads(key, place >> 32)
-    order = np.lexsort((place & 0xFFFFFFFF, doc, second, key))
-    begins_second, head_second = _heads(key[order], second[order])
-    other_head = np.empty_like(rows)
-    other_head[order] = order[head_second]
-    heads = np.flatnonzero(begins | np.isin(rows, order[begins_second]))
-    a = np.concatenate([rows[head != rows], rows[(other_head != rows) & (other_head != head)], rows[begins & (group != rows)]])
-    b = np.concatenate([head[head != rows], other_head[(other_head != rows) & (other_head != head)], group[begins & (group != rows)]])
-    agree = np.ones(len(a), np.int32)
-    agree[len(a) - int((begins & (group != rows)).sum()):] = 0
-    other = doc[a] != doc[b]
-    a, b, agree = a[other], b[other], agree[other]
-    swap = doc[a] < doc[b]
-    a, b = np.where(swap, b, a), np.where(swap, a, b)
-    mark = (1 << (key[a].view(np.uint64) & U64(7)).astype(np.int32)) | (agree << 8)
+    by_second = np.lexsort((place & 0xFFFFFFFF, doc, second, key))
+    begins_second, first = _heads(key[by_second], second[by_second])
+    other = np.empty_like(rows)
+    other[by_second] = by_second[first]
+    by_doc = np.lexsort((place & 0xFFFFFFFF, doc, key))
+    _, first = _heads(key[by_doc], key[by_doc])
+    earliest = np.empty_like(rows)
+    earliest[by_doc] = by_doc[first]
+    heads = np.flatnonzero(begins | np.isin(rows, by_second[begins_second]))
+    far = [doc[earliest] != doc, (doc[head] != doc) & (doc[head] != doc[earliest]),
+           (doc[other] != doc) & (doc[other] != doc[earliest]) & (doc[other] != doc[head])]
+    a = np.concatenate([rows[f] for f in far])
+    b = np.concatenate([t[f] for t, f in zip((earliest, head, other), far, strict=True)])
+    agree = ((place[a] >> 32) == (place[b] >> 32)) | (second[a] == second[b])
+    mark = (1 << (key[a].view(np.uint64) & U64(7)).astype(np.int32)) | (agree.astype(np.int32) << 8)
     at = (place & 0xFFFFFFFF).astype(np.int32)
     ties = pa.RecordBatch.from_arrays(
         [pa.array(doc[a]), pa.array(doc[b]), pa.array(at[a]), pa.array(at[b]),
@@ -238,22 +239,28 @@ def all_ties(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(tie, TIES)
 
 
-REGIONS = "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int"
+REGIONS = "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int, core_lo int, core_hi int, held boolean"
 
 
 def _join_intervals(c: dict[str, np.ndarray]):
-    """Regions of ties sorted by pair and place: runs of one pair whose windows
-    overlap by ``WIDTH`` shingles or more on both sides, with two hashes or more."""
+    """Regions of ties sorted by pair and distance: sets of one pair at like
+    distance whose windows overlap by ``WIDTH`` shingles or more, with two
+    hashes or more.  The core of a region is the stretch of its minima."""
     n = len(c["a"])
-    a0, a1 = c["ac"] - c["al"], c["ac"] + c["ar"]
-    b0, b1 = c["bc"] - c["bl"], c["bc"] + c["br"]
     shift = c["ac"] - c["bc"]
-    joined = np.zeros(n, dtype=bool)
-    joined[1:] = ((c["a"][1:] == c["a"][:-1]) & (c["b"][1:] == c["b"][:-1])
-                  & (np.minimum(a1[1:], a1[:-1]) - np.maximum(a0[1:], a0[:-1]) + 1 >= WIDTH)
-                  & (np.minimum(b1[1:], b1[:-1]) - np.maximum(b0[1:], b0[:-1]) + 1 >= WIDTH)
-                  & (np.abs(shift[1:] - shift[:-1]) <= GAP))
-    at = np.flatnonzero(~joined)
+    apart = np.ones(n, dtype=bool)
+    apart[1:] = (c["a"][1:] != c["a"][:-1]) | (c["b"][1:] != c["b"][:-1]) | (shift[1:] - shift[:-1] > GAP)
+    chain = np.cumsum(apart)
+    order = np.lexsort((c["ac"] - c["al"], chain))
+    c, chain = {k: v[order] for k, v in c.items()}, chain[order]
+    a0, a1 = (c["ac"] - c["al"]).astype(np.int64), (c["ac"] + c["ar"]).astype(np.int64)
+    b0, b1 = c["bc"] - c["bl"], c["bc"] + c["br"]
+    # sweep: the end reached so far in this chain
+    lift = chain * (int(a1.max()) + 1)
+    reached = np.maximum.accumulate(a1 + lift) - lift
+    begin = np.ones(n, dtype=bool)
+    begin[1:] = (chain[1:] != chain[:-1]) | (reached[:-1] - a0[1:] + 1 < WIDTH)
+    at = np.flatnonzero(begin)
     marks = np.bitwise_or.reduceat(c["mark"], at)
     hashes = np.zeros(len(at), dtype=np.int64)
     for i in range(9):  # distinct functions, and one more where the context agrees
@@ -261,14 +268,27 @@ def _join_intervals(c: dict[str, np.ndarray]):
     low = lambda x: np.minimum.reduceat(x, at)
     high = lambda x: np.maximum.reduceat(x, at)
     keep = hashes >= 2
-    out = [c["a"][at], c["b"][at], low(a0), high(a1) + SHINGLE, low(b0), high(b1) + SHINGLE]  # in words, end excluded
-    return pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64 if i < 2 else np.int32)) for i, x in enumerate(out)],
+    out = [x[keep] for x in (c["a"][at], c["b"][at], low(a0), high(a1) + SHINGLE, low(b0), high(b1) + SHINGLE,  # in words, ends excluded
+                             low(c["ac"]), high(c["ac"]) + SHINGLE)]
+    doc, lo, hi = out[0], out[6], out[7]
+    held = np.zeros(len(doc), dtype=bool)
+    order = np.lexsort((out[1], -np.add.reduceat(np.ones(n, np.int64), at)[keep], -hashes[keep], doc))
+    taken: list[tuple[int, int]] = []
+    last = None
+    for i in order.tolist():
+        if doc[i] != last:
+            last, taken = doc[i], []
+        held[i] = any(x - SHINGLE <= lo[i] and hi[i] <= y + SHINGLE for x, y in taken)
+        if not held[i]:
+            taken.append((int(lo[i]), int(hi[i])))
+    return pa.RecordBatch.from_arrays([*[pa.array(x.astype(np.int64 if i < 2 else np.int32)) for i, x in enumerate(out)], pa.array(held)],
                                       names=[f.split()[0] for f in REGIONS.split(", ")])
 
 
 def regions(ties: DataFrame) -> DataFrame:
-    """Interval join of the ties of each pair of documents."""
-    dealt = ties.repartition("a", "b").withColumn("_shift", F.col("ac") - F.col("bc")).sortWithinPartitions("a", "b", "_shift", "ac").drop("_shift")
+    """Interval join of the ties of each document, pair by pair.  A document
+    has at most three ties per window, so its ties fit one task."""
+    dealt = ties.repartition("a").withColumn("_shift", F.col("ac") - F.col("bc")).sortWithinPartitions("a", "b", "_shift", "ac").drop("_shift")
     names = [f.split()[0] for f in TIES.split(", ")]
 
     def join(batches):
@@ -277,24 +297,23 @@ def regions(ties: DataFrame) -> DataFrame:
             cols = {x: batch.column(x).to_numpy() for x in names}
             if rest is not None:
                 cols = {x: np.concatenate([rest[x], cols[x]]) for x in names}
-            same = (cols["a"] == cols["a"][-1]) & (cols["b"] == cols["b"][-1])
-            cut = len(same) if not len(same) else int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
+            other = np.flatnonzero(cols["a"] != cols["a"][-1]) if len(cols["a"]) else np.zeros(0, np.int64)
+            cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
                 yield _join_intervals({x: v[:cut] for x, v in cols.items()})
-            rest = {x: v[cut:] for x, v in cols.items()}  # one pair: bounded by the windows of two documents
+            rest = {x: v[cut:] for x, v in cols.items()}
         if rest is not None and len(rest["a"]):
             yield _join_intervals(rest)
 
     found = dealt.mapInArrow(join, REGIONS)
-    # regions of one pair that the order by distance split
-    return found.withColumn("region", F.xxhash64("a", "b", "a_lo", "a_hi", "b_lo", "b_hi")).dropDuplicates(["region"])
+    return found.withColumn("region", F.xxhash64("a", "b", "a_lo", "a_hi", "b_lo", "b_hi"))
 
 
 def slices(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Both sides of every region with their words: ``(region, side, lo, words)``."""
     side = lambda x, s: F.struct(F.col(x).alias("id"), F.lit(s).alias("side"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi"))
     needed = found.select("region", F.explode(F.array(side("a", 0), side("b", 1))).alias("s")).select("region", "s.*")
-    joined = docs.join(needed, "id").select("id", "region", "side", "lo", "hi", "text")
+    joined = docs.join(needed, "id").select("region", "side", "lo", "hi", "text")
 
     def cut(batches):
         for batch in batches:
@@ -316,11 +335,6 @@ def slices(docs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "region long, side int, lo int, words binary")
 
 
-def _hashed(words: bytes) -> np.ndarray:
-    raw = np.frombuffer(words, dtype=np.uint8)
-    return shingles(words_of(raw, np.array([0, len(raw)]), 0, 1, lower=True), SHINGLE)[0]
-
-
 def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Verified stretches of two shingle sequences: ``(from, to, from, to,
     Jaccard)`` in words, ends excluded."""
@@ -330,6 +344,20 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, flo
     i = np.minimum(np.searchsorted(y[order], x), len(y) - 1)
     hit = y[order][i] == x
     place = order[i]
+    # a shingle that occurs more than once stands for the occurrence that its neighbour leads to
+    for step in (1, -1):
+        here, there = (slice(1, None), slice(None, -1)) if step == 1 else (slice(None, -1), slice(1, None))
+        for _ in range(min(len(x), 256)):
+            to = place[there] + step
+            ok = hit[here] & hit[there] & (to >= 0) & (to < len(y)) & (to != place[here])
+            ok[ok] = y[to[ok]] == x[here][ok]
+            if step == -1:  # only where the place before did not lead here
+                lead = np.zeros(len(x), dtype=bool)
+                lead[1:] = hit[:-1] & (place[:-1] + 1 == place[1:])
+                ok &= ~lead[here]
+            if not ok.any():
+                break
+            place[here] = np.where(ok, to, place[here])
     out: list[tuple[int, int, int, int, float]] = []
 
     def runs(at: np.ndarray, gap: int) -> list[np.ndarray]:
@@ -361,16 +389,19 @@ RESULT = "doc_id long, start_word int, end_word int, first_doc_id long, first_st
 
 def verified(found: DataFrame, sliced: DataFrame) -> DataFrame:
     """The passages of every region."""
-    left = sliced.filter("side = 0").select("region", F.col("lo").alias("x_lo"), F.col("words").alias("x")).dropDuplicates(["region"])
-    right = sliced.filter("side = 1").select("region", F.col("lo").alias("y_lo"), F.col("words").alias("y")).dropDuplicates(["region"])
+    left = sliced.filter("side = 0").select("region", F.col("lo").alias("x_lo"), F.col("words").alias("x"))
+    right = sliced.filter("side = 1").select("region", F.col("lo").alias("y_lo"), F.col("words").alias("y"))
     both = found.select("region", "a", "b").join(left, "region").join(right, "region")
 
     def check(batches):
         for batch in batches:
             rows = []
-            for a, b, x_lo, x, y_lo, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x_lo", "x", "y_lo", "y")), strict=True):
-                for x0, x1, y0, y1, j in passages(_hashed(x), _hashed(y)):
-                    rows.append((a, x_lo + x0, x_lo + x1, b, y_lo + y0, y_lo + y1, j))
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                pairs = zip(shingle_lists(part.column("x"), SHINGLE), shingle_lists(part.column("y"), SHINGLE), strict=True)
+                places = zip(*(part.column(c).to_pylist() for c in ("a", "b", "x_lo", "y_lo")), strict=True)
+                for (a, b, x_lo, y_lo), (x, y) in zip(places, pairs, strict=True):
+                    rows.extend((a, x_lo + x0, x_lo + x1, b, y_lo + y0, y_lo + y1, j) for x0, x1, y0, y1, j in passages(x, y))
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
@@ -386,9 +417,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     release(docs.sparkSession)
     found = written(regions(ties), "regions")
     release(docs.sparkSession)
-    sliced = written(slices(keyed, found), "slices")
+    first = found.filter("not held")
+    sure = written(verified(first, written(slices(keyed, first), "slices")), "passages")
     release(docs.sparkSession)
-    return verified(found, sliced)
+    # what was held back, but for cores that lie within a passage of the document
+    spans = sure.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    rest = found.filter("held").join(spans, F.col("a") == F.col("doc_id"), "left")
+    inside = F.exists("spans", lambda x: (x["start_word"] <= F.col("core_lo")) & (F.col("core_hi") <= x["end_word"]))
+    rest = written(rest.filter(~F.coalesce(inside, F.lit(False))).select(*found.columns), "regions")
+    if rest.isEmpty():
+        return sure
+    return sure.unionByName(written(verified(rest, written(slices(keyed, rest), "slices")), "passages")).distinct()
 
 
 def op4_compact_windows(spark, sf_dir):

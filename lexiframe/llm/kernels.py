@@ -19,7 +19,7 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Documents of one kernel call hold about this many bytes (a single longer document is one call).
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,11 +41,17 @@ def _byte_values(lower: bool) -> np.ndarray:
     return mix(code + U64(0x5851F42D4C957F2D))
 
 
-@lru_cache(maxsize=4)
+_POWERS: dict[bool, np.ndarray] = {}
+
+
 def _powers(n: int, inverse: bool) -> np.ndarray:
-    p = np.full(n, _INVERSE if inverse else _BASE, dtype=U64)
-    p[0] = 1
-    return np.multiply.accumulate(p, dtype=U64)
+    """At least ``n`` powers of the base or its inverse; the table grows and is kept."""
+    have = _POWERS.get(inverse)
+    if have is None or len(have) < n:
+        p = np.full(1 << max(16, int(n - 1).bit_length()), _INVERSE if inverse else _BASE, dtype=U64)
+        p[0] = 1
+        have = _POWERS[inverse] = np.multiply.accumulate(p, dtype=U64)
+    return have
 
 
 @dataclass
@@ -62,10 +68,10 @@ class Words:
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(bytes, offsets)`` of a string column; nulls count as empty."""
+    """``(bytes, offsets)`` of a string or binary column; nulls count as empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"")
     _, off, data = column.buffers()
     offsets = np.frombuffer(off, dtype=np.int64)[column.offset: column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
@@ -103,10 +109,9 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, lo: int, hi: int, lower: bool
     closes[edges - 1] |= inside[1:-1][edges - 1]
     start = np.flatnonzero(opens)
     end = np.flatnonzero(closes) + 1
-    size = 1 << max(12, int(n).bit_length())
     prefix = np.zeros(n + 1, dtype=U64)
-    np.cumsum(_byte_values(lower)[data] * _powers(size, False)[:n], out=prefix[1:])
-    h = (prefix[end] - prefix[start]) * _powers(size, True)[start]
+    np.cumsum(_byte_values(lower)[data] * _powers(n, False)[:n], out=prefix[1:])
+    h = (prefix[end] - prefix[start]) * _powers(n, True)[start]
     h = mix(h + (end - start).astype(U64))
     first = np.searchsorted(start, doc_byte)
     doc = np.repeat(np.arange(hi - lo), np.diff(first))
@@ -123,3 +128,15 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
         h = mix(h * U64(0xD6E8FEB86659FD93) + w.hash[i: n + i])
     at = np.flatnonzero(w.doc[:n] == w.doc[size - 1:])
     return h[at], at
+
+
+def shingle_lists(column: pa.Array, size: int, lower: bool = True) -> list[np.ndarray]:
+    """The hashes of all windows of ``size`` words of every text, in order."""
+    raw, offsets = string_buffers(column)
+    out: list[np.ndarray] = []
+    for lo, hi in blocks(offsets):
+        w = words_of(raw, offsets, lo, hi, lower=lower)
+        h, at = shingles(w, size)
+        cut = np.searchsorted(w.doc[at], np.arange(hi - lo + 1)) if len(at) else np.zeros(hi - lo + 1, np.int64)
+        out.extend(h[cut[i]: cut[i + 1]] for i in range(hi - lo))
+    return out
