@@ -31,7 +31,7 @@ from lexiframe.llm.storage import plus, table, written
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
 #: Documents of the training sample, its parts, passes, and the hashed weights.
-TRAIN_DOCS, TRAIN_PARTS, PASSES, WEIGHTS = 16_384, 8, 8, 1 << 16
+TRAIN_DOCS, TRAIN_PARTS, PASSES, WEIGHTS = 16_384, 8, 16, 1 << 16
 RATE, DECAY = 12.0, 1e-7
 #: EM steps at most, and the smoothing of its counts.
 EM_STEPS, SMOOTHING = 200, 1.0
@@ -173,7 +173,7 @@ def train(sample: DataFrame) -> np.ndarray:
     rows = written(rows.repartition(TRAIN_PARTS, "key").sortWithinPartitions("key"), "train")
     weights = np.zeros(WEIGHTS + 1)
     for step in range(PASSES):
-        start, rate = weights.tobytes(), RATE / (1 + step)
+        start, rate = weights.tobytes(), RATE / (1 + step / 4)
 
         def descend(batches, start=start, rate=rate):
             w = np.frombuffer(start).copy()
