@@ -15,11 +15,6 @@ from pyspark.sql import functions as F
 from lexiframe.functions.vectors import as_doubles, logsumexp
 
 
-def accuracy(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    return df.agg(F.avg((F.col(label) == F.col(prediction)).cast("double")).alias("accuracy"),
-                  F.count(F.lit(1)).alias("n"))
-
-
 def per_class_counts(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """``(cls, n_true, n_pred, tp)`` over truth and predictions (full outer by class)."""
     truth = df.groupBy(F.col(label).alias("cls")).agg(
@@ -39,11 +34,6 @@ def per_class_f1(df: DataFrame, label: str = "label", prediction: str = "predict
     return counts.withColumn("f1", F.when(denom > 0, 2.0 * F.col("tp") / denom).otherwise(F.lit(0.0)))
 
 
-def macro_f1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Unweighted mean F1 over classes present in truth or predictions."""
-    return per_class_f1(df, label, prediction).agg(F.avg("f1").alias("macro_f1"))
-
-
 def evaluate(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """One row: accuracy, macro F1, number of rows, number of classes."""
     f1 = per_class_f1(df, label, prediction)
@@ -78,12 +68,6 @@ def confusion_long(df: DataFrame, label: str = "label", prediction: str = "predi
             .select("label", "prediction", F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def confusion_wide(long_df: DataFrame, labels: Sequence) -> DataFrame:
-    """Rows = true class, one column per predicted class (explicit class list)."""
-    return (long_df.groupBy("label").pivot("prediction", list(labels)).agg(F.sum("n"))
-            .fillna(0))
-
-
 def cross_entropy(df: DataFrame, logits: str = "logits", label: str = "label") -> DataFrame:
     """Mean of ``logsumexp(logits) - logits[label]`` (label is a 0-based index)."""
     v = as_doubles(logits)

@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from lexiframe.functions.text import join_columns
 
 
-def project(df: DataFrame, text: str, label: str, text_as: str = "text", label_as: str = "label",
-            keep: Sequence[str] = ()) -> DataFrame:
-    """Keep the text and label columns (plus ``keep``), renamed."""
-    return df.select(*keep, F.col(text).alias(text_as), F.col(label).alias(label_as))
-
-
 def rename(df: DataFrame, mapping: dict | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """Rename by mapping, or give all columns new positional names."""
     if names is not None:
@@ -52,10 +46,6 @@ def fill_empty(df: DataFrame, value: str = "", cols: Sequence[str] | None = None
     return df.fillna(value, subset=list(cols) if cols else None)
 
 
-def cast_to_string(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("string") for c in cols})
-
-
 def concat_columns(df: DataFrame, cols: Sequence[str], out: str, sep: str = " ",
                    null_as: str | None = "") -> DataFrame:
     return df.withColumn(out, join_columns(cols, sep, null_as))
@@ -78,11 +68,6 @@ def class_sizes(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def shape(df: DataFrame) -> DataFrame:
-    """One row: number of rows and number of columns."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_cols", F.lit(len(df.columns)))
-
-
 def wide_by_position(long_df: DataFrame, key: str, position: str, value: str, positions: Sequence[int],
                      prefix: str) -> DataFrame:
     """Long ``(key, position, value)`` rows to one column per position.

@@ -61,11 +61,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """This application's sub-folder of the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/lexiframe/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the shared checkpoint folder for written tables."""
-    base = checkpoint_dir(spark)
-    suffix = os.urandom(6).hex()
-    return f"{base.rstrip('/')}/lexiframe/{name}-{suffix}"
+    """A fresh folder for a written table."""
+    return f"{scratch_root(spark)}/{name}-{os.urandom(6).hex()}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote below ``scratch_root``; call it once
+    no result that was built from those tables is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:

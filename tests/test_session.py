@@ -29,3 +29,10 @@ def test_cluster_needs_a_shared_folder(master):
 def test_local_master_gets_a_folder():
     spark, made = _session("local[2]")
     assert session.checkpoint_dir(spark) == made[0]
+
+
+def test_scratch_folders_can_be_cleared(spark):
+    df = session.cut_lineage(spark.range(3), "gone")
+    assert df.count() == 3
+    assert session.clear_scratch(spark) is True and session.clear_scratch(spark) is False
+    assert session.cut_lineage(spark.range(4), "next").count() == 4
