@@ -43,7 +43,7 @@ from lexiframe.llm.kernels import U64, blocks, mix, shingle_lists, shingles, str
 from lexiframe.llm.storage import plus, release, table, written
 
 SHINGLE, MIN_WORDS, PERCENT = 5, 50, 80
-#: Hash functions; a power of two at most 8 (their number sits in a hash's low bits).
+#: Hash functions, at most 8 (a function's number sits in the low bits of its hashes).
 HASHES = 6
 WIDTH = MIN_WORDS - SHINGLE + 1
 #: Windows tied together before they leave a task.

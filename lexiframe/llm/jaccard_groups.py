@@ -4,25 +4,28 @@ Documents are sets of 3-word shingles; two link when 100 * |intersection| >=
 ``PERCENT`` * |union|.  The result is one row per document with its component,
 never all pairs.
 
-1. Equal sets become one class.  A class carries its prefix: the first
-   ``n - ceil(0.9 n) + 1`` shingles in an order that puts shingles of common
-   words last.  Two linked sets share a shingle of both prefixes, whatever the
-   order, so the order (from a bounded sample) decides speed alone.
-2. Similar classes are put into groups: members of a prefix shingle are tied to
-   a representative of like size, the ties are verified on the whole sets, and
-   connected classes form a group.
-3. The token-group matrix stores each group's union of shingles (a fixed eighth
-   of all shingles, chosen by hash).  A class that shares a prefix shingle with
-   a group other than its own queries it: if so many of its shingles are absent
-   from the union that no member can link, the group stays closed.
-4. Qualifying groups are opened: the class is compared on whole sets with the
-   members that share a prefix shingle.
-
-Every linked pair shares a prefix shingle, so it is either inside a group (2)
-or opened (4): no link is lost and no pair within a group has to be listed.
-A group of near copies costs one tie per member and shingle; members are tied
-inside each task first, so a shingle that a third of all rows hold reaches the
-shuffle once per task.
+1. Equal sets become one class.  The shingles of a class are dealt by hash into
+   ``d + SPARE`` parts, d being the most shingles in which two linked sets of
+   this size can differ: two linked sets agree in ``SPARE`` whole parts or more.
+   The hashes of the parts are the keys of the class.  Sizes meet in bands, so a
+   class has the keys of its own band and of the next one.
+2. Similar classes are put into groups: holders of a key are tied to a
+   representative of like size, every class's strongest tie is verified on
+   the whole texts, and connected classes form a group.
+3. The token-group matrix stores each group's union of shingles as a row of
+   ``BITS`` bits.  A class that shares a key with a group other than its own
+   queries it: if so many of its bits are absent from the union that no member
+   can link, the group stays closed (a bit stands for one shingle or more, so
+   the count of absent bits never exceeds that of absent shingles).
+4. Qualifying groups are opened: the class is held against the rows of the
+   members that share a key, and what passes is compared on whole sets.
+
+Every linked pair shares a key, so it is either inside a group (2) or opened
+(4): no link is lost and no pair within a group has to be listed.  Texts that
+only share a passage or common words share no key, as a key stands for about
+nine shingles from all over a text.  A group of near copies costs one tie per
+member and key; members are tied inside each task first, so a key that a third
+of all rows hold reaches the shuffle a few times per task.
 
 Defined results: NULL or wordless texts have no shingles and link with nothing
 (component = own id); texts under three words are one shingle; NULL ids get a
@@ -39,14 +42,15 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.graph import components
 from lexiframe.llm.kernels import U64, Words, blocks, mix, shingles, string_buffers, words_of
-from lexiframe.llm.storage import plus, table, written
+from lexiframe.llm.storage import release, table, written
 
 SHINGLE, PERCENT = 3, 90
-#: The order of shingles rests on so many sampled documents and common words (speed only).
-SAMPLE_DOCS, COMMON_WORDS = 4096, 4096
-#: One in so many shingles, by hash, stands in the token-group matrix.
-MATRIX_SHARE = 8
-#: Shingle rows that one task ties before they are shuffled.
+#: Parts in which two linked sets agree at least.  A set with this many empty
+#: parts or more has keys for its empty parts, too.
+SPARE = 2
+#: Bits of a row of the token-group matrix; bits compared at once.
+BITS, BLOCK = 2048, 1 << 22
+#: Key rows that one task ties before they are shuffled.
 TIE_ROWS = 2_000_000
 
 
@@ -69,15 +73,39 @@ def _block_sets(column: pa.Array):
         yield w, sh, at, first, lo, hi
 
 
-def common_words(docs: DataFrame) -> np.ndarray:
-    """Hashes of the most common words of a bounded sample, sorted."""
-    rows = docs.count()
-    share = min(1.0, SAMPLE_DOCS / max(rows, 1))
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    words = sample.select(F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("w")).filter("w <> ''")
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(COMMON_WORDS)
-    raw, offsets = string_buffers(pa.array([r["w"] for r in top.collect()], pa.string()))
-    return np.sort(words_of(raw, offsets, 0, len(offsets) - 1, lower=True).hash) if len(offsets) > 1 else np.zeros(0, U64)
+def band_of(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and first size of the bands up to the largest size: two sizes
+    that can link are in one band or in neighbouring ones."""
+    starts = [1]
+    while starts[-1] <= (int(size.max()) if len(size) else 1) * 2:
+        starts.append(starts[-1] * 100 // PERCENT + 1)
+    starts = np.array(starts, dtype=np.int64)
+    return np.searchsorted(starts, size, side="right") - 1, starts
+
+
+def part_keys(token: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Keys of every set.  ``token``: distinct shingles, set after set; ``doc``:
+    their sets; ``size``: the sets' sizes."""
+    band, starts = band_of(size)
+    out: list[list[np.ndarray]] = [[] for _ in size]
+    for step in (0, 1):
+        top = starts[band + step + 1] - 1
+        parts = (100 - PERCENT) * 2 * top // (100 + PERCENT) + SPARE
+        base = np.concatenate([[0], np.cumsum(parts)])
+        slot = base[doc] + ((token >> U64(11)) % parts[doc].astype(U64)).astype(np.int64)
+        value = mix(token + U64(0x2545F4914F6CDD1D))
+        low = np.bincount(slot, weights=(value & U64(0xFFFFFFFF)).astype(np.float64), minlength=base[-1]).astype(U64)
+        high = np.bincount(slot, weights=(value >> U64(32)).astype(np.float64), minlength=base[-1]).astype(U64)
+        count = np.bincount(slot, minlength=base[-1])
+        owner = np.repeat(np.arange(len(size)), parts)
+        place = (np.arange(base[-1]) - base[owner]).astype(U64)
+        key = mix(mix(low + (high << U64(32)) + count.astype(U64)) + place * U64(0x9E3779B97F4A7C15) + (band[owner] + step).astype(U64))
+        empty = np.add.reduceat(count == 0, base[:-1]) if len(size) else np.zeros(0, np.int64)
+        keep = (count > 0) | (empty >= SPARE)[owner]
+        for i in range(len(size)):
+            mine = slice(base[i], base[i + 1])
+            out[i].append(key[mine][keep[mine]])
+    return [np.concatenate(k).view(np.int64) for k in out]
 
 
 def _is_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -88,22 +116,20 @@ def _is_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     return values[i] == x
 
 
-SETS = "id long, n long, s1 long, s2 long, prefix array<long>"
+SETS = "id long, n long, s1 long, s2 long, keys array<long>, marks binary"
 
 
-def set_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """Size, 128-bit signature and prefix of every document's set; of equal
-    sets within a block only the first carries the prefix."""
+def set_rows(docs: DataFrame) -> DataFrame:
+    """Size, 128-bit signature, keys and matrix shingles of every document's
+    set; of equal sets within a block only the first carries the last two."""
 
     def sets(batches):
         for batch in batches:
             ids = batch.column("id")
-            for w, sh, at, first, lo, hi in _block_sets(batch.column("text")):
-                weight = _is_in(w.hash, common).astype(np.int8)
-                rank = sum(weight[at + k] for k in range(SHINGLE)) if len(at) else np.zeros(0, np.int8)
-                n, s1, s2, prefix, seen = [], [], [], [], set()
+            for w, sh, _, first, lo, hi in _block_sets(batch.column("text")):
+                n, s1, s2, fresh, seen = [], [], [], {}, set()
                 for i in range(hi - lo):
-                    h, first_at = np.unique(doc_shingles(w, i, sh, first), return_index=True)
+                    h = np.unique(doc_shingles(w, i, sh, first))
                     size = len(h)
                     a = int(mix(h + U64(1)).sum(dtype=U64)) if size else 0
                     b = int(np.bitwise_xor.reduce(mix(h + U64(77)))) if size else 0
@@ -112,15 +138,20 @@ def set_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
                     s2.append(b)
                     if size and (size, a, b) not in seen:
                         seen.add((size, a, b))
-                        k = size - -(-PERCENT * size // 100) + 1
-                        r = rank[first[i] + first_at] if w.first[i + 1] - w.first[i] >= SHINGLE else np.zeros(size, np.int8)
-                        prefix.append(h[np.lexsort((h, r))[:k]].view(np.int64))
-                    else:
-                        prefix.append(None)
+                        fresh[i] = h
+                keys = [None] * (hi - lo)
+                marks = [None] * (hi - lo)
+                if fresh:
+                    sizes = np.array([len(h) for h in fresh.values()])
+                    found = part_keys(np.concatenate(list(fresh.values())), np.repeat(np.arange(len(sizes)), sizes), sizes)
+                    for (i, h), k in zip(fresh.items(), found, strict=True):
+                        row = np.zeros(BITS, dtype=bool)
+                        row[(h >> U64(7)) % U64(BITS)] = True
+                        keys[i], marks[i] = k, np.packbits(row).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(np.array(s1, dtype=U64).view(np.int64)),
-                     pa.array(np.array(s2, dtype=U64).view(np.int64)), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["id", "n", "s1", "s2", "prefix"])
+                     pa.array(np.array(s2, dtype=U64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    names=["id", "n", "s1", "s2", "keys", "marks"])
 
     return docs.mapInArrow(sets, SETS)
 
@@ -128,19 +159,19 @@ def set_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
 TIES = "token long, node long, size long, to long"
 
 
-def _tie_block(token: np.ndarray, node: np.ndarray, size: np.ndarray, keep_first: bool):
-    """Ties of one block of (token, class) rows.
+def _tie_block(token: np.ndarray, node: np.ndarray, size: np.ndarray):
+    """Ties of one block of (key, class) rows.
 
-    Classes of a token are taken by size; each is tied to the smallest class of
+    Classes of a key are taken by size; each is tied to the smallest class of
     its run, a run ending where sizes are too far apart to link (there the
-    neighbour is tied, too).  Returns the rows that begin a run and the ties."""
+    neighbour is tied, too).  Returns the smallest and the largest row of every
+    run, which any class of another task that can link with the run can link
+    with too (by size), and the ties."""
     order = np.lexsort((node, size, token))
     token, node, size = token[order], node[order], size[order]
     n = len(token)
     new = np.ones(n, dtype=bool)
     new[1:] = token[1:] != token[:-1]
-    shared = np.zeros(n, dtype=bool)
-    shared[1:] = ~new[1:]
     begins = np.flatnonzero(new)
     heads, a, b = [], [], []
     ends = np.append(begins[1:], n)
@@ -150,7 +181,7 @@ def _tie_block(token: np.ndarray, node: np.ndarray, size: np.ndarray, keep_first
         i = s
         while i < e:
             run = i + int(np.searchsorted(size[i:e] * PERCENT, 100 * size[i], side="right"))
-            heads.append(np.array([i]))
+            heads.append(np.unique([i, run - 1]))
             a.append(np.arange(i + 1, run))
             b.append(np.full(run - i - 1, i))
             if run < e and size[run - 1] * 100 >= PERCENT * size[run]:
@@ -172,13 +203,13 @@ def tied_tokens(classes: DataFrame) -> DataFrame:
 
         def flush():
             token, node, size = (np.concatenate(c) for c in zip(*held, strict=True))
-            (t, m, s), (x, sx, y) = _tie_block(token, node, size, True)
+            (t, m, s), (x, sx, y) = _tie_block(token, node, size)
             pairs = _distinct_pairs(x, sx, y)
             yield _tie_rows(t, m, s, None)
             yield _tie_rows(None, *pairs)
 
         for batch in batches:
-            lists = batch.column("prefix")
+            lists = batch.column("keys")
             lengths = np.diff(lists.offsets.to_numpy())
             held.append((lists.flatten().to_numpy(), np.repeat(batch.column("node").to_numpy(), lengths),
                          np.repeat(batch.column("n").to_numpy(), lengths)))
@@ -189,7 +220,7 @@ def tied_tokens(classes: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return classes.select("node", "n", "prefix").mapInArrow(tie, TIES)
+    return classes.select("node", "n", "keys").mapInArrow(tie, TIES)
 
 
 def _distinct_pairs(x: np.ndarray, size: np.ndarray, y: np.ndarray):
@@ -223,116 +254,150 @@ def grouped_ties(tied: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(token, token[-1])) if len(token) and np.all(token[1:] >= token[:-1]) else 0
             rest = (token[cut:], node[cut:], size[cut:])
             if cut:
-                yield _tie_rows(None, *_distinct_pairs(*_tie_block(token[:cut], node[:cut], size[:cut], False)[1]))
+                yield _tie_rows(None, *_distinct_pairs(*_tie_block(token[:cut], node[:cut], size[:cut])[1]))
         if rest is not None and len(rest[0]):
-            yield _tie_rows(None, *_distinct_pairs(*_tie_block(*rest, False)[1]))
+            yield _tie_rows(None, *_distinct_pairs(*_tie_block(*rest)[1]))
 
     found = dealt.mapInArrow(tie, TIES)
-    return found.select("node", "to").unionByName(tied.filter("token is null").select("node", "to")).distinct()
+    both = found.select("node", "to").unionByName(tied.filter("token is null").select("node", "to"))
+    return both.groupBy(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).agg(F.count("*").alias("ties"))
 
 
-def sets_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, n, words)``: the sorted whole sets of the given classes as bytes."""
-    wanted = docs.join(nodes.select(F.col("node").alias("id"), "n", "s1"), "id")
+def strongest(ties: DataFrame) -> DataFrame:
+    """Every class's tie with most shared keys, seen from both ends."""
+    ends = ties.select("node", "to", "ties").unionByName(ties.select(F.col("to").alias("node"), F.col("node").alias("to"), "ties"))
+    best = ends.groupBy("node").agg(F.max(F.struct("ties", (-F.col("to")).alias("to"))).alias("t")).select("node", (-F.col("t.to")).alias("to"))
+    return best.select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).distinct()
 
-    def build(batches):
-        for batch in batches:
-            ids, want_n, want = (batch.column(c).to_pylist() for c in ("id", "n", "s1"))
-            for w, sh, _, first, lo, hi in _block_sets(batch.column("text")):
-                rows = []
-                for i in range(hi - lo):
-                    h = np.unique(doc_shingles(w, i, sh, first))
-                    # rows that share an id: the one whose set is the class's
-                    if len(h) == want_n[lo + i] and int(mix(h + U64(1)).sum(dtype=U64).view(np.int64)) == want[lo + i]:
-                        rows.append((ids[lo + i], len(h), h.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)],
-                                                     names=["node", "n", "words"])
-
-    return wanted.mapInArrow(build, "node long, n long, words binary").dropDuplicates(["node"])
 
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``(node, to)`` that link, by the sets of their whole texts.
+    The texts of both sides meet by pair, so a class of many pairs is spread."""
+    named = pairs.select("node", "to", F.xxhash64("node", "to").alias("pair"))
+    ends = named.select("pair", F.explode(F.array(F.struct(F.col("node").alias("id"), F.lit(0).alias("side")),
+                                                  F.struct(F.col("to").alias("id"), F.lit(1).alias("side")))).alias("e")).select("pair", "e.*")
+    texts = written(docs.join(ends, "id").select("id", "pair", "side", "text"), "pair-texts")
+    a = texts.filter("side = 0").select("pair", F.col("id").alias("node"), F.col("text").alias("a"))
+    b = texts.filter("side = 1").select("pair", F.col("id").alias("to"), F.col("text").alias("b"))
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``(node, to)`` that link, by their whole sets."""
-    a = sets.select("node", F.col("words").alias("wa"))
-    b = sets.select(F.col("node").alias("to"), F.col("words").alias("wb"))
+    def sets(column):
+        out = []
+        for w, sh, _, first, lo, hi in _block_sets(column):
+            out.extend(np.unique(doc_shingles(w, i, sh, first)) for i in range(hi - lo))
+        return out
 
     def compare(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
-                u, v = (np.frombuffer(z.as_buffer(), dtype=U64) for z in (x, y))
-                shared = int(_is_in(u, v).sum()) if len(u) <= len(v) else int(_is_in(v, u).sum())
-                good.append(100 * shared >= PERCENT * (len(u) + len(v) - shared) and shared > 0)
-            mask = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("node").filter(mask), batch.column("to").filter(mask)], names=["node", "to"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                good = []
+                for u, v in zip(sets(part.column("a")), sets(part.column("b")), strict=True):
+                    shared = int(_is_in(u, v).sum()) if len(u) <= len(v) else int(_is_in(v, u).sum())
+                    good.append(100 * shared >= PERCENT * (len(u) + len(v) - shared) and shared > 0)
+                mask = pa.array(good, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(mask) for c in ("node", "to")], names=["node", "to"])
+
+    return a.join(b, "pair").select("node", "to", "a", "b").mapInArrow(compare, "node long, to long").distinct()
+
+
+def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the holders of one key that the matrix does not rule out."""
+    order = np.lexsort((node, label))
+    node, size, label, row = node[order], size[order], label[order], row[order]
+    start = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+    end = np.append(start[1:], len(label))
+    union = np.bitwise_or.reduceat(row, start, axis=0)
+    least, most = np.minimum.reduceat(size, start), np.maximum.reduceat(size, start)
+    own = np.repeat(np.arange(len(start)), end - start)
+    left, right = [], []
+    step = max(1, BLOCK // (len(start) * BITS // 8))
+    for i in range(0, len(node), step):
+        x = size[i: i + step, None]
+        absent = np.bitwise_count(row[i: i + step, None, :] & ~union[None]).sum(axis=2, dtype=np.int64)
+        y = np.maximum(least[None], -(-PERCENT * x // 100))  # the smallest member that can link
+        opens = (absent <= (100 * x - PERCENT * y) // (100 + PERCENT)) & (100 * most[None] >= PERCENT * x) & (PERCENT * least[None] <= 100 * x)
+        opens &= own[i: i + step, None] != np.arange(len(start))[None]
+        who, group = np.nonzero(opens)
+        count = end[group] - start[group]
+        a = np.repeat(who + i, count)
+        b = np.repeat(start[group] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum()) if len(group) else np.zeros(0, np.int64)
+        for j in range(0, len(a), max(1, BLOCK * 8 // BITS)):
+            p, q = a[j: j + BLOCK * 8 // BITS], b[j: j + BLOCK * 8 // BITS]
+            miss_p = np.bitwise_count(row[p] & ~row[q]).sum(axis=1, dtype=np.int64)
+            miss_q = np.bitwise_count(row[q] & ~row[p]).sum(axis=1, dtype=np.int64)
+            ok = (miss_p <= (100 * size[p] - PERCENT * size[q]) // (100 + PERCENT)) & (miss_q <= (100 * size[q] - PERCENT * size[p]) // (100 + PERCENT))
+            left.append(node[p[ok]])
+            right.append(node[q[ok]])
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+
+
+def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs of classes of different groups that share a key, for the (class,
+    group) queries that the matrix does not rule out.  Only keys whose holders
+    lie in two groups or more are looked at."""
+    near = classes.join(groups, "node")  # classes with a tie: (node, n, keys, marks, label)
+    tokens = written(near.select("node", F.col("n").alias("size"), "label", F.explode("keys").alias("token")), "group-keys")
+    # min and max are pre-aggregated in each task
+    split = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
+    cross = written(tokens.join(split, "token"), "cross-keys").join(near.select("node", "marks"), "node")
+    dealt = cross.select("token", "node", "size", "label", "marks").repartition("token").sortWithinPartitions("token", "size", "node")
 
-    return pairs.join(a, "node").join(b, "to").select("node", "to", "wa", "wb").mapInArrow(compare, "node long, to long")
+    def compare(batches):
+        rest = None
 
+        def pairs(cols):
+            token = cols[0]
+            cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
+            found = [_open_groups(*[c[lo:hi] for c in cols[1:]]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1]
+            if found:
+                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["node", "to"])
 
-def matrix_tokens(sets: DataFrame) -> DataFrame:
-    """``(node, n, token)`` for the share of shingles that stands in the matrix."""
-    def pick(batches):
         for batch in batches:
-            node, n = batch.column("node").to_numpy(), batch.column("n").to_numpy()
-            picked = []
-            for x in batch.column("words"):
-                h = np.frombuffer(x.as_buffer(), dtype=U64)
-                picked.append(h[h % U64(MATRIX_SHARE) == 0].view(np.int64))
-            k = np.array([len(p) for p in picked])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, k)), pa.array(np.repeat(n, k)),
-                                              pa.array(np.concatenate(picked) if len(picked) else np.zeros(0, np.int64))], names=["node", "n", "token"])
-
-    return sets.mapInArrow(pick, "node long, n long, token long")
-
-
-def opened_pairs(classes: DataFrame, groups: DataFrame, sets: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs of classes of different groups that share a prefix shingle, for
-    the (class, group) queries that the matrix does not rule out."""
-    near = classes.join(groups, "node")  # classes with a tie; (node, n, prefix, label)
-    tokens = written(near.select("node", F.col("n").alias("size"), "label", F.explode("prefix").alias("token")), "group-tokens")
-    # shingles whose holders lie in two groups or more; min and max are pre-aggregated in each task
-    split = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    cross = written(tokens.join(split, "token"), "cross-tokens")
-    held = cross.select("token", "label").distinct().select("token", F.col("label").alias("group"))
-    queries = written(cross.join(held, "token").filter("label <> group").select("node", "size", "group").distinct(), "group-queries")
-    share = matrix_tokens(sets)
-    matrix = share.join(groups, "node").select(F.col("label").alias("group"), "token").distinct()
-    asked = queries.join(share.select("node", "token"), "node", "left")
-    absent = asked.join(matrix.withColumn("_in", F.lit(1)), ["group", "token"], "left").groupBy("node", "group", "size").agg(
-        F.count(F.when(F.col("token").isNotNull() & F.col("_in").isNull(), 1)).alias("absent"))
-    may_miss = F.col("size") - F.ceil(F.col("size") * PERCENT / 100)
-    open_groups = written(absent.filter(F.col("absent") <= may_miss).select("node", "group"), "open-groups")
-    mine = cross.join(open_groups, "node").select("token", "node", "size", "group")
-    members = cross.select("token", F.col("node").alias("to"), F.col("size").alias("to_size"), F.col("label").alias("group"))
-    pairs = mine.join(members, ["token", "group"]).filter(
-        (F.least("size", "to_size") * 100 >= F.greatest("size", "to_size") * PERCENT))
-    pairs = pairs.select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).distinct()
-    return pairs.join(tested, ["node", "to"], "left_anti")
+            cols = [batch.column(c).to_numpy() for c in ("token", "node", "size", "label")]
+            marks = b"".join(batch.column("marks").to_pylist())
+            cols.append(np.frombuffer(marks, dtype=U64).reshape(batch.num_rows, BITS // 64))
+            if rest is not None:
+                cols = [np.concatenate(c) for c in zip(rest, cols, strict=True)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1])) if batch.num_rows else 0
+            if cut:
+                yield from pairs([c[:cut] for c in cols])
+            rest = [c[cut:] for c in cols]
+        if rest is not None and len(rest[0]):
+            yield from pairs(rest)
+
+    found = dealt.mapInArrow(compare, "node long, to long").distinct()
+    return found.join(tested, ["node", "to"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``(id, n_shingles, component_id)`` for every row of ``docs``."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(set_rows(keyed, common_words(keyed)), "sets")
+    rows = written(set_rows(keyed), "sets")
     key = ["n", "s1", "s2"]
+    spark = docs.sparkSession
     usable = rows.filter("n > 0 and id is not null")
     names = written(usable.groupBy(*key).agg(F.min("id").alias("node")), "class-names")
-    prefixes = usable.filter("prefix is not null").dropDuplicates(key).select(*key, "prefix")
-    classes = written(names.join(prefixes, key).select("node", "n", "s1", "prefix"), "classes")
-    tied = written(tied_tokens(classes), "ties")
-    ties = written(grouped_ties(tied).select(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).distinct(), "ties")
-    nodes = ties.select("node").unionByName(ties.select(F.col("to").alias("node"))).distinct()
-    near = classes.select("node", "n", "s1").join(nodes, "node")
-    sets = written(sets_of(keyed, near), "whole-sets")
-    links = written(verified(ties, sets), "links")
+    first = usable.filter("keys is not null").groupBy(*key).agg(F.first(F.struct("keys", "marks")).alias("f"))  # equal within a class
+    classes = written(names.join(first, key).select("node", "n", "f.keys", "f.marks"), "classes")
+    ties = written(grouped_ties(tied_tokens(classes)), "ties")
+    release(spark)
+    tested = written(strongest(ties), "pairs")
+    links = written(verified(tested, keyed), "links")
+    release(spark)
     groups = components(links, "node", "to")
     # classes with a tie but no link are groups of one
-    alone = nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    groups_of = written(alone, "groups")
-    more = written(verified(opened_pairs(classes, groups_of, sets, ties), sets), "links")
-    labels = groups if more.isEmpty() else components(links.unionByName(more), "node", "to")
-    return (rows.drop("prefix").join(names, key, "left").join(labels, "node", "left")
+    nodes = ties.select("node").unionByName(ties.select(F.col("to").alias("node"))).distinct()
+    groups_of = written(nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
+    opened = written(opened_pairs(classes, groups_of, tested), "pairs")
+    release(spark)
+    labels = groups
+    if not opened.isEmpty():
+        labels = components(links.unionByName(written(verified(opened, keyed), "links")), "node", "to")
+        release(spark)
+    return (rows.select("id", *key).join(names, key, "left").join(labels, "node", "left")
             .select("id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "node")).alias("component_id")))
 
@@ -351,4 +416,22 @@ def one_per_group(spark, docs, sf_dir):
     gone = found.filter("component_id < id").select(F.col("id").alias("doc_id")).distinct()
     left = docs.join(gone, "doc_id", "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    return left.withColumn("_nth", nth).filter(F.col("doc_id").isNull() | (F.col("_nth") == 1)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    named = left.filter("doc_id is not null").withColumn("_nth", nth).filter("_nth = 1")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    return named.select(*cols).unionByName(docs.filter("doc_id is null").select(*cols))
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS t FROM documents),
+l AS (SELECT doc_id, CASE WHEN len(t) >= 3 THEN list_distinct(list_transform(range(1, len(t) - 1), lambda i: concat_ws(' ', t[i], t[i + 1], t[i + 2])))
+                          WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, len(coalesce(s, [])) AS n FROM l),
+s AS (SELECT doc_id, unnest(s) AS sh FROM l),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM c JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 90 * (nx.n + ny.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.y FROM r JOIN e ON r.b = e.x)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, m.b AS component_id
+FROM n JOIN (SELECT a, min(b) AS b FROM r GROUP BY a) m ON m.a = n.doc_id
+"""
