@@ -128,7 +128,17 @@ def _heads(key, context):
 def _ties(key, doc, place, reach, second):
     """Ties of rows sorted by key, first context, document and place, and the
     rows that are the first of their key and a context."""
+    new = np.append(True, key[1:] != key[:-1])
+    alone = new & np.append(new[1:], True)
+    shared = np.flatnonzero(~alone)  # most keys have one row, which is its own head
+    ties, heads = _shared_ties(*[c[shared] for c in (key, doc, place, reach, second)])
+    return ties, np.sort(np.concatenate([np.flatnonzero(alone), shared[heads]]))
+
+
+def _shared_ties(key, doc, place, reach, second):
     rows = np.arange(len(key))
+    if not len(rows):
+        return pa.RecordBatch.from_pylist([], schema=pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in TIES.split(", ")])), rows
     begins, head = _heads(key, place >> 32)
     by_second = np.lexsort((place & 0xFFFFFFFF, doc, second, key))
     begins_second, first = _heads(key[by_second], second[by_second])
@@ -167,8 +177,14 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
         def flush():
             key, doc, place, reach, second = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((place & 0xFFFFFFFF, doc, place >> 32, key))
+            order = np.argsort(key, kind="stable")
             cols = [c[order] for c in (key, doc, place, reach, second)]
+            new = np.append(True, cols[0][1:] != cols[0][:-1])
+            shared = np.flatnonzero(~(new & np.append(new[1:], True)))
+            finer = [c[shared] for c in cols]
+            order = np.lexsort((finer[2] & 0xFFFFFFFF, finer[1], finer[2] >> 32, finer[0]))
+            for c, f in zip(cols, finer, strict=True):
+                c[shared] = f[order]
             ties, heads = _ties(*cols)
             yield padded(len(heads), **{x: pa.array(c[heads]) for x, c in zip(names, cols, strict=False)})
             if ties.num_rows:
