@@ -18,7 +18,9 @@ never all pairs.
    can link, the group stays closed (a bit stands for one shingle or more, so
    the count of absent bits never exceeds that of absent shingles).
 4. Qualifying groups are opened: the class is held against the rows of the
-   members that share a key, and what passes is compared on whole sets.
+   members that share a key.  Of each two groups the closest pair is compared
+   on whole sets first, and groups that link become one, until none do; then
+   every pair that is left between groups is compared.
 
 Every linked pair shares a key, so it is either inside a group (2) or opened
 (4): no link is lost and no pair within a group has to be listed.  Texts that
@@ -300,8 +302,10 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return a.join(b, "pair").select("node", "to", "a", "b").mapInArrow(compare, "node long, to long").distinct()
 
 
-def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the holders of one key that the matrix does not rule out."""
+def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.ndarray, closest: bool) -> np.ndarray:
+    """Pairs of the holders of one key that the matrix does not rule out, as
+    rows (lower group, higher group, absent bits, node, node); ``closest``: one
+    pair of each two groups."""
     order = np.lexsort((node, label))
     node, size, label, row = node[order], size[order], label[order], row[order]
     start = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
@@ -309,7 +313,7 @@ def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.
     union = np.bitwise_or.reduceat(row, start, axis=0)
     least, most = np.minimum.reduceat(size, start), np.maximum.reduceat(size, start)
     own = np.repeat(np.arange(len(start)), end - start)
-    left, right = [], []
+    found = [np.zeros((0, 5), np.int64)]
     step = max(1, BLOCK // (len(start) * BITS // 8))
     for i in range(0, len(node), step):
         x = size[i: i + step, None]
@@ -326,16 +330,27 @@ def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.
             miss_p = np.bitwise_count(row[p] & ~row[q]).sum(axis=1, dtype=np.int64)
             miss_q = np.bitwise_count(row[q] & ~row[p]).sum(axis=1, dtype=np.int64)
             ok = (miss_p <= (100 * size[p] - PERCENT * size[q]) // (100 + PERCENT)) & (miss_q <= (100 * size[q] - PERCENT * size[p]) // (100 + PERCENT))
-            left.append(node[p[ok]])
-            right.append(node[q[ok]])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+            p, q = p[ok], q[ok]
+            low, high = np.minimum(label[p], label[q]), np.maximum(label[p], label[q])
+            found.append(_closest(np.stack([low, high, (miss_p + miss_q)[ok], np.maximum(node[p], node[q]), np.minimum(node[p], node[q])], axis=1), closest))
+    return _closest(np.concatenate(found), closest)
 
 
-def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
+def _closest(pairs: np.ndarray, one: bool) -> np.ndarray:
+    """Distinct rows, or the first row of each two groups."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort(pairs.T[::-1])]
+    width = 2 if one else 5
+    keep = np.append(True, (pairs[1:, :width] != pairs[:-1, :width]).any(axis=1))
+    return pairs[keep]
+
+
+def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame, closest: bool) -> DataFrame:
     """Pairs of classes of different groups that share a key, for the (class,
-    group) queries that the matrix does not rule out.  Only keys whose holders
-    lie in two groups or more are looked at."""
+    group) queries that the matrix does not rule out: one pair of each two
+    groups (``closest``) or all.  Only keys whose holders lie in two groups or
+    more are looked at."""
     near = classes.join(groups, "node")  # classes with a tie: (node, n, keys, marks, label)
     tokens = written(near.select("node", F.col("n").alias("size"), "label", F.explode("keys").alias("token")), "group-keys")
     # min and max are pre-aggregated in each task
@@ -349,11 +364,10 @@ def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame) -> Da
         def pairs(cols):
             token = cols[0]
             cut = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            found = [_open_groups(*[c[lo:hi] for c in cols[1:]]) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1]
+            found = [_open_groups(*[c[lo:hi] for c in cols[1:]], closest) for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if hi - lo > 1]
             if found:
-                a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-                both = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["node", "to"])
+                rows = _closest(np.concatenate(found), closest)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(5)], names=["low", "high", "miss", "node", "to"])
 
         for batch in batches:
             cols = [batch.column(c).to_numpy() for c in ("token", "node", "size", "label")]
@@ -368,8 +382,11 @@ def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame) -> Da
         if rest is not None and len(rest[0]):
             yield from pairs(rest)
 
-    found = dealt.mapInArrow(compare, "node long, to long").distinct()
-    return found.join(tested, ["node", "to"], "left_anti")
+    found = dealt.mapInArrow(compare, "low long, high long, miss long, node long, to long")
+    if closest:
+        best = found.groupBy("low", "high").agg(F.min(F.struct("miss", "node", "to")).alias("b"))
+        found = best.select("b.node", "b.to")
+    return found.select("node", "to").distinct().join(tested, ["node", "to"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -390,13 +407,22 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     groups = components(links, "node", "to")
     # classes with a tie but no link are groups of one
     nodes = ties.select("node").unionByName(ties.select(F.col("to").alias("node"))).distinct()
-    groups_of = written(nodes.join(groups, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
-    opened = written(opened_pairs(classes, groups_of, tested), "pairs")
-    release(spark)
-    labels = groups
-    if not opened.isEmpty():
-        labels = components(links.unionByName(written(verified(opened, keyed), "links")), "node", "to")
+    nodes = written(nodes, "tied-nodes")
+    labels, closest = groups, True
+    while True:
+        groups_of = written(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
+        opened = written(opened_pairs(classes, groups_of, tested, closest), "pairs")
+        release(spark)
+        more = written(verified(opened, keyed), "links")
         release(spark)
+        merged = not more.isEmpty()
+        if merged:  # groups that link become one
+            links = links.unionByName(more)
+            labels = components(links, "node", "to")
+        tested = tested.unionByName(opened)
+        if not closest:
+            break
+        closest = merged
     return (rows.select("id", *key).join(names, key, "left").join(labels, "node", "left")
             .select("id", F.col("n").alias("n_shingles"),
                     F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("label", "node")).alias("component_id")))
