@@ -265,7 +265,7 @@ def token_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: st
                     rows.append((key, i, at // width, length, ids, part, seen.get(length, 0)))
                     seen[length] = seen.get(length, 0) + 1
                 size += len(raw)
-                if size > 8 << 20:
+                if size > 2 << 20:
                     yield _pieces_batch(rows)
                     rows, size = [], 0
             if rows:
