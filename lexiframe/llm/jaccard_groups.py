@@ -18,9 +18,9 @@ never all pairs.
    can link, the group stays closed (a bit stands for one shingle or more, so
    the count of absent bits never exceeds that of absent shingles).
 4. Qualifying groups are opened: the class is held against the rows of the
-   members that share a key.  Of each two groups the closest pair is compared
-   on whole sets first, and groups that link become one, until none do; then
-   every pair that is left between groups is compared.
+   members that share a key.  The closest pair of each group is compared on
+   whole sets first, and groups that link become one, until none do; then every
+   pair that is left between groups is compared.
 
 Every linked pair shares a key, so it is either inside a group (2) or opened
 (4): no link is lost and no pair within a group has to be listed.  Texts that
@@ -304,8 +304,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.ndarray, closest: bool) -> np.ndarray:
     """Pairs of the holders of one key that the matrix does not rule out, as
-    rows (lower group, higher group, absent bits, node, node); ``closest``: one
-    pair of each two groups."""
+    rows (lower group, higher group, absent bits, node, node); ``closest``: the
+    closest pair of each group alone."""
     order = np.lexsort((node, label))
     node, size, label, row = node[order], size[order], label[order], row[order]
     start = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
@@ -337,19 +337,23 @@ def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.
 
 
 def _closest(pairs: np.ndarray, one: bool) -> np.ndarray:
-    """Distinct rows, or the first row of each two groups."""
+    """Distinct rows; ``one``: the closest row of each group."""
     if not len(pairs):
         return pairs
+    if one:
+        label = np.concatenate([pairs[:, 0], pairs[:, 1]])
+        rows = np.concatenate([pairs, pairs])
+        order = np.lexsort((rows[:, 4], rows[:, 3], rows[:, 2], label))
+        label, rows = label[order], rows[order]
+        pairs = rows[np.append(True, label[1:] != label[:-1])]
     pairs = pairs[np.lexsort(pairs.T[::-1])]
-    width = 2 if one else 5
-    keep = np.append(True, (pairs[1:, :width] != pairs[:-1, :width]).any(axis=1))
-    return pairs[keep]
+    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))]
 
 
 def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame, closest: bool) -> DataFrame:
     """Pairs of classes of different groups that share a key, for the (class,
-    group) queries that the matrix does not rule out: one pair of each two
-    groups (``closest``) or all.  Only keys whose holders lie in two groups or
+    group) queries that the matrix does not rule out: the closest pair of each
+    group (``closest``) or all.  Only keys whose holders lie in two groups or
     more are looked at."""
     near = classes.join(groups, "node")  # classes with a tie: (node, n, keys, marks, label)
     tokens = written(near.select("node", F.col("n").alias("size"), "label", F.explode("keys").alias("token")), "group-keys")
@@ -384,8 +388,8 @@ def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame, close
 
     found = dealt.mapInArrow(compare, "low long, high long, miss long, node long, to long")
     if closest:
-        best = found.groupBy("low", "high").agg(F.min(F.struct("miss", "node", "to")).alias("b"))
-        found = best.select("b.node", "b.to")
+        ends = found.select(F.explode(F.array("low", "high")).alias("label"), "miss", "node", "to")
+        found = ends.groupBy("label").agg(F.min(F.struct("miss", "node", "to")).alias("b")).select("b.node", "b.to")
     return found.select("node", "to").distinct().join(tested, ["node", "to"], "left_anti")
 
 
