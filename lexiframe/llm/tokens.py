@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces kept by one Python worker; later ones are encoded again when they return.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 350_000
 #: Characters of the texts that are cut into pieces at once, and rows taken from Arrow at once.
 SLICE_CHARS, SLICE_ROWS = 1_000_000, 512
 #: Pieces encoded in one call.
