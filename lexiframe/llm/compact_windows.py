@@ -125,32 +125,36 @@ def _heads(key, context):
     return new, heads[np.cumsum(new) - 1]
 
 
-def _ties(key, doc, place, reach, second):
-    """Ties of rows sorted by key, first context, document and place, and the
-    rows that are the first of their key and a context."""
+def _ties(key, doc, place, reach, second, known=0):
+    """Ties of rows sorted by key, document and place, and the rows that are the
+    first of their key and a context.  The first ``known`` rows are such rows of
+    blocks before: others are tied to them, their own ties are known."""
     new = np.append(True, key[1:] != key[:-1])
     alone = new & np.append(new[1:], True)
     shared = np.flatnonzero(~alone)  # most keys have one row, which is its own head
-    ties, heads = _shared_ties(*[c[shared] for c in (key, doc, place, reach, second)])
+    ties, heads = _shared_ties(*[c[shared] for c in (key, doc, place, reach, second)], int(np.searchsorted(shared, known)))
     return ties, np.sort(np.concatenate([np.flatnonzero(alone), shared[heads]]))
 
 
-def _shared_ties(key, doc, place, reach, second):
+def _shared_ties(key, doc, place, reach, second, known):
     rows = np.arange(len(key))
     if not len(rows):
         return pa.RecordBatch.from_pylist([], schema=pa.schema([(f.split()[0], pa.int64() if f.endswith("long") else pa.int32()) for f in TIES.split(", ")])), rows
-    begins, head = _heads(key, place >> 32)
-    by_second = np.lexsort((place & 0xFFFFFFFF, doc, second, key))
-    begins_second, first = _heads(key[by_second], second[by_second])
-    other = np.empty_like(rows)
-    other[by_second] = by_second[first]
-    by_doc = np.lexsort((place & 0xFFFFFFFF, doc, key))
-    _, first = _heads(key[by_doc], key[by_doc])
-    earliest = np.empty_like(rows)
-    earliest[by_doc] = by_doc[first]
-    heads = np.flatnonzero(begins | np.isin(rows, by_second[begins_second]))
+
+    def firsts(context):
+        order = np.lexsort((context, key))  # stable: by document and place within a context
+        begins, first = _heads(key[order], context[order])
+        out = np.empty_like(rows)
+        out[order] = order[first]
+        return order[begins], out
+
+    _, earliest = _heads(key, key)
+    begins, head = firsts(place >> 32)
+    begins_second, other = firsts(second)
+    heads = np.union1d(begins, begins_second)
     far = [doc[earliest] != doc, (doc[head] != doc) & (doc[head] != doc[earliest]),
            (doc[other] != doc) & (doc[other] != doc[earliest]) & (doc[other] != doc[head])]
+    far = [f & (rows >= known) for f in far]
     a = np.concatenate([rows[f] for f in far])
     b = np.concatenate([t[f] for t, f in zip((earliest, head, other), far, strict=True)])
     agree = ((place[a] >> 32) == (place[b] >> 32)) | (second[a] == second[b])
@@ -182,7 +186,7 @@ def window_rows(docs: DataFrame) -> DataFrame:
             new = np.append(True, cols[0][1:] != cols[0][:-1])
             shared = np.flatnonzero(~(new & np.append(new[1:], True)))
             finer = [c[shared] for c in cols]
-            order = np.lexsort((finer[2] & 0xFFFFFFFF, finer[1], finer[2] >> 32, finer[0]))
+            order = np.lexsort((finer[2] & 0xFFFFFFFF, finer[1], finer[0]))
             for c, f in zip(cols, finer, strict=True):
                 c[shared] = f[order]
             ties, heads = _ties(*cols)
@@ -214,41 +218,42 @@ def window_rows(docs: DataFrame) -> DataFrame:
 
 def all_ties(rows: DataFrame) -> DataFrame:
     """Ties inside tasks and over all tasks.  Both kinds of rows share one
-    shuffle: heads go by key, found ties by their pair."""
+    shuffle: heads go by key, found ties by their pair.  A key's rows come by
+    document, so its earliest document is in the first block; a key of more than
+    ``TIE_ROWS`` rows is tied block by block, and the first row of each of its
+    contexts goes on to the next block, which gives the ties of one block."""
     deal = F.coalesce(F.col("key"), F.xxhash64("a", "b"))
     dealt = rows.withColumn("_deal", deal).repartition("_deal").drop("_deal")
-    dealt = dealt.withColumn("_context", F.shiftright("place", 32)).sortWithinPartitions("key", "_context", "doc", "place").drop("_context")
+    dealt = dealt.withColumn("_c", F.col("place").bitwiseAND(0xFFFFFFFF)).sortWithinPartitions("key", "doc", "_c").drop("_c")
     tie_names = [f.split()[0] for f in TIES.split(", ")]
 
     def tie(batches):
-        rest = None
+        held, rows, known = [], 0, 0  # rows of one key not yet tied, after its known heads
         for batch in batches:
             old = batch.column("key").null_count
             if old:  # nulls sort first: ties that are known
-                known = batch.filter(pc.is_null(batch.column("key")))
-                yield known.select(tie_names)
+                yield batch.filter(pc.is_null(batch.column("key"))).select(tie_names)
                 batch = batch.filter(pc.is_valid(batch.column("key")))
             if not batch.num_rows:
                 continue
-            cols = [batch.column(c).to_numpy() for c in ("key", "doc", "place", "reach", "second")]
-            if rest is not None:
-                cols = [np.concatenate(p) for p in zip(rest, cols, strict=True)]
-            key = cols[0]
-            cut = int(np.searchsorted(key, key[-1]))
+            held.append([batch.column(c).to_numpy() for c in ("key", "doc", "place", "reach", "second")])
+            rows += batch.num_rows
+            last = held[-1][0][-1]
+            if held[0][0][0] == last and rows - known <= TIE_ROWS:
+                continue
+            cols = [np.concatenate(p) for p in zip(*held, strict=True)]
+            cut = int(np.searchsorted(cols[0], last))
             if cut:
-                found, _ = _ties(*[c[:cut] for c in cols])
-                if found.num_rows:
-                    yield found
-            elif len(key) > TIE_ROWS:  # one key beyond a block: its first row and the last context's first row go on
-                found, heads = _ties(*cols)
+                found, _ = _ties(*[c[:cut] for c in cols], known)
+                held, known = [[c[cut:] for c in cols]], 0
+            else:  # one key beyond a block: the heads of all its contexts go on
+                found, heads = _ties(*cols, known)
+                held, known = [[c[heads] for c in cols]], len(heads)
+            rows = len(held[0][0])
+            if found.num_rows:
                 yield found
-                keep = np.unique([0, heads[-1]])
-                cols = [c[keep] for c in cols]
-                rest = cols
-                continue
-            rest = [c[cut:] for c in cols]
-        if rest is not None:
-            found, _ = _ties(*rest)
+        if held:
+            found, _ = _ties(*[np.concatenate(p) for p in zip(*held, strict=True)], known)
             if found.num_rows:
                 yield found
 

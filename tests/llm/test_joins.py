@@ -189,3 +189,19 @@ def test_passages_of_sequences():
     assert cw.passages(x, y) == [(100, 184, 40, 124, 1.0)]
     assert cw.passages(x[:45], x[:45]) == [] and len(cw.passages(x[:46], x[:46])) == 1
     assert cw.passages(np.zeros(60, np.uint64), np.zeros(60, np.uint64))
+
+
+def test_ties_of_a_key_beyond_a_block(spark, monkeypatch):
+    """The order of contexts is not that of documents; blocks change nothing."""
+    rnd = random.Random(5)
+    rows = [(key, d, rnd.randrange(40) << 32 | rnd.randrange(90), 60 << 16 | 60, rnd.randrange(40), *[None] * 9)
+            for key in (3, 8, 9) for d in range(400 if key == 8 else 3) for _ in range(1 + d % 2)]
+    df = spark.createDataFrame(rows, f"{cw.ROWS}, {cw.TIES}").repartition(3)
+    whole = sorted(map(tuple, cw.all_ties(df).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        monkeypatch.setattr(cw, "TIE_ROWS", 50)
+        assert sorted(map(tuple, cw.all_ties(df).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {a for a, b, *_ in whole if b == 0} >= set(range(1, 400))  # all tied to the key's earliest document
