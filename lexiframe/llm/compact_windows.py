@@ -33,6 +33,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,7 +50,7 @@ HASHES = 6
 WIDTH = MIN_WORDS - SHINGLE + 1
 #: Windows tied together before they leave a task.
 TIE_ROWS = 1_500_000
-#: Shingles that edits may interrupt a passage by (two neighbouring words).
+#: Shingles that edits may interrupt a run by (two neighbouring words); beyond, stretches are searched.
 GAP = 2 * SHINGLE
 _SEEDS = mix(np.arange(1, 9, dtype=U64) * U64(0xA0761D6478BD642F))
 _REACH = (1 << 16) - 1
@@ -356,53 +358,160 @@ def slices(docs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.mapInArrow(cut, "region long, side int, lo int, words binary")
 
 
+def _along(lo: np.ndarray, hi: np.ndarray, order: list[int], step: int) -> np.ndarray:
+    """A place in the other text for each shingle that occurs there (``order[lo:hi]``
+    are its places), next to the diagonal of the shingle before (``step`` -1: after)."""
+    place = np.full(len(lo), -1)
+    last = None
+    for i in np.flatnonzero(hi > lo)[::step].tolist():
+        p, q = int(lo[i]), int(hi[i])
+        if q - p > 1 and last is None:
+            p = p if step == 1 else q - 1
+        elif q - p > 1:
+            want = at + i - last
+            j = bisect_left(order, want, p, q)
+            p = j if j < q and (j == p or order[j] - want <= want - order[j - 1]) else j - 1
+        place[i] = at = order[p]
+        last = i
+    return place
+
+
+def _chains(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+    """Matches ``(p, q)``, sorted by p, as chains that rise in both texts.  Two
+    unbroken stretches are linked if some passage could hold the gap between."""
+    cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
+    first, end = np.append(0, cut), np.append(cut, len(p))
+    gain = (100 - PERCENT) * (end - first)
+    left = np.cumsum(gain[::-1])[::-1]
+    best, before = gain.copy(), np.full(len(gain), -1)
+    for k in range(1, len(gain)):
+        gap_x, gap_y = p[first[k]] - p[end[:k] - 1] - 1, q[first[k]] - q[end[:k] - 1] - 1
+        value = np.where(gap_y >= 0, best[:k] - PERCENT * (gap_x + gap_y), -left[0] - left[k] - 100)
+        j = int(np.argmax(value))
+        if value[j] + left[k] + 100 - PERCENT >= 0:
+            before[k] = j
+            best[k] += max(int(value[j]), 0)
+    inner = set(before.tolist())
+    out = []
+    for k in range(len(gain)):
+        if k not in inner:  # a last stretch
+            path = []
+            while k >= 0:
+                path.append(np.arange(first[k], end[k]))
+                k = int(before[k])
+            out.append(np.concatenate(path[::-1]))
+    return out
+
+
+def _cover(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """Few of the intervals (ends included, starts ascending) that cover what all cover."""
+    top = np.maximum.accumulate(np.append(-1, end))
+    new = end > top[:-1]
+    start, end = start[new], end[new]
+    out, i, done = [], 0, -1
+    while i < len(start):
+        i = max(i, int(np.searchsorted(start, done + 1, side="right")) - 1)
+        out.append((int(start[i]), int(end[i])))
+        done = int(end[i])
+        i += 1
+    return out
+
+
+def _furthest(f: np.ndarray) -> np.ndarray:
+    """For each place the last one from which Jaccard is ``PERCENT`` or more,
+    where ``f`` is (100 + PERCENT) x matches - PERCENT x (both lengths) so far."""
+    top = np.maximum.accumulate(f[::-1])[::-1]
+    return np.searchsorted(-top, 100 - PERCENT - f, side="right") - 1
+
+
+def _earlier(v: np.ndarray) -> np.ndarray:
+    """Place of the same value before (-1: none)."""
+    order = np.argsort(v, kind="stable")
+    out = np.full(len(v), -1)
+    same = v[order[1:]] == v[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, plain: bool) -> list[tuple[int, int, int, int]]:
+    """Stretches of a chain of matches with enough shingles and Jaccard, ``(from,
+    to, from, to)`` in shingles, ends included, that cover all there are."""
+    m, each = len(p), np.arange(len(p))
+    out = []
+    if plain:  # no shingle occurs twice: the condition is a difference of f
+        e = _furthest((100 + PERCENT) * each - PERCENT * (p + q))
+        ok = (p[e] - p + 1 >= WIDTH) & (q[e] - q + 1 >= WIDTH)
+        out = _cover(each[ok], e[ok])
+    else:
+        before_x, before_y, before = _earlier(x), _earlier(y), _earlier(x[p])
+        fresh_x, fresh_y = np.cumsum(before_x < 0), np.cumsum(before_y < 0)
+        most = _furthest((100 + PERCENT) * each - PERCENT * (fresh_x[p] + fresh_y[q] - 2))  # no stretch goes further
+        done = -1
+        for s in range(m):
+            e = int(most[s])
+            if e <= done or p[e] - p[s] + 1 < WIDTH or q[e] - q[s] + 1 < WIDTH:
+                continue
+            n_x = np.cumsum(before_x[p[s]: p[e] + 1] < p[s])[p[s: e + 1] - p[s]]
+            n_y = np.cumsum(before_y[q[s]: q[e] + 1] < q[s])[q[s: e + 1] - q[s]]
+            both = np.cumsum(before[s: e + 1] < s)
+            ok = ((100 + PERCENT) * both >= PERCENT * (n_x + n_y)) & (p[s: e + 1] - p[s] + 1 >= WIDTH) & (q[s: e + 1] - q[s] + 1 >= WIDTH)
+            found = np.flatnonzero(ok)
+            if len(found) and s + found[-1] > done:
+                done = int(s + found[-1])
+                out.append((s, done))
+    spans = [(int(p[s]), int(p[e]), int(q[s]), int(q[e])) for s, e in out]
+    # shorter chains reach the least length with shingles that differ at an end
+    for n in range(-(-2 * PERCENT * WIDTH // (100 + PERCENT)), WIDTH):
+        if n > m:
+            break
+        s, e = each[: m - n + 1], each[n - 1:]
+        wide_x, wide_y = np.maximum(p[e] - p[s] + 1, WIDTH), np.maximum(q[e] - q[s] + 1, WIDTH)
+        for i in np.flatnonzero((100 + PERCENT) * n >= PERCENT * (wide_x + wide_y)).tolist():
+            if any(x0 <= p[s[i]] and p[e[i]] <= x1 for x0, x1, _, _ in spans):
+                continue
+            x0, y0 = min(int(p[s[i]]), len(x) - int(wide_x[i])), min(int(q[s[i]]), len(y) - int(wide_y[i]))
+            spans.append((x0, x0 + int(wide_x[i]) - 1, y0, y0 + int(wide_y[i]) - 1))
+    return spans
+
+
 def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     """Verified stretches of two shingle sequences: ``(from, to, from, to,
-    Jaccard)`` in words, ends excluded."""
+    Jaccard)`` in words, ends excluded.  A run of matches that passes as a whole
+    is one; beyond, all stretches of matches in order are searched (``_stretches``)."""
     if len(x) < WIDTH or len(y) < WIDTH:
         return []
     order = np.argsort(y, kind="stable")
-    i = np.minimum(np.searchsorted(y[order], x), len(y) - 1)
-    hit = y[order][i] == x
-    place = order[i]
-    # a shingle that occurs more than once stands for the occurrence that its neighbour leads to
-    for step in (1, -1):
-        here, there = (slice(1, None), slice(None, -1)) if step == 1 else (slice(None, -1), slice(1, None))
-        for _ in range(min(len(x), 256)):
-            to = place[there] + step
-            ok = hit[here] & hit[there] & (to >= 0) & (to < len(y)) & (to != place[here])
-            ok[ok] = y[to[ok]] == x[here][ok]
-            if step == -1:  # only where the place before did not lead here
-                lead = np.zeros(len(x), dtype=bool)
-                lead[1:] = hit[:-1] & (place[:-1] + 1 == place[1:])
-                ok &= ~lead[here]
-            if not ok.any():
-                break
-            place[here] = np.where(ok, to, place[here])
+    z = y[order]
+    lo, hi = np.searchsorted(z, x), np.searchsorted(z, x, side="right")
+    at = np.flatnonzero(hi > lo)
+    once = not (z[1:] == z[:-1]).any()
+    plain = once and len(np.unique(x)) == len(x)
+    if not len(at) or plain and (100 + PERCENT) * len(at) < 2 * PERCENT * WIDTH:
+        return []
+    places = [order[np.minimum(lo, len(y) - 1)]] if once else [_along(lo, hi, order.tolist(), step) for step in (1, -1)]
     out: list[tuple[int, int, int, int, float]] = []
 
-    def runs(at: np.ndarray, gap: int) -> list[np.ndarray]:
-        return np.split(at, np.flatnonzero(np.diff(at) > gap) + 1) if len(at) else []
-
-    def check(run: np.ndarray) -> bool:
-        if run[-1] - run[0] + 1 < WIDTH:
+    def check(x0: int, x1: int, y0: int, y1: int) -> bool:
+        if x1 - x0 + 1 < WIDTH or y1 - y0 + 1 < WIDTH:
             return False
-        b0, b1 = int(place[run].min()), int(place[run].max())
-        p, q = np.unique(x[run[0]: run[-1] + 1]), np.unique(y[b0: b1 + 1])
+        p, q = np.unique(x[x0: x1 + 1]), np.unique(y[y0: y1 + 1])
         both = len(np.intersect1d(p, q, assume_unique=True))
         union = len(p) + len(q) - both
         if 100 * both < PERCENT * union:
             return False
-        out.append((int(run[0]), int(run[-1]) + SHINGLE, b0, b1 + SHINGLE, both / union))
+        out.append((x0, x1 + SHINGLE, y0, y1 + SHINGLE, both / union))
         return True
 
-    for run in runs(np.flatnonzero(hit), GAP):
-        if not check(run):
-            # the places in the other text jump, or edits are too dense: unbroken stretches
-            step = np.flatnonzero((np.diff(run) > 1) | (np.diff(place[run]) != 1)) + 1
-            for part in np.split(run, step):
-                check(part)
-    return out
+    for place in places:
+        runs = np.split(at, np.flatnonzero(np.diff(at) > GAP) + 1)
+        whole = [check(int(r[0]), int(r[-1]), int(place[r].min()), int(place[r].max())) for r in runs]
+        if whole == [True]:
+            return out[-1:]
+        for chain in _chains(at, place[at]):
+            for span in _stretches(x, y, at[chain], place[at][chain], plain):
+                check(*span)
+    out = list(dict.fromkeys(out))
+    return [r for r in out if not any(r is not o and o[0] <= r[0] and r[1] <= o[1] and o[2] <= r[2] and r[3] <= o[3] for o in out)]
 
 
 RESULT = "doc_id long, start_word int, end_word int, first_doc_id long, first_start_word int, first_end_word int, jaccard double"

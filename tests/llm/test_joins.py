@@ -205,3 +205,73 @@ def test_ties_of_a_key_beyond_a_block(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert {a for a, b, *_ in whole if b == 0} >= set(range(1, 400))  # all tied to the key's earliest document
+
+
+def _brute_cover(x, y):
+    """Shared shingles of x inside a pair of stretches of ``WIDTH`` shingles or more, ends shared, with enough Jaccard."""
+    at = {v: j for j, v in enumerate(y)}
+    hits = [(i, at[v]) for i, v in enumerate(x) if v in at]
+    out = set()
+    for s in range(len(hits)):
+        for e in range(len(hits) - 1, s, -1):
+            (i, k), (j, n) = hits[s], hits[e]
+            if n <= k:
+                continue
+            p, q = set(x[i: j + 1]), set(y[k: n + 1])
+            if j - i + 1 >= cw.WIDTH and n - k + 1 >= cw.WIDTH and 100 * len(p & q) >= cw.PERCENT * len(p | q):
+                out |= {h for h, _ in hits[s: e + 1]}
+                break
+    return out
+
+
+def _shingles_of(*texts):
+    number = {}
+    return [np.array([number.setdefault(tuple(w[i: i + 5]), len(number)) for i in range(len(w) - 4)], np.uint64) for w in texts]
+
+
+def _edited(rnd, w, n, size):
+    w = list(w)
+    for _ in range(n):
+        at = rnd.randrange(len(w))
+        w[at: at + rnd.randint(0, size)] = words(rnd, rnd.randint(0, size))
+    return w
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_passages_equal_brute_force(seed):
+    rnd = random.Random(seed)
+    w = words(rnd, rnd.randint(60, 220))
+    x, y = _shingles_of(words(rnd, 30) + _edited(rnd, w, rnd.randint(1, 9), 12) + words(rnd, 30), words(rnd, 20) + w + words(rnd, 40))
+    got = cw.passages(x, y)
+    covered = {i for a, b, _, _, _ in got for i in range(a, b - 4)}
+    assert _brute_cover(x.tolist(), y.tolist()) <= covered
+    for a, b, c, d, j in got:
+        p, q = set(x[a: b - 4].tolist()), set(y[c: d - 4].tolist())
+        assert b - a >= 50 and d - c >= 50 and j == len(p & q) / len(p | q) >= 0.8
+
+
+def test_passages_with_clustered_edits():
+    rnd = random.Random(1)
+    w = words(rnd, 95)
+    x, y = _shingles_of(w[:45] + words(rnd, 6) + w[51:], w)  # a gap in the middle: 81 of 101
+    assert [r[:4] for r in cw.passages(x, y)] == [(0, 95, 0, 95)]
+    loose = words(rnd, 100)
+    near = [v if i % 8 else f"other{i}" for i, v in enumerate(loose)]
+    v = words(rnd, 99)
+    x, y = _shingles_of(v[:49] + ["edit"] + v[50:] + near, v + loose)  # next to 100 words that are less similar
+    assert any(a == 0 and b >= 99 for a, b, *_ in cw.passages(x, y))
+    line = ["so", "it", "goes", "on", "and", "on"]
+    p = words(rnd, 400) + line + words(rnd, 60)
+    x, y = _shingles_of(words(rnd, 9) + p, line + p[:400] + words(rnd, 70) + p)  # most shingles twice, far from the first place
+    assert any(a == 9 and b == 475 for a, b, *_ in cw.passages(x, y))
+    short = words(rnd, 45)
+    x, y = _shingles_of(short + words(rnd, 5), short + words(rnd, 5))  # 41 of 51 shingles
+    assert [r[:2] for r in cw.passages(x, y)] == [(0, 50)]
+
+
+def test_passages_with_repeated_shingles():
+    rnd = random.Random(3)
+    line = words(rnd, 8)
+    w = words(rnd, 30) + line * 3 + words(rnd, 40)
+    x, y = _shingles_of(words(rnd, 70) + w[:50] + words(rnd, 3) + w[50:] + line * 20, w + words(rnd, 60))
+    assert any(a <= 70 and b >= 70 + len(w) + 3 for a, b, *_ in cw.passages(x, y))
