@@ -19,11 +19,17 @@ windows of at least ``MIN_WORDS`` words matter, about 2 / (t + 1) per shingle.
    whose 5-word shingles have a Jaccard similarity of ``PERCENT`` or more.
    Regions that were held back are verified where no passage was found yet.
 
+4. What steps 1 to 3 leave of equal passages is found by whole windows.  Every
+   window of ``MIN_WORDS`` words chooses one of its parts of ``PART`` shingles by
+   its words alone, so equal windows choose equal parts.  Windows that are in no
+   passage yet and whose part an earlier document holds, too, are keyed by all
+   their words, with all windows of the same parts, and tied to the earliest.
+
 A row of the result is a verified pair of passages, the later document (larger
-id) first: every repeat is tied to an earlier one, not to all others.  Passages
-found this way are exact; one is missed only if the hashes of step 1 fail to
-agree, which for equal passages takes other texts with the same minima and
-different surroundings under nearly all functions at once.
+id) first: every repeat is tied to an earlier one, not to all others.  All equal
+passages are found; one with edits is missed if the hashes of step 1 fail to
+agree, which takes other, earlier texts with the same minima and different
+surroundings under nearly all functions at once.
 
 Defined results: NULL or short texts and NULL ids have no passages; rows that
 share an id are one document and not compared; equal documents are one passage;
@@ -38,7 +44,7 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm.kernels import U64, blocks, mix, shingle_lists, shingles, string_buffers, words_of
@@ -48,6 +54,8 @@ SHINGLE, MIN_WORDS, PERCENT = 5, 50, 80
 #: Hash functions, at most 8 (a function's number sits in the low bits of its hashes).
 HASHES = 6
 WIDTH = MIN_WORDS - SHINGLE + 1
+#: Shingles of the part by which equal windows are first compared.
+PART = WIDTH // 2
 #: Windows tied together before they leave a task.
 TIE_ROWS = 1_500_000
 #: Shingles that edits may interrupt a run by (two neighbouring words); beyond, stretches are searched.
@@ -433,23 +441,28 @@ def _earlier(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, plain: bool) -> list[tuple[int, int, int, int]]:
+def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, before) -> list[tuple[int, int, int, int]]:
     """Stretches of a chain of matches with enough shingles and Jaccard, ``(from,
-    to, from, to)`` in shingles, ends included, that cover all there are."""
+    to, from, to)`` in shingles, ends included, that cover all there are.
+    ``before``: places of the same shingles before in x and y, if any occurs twice."""
     m, each = len(p), np.arange(len(p))
+    least = -(-2 * PERCENT * WIDTH // (100 + PERCENT))
+    if m < least and (before is None or min(p[-1] - p[0], q[-1] - q[0]) + 1 < WIDTH):
+        return []
     out = []
-    if plain:  # no shingle occurs twice: the condition is a difference of f
+    if before is None:  # no shingle occurs twice: the condition is a difference of f
         e = _furthest((100 + PERCENT) * each - PERCENT * (p + q))
         ok = (p[e] - p + 1 >= WIDTH) & (q[e] - q + 1 >= WIDTH)
         out = _cover(each[ok], e[ok])
     else:
-        before_x, before_y, before = _earlier(x), _earlier(y), _earlier(x[p])
+        before_x, before_y = before
+        before = _earlier(x[p])
         fresh_x, fresh_y = np.cumsum(before_x < 0), np.cumsum(before_y < 0)
         most = _furthest((100 + PERCENT) * each - PERCENT * (fresh_x[p] + fresh_y[q] - 2))  # no stretch goes further
         done = -1
-        for s in range(m):
+        for s in np.flatnonzero((p[most] - p + 1 >= WIDTH) & (q[most] - q + 1 >= WIDTH)).tolist():
             e = int(most[s])
-            if e <= done or p[e] - p[s] + 1 < WIDTH or q[e] - q[s] + 1 < WIDTH:
+            if e <= done:
                 continue
             n_x = np.cumsum(before_x[p[s]: p[e] + 1] < p[s])[p[s: e + 1] - p[s]]
             n_y = np.cumsum(before_y[q[s]: q[e] + 1] < q[s])[q[s: e + 1] - q[s]]
@@ -461,13 +474,16 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, plain
                 out.append((s, done))
     spans = [(int(p[s]), int(p[e]), int(q[s]), int(q[e])) for s, e in out]
     # shorter chains reach the least length with shingles that differ at an end
-    for n in range(-(-2 * PERCENT * WIDTH // (100 + PERCENT)), WIDTH):
+    top = np.append(-1, [x1 for _, x1, _, _ in spans])  # ends ascend
+    starts = np.array([x0 for x0, _, _, _ in spans], np.int64)
+    for n in range(least, WIDTH):
         if n > m:
             break
         s, e = each[: m - n + 1], each[n - 1:]
         wide_x, wide_y = np.maximum(p[e] - p[s] + 1, WIDTH), np.maximum(q[e] - q[s] + 1, WIDTH)
-        for i in np.flatnonzero((100 + PERCENT) * n >= PERCENT * (wide_x + wide_y)).tolist():
-            if any(x0 <= p[s[i]] and p[e[i]] <= x1 for x0, x1, _, _ in spans):
+        free = top[np.searchsorted(starts, p[s], side="right")] < p[e]
+        for i in np.flatnonzero(free & ((100 + PERCENT) * n >= PERCENT * (wide_x + wide_y))).tolist():
+            if any(x0 <= p[s[i]] and p[e[i]] <= x1 for x0, x1, _, _ in spans[len(starts):]):
                 continue
             x0, y0 = min(int(p[s[i]]), len(x) - int(wide_x[i])), min(int(q[s[i]]), len(y) - int(wide_y[i]))
             spans.append((x0, x0 + int(wide_x[i]) - 1, y0, y0 + int(wide_y[i]) - 1))
@@ -489,6 +505,7 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, flo
     if not len(at) or plain and (100 + PERCENT) * len(at) < 2 * PERCENT * WIDTH:
         return []
     places = [order[np.minimum(lo, len(y) - 1)]] if once else [_along(lo, hi, order.tolist(), step) for step in (1, -1)]
+    before = None
     out: list[tuple[int, int, int, int, float]] = []
 
     def check(x0: int, x1: int, y0: int, y1: int) -> bool:
@@ -507,8 +524,10 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, flo
         whole = [check(int(r[0]), int(r[-1]), int(place[r].min()), int(place[r].max())) for r in runs]
         if whole == [True]:
             return out[-1:]
+        if not plain and before is None:
+            before = _earlier(x), _earlier(y)
         for chain in _chains(at, place[at]):
-            for span in _stretches(x, y, at[chain], place[at][chain], plain):
+            for span in _stretches(x, y, at[chain], place[at][chain], before):
                 check(*span)
     out = list(dict.fromkeys(out))
     return [r for r in out if not any(r is not o and o[0] <= r[0] and r[1] <= o[1] and o[2] <= r[2] and r[3] <= o[3] for o in out)]
@@ -540,16 +559,118 @@ def verified(found: DataFrame, sliced: DataFrame) -> DataFrame:
     return both.mapInArrow(check, RESULT).distinct()
 
 
+def spans(sh: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all stretches of ``size`` shingles."""
+    n, power, width, out, done = len(sh), sh, 1, None, 0
+    while True:
+        if size & width:
+            have = power[done: max(n - width + 1, 0)]
+            out = have if out is None else mix(out[: len(have)] * U64(0xD6E8FEB86659FD93) + have)
+            done += width
+        if done == size:
+            return out
+        power = mix(power[:-width] * U64(0x9FB21C651E98DF25) + power[width:])
+        width *= 2
+
+
+def _shingled(batch):
+    """``(documents, shingles, their documents, first shingle of each document)`` of blocks of a batch."""
+    raw, offsets = string_buffers(batch.column("text"))
+    for lo, hi in blocks(offsets):
+        w = words_of(raw, offsets, lo, hi, lower=True)
+        sh, at = shingles(w, SHINGLE)
+        doc = w.doc[at]
+        if len(sh) >= WIDTH:
+            yield np.arange(lo, hi), sh, doc, np.searchsorted(doc, np.arange(hi - lo))
+
+
+PARTS = "part long, doc long, u int, v int"
+
+
+def chosen_parts(docs: DataFrame) -> DataFrame:
+    """The parts that windows choose: those that begin at ``u`` to ``v`` choose one."""
+
+    def build(batches):
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for at, sh, doc, first in _shingled(batch):
+                part = spans(sh, PART)
+                low = U64((1 << int(len(sh)).bit_length()) - 1)
+                key = (mix(part) & ~low) | np.arange(len(part), dtype=U64)
+                u = np.flatnonzero(doc[: len(sh) - WIDTH + 1] == doc[WIDTH - 1:])
+                c = (sliding_minimum(key, WIDTH - PART + 1)[u] & low).astype(np.int64)
+                new = np.flatnonzero(np.append(True, c[1:] != c[:-1])) if len(c) else c
+                v, u, c = u[np.append(new[1:], len(c)) - 1] if len(c) else u, u[new], c[new]
+                start = first[doc[u]]
+                yield pa.RecordBatch.from_arrays([pa.array(part[c].view(np.int64)), pa.array(ids[at][doc[u]]), pa.array((u - start).astype(np.int32)),
+                                                  pa.array((v - start).astype(np.int32))], names=["part", "doc", "u", "v"])
+
+    return docs.mapInArrow(build, PARTS)
+
+
+def whole_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(key, doc, at, open)`` of the windows of ``wanted`` (rows ``doc, u, v, open``), keyed by all their words."""
+    ranges = wanted.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("u", "v", "open")).alias("ranges"))
+
+    def build(batches):
+        for batch in batches:
+            ids, ranges = batch.column("id").to_numpy(), batch.column("ranges")
+            for docs_of, sh, doc, first in _shingled(batch):
+                whole = spans(sh, WIDTH)
+                inside = doc[: len(whole)] == doc[WIDTH - 1:]
+                use = np.zeros(len(whole), dtype=np.int8)
+                for i, r in enumerate(ranges.slice(int(docs_of[0]), len(docs_of)).to_pylist()):
+                    for x in r:  # open windows after the others
+                        part = use[first[i] + x["u"]: first[i] + x["v"] + 1]
+                        np.maximum(part, 1 + x["open"], out=part)
+                at = np.flatnonzero(inside & (use > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(ids[docs_of][doc[at]]), pa.array((at - first[doc[at]]).astype(np.int32)),
+                                                  pa.array(use[at] > 1)], names=["key", "doc", "at", "open"])
+
+    return docs.join(ranges, "id").mapInArrow(build, "key long, doc long, at int, open boolean")
+
+
+def equal_rest(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The equal passages that ``found`` leaves, each tied to its earliest holder."""
+    parts = written(chosen_parts(docs), "parts")
+    held = parts.groupBy("part").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("part", "first")
+    pair = F.array_sort(F.collect_list(F.struct(F.col("start_word").alias("s"), F.col("end_word").alias("e"))))
+    grown = lambda done, x: F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(
+        F.element_at(done, -1)["s"].alias("s"), F.greatest(F.element_at(done, -1)["e"], x["e"]).alias("e"))))
+    joined = F.aggregate("p", F.slice("p", 1, 1), lambda done, x: F.when(x["s"] <= F.element_at(done, -1)["e"], grown(done, x)).otherwise(F.concat(done, F.array(x))))
+    known = found.groupBy(F.col("doc_id").alias("doc")).agg(pair.alias("p")).select("doc", joined.alias("p"))
+    inside = F.exists("p", lambda x: (x["s"] <= F.col("u")) & (F.col("v") + MIN_WORDS <= x["e"]))
+    rows = parts.join(held, "part").join(known, "doc", "left")
+    rows = written(rows.select("part", "doc", "u", "v", ((F.col("doc") > F.col("first")) & ~F.coalesce(inside, F.lit(False))).alias("open")), "parts")
+    release(docs.sparkSession)
+    wanted = rows.join(rows.filter("open").select("part").distinct(), "part", "left_semi")
+    keyed = written(whole_windows(docs, wanted), "whole-windows")
+    release(docs.sparkSession)
+    heads = keyed.groupBy("key").agg(F.min(F.struct("doc", "at")).alias("head"), F.max("doc").alias("last")).filter("head.doc < last")
+    ties = keyed.filter("open").join(heads, "key").filter("doc > head.doc")
+    ties = ties.select("doc", "at", F.col("head.doc").alias("first"), (F.col("at") - F.col("head.at")).alias("shift")).distinct()
+    row = F.row_number().over(Window.partitionBy("doc", "first", "shift").orderBy("at"))
+    runs = ties.withColumn("run", F.col("at") - row).groupBy("doc", "first", "shift", "run").agg(F.min("at").alias("lo"), (F.max("at") + MIN_WORDS).alias("hi"))
+    return runs.select(F.col("doc").alias("doc_id"), F.col("lo").alias("start_word"), F.col("hi").alias("end_word"), F.col("first").alias("first_doc_id"),
+                       (F.col("lo") - F.col("shift")).alias("first_start_word"), (F.col("hi") - F.col("shift")).alias("first_end_word"), F.lit(1.0).alias("jaccard"))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Verified pairs of passages, the later document first (see the module)."""
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).filter("id is not null and text is not null")
+    found = _near_passages(keyed)
+    return found.unionByName(written(equal_rest(keyed, found), "passages")).distinct()
+
+
+def _near_passages(keyed: DataFrame) -> DataFrame:
+    """Steps 1 to 3."""
     ties = written(all_ties(window_rows(keyed)), "window-ties")
-    release(docs.sparkSession)
+    release(keyed.sparkSession)
     found = written(regions(ties), "regions")
-    release(docs.sparkSession)
+    release(keyed.sparkSession)
     first = found.filter("not held")
     sure = written(verified(first, written(slices(keyed, first), "slices")), "passages")
-    release(docs.sparkSession)
+    release(keyed.sparkSession)
     # what was held back, but for cores that lie within a passage of the document
     spans = sure.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
     rest = found.filter("held").join(spans, F.col("a") == F.col("doc_id"), "left")

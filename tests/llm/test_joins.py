@@ -275,3 +275,36 @@ def test_passages_with_repeated_shingles():
     w = words(rnd, 30) + line * 3 + words(rnd, 40)
     x, y = _shingles_of(words(rnd, 70) + w[:50] + words(rnd, 3) + w[50:] + line * 20, w + words(rnd, 60))
     assert any(a <= 70 and b >= 70 + len(w) + 3 for a, b, *_ in cw.passages(x, y))
+
+
+def test_equal_passages_of_frequent_phrases(spark):
+    """Pieces of the passages stand in many earlier documents; brute force over all windows."""
+    rnd = random.Random(8)
+    rows = []
+    shared = [words(rnd, 50 + 4 * (i % 3)) for i in range(12)]
+    for p in shared:
+        for _ in range(40):
+            at, n = rnd.randrange(0, 40), rnd.choice((8, 15, 30, 45))
+            rows.append(words(rnd, 60) + p[at: at + n] + words(rnd, 60))
+    rnd.shuffle(rows)
+    for _ in range(3):
+        rows += [words(rnd, rnd.randint(30, 90)) + p + words(rnd, rnd.randint(30, 90)) for p in shared]
+    got = cw.repeated_passages(documents(spark, [(i, " ".join(w)) for i, w in enumerate(rows)]).repartition(4)).collect()
+    covered = {(r.doc_id, k) for r in got for k in range(r.start_word, r.end_word)}
+    seen, missed = set(), []
+    for i, w in enumerate(rows):
+        here = [tuple(w[k: k + 50]) for k in range(len(w) - 49)]
+        missed += [(i, k) for k, t in enumerate(here) if t in seen and any((i, j) not in covered for j in range(k, k + 50))]
+        seen |= set(here)
+    assert not missed, len(missed)
+    for r in got:
+        if r.jaccard == 1.0:
+            assert rows[r.doc_id][r.start_word: r.end_word] == rows[r.first_doc_id][r.first_start_word: r.first_end_word]
+
+
+def test_stretch_hashes_follow_the_words():
+    rng = np.random.default_rng(2)
+    sh = rng.integers(0, 2 ** 63, 200).astype(np.uint64)
+    for size in (1, 2, 3, 23, 46):
+        whole, part = cw.spans(sh, size), cw.spans(sh[50:150], size)
+        assert len(whole) == 201 - size and len(np.unique(whole)) == len(whole) and (whole[50: 151 - size] == part).all()
