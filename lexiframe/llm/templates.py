@@ -7,12 +7,13 @@ rest is lower-cased.  Windows of ``WINDOW`` template tokens are hashed and
 joined with those of the benchmark, so a question with other numbers, names or
 units still meets its original.  A meeting counts only if its slots agree:
 within one copy (document, item, distance between the two places) each value
-of the original must stand for one value of the document.  An item is leaked
-when windows that agree cover ``MIN_COVERAGE`` of its windows.
+of the original must stand for one value of the document.  Windows with fewer
+than ``MIN_LITERALS`` tokens that are not placeholders meet only where their own
+words (in small letters) are the same.  An item is leaked when windows that meet
+cover ``MIN_COVERAGE`` of its windows, or of those with enough literals, or when
+``RUN`` of its own words in a row stand in a document, whatever its length.
 
-Benchmark windows need ``MIN_LITERALS`` tokens that are not placeholders; items
-shorter than a window are searched as one window of their own length if that
-has ``MIN_LITERALS`` of them, and not at all otherwise.
+Items shorter than a window are searched as one window of their own length.
 
 The benchmark's windows are broadcast after their number is checked
 (``BROADCAST_WINDOWS``); beyond it, hashes are joined by shuffle and the
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.storage import table, written
 
-WINDOW, MIN_LITERALS, MIN_COVERAGE = 8, 5, 0.4
+WINDOW, MIN_LITERALS, MIN_COVERAGE, RUN = 8, 5, 0.4, 13
+#: Kinds of windows: by template, by template and own words, ``RUN`` own words.
+TYPED, WORDS, ROW = 0, 1, 2
 #: At most so many benchmark windows (about 64 bytes each) are broadcast.
 BROADCAST_WINDOWS = 200_000
 #: Unit words (lower case), typed as units after a number.
@@ -77,28 +80,31 @@ def is_slot(token: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(hash, size, item_id, item_at, item_tokens, item_raw, item_windows)``;
-    the two arrays hold the window's template and its own words."""
+    """``(hash, size, kind, item_id, item_at, item_tokens, item_raw, item_windows,
+    item_typed)``; the two arrays hold the window's template and its own words,
+    the last columns count the item's windows but for rows, and those by template."""
     t = items.select(F.col(id_col).alias("item_id"), clean(F.col(text_col)).alias("_c"))
     t = t.withColumn("_t", tokens(template(F.col("_c")))).withColumn("_r", tokens(F.lower("_c")))
-    whole = [F.when(F.size("_t") == k, windows(F.col("_t"), k)) for k in range(MIN_LITERALS, WINDOW)]
-    t = t.withColumn("_w", F.explode(F.coalesce(*whole, windows(F.col("_t"), WINDOW)))).select(
+    whole = [F.when(F.size("_t") == k, windows(F.col("_t"), k)) for k in range(1, WINDOW)]
+    every = F.concat(F.coalesce(*whole, windows(F.col("_t"), WINDOW)), windows(F.col("_r"), RUN))
+    t = t.withColumn("_w", F.explode(every)).select(
         "item_id", "_w.hash", "_w.size", F.col("_w.at").alias("item_at"),
         F.slice("_t", F.col("_w.at") + 1, F.col("_w.size")).alias("item_tokens"),
         F.slice("_r", F.col("_w.at") + 1, F.col("_w.size")).alias("item_raw"))
-    t = t.filter(F.size(F.filter("item_tokens", lambda x: ~is_slot(x))) >= MIN_LITERALS)
-    per_item = t.groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    literals = F.size(F.filter("item_tokens", lambda x: ~is_slot(x)))
+    t = t.withColumn("kind", F.when(F.col("size") == RUN, ROW).when(literals >= MIN_LITERALS, TYPED).otherwise(WORDS))
+    per_item = t.groupBy("item_id").agg(F.count_if(F.col("kind") != ROW).alias("item_windows"), F.count_if(F.col("kind") == TYPED).alias("item_typed"))
     return t.join(per_item.withColumnRenamed("item_id", "_i"), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
 
 
 def meetings(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame) -> DataFrame:
     """``(doc_id, at, raw, item ...)``: one row per window of a document that meets one of the benchmark."""
     d = docs.select(F.col(id_col).alias("doc_id"), clean(F.col(text_col)).alias("_c"))
-    d = d.withColumn("_t", tokens(template(F.col("_c"))))
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW values
+    d = d.withColumn("_t", tokens(template(F.col("_c")))).withColumn("_l", tokens(F.lower("_c")))
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW + 1 values
     if not sizes:
         sizes = [WINDOW]
-    every = windows(F.col("_t"), sizes[0]) if len(sizes) == 1 else F.concat(*[windows(F.col("_t"), k) for k in sizes])
+    every = F.concat(*[windows(F.col("_l" if k == RUN else "_t"), k) for k in sizes])
     if bench.count() <= BROADCAST_WINDOWS:
         met = d.select("doc_id", "_c", F.explode(every).alias("_w")).join(F.broadcast(bench), F.col("_w.hash") == F.col("hash"))
         met = met.filter(F.col("_w.size") == F.col("size"))
@@ -107,7 +113,8 @@ def meetings(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame) -> D
         lean = lean.join(bench, "hash").withColumnRenamed("doc_id", "_d")
         met = lean.join(d.select("doc_id", "_c"), F.col("_d").eqNullSafe(F.col("doc_id"))).withColumn("_w", F.struct(F.col("_at").alias("at")))
     raw = F.slice(tokens(F.lower("_c")), F.col("_w.at") + 1, F.col("size"))
-    return met.select("doc_id", F.col("_w.at").alias("at"), raw.alias("raw"), "item_id", "item_at", "item_tokens", "item_raw", "item_windows")
+    met = met.select("doc_id", F.col("_w.at").alias("at"), raw.alias("raw"), "kind", "item_id", "item_at", "item_tokens", "item_raw", "item_windows", "item_typed")
+    return met.filter((F.col("kind") == TYPED) | (F.col("raw") == F.col("item_raw")))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -119,7 +126,8 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     met = met.withColumn("_shift", F.col("at") - F.col("item_at"))
     slot = F.filter(F.arrays_zip(F.col("item_tokens").alias("t"), F.col("item_raw").alias("was"), F.col("raw").alias("now")),
                     lambda x: is_slot(x["t"]))
-    pairs = met.select(*copy, "item_at", F.explode(slot).alias("s")).select(*copy, "item_at", "s.was", "s.now")
+    typed = met.filter(F.col("kind") == TYPED)
+    pairs = typed.select(*copy, "item_at", F.explode(slot).alias("s")).select(*copy, "item_at", "s.was", "s.now")
     # the value that stands for each original value most often in this copy; windows with another value do not count
     votes = pairs.groupBy(*copy, "was", "now").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*copy, "was").orderBy(F.desc("n"), "now")
@@ -127,13 +135,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     p, q = pairs.alias("p"), lost.alias("q")
     bad = p.join(q, reduce(lambda x, y: x & y, [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in [*copy, "was", "now"]]), "left_semi")
     bad = bad.select(*copy, "item_at").distinct()
-    good = met.alias("p").join(bad.alias("q"), reduce(lambda x, y: x & y, [
+    good = typed.alias("p").join(bad.alias("q"), reduce(lambda x, y: x & y, [
         F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in [*copy, "item_at"]]), "left_anti")
+    good = good.unionByName(met.filter(F.col("kind") != TYPED))
     changed = F.exists(F.zip_with("item_raw", "raw", lambda a, b: a != b), lambda x: x)
     found = good.groupBy("doc_id", "item_id").agg(
-        F.max("item_windows").alias("item_windows"), F.count_distinct("item_at").alias("windows_met"),
-        F.min("at").cast("long").alias("first_token"), F.max(changed).alias("reparameterised"))
-    return found.filter(F.col("windows_met") >= MIN_COVERAGE * F.col("item_windows"))
+        F.max("item_windows").alias("item_windows"), F.count_distinct(F.when(F.col("kind") != ROW, F.col("item_at"))).alias("windows_met"),
+        F.min("at").cast("long").alias("first_token"), F.max(changed).alias("reparameterised"),
+        F.max("item_typed").alias("_typed"), F.count_distinct(F.when(F.col("kind") == TYPED, F.col("item_at"))).alias("_typed_met"),
+        F.max(F.col("kind") == ROW).alias("_row"))
+    enough = F.col("windows_met") >= MIN_COVERAGE * F.col("item_windows")
+    enough_typed = (F.col("_typed_met") > 0) & (F.col("_typed_met") >= MIN_COVERAGE * F.col("_typed"))
+    return found.filter(enough | enough_typed | F.col("_row")).drop("_typed", "_typed_met", "_row")
 
 
 def op10_template_leaks(spark, sf_dir):

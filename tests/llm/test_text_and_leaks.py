@@ -40,6 +40,19 @@ def test_leaks(spark, monkeypatch, limit):
     assert got[11, 2].first_token == 20_000
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_items_of_few_literals_short_items_and_extracts(spark, monkeypatch, limit):
+    monkeypatch.setattr(tp, "BROADCAST_WINDOWS", limit)
+    dense, long, units = "Tom has 3 apples. Anna has 4 pears.", text(60, 100), "take 7 " + "km " + text(61, 90)
+    items = [(1, dense), (2, "Four plain words here"), (3, long), (4, units), (5, "x9")]
+    row = lambda t, a, b: " ".join(t.split()[a:b])
+    docs = [(1, f"{text(62, 40)} {dense} {text(63, 40)}"), (2, dense.replace("Tom", "Ivy")), (3, f"{text(64, 9)} Four plain words here."),
+            (4, "four plain other words here"), (5, f"{text(65, 50)} {row(long, 30, 55)} {text(66, 50)}"), (6, f"{text(67, 20)} {row(long, 30, 42)} {text(68, 20)}"),
+            (7, f"{text(69, 20)} {row(units, 2, 15)} {text(70, 20)}"), (8, "an x9 here")]
+    got = _leaks(spark, docs, items)
+    assert set(got) == {(1, 1), (3, 2), (5, 3), (7, 4), (8, 5)} and not any(r.reparameterised for r in got.values())
+
+
 def test_inconsistent_slots_do_not_count(spark):
     """The same name of the question stands for two names: half of the windows fall out."""
     names = " ".join(f"Ann likes thing{i} very much today because it shines" for i in range(8))
