@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from lexiframe.llm.compact_windows import op4_compact_windows
+from lexiframe.llm.filter_audit import ORACLE as FILTER_SQL
+from lexiframe.llm.filter_audit import op12_filter_interactions
 from lexiframe.llm.html_text import op8_tag_ratio_text
 from lexiframe.llm.jaccard_groups import ORACLE as JACCARD_SQL
 from lexiframe.llm.jaccard_groups import op6_jaccard_groups
@@ -16,5 +18,5 @@ from lexiframe.llm.warc_audit import op9_merkle_audit
 from lexiframe.llm.weak_labels import op1_weak_label_quality
 
 QUERIES = {f.__name__: f for f in (op1_weak_label_quality, op2_robust_rules, op3_sequence_files, op4_compact_windows, op5_jump_shards, op6_jaccard_groups, op7_bin_completion,
-                                op8_tag_ratio_text, op9_merkle_audit, op10_template_leaks)}
-ORACLE: dict[str, str] = {"op6_jaccard_groups": JACCARD_SQL, "op9_merkle_audit": AUDIT_SQL}
+                                op8_tag_ratio_text, op9_merkle_audit, op10_template_leaks, op12_filter_interactions)}
+ORACLE: dict[str, str] = {"op6_jaccard_groups": JACCARD_SQL, "op9_merkle_audit": AUDIT_SQL, "op12_filter_interactions": FILTER_SQL}
