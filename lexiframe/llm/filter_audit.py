@@ -134,7 +134,7 @@ ORACLE = r"""
 WITH docs AS (
   SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part FROM documents
 ), words AS (
-  SELECT doc_id, text, part, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM docs
+  SELECT doc_id, text, part, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs
 ), firsts AS (
   SELECT text, min(doc_id) AS first FROM docs GROUP BY text
 ), failures AS (
