@@ -9,19 +9,23 @@ length and every piece looks its place up in the pattern table, a table
 bounded by the capacity and not by the data.
 
 The search (Korf 2002, "bin completion"): the next sequence takes the largest
-length left; its undominated fillings are enumerated, fullest first; a branch
-ends when the waste so far exceeds what the best known packing allows; packing
-by best fit decreasing is the first incumbent and completes the branches.  A
-pattern is used as often as the counts allow.  The search stops at the lower
-bound or after ``NODES`` nodes, and returns the best packing found.
-
-Defined results: a NULL text is empty (only the end id); equal ids keep their
-own pieces; an empty table gives an empty table.
+length left; all its undominated fillings are enumerated, the fullest of a few
+first, and each is repeated as often as the counts allow, then once less, down to
+once; a branch ends when the waste so far exceeds what the best known packing
+allows; packing by best fit decreasing is the first incumbent and completes some
+branches.  The search stops at the lower bound or after ``STEPS`` steps, and says
+how far the best packing found is from the bound and whether it is proven best.
+
+Defined results: a NULL text is empty (only the end id); equal and NULL ids keep
+their own pieces; very long texts are cut, not shortened; other columns are ignored;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
+import random
 import zlib
 from dataclasses import dataclass
 
@@ -36,10 +40,8 @@ from lexiframe.llm.storage import plus, table, written
 from lexiframe.llm.tokens import cached_tokenizer
 
 CAPACITY = 4096
-#: Search nodes (sequences opened over all branches) before the best packing so far is taken.
-NODES = 20_000
-#: Fillings tried for one opened sequence, and steps spent on finding them.
-FILLINGS, STEPS = 4, 3_000
+#: Steps of the search (sequences opened, lengths looked at) before the best packing so far is taken.
+STEPS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -112,104 +114,142 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return out
 
 
-def fillings(left: _Counts, room: int) -> list[tuple[int, ...]]:
-    """Undominated ways to fill ``room``, fullest first.
+class _Budget:
+    """Steps left to the whole search: sequences opened, and lengths looked at."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def _dominated(left: _Counts, used: dict[int, int], free: int) -> bool:
+    """Whether a length left out fits into ``free``, or there in the place of a smaller one."""
+    for x in {0, *used}:
+        i = left.below(x + free)
+        while i >= 0 and left.present[i] > x:
+            if used.get(left.present[i], 0) < left.n[left.present[i]]:
+                return True
+            i -= 1
+    return False
+
+
+def fillings(left: _Counts, first: int, capacity: int, budget: _Budget):
+    """All undominated ways to fill a sequence that holds ``first``, one by one,
+    until the budget is spent.
 
     A filling is dominated if a length left out fits into what it leaves free,
-    or fits there in the place of a smaller one that it holds."""
-    found: dict[tuple[int, ...], int] = {}
-    steps = 0
-
-    def dominated(chosen: list[int], used: dict[int, int], free: int) -> bool:
-        for x in {0, *chosen}:
-            i = left.below(x + free)
-            while i >= 0 and left.present[i] > x:
-                y = left.present[i]
-                if used.get(y, 0) < left.n[y]:
-                    return True
-                i -= 1
-        return False
+    or fits there in the place of a smaller one that it holds.  ``left`` may change
+    between two fillings if it is put back before the next."""
 
-    def go(top: int, free: int, chosen: list[int], used: dict[int, int]) -> bool:
-        nonlocal steps
-        i, any_fit = min(left.below(free), bisect.bisect_right(left.present, top) - 1), False
-        while i >= 0:
-            steps += 1
+    def go(top: int, free: int, used: dict[int, int]):
+        i, any_fit = min(top, left.below(free)), False
+        while i >= 0 and budget.spend():
             x = left.present[i]
-            if used.get(x, 0) < left.n[x]:
-                any_fit = True
-                chosen.append(x)
-                used[x] = used.get(x, 0) + 1
-                done = go(x, free - x, chosen, used)
-                used[x] -= 1
-                chosen.pop()
-                if done:
-                    return True
-            if steps > STEPS:
-                break
+            most = min(left.n[x] - used.get(x, 0), free // x)
+            any_fit |= most > 0
+            for m in range(most, 0, -1):
+                before = used.get(x, 0)
+                used[x] = before + m
+                yield from go(i - 1, free - m * x, used)
+                used[x] = before
+                if not before:
+                    del used[x]
             i -= 1
-        if not any_fit and not dominated(chosen, used, free):
-            found[tuple(chosen)] = free
-            return len(found) >= FILLINGS and min(found.values()) == 0
-        return steps > STEPS and bool(found)
+        if not any_fit and budget.left > 0 and not _dominated(left, used, free):
+            yield tuple(sorted((x for x, m in used.items() for _ in range(m)), reverse=True))
 
-    go(room, room, [], {})
-    return [f for f, _ in sorted(found.items(), key=lambda f: (f[1], tuple(-x for x in f[0])))[:FILLINGS]]
+    yield from go(len(left.present) - 1, capacity - first, {first: 1})
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
-    """The best packing found by bin completion."""
+def _fullest_first(ways, some: int = 32):
+    """A few fillings at a time, the fullest of these first."""
+    while few := list(itertools.islice(ways, some)):
+        yield from sorted(few, key=lambda f: (-sum(f), [-x for x in f]))
+
+
+@dataclass(frozen=True)
+class Packing:
+    """Patterns, the lower bound, and whether no packing has fewer sequences."""
+
+    patterns: list[Pattern]
+    bound: int
+    proven: bool
+
+    @property
+    def sequences(self) -> int:
+        return sum(p.times for p in self.patterns)
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> Packing:
+    """Bin completion: around the largest length left, every undominated filling is
+    tried, and each is repeated as often as it can be, then once less, down to once.
+    A branch ends where its waste leaves no room for a better packing than the best
+    one so far, or where the same lengths were left before in as few sequences.
+    Within the budget of steps the search is exact."""
     if any(not 0 < k <= capacity for k in counts):
         raise ValueError("lengths are between 1 and the capacity")
     number = lambda patterns: sum(p.times for p in patterns)
     best = best_fit(counts, capacity)
     bound = lower_bound(counts, capacity)
     total = sum(k * v for k, v in counts.items())
-    left, path = _Counts(counts), []
-    spent = 0
-
-    def options() -> list[tuple[int, ...]]:
-        first = left.present[-1]
-        left.take(first, 1)
-        ways = fillings(left, capacity - first) or [()]
-        left.give(first, 1)
-        return [(first, *w) for w in ways]
-
-    # depth first without recursion: each entry holds the options still open and what is applied
+    left, path, budget = _Counts(counts), [], _Budget(steps)
+    rnd = random.Random(0)
+    mark = {x: rnd.getrandbits(128) for x in sorted(left.n)}
+    state = sum(mark[x] * n for x, n in left.n.items())  # names the lengths left
+    seen: dict[int, int] = {}
+
+    def options():
+        """Pairs of a filling and how often it is repeated."""
+        for lengths in _fullest_first(fillings(left, left.present[-1], capacity, budget)):
+            most = min(left.n[x] // lengths.count(x) for x in set(lengths))
+            for times in range(most, 0, -1):
+                yield lengths, times
+
+    # depth first without recursion: each entry holds its options, what is applied, its waste and sequences
     stack: list[list] = []
     if number(best) > bound and left.present:
-        stack.append([options(), None, 0])
-    while stack and spent < nodes and number(best) > bound:
+        stack.append([options(), None, 0, 0])
+    while stack and number(best) > bound and budget.spend():
         entry = stack[-1]
         if entry[1] is not None:  # undo
             for x in set(entry[1].lengths):
                 left.give(x, entry[1].lengths.count(x) * entry[1].times)
+            state += sum(mark[x] for x in entry[1].lengths) * entry[1].times
             path.pop()
             entry[1] = None
-        if not entry[0]:
+        option = next(entry[0], None)
+        if option is None:
             stack.pop()
             continue
-        lengths = entry[0].pop(0)
-        waste = capacity - sum(lengths)
-        allowed = (number(best) - 1) * capacity - total
-        times = min(left.n[x] // lengths.count(x) for x in set(lengths))
-        if entry[2] + waste * times > allowed:
-            times = max(1, (allowed - entry[2]) // waste)
-        if entry[2] + waste * times > allowed:
+        lengths, times = option
+        waste = entry[2] + (capacity - sum(lengths)) * times
+        opened = entry[3] + times
+        after = state - sum(mark[x] for x in lengths) * times
+        if waste > (number(best) - 1) * capacity - total or seen.get(after, opened + 1) <= opened:
             continue
-        spent += 1
+        seen[after] = opened
         for x in set(lengths):
             left.take(x, lengths.count(x) * times)
+        state = after
         entry[1] = Pattern(times, lengths)
         path.append(entry[1])
-        if left.present:
-            rest = best_fit(left.n, capacity) if spent % 64 == 0 else None
-            if rest is not None and number(path) + number(rest) < number(best):
-                best = [*path, *rest]
-            stack.append([options(), None, entry[2] + waste * times])
-        elif number(path) < number(best):
-            best = list(path)
-    return best
+        if not left.present:
+            if opened < number(best):
+                best = list(path)
+            continue
+        rest = best_fit(left.n, capacity) if len(seen) % 64 == 1 else None
+        if rest is not None and opened + number(rest) < number(best):
+            best = [*path, *rest]
+        stack.append([options(), None, waste, opened])
+    return Packing(best, bound, number(best) == bound or (not stack and budget.left >= 0))
+
+
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[Pattern]:
+    """The best packing found by bin completion."""
+    return search(counts, capacity, steps).patterns
 
 
 class Places:
@@ -281,13 +321,13 @@ def _pieces_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, steps: int = STEPS) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the (written) pieces.
 
     The pieces move at most once, joined with the offsets of their part and
     length: a length that many pieces share is spread over its parts."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    places = Places(complete_bins(counts, capacity, nodes))
+    places = Places(complete_bins(counts, capacity, steps))
     ranked = with_offsets(pieces, ["length"], "part", "local", F.lit(1), "rank")
 
     def find(batches):

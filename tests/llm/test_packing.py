@@ -56,6 +56,34 @@ def test_small_cases_are_optimal(seed):
     assert n == _optimum(lengths, 20) >= pk.lower_bound(counts, 20)
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_twelve_pieces_are_optimal_and_proven(seed):
+    """Repeated lengths included: repeat counts are branched on."""
+    rnd = random.Random(1000 + seed)
+    few = [rnd.randint(2, 14) for _ in range(rnd.randint(2, 8))]
+    lengths = [rnd.choice(few) for _ in range(12)]
+    counts = {x: lengths.count(x) for x in lengths}
+    found = pk.search(counts, 20)
+    assert found.proven and _check(counts, 20, found.patterns) == found.sequences == _optimum(lengths, 20)
+
+
+def test_random_instances_of_sixty_pieces():
+    """No instance fails; the search beats best fit on some, never goes below the bound, and says what it proved."""
+    better = proven = above = 0
+    for seed in range(500):
+        rnd = random.Random(seed)
+        lengths = [rnd.randint(20, 70) for _ in range(60)]
+        counts = {x: lengths.count(x) for x in lengths}
+        found = pk.search(counts, 100, steps=20_000)
+        assert found.bound <= _check(counts, 100, found.patterns) == found.sequences
+        first = sum(p.times for p in pk.best_fit(counts, 100))
+        assert found.sequences <= first
+        better += found.sequences < first
+        proven += found.proven
+        above += found.sequences > found.bound
+    assert better > 50 and proven > 250 and above < 250, (better, proven, above)
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_large_counts_are_near_the_bound(seed):
     rnd = random.Random(seed)
