@@ -328,6 +328,7 @@ ORACLE.update({
         "SELECT doc_id, text, lang AS label, " + ", ".join(f"'[{g}] ' || text AS augmented_{g}" for g in
                                             ("en", "tl", "vi", "th", "zh")) + " FROM documents"),
     "csv_round_trip": "SELECT doc_id, text, lang FROM documents",
+    "csv_split_quotes": "SELECT doc_id, text, lang FROM documents",
     "tsv_round_trip": "SELECT conv_id, turn, role, text FROM conversations",
     "liar_layout": (
         "SELECT d.doc_id AS id, d.lang AS label, " + LIAR_TEXT + " AS text FROM documents d "

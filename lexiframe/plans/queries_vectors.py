@@ -170,6 +170,14 @@ def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
 
 
+def csv_split_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with line breaks and quote signs in quoted cells, each file read by as many tasks as it has splits."""
+    path = scratch_path(spark, "csv")
+    wr.write_delimited(documents(spark, d).select("doc_id", "text", "lang"), path, sep=",")
+    back = dl.read_csv(spark, path, ["doc_id", "text", "lang"], multi_line="split")
+    return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang")
+
+
 def csv_by_name(spark: SparkSession, d: str) -> DataFrame:
     """A file with more columns, in another order, read by two names (splittable)."""
     path = scratch_path(spark, "csv")
@@ -416,6 +424,7 @@ QUERIES = {
     "contrastive_pairs": contrastive_pairs,
     "translations_wide": translations_wide,
     "csv_round_trip": csv_round_trip,
+    "csv_split_quotes": csv_split_quotes,
     "csv_by_name": csv_by_name,
     "tsv_round_trip": tsv_round_trip,
     "liar_layout": liar_layout,

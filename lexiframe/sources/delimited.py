@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiframe.sources.quoted import read_quoted
+
 # Cell texts read as missing (the default NA list of pandas'
 # CSV reader).
 NA_TOKENS = (
@@ -46,24 +48,29 @@ def header_names(spark: SparkSession, path, sep: str, multi_line: bool) -> list[
 
 def read_delimited(spark: SparkSession, path, columns: Sequence[str], sep: str = ",", header: bool = True,
                    na_tokens: Sequence[str] | None = NA_TOKENS, with_position: str | None = None,
-                   multi_line: bool = False, malformed: str = "fail") -> DataFrame:
+                   multi_line: bool | str = False, malformed: str = "fail") -> DataFrame:
     """Read the named ``columns`` of CSV/TSV files as strings.
 
     With a header, columns are taken by name from whatever columns the files
     have; a missing one, or a file with another header, is an error.  Without, ``columns`` names all cells
-    in order.  ``multi_line``: quoted fields may hold line breaks (a file is
-    then one task's work; without it files are split).  ``malformed``: rows
+    in order.  ``multi_line``: quoted fields may hold line breaks; with ``"split"``
+    several tasks read a file and an unterminated quote is an error (see
+    ``sources.quoted``), with True a file is one task's work, without it files are
+    split and a line is a record.  ``malformed``: rows
     with too few or too many cells make the job ``fail``, are dropped
     (``drop``), or are kept with their text in ``MALFORMED`` (``keep``).
     ``with_position`` adds a dense 0-based row position in file order.
     """
-    present = header_names(spark, path, sep, multi_line) if header else list(columns)
+    split = multi_line == "split"
+    if split and with_position:
+        raise ValueError("row positions need files that are read line by line or whole")
+    present = header_names(spark, path, sep, multi_line is True) if header else list(columns)
     missing = [c for c in columns if c not in present]
     if missing:
         raise ValueError(f"{path}: no column {', '.join(missing)} in {present}")
     # the whole line comes along, so that no cell can be lost or shifted without notice
     schema = string_schema([*present, MALFORMED])
-    raw = (spark.read.schema(schema).option("header", header).option("sep", sep).option("multiLine", multi_line)
+    raw = read_quoted(spark, path, present, sep, header, malformed, MALFORMED) if split else (spark.read.schema(schema).option("header", header).option("sep", sep).option("multiLine", bool(multi_line))
            .option("quote", '"').option("escape", '"').option("enforceSchema", not header)
            .option("columnPruning", False)  # else only the selected cells of a row are checked
            .option("columnNameOfCorruptRecord", MALFORMED)
