@@ -169,7 +169,8 @@ def train(sample: DataFrame) -> np.ndarray:
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([w.astype(np.float32).tobytes()], pa.binary()), pa.array([s.astype(np.float32).tobytes()], pa.binary())], names=["w", "s"])
 
-        parts = rows.mapInArrow(run, "w binary, s binary").collect()  # at most one row of 2 * WEIGHTS numbers per file of the bounded sample
+        # at most TRAIN_PARTS rows of 2 * WEIGHTS numbers, however many files the bounded sample has
+        parts = rows.coalesce(TRAIN_PARTS).mapInArrow(run, "w binary, s binary").collect()
         parts = sorted((bytes(r["w"]), bytes(r["s"])) for r in parts)
         if not parts:
             return first_weights()
