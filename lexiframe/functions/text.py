@@ -70,3 +70,19 @@ def attention_mask(seq, length) -> Column:
 
 def with_prefix(prefix: str, c) -> Column:
     return F.concat(F.lit(prefix), _c(c).cast("string"))
+
+
+def term_frequencies(text) -> Column:
+    """The word tokens of a text with their counts, ``array<struct<token, tf>>`` in
+    order of token: tokens are sorted inside the row and equal ones counted by
+    the places where they begin, without an exchange."""
+    def counted(tokens):
+        n = F.size(tokens)
+        begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(tokens, i - 1) != F.get(tokens, i - 2)))
+        # the array is bound once more, so that each place sees the next
+        return F.transform(F.array(begins), lambda b: F.transform(b, lambda i, k: F.struct(
+            F.get(tokens, i - 1).alias("token"), (F.coalesce(F.get(b, k + 1), n + 1) - i).cast("long").alias("tf"))))[0]
+
+    tokens = F.array_sort(word_tokens(text))
+    empty = F.array().cast("array<struct<token:string,tf:bigint>>")
+    return F.transform(F.array(tokens), lambda t: F.when(F.size(t) > 0, counted(t)).otherwise(empty))[0]

@@ -1,40 +1,20 @@
-"""Linear heads and support-vector classifiers with MLlib.
+"""Linear heads with MLlib.
 
-* linear probe: multinomial logistic regression without regularisation on
-  frozen vectors (softmax + cross-entropy, the trained head of a frozen
-  encoder);
-* linear SVM: one-vs-rest LinearSVC with penalty C on term counts or TF-IDF,
-  one column per term of the fitted vocabulary (nothing is hashed together);
-* RBF SVM, approximated: random Fourier features (Rahimi & Recht, 2007) of the
-  unmerged terms, then the linear SVM.  MLlib has no kernel SVM; the exact
-  kernel solver is a single-machine algorithm.
-
-The smoothed-plus-one IDF is ``tf * (idf + 1)``: MLlib's IDF vector plus one,
-applied by ElementwiseProduct.  Fitting runs jobs.
+Linear probe: multinomial logistic regression without regularisation on
+frozen vectors (softmax + cross-entropy, the trained head of a frozen encoder).
+Fitting runs jobs.  Support-vector machines are in ``operators.svm`` and
+``operators.kernel_maps``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiframe.functions.text import word_tokens
-from lexiframe.operators.features import idf_table, term_counts, tfidf, vocabulary
-from lexiframe.session import cut_lineage
-
-# Fixed value: random components that stand for the kernel.
-RFF_COMPONENTS = 256
-
 
 def fit_linear_probe(train: DataFrame, vec: str, label: str, max_iter: int = 100) -> PipelineModel:
     data = train.select(array_to_vector(F.col(vec)).alias("features"),
@@ -64,117 +44,6 @@ def probe_optimality(model: PipelineModel, df: DataFrame, vec: str, label: str)
     return loss.withColumn("gradient", cells.agg(F.max(F.abs("g"))).scalar())
 
 
-def _with_tokens(df: DataFrame, text: str) -> DataFrame:
-    return df.withColumn("_lf_tokens", word_tokens(text))
-
-
-def fit_count_features(train: DataFrame, text: str) -> list:
-    """One column per term of the training texts: the vocabulary is counted
-    first, so none is cut or merged.  (MLlib keeps the vocabulary, like the
-    weights of its linear models, on the driver.)"""
-    toks = _with_tokens(train, text)
-    n_terms = toks.select(F.explode("_lf_tokens").alias("t")).agg(F.count_distinct("t")).first()[0]
-    return [CountVectorizer(inputCol="_lf_tokens", outputCol="_lf_tf", vocabSize=max(1, n_terms), minDF=1.0).fit(toks)]
-
-
-def fit_tfidf_features(train: DataFrame, text: str) -> list:
-    """Term counts -> tf * (ln((n+1)/(df+1)) + 1) -> L2 normalise."""
-    counts = fit_count_features(train, text)
-    idf_model = IDF(inputCol="_lf_tf", outputCol="_lf_unused").fit(counts[0].transform(_with_tokens(train, text)))
-    plus_one = DenseVector(idf_model.idf.toArray() + 1.0)
-    scale = ElementwiseProduct(scalingVec=plus_one, inputCol="_lf_tf", outputCol="_lf_tfidf")
-    return [*counts, scale, Normalizer(inputCol="_lf_tfidf", outputCol="_lf_norm", p=2.0)]
-
-
-def _svm(n: int, c: float, max_iter: int, features: str = "features") -> OneVsRest:
-    """One-vs-rest linear SVM with penalty ``c``: MLlib averages the hinge loss
-    over the n rows, so its regParam is 1 / (n c)."""
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / (max(n, 1) * c), standardization=False, featuresCol=features)
-    return OneVsRest(classifier=svc, parallelism=4, featuresCol=features)
-
-
-def fit_linear_svm(train: DataFrame, text: str, label: str, weighting: str = "count",
-                   max_iter: int = 40, c: float = 1.0) -> PipelineModel:
-    """One-vs-rest linear SVM on term counts (``count``) or TF-IDF (``tfidf``)."""
-    stages = fit_tfidf_features(train, text) if weighting == "tfidf" else fit_count_features(train, text)
-    column = stages[-1].getOutputCol()
-    toks = _with_tokens(train, text).withColumn("label", F.col(label).cast("double"))
-    # Iterative solvers pass over the training set once per iteration: keep
-    # the featurised rows (spilling to disk if needed) for the fit only.
-    featurised = PipelineModel(stages=stages).transform(toks.select("_lf_tokens", "label")).select(column, "label").persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        ovr = _svm(featurised.count(), c, max_iter, column).fit(featurised)
-    finally:
-        featurised.unpersist()
-    return PipelineModel(stages=[*stages, ovr])
-
-
-def apply_text_model(model: PipelineModel, df: DataFrame, text: str, keep=()) -> DataFrame:
-    out = model.transform(_with_tokens(df, text))
-    return out.select(*keep, F.col("prediction").cast("int").alias("prediction"))
-
-
-def random_fourier_features(df: DataFrame, ids: str, weights: str, n_in: int, n_components: int = RFF_COMPONENTS,
-                            gamma: float = 1.0, seed: int = 42, out: str = "rff") -> DataFrame:
-    """``sqrt(2/D) cos(x W + b)`` with ``W ~ N(0, 2 gamma)`` and ``b ~ U(0, 2 pi)``
-    of sparse rows (term ids and values).
-
-    W (terms x components, single precision) and b are drawn from the seed once
-    per Python worker, never shipped; rows go through numpy in Arrow batches.
-    """
-    def rff(batches):
-        rng = np.random.default_rng(seed)
-        w = rng.standard_normal(size=(n_in, n_components), dtype=np.float32) * np.float32(np.sqrt(2.0 * gamma))
-        b = rng.uniform(0.0, 2.0 * np.pi, size=n_components)
-        for at, values in batches:
-            z = [np.sqrt(2.0 / n_components) * np.cos(np.asarray(v, dtype=np.float64) @ w[np.asarray(i, dtype=np.int64)] + b)
-                 for i, v in zip(at, values, strict=True)]
-            yield pd.Series(z)
-
-    # Real type objects (this module uses postponed annotations) select the iterator form.
-    rff.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(rff, "array<double>")(F.col(ids), F.col(weights)))
-
-
-def _sparse_rows(df: DataFrame, key: str, text: str, label: str, vocab: DataFrame, idf: DataFrame | None) -> DataFrame:
-    """``(key, label, ids, values)`` of every row: unmerged terms by their fitted ids."""
-    tc = term_counts(df, key, text)
-    rows = tfidf(tc, idf, key) if idf is not None else tc.withColumn("weight", F.col("tf").cast("double"))
-    known = rows.join(vocab.select("token", "term_id"), "token")
-    packed = known.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", "weight"))).alias("_lf_t"))
-    out = df.select(key, F.col(label).alias("label")).join(packed, key, "left")
-    pairs = F.coalesce("_lf_t", F.array().cast("array<struct<term_id:int,weight:double>>"))
-    return out.select(key, "label", F.transform(pairs, lambda t: t["term_id"]).alias("ids"),
-                      F.transform(pairs, lambda t: t["weight"]).alias("values"))
-
-
-def fit_rff_svm(train: DataFrame, key: str, text: str, label: str, weighting: str = "tfidf",
-                n_components: int = RFF_COMPONENTS, gamma: float = 1.0, seed: int = 42, max_iter: int = 40, c: float = 1.0):
-    """TF-IDF (or counts) on the fitted vocabulary -> random Fourier features -> linear SVM.
-
-    ``n_components`` is the width of the approximation: kernel values are off by
-    about 1 / sqrt(n_components)."""
-    vocab = cut_lineage(vocabulary(term_counts(train, key, text), key, with_ids=True), "vocabulary")
-    idf = idf_table(train, text) if weighting == "tfidf" else None
-    params = dict(n_in=max(1, vocab.count()), n_components=n_components, gamma=gamma, seed=seed)
-    z = random_fourier_features(_sparse_rows(train, key, text, label, vocab, idf), "ids", "values", **params)
-    data = z.select(array_to_vector("rff").alias("features"), F.col("label").cast("double").alias("label")).persist(
-        StorageLevel.MEMORY_AND_DISK)
-    try:
-        ovr = _svm(data.count(), c, max_iter).fit(data)
-    finally:
-        data.unpersist()
-    return vocab, idf, ovr, params
-
-
-def apply_rff_svm(fitted, df: DataFrame, key: str, text: str, label: str) -> DataFrame:
-    vocab, idf, ovr, params = fitted
-    z = random_fourier_features(_sparse_rows(df, key, text, label, vocab, idf), "ids", "values", **params)
-    data = z.select(key, F.col("label").alias(label), array_to_vector("rff").alias("features"))
-    return ovr.transform(data).select(key, label, F.col("prediction").cast("int").alias("prediction"))
-
-
 def save_model(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
@@ -183,5 +52,4 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-__all__ = ["probe_optimality", "fit_linear_probe", "apply_linear_probe", "fit_linear_svm", "apply_text_model",
-           "fit_rff_svm", "apply_rff_svm", "random_fourier_features", "save_model", "load_model"]
+__all__ = ["probe_optimality", "fit_linear_probe", "apply_linear_probe", "save_model", "load_model"]

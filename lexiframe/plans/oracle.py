@@ -384,9 +384,13 @@ ORACLE.update({
         "SELECT vec_id, TRUE AS same FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY "
         "md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS rk, count(*) OVER (PARTITION BY label) AS n FROM embeddings) s "
         "WHERE rk < " + N_TEST),
-    **{name: ("SELECT CAST(sum(" + N_TEST + ") AS BIGINT) AS n, TRUE AS beats_majority FROM "
+    **{name: ("SELECT CAST(sum(" + N_TEST + ") AS BIGINT) AS n, TRUE AS beats_majority, TRUE AS gap_within_percent FROM "
               "(SELECT count(*) AS n FROM documents GROUP BY lang) c")
-       for name in ("linear_svm", "svm_tfidf", "rff_svm", "rff_svm_counts")},
+       for name in ("linear_svm", "svm_tfidf", "rff_svm", "rff_svm_counts", "kernel_svm")},
+    "kernel_svm_saved": (
+        "SELECT doc_id, TRUE AS same FROM (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY "
+        "md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rk, count(*) OVER (PARTITION BY lang) AS n FROM documents) s "
+        "WHERE rk < " + N_TEST),
 })
 
 SPLIT_QUALITY = (

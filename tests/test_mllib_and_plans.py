@@ -13,7 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", ["linear_svm", "svm_tfidf"])
 def test_svm_beats_majority(spark, name):
     row = E.queries()[name](spark, SF_MID).first()
-    assert row.n > 0 and row.beats_majority
+    assert row.n > 0 and row.beats_majority and row.gap_within_percent
 
 
 def test_linear_probe_is_optimal_and_survives_saving(spark):
