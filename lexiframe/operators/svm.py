@@ -1,10 +1,10 @@
 """Linear support-vector machines whose weights are a table.
 
 Training rows are ``(row, label, term, value)``.  The solver is dual coordinate
-ascent in blocks of rows that are solved side by side and added up (CoCoA+, Ma et
-al. 2015): each round joins the weights with the terms of every block, each block
-improves the dual variables of its own rows against these weights, and the changes
-of the weights are summed by term.  Nothing but one number per task (a class
+ascent in blocks of rows that are solved side by side (CoCoA, Jaggi et al. 2014): each round joins the weights with the terms of every block, each block
+improves the dual variables of its own rows against these weights, the changes of
+the weights are summed by term, and all move along that sum as far as the dual
+objective grows (a line search in closed form, per task).  Nothing but one number per task (a class
 against the rest, or a pair of classes) reaches the driver: the primal and the dual
 objective, whose gap bounds how far the fit is from the optimum.  The fit stops when
 every task's gap is at most ``tolerance`` of its primal objective; a fit that does
@@ -36,7 +36,7 @@ from lexiframe.session import cut_lineage
 #: The constant term (word tokens are never empty).
 BIAS = ""
 #: Values of a block of rows, passes over it per round, and rounds before the fit fails.
-BLOCK_VALUES, PASSES, ROUNDS = 1 << 20, 32, 400
+BLOCK_VALUES, PASSES, ROUNDS = 1 << 22, 16, 400
 
 _OUT = "block long, kind int, term string, row string, v array<double>"
 _WEIGHTS, _DUALS, _SUMS = 0, 1, 2
@@ -83,11 +83,10 @@ def task_signs(tasks: list[tuple[int, int | None]], n_classes: int) -> np.ndarra
     return out
 
 
-def ascend(w, alpha, signs, starts, code, value, c, spread, passes, seed):
-    """Dual coordinate ascent on the rows of a block, in place; ``w`` moves by
-    ``spread`` times each change, so that the changes of all blocks may be added."""
+def ascend(w, alpha, signs, starts, code, value, c, passes, seed):
+    """Dual coordinate ascent on the rows of a block, in place."""
     rng = np.random.default_rng(seed)
-    square = np.add.reduceat(value * value, starts[:-1]) * spread
+    square = np.add.reduceat(value * value, starts[:-1])
     for _ in range(passes):
         for i in rng.permutation(len(alpha)):
             lo, hi = starts[i], starts[i + 1]
@@ -96,11 +95,11 @@ def ascend(w, alpha, signs, starts, code, value, c, spread, passes, seed):
             new = np.clip(alpha[i] + (1 - y * (x @ here)) / square[i], 0.0, c) * (y != 0)
             step = (new - alpha[i]) * y
             if step.any():
-                w[at] = here + np.outer(x, spread * step)
+                w[at] = here + np.outer(x, step)
                 alpha[i] = new
 
 
-def _solver(signs_of: np.ndarray, c: float, spread: int, round_: int):
+def _solver(signs_of: np.ndarray, c: float, round_: int):
     n_tasks = signs_of.shape[1]
 
     def solve(rows: pa.Table, known: pa.Table) -> pa.Table:
@@ -124,16 +123,16 @@ def _solver(signs_of: np.ndarray, c: float, spread: int, round_: int):
         for i in range(len(alpha)):
             lo, hi = starts[i], starts[i + 1]
             hinge += np.maximum(0, 1 - signs[i] * (value[lo:hi] @ w[code[lo:hi]])) * (signs[i] != 0)
-        sums = np.r_[hinge, alpha.sum(axis=0)]
-        before = w.copy()
-        ascend(w, alpha, signs, starts, code, value, c, spread, PASSES, (round_, block & 0x7FFFFFFF))
-        change = (w - before) / spread
-        moved, held = np.flatnonzero(change.any(axis=1)), np.flatnonzero(alpha.any(axis=1))
+        before, old = w.copy(), alpha.copy()
+        ascend(w, alpha, signs, starts, code, value, c, PASSES, (round_, block & 0x7FFFFFFF))
+        change = w - before
+        moved, held = np.flatnonzero(change.any(axis=1)), np.flatnonzero((old != 0).any(axis=1) | alpha.any(axis=1))
+        sums = np.r_[hinge, old.sum(axis=0), (alpha - old).sum(axis=0)]
         terms, ids = term.dictionary.take(pa.array(moved)), row.dictionary.take(pa.array(held))
         n, m = len(moved), len(held)
         lists = pa.ListArray.from_arrays(
-            pa.array(np.r_[np.arange(n + m + 1) * n_tasks, (n + m + 2) * n_tasks].astype(np.int32)),
-            pa.array(np.concatenate([change[moved].ravel(), alpha[held].ravel(), sums])))
+            pa.array(np.cumsum(np.r_[0, np.repeat([1, 2, 3], [n, m, 1])] * n_tasks).astype(np.int32)),
+            pa.array(np.concatenate([change[moved].ravel(), np.hstack([old[held], alpha[held]]).ravel(), sums])))
         return pa.table({
             "block": pa.array(np.full(n + m + 1, block), pa.int64()),
             "kind": pa.array(np.repeat([_WEIGHTS, _DUALS, _SUMS], [n, m, 1]), pa.int32()),
@@ -185,16 +184,21 @@ def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.
         for round_ in range(rounds):
             known = terms.join(weights, "term").select("block", "term", F.lit(None).cast("string").alias("row"), "v").unionByName(
                 duals.select("block", F.lit(None).cast("string").alias("term"), "row", "v"))
-            moved = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_solver(signs, c, blocks, round_), _OUT)
+            moved = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_solver(signs, c, round_), _OUT)
             moved = cut_lineage(moved, "svm-round")
-            sums = moved.filter(F.col("kind") == _SUMS).agg(*[F.sum(F.col("v")[i]) for i in range(2 * n)]).first()
-            squares = weights.agg(*[F.coalesce(F.sum(F.col("v")[i] * F.col("v")[i]), F.lit(0.0)) for i in range(n)]).first()
-            gaps = relative_gaps(list(squares), list(squares), list(sums[:n]), list(sums[n:]), c)
+            sums = moved.filter(F.col("kind") == _SUMS).agg(*[F.sum(F.col("v")[i]) for i in range(3 * n)]).first()
+            steps = cut_lineage(_summed(moved.filter(F.col("kind") == _WEIGHTS), "term", n).withColumnRenamed("v", "step"), "svm-step")
+            both = weights.join(steps, "term", "full")
+            w, step = ([F.coalesce(F.col(x)[i], F.lit(0.0)) for i in range(n)] for x in ("v", "step"))
+            products = both.agg(*[F.coalesce(F.sum(x * y), F.lit(0.0)) for x, y in [*zip(w, w), *zip(w, step), *zip(step, step)]]).first()
+            gaps = relative_gaps(products[:n], products[:n], sums[:n], sums[n: 2 * n], c)
             if max(gaps) <= tolerance:
                 return LinearModel(classes, tasks, weights.select("term", F.col("v").alias("w")), duals.select("row", F.col("v").alias("alpha")), gaps, c)
-            steps = moved.filter(F.col("kind") == _WEIGHTS).select("term", "v")
-            weights = cut_lineage(_summed(weights.unionByName(steps), "term", n), "svm-weights")
-            duals = moved.filter(F.col("kind") == _DUALS).select("block", "row", "v")
+            # the dual along the summed change is a parabola: its top, within the feasible part
+            far = [min(1.0, max(0.0, (sums[2 * n + i] - products[n + i]) / products[2 * n + i])) if products[2 * n + i] > 0 else 1.0 for i in range(n)]
+            weights = cut_lineage(both.select("term", F.array(*[x + g * y for x, y, g in zip(w, step, far, strict=True)]).alias("v")), "svm-weights")
+            between = [F.col("v")[i] + g * (F.col("v")[n + i] - F.col("v")[i]) for i, g in enumerate(far)]
+            duals = moved.filter(F.col("kind") == _DUALS).select("block", "row", F.array(*between).alias("v"))
     finally:
         blocked.unpersist()
     raise RuntimeError(f"no convergence in {rounds} rounds: relative gaps {gaps}")

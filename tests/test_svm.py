@@ -59,18 +59,18 @@ def objective(x, y, model, t):
     return w @ w / 2 + np.maximum(0, 1 - y[keep] * (x[keep] @ w)).sum()
 
 
-@pytest.mark.parametrize("against,block", [("rest", 180), ("pairs", 1 << 20)])
-def test_objective_is_within_a_percent(spark, against, block):
-    """Also when the rows are dealt over several blocks."""
-    docs, features = table_of(4)
-    d, f, rows, model = fitted(spark, docs, features, against=against, block_values=block)
+@pytest.mark.parametrize("against,block,gap", [("rest", 150, 0.05), ("rest", 1 << 20, 0.01), ("pairs", 1 << 20, 0.01)])
+def test_objective_is_within_the_tolerance(spark, against, block, gap):
+    """Also when the rows are dealt over two blocks (which takes more rounds)."""
+    docs, features = table_of(4, n=40 if block == 150 else 70)
+    d, f, rows, model = fitted(spark, docs, features, against=against, block_values=block, tolerance=gap)
     x, label = dense(docs, features)
     signs = svm.task_signs(model.tasks, 3)
     for t in range(len(model.tasks)):
         best = optimum(x, signs[label, t])
-        assert best * (1 - 1e-9) <= objective(x, signs[label, t], model, t) <= best * 1.0101
+        assert best * (1 - 1e-9) <= objective(x, signs[label, t], model, t) <= best / (1 - gap) * (1 + 1e-9)
     proof = svm.certificate(rows, model).first()
-    assert proof.feasible and proof.gap <= 0.01 + 1e-9
+    assert proof.feasible and proof.gap <= gap + 1e-9
     got = {r.id: r.prediction for r in svm.predict_svm(model, f, d, "id", "v").collect()}
     w = {r["term"]: r["w"] for r in model.weights.collect()}
     zero = [0.0] * len(model.tasks)
