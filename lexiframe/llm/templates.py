@@ -3,25 +3,33 @@
 Texts become templates: every run of other characters is one space, letters
 and digits make tokens, and tokens are typed - numbers, names (a capital
 followed by small letters) and units after a number become placeholders, the
-rest is lower-cased.  Windows of ``WINDOW`` template tokens are hashed and
-joined with those of the benchmark, so a question with other numbers, names or
-units still meets its original.  A meeting counts only if its slots agree:
-within one copy (document, item, distance between the two places) each value
-of the original must stand for one value of the document.  Windows with fewer
-than ``MIN_LITERALS`` tokens that are not placeholders meet only where their own
-words (in small letters) are the same.  An item is leaked when windows that meet
-cover ``MIN_COVERAGE`` of its windows, or of those with enough literals, or when
-``RUN`` of its own words in a row stand in a document, whatever its length.
-
-Items shorter than a window are searched as one window of their own length.
-
-The benchmark's windows are broadcast after their number is checked
-(``BROADCAST_WINDOWS``); beyond it, hashes are joined by shuffle and the
-documents that meet are joined again for their slots.
-
-Defined results: NULL and empty texts meet nothing; rows that share an id are
-judged as one document (as are all rows with a NULL id); repeated items are
-reported each; an empty table on either side gives no rows; other columns stay.
+rest is lower-cased.  Every token is hashed once, and the hashes of ``WINDOW``
+tokens in a row are made by doubling (of two, four, eight), for the template and for
+the text's own words (in small letters).
+
+A window of the benchmark with at least ``MIN_LITERALS`` tokens that are not
+placeholders meets documents by its template, so a question with other numbers,
+names or units still meets its original; such a meeting counts only if its slots
+agree: within one copy (document, item, distance between the two places) each value
+of the original must stand for one value of the document.  Any other window meets by
+its own words only, so tables of numbers do not all meet.  An item is leaked when
+windows that meet cover ``MIN_COVERAGE`` of its windows, or of those with enough
+literals, or when ``RUN`` of its own words in a row stand in a document (windows of
+own words that meet one after the other), whatever its length.
+
+Items shorter than a window are searched as one window of their own length; items of
+fewer than ``WHOLE`` tokens are leaked only by a document that has no other tokens.
+
+Scale: windows leave their document as a hash and a place.  They meet the benchmark's
+written windows in one join that the planner makes by broadcast or by shuffle, with
+equal results; the texts of the few documents that meet are read once more for
+their slots.
+
+Defined results: NULL and empty texts meet nothing; rows that share an id (or have
+none) are judged apart unless their texts are equal too, and equal rows are one
+document; repeated items are one, items that share an id are reported each; of tied
+slot values the smallest counts; very long texts are searched whole; an empty table
+on either side gives no rows; other columns stay.
 """
 
 from __future__ import annotations
@@ -33,11 +41,9 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.storage import table, written
 
-WINDOW, MIN_LITERALS, MIN_COVERAGE, RUN = 8, 5, 0.4, 13
-#: Kinds of windows: by template, by template and own words, ``RUN`` own words.
-TYPED, WORDS, ROW = 0, 1, 2
-#: At most so many benchmark windows (about 64 bytes each) are broadcast.
-BROADCAST_WINDOWS = 200_000
+WINDOW, MIN_LITERALS, MIN_COVERAGE, RUN, WHOLE = 8, 5, 0.4, 13, 4
+#: Kinds of windows: by template, by own words.
+TYPED, WORDS = 0, 1
 #: Unit words (lower case), typed as units after a number.
 UNITS = ("cm dm ft g gb h hz in kb kg km l lb lbs m mb mg min ml mm mph ms oz s sec t tb yd "
          "cent cents day days dollar dollars euro euros feet foot gram grams hour hours inch inches "
@@ -65,56 +71,107 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def window_hash(t: Column, i: Column, size: int) -> Column:
-    return F.xxhash64(F.lit(size), *[F.get(t, i + k) for k in range(size)])
+def hashes(t: Column) -> Column:
+    return F.transform(t, lambda x: F.xxhash64(x))
 
 
-def windows(t: Column, size: int) -> Column:
-    """``(at, size, hash)`` of every window of ``size`` tokens; none in a shorter text."""
-    starts = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), window_hash(t, i, size).alias("hash")))
+def longer(h: Column, size: int, other: Column, other_size: int) -> Column:
+    """Hashes of windows of ``size + other_size`` tokens from those of the two parts."""
+    n = F.size(h) - other_size
+    pair = F.zip_with(F.slice(h, 1, F.greatest(n, F.lit(0))), F.slice(other, size + 1, F.greatest(n, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    return F.when(n > 0, pair).otherwise(F.array().cast("array<bigint>"))
+
+
+def with_window_hashes(rows: DataFrame, column: str, sizes: list[int]) -> tuple[DataFrame, dict[int, str]]:
+    """Add, per size, the hashes of all windows of token hashes in ``column``;
+    sizes are put together from powers of two, so a power is made once."""
+    at = {1: column}
+    for size in [k for k in (2, 4, 8) if k <= max(sizes)]:
+        half = F.col(at[size // 2])
+        rows = rows.withColumn(f"{column}{size}", longer(half, size // 2, half, size // 2))
+        at[size] = f"{column}{size}"
+    for size in sizes:
+        if size not in at:
+            high = 4 if size > 4 else 2
+            low = size - high
+            if low not in at:
+                rows = rows.withColumn(f"{column}{low}", longer(F.col(at[2]), 2, F.col(at[1]), 1))
+                at[low] = f"{column}{low}"
+            rows = rows.withColumn(f"{column}{size}", longer(F.col(at[high]), high, F.col(at[low]), low))
+            at[size] = f"{column}{size}"
+    return rows, at
 
 
 def is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1) == "#"
 
 
+def places(h: Column, size: int, kind: int) -> Column:
+    return F.transform(h, lambda x, i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.lit(kind).alias("kind"), x.alias("hash")))
+
+
+def typed_tokens(rows: DataFrame) -> DataFrame:
+    """Add template tokens ``_t`` and own words ``_r`` of the clean text ``_c``."""
+    return rows.withColumn("_t", tokens(template(F.col("_c")))).withColumn("_r", tokens(F.lower("_c")))
+
+
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(hash, size, kind, item_id, item_at, item_tokens, item_raw, item_windows,
-    item_typed)``; the two arrays hold the window's template and its own words,
-    the last columns count the item's windows but for rows, and those by template."""
-    t = items.select(F.col(id_col).alias("item_id"), clean(F.col(text_col)).alias("_c"))
-    t = t.withColumn("_t", tokens(template(F.col("_c")))).withColumn("_r", tokens(F.lower("_c")))
-    whole = [F.when(F.size("_t") == k, windows(F.col("_t"), k)) for k in range(1, WINDOW)]
-    every = F.concat(F.coalesce(*whole, windows(F.col("_t"), WINDOW)), windows(F.col("_r"), RUN))
-    t = t.withColumn("_w", F.explode(every)).select(
-        "item_id", "_w.hash", "_w.size", F.col("_w.at").alias("item_at"),
-        F.slice("_t", F.col("_w.at") + 1, F.col("_w.size")).alias("item_tokens"),
-        F.slice("_r", F.col("_w.at") + 1, F.col("_w.size")).alias("item_raw"))
-    literals = F.size(F.filter("item_tokens", lambda x: ~is_slot(x)))
-    t = t.withColumn("kind", F.when(F.col("size") == RUN, ROW).when(literals >= MIN_LITERALS, TYPED).otherwise(WORDS))
-    per_item = t.groupBy("item_id").agg(F.count_if(F.col("kind") != ROW).alias("item_windows"), F.count_if(F.col("kind") == TYPED).alias("item_typed"))
-    return t.join(per_item.withColumnRenamed("item_id", "_i"), F.col("item_id").eqNullSafe(F.col("_i"))).drop("_i")
+    """``(hash, size, kind, counts, item_id, item_key, item_at, item_tokens, item_raw,
+    item_windows, item_typed)``; the two arrays hold the window's template and its own
+    words, ``counts`` says that a window by own words is one without enough
+    literals, and the last columns count the item's windows."""
+    t = items.select(F.col(id_col).alias("item_id"), F.col(text_col).cast("string").alias("_x")).distinct()
+    t = typed_tokens(t.select("item_id", F.xxhash64("_x").alias("item_key"), clean(F.col("_x")).alias("_c")))
+    size = F.least(F.size("_t"), F.lit(WINDOW))
+    starts = F.when(size > 0, F.sequence(F.lit(0), F.size("_t") - size)).otherwise(F.array().cast("array<int>"))
+    t = t.withColumn("size", size).withColumn("item_at", F.explode(starts)).select(
+        "item_id", "item_key", "size", "item_at", F.slice("_t", F.col("item_at") + 1, F.col("size")).alias("item_tokens"),
+        F.slice("_r", F.col("item_at") + 1, F.col("size")).alias("item_raw"))
+    few = F.size(F.filter("item_tokens", lambda x: ~is_slot(x))) < MIN_LITERALS
+    one = t.groupBy("item_id", "item_key").agg(F.count("*").alias("item_windows"), F.count_if(~few).alias("item_typed")).select(
+        F.col("item_id").alias("_i"), F.col("item_key").alias("_k"), "item_windows", "item_typed")
+    t = t.join(one, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_key") == F.col("_k"))).drop("_i", "_k")
+    kinds = F.array(F.struct(F.lit(TYPED).alias("kind"), (~few).alias("use")), F.struct(F.lit(WORDS).alias("kind"), F.lit(True).alias("use")))
+    t = t.withColumn("_q", F.explode(F.filter(kinds, lambda x: x["use"]))).select("*", F.col("_q.kind").alias("kind"), few.alias("counts"))
+    t = t.withColumn("_h", hashes(F.when(F.col("kind") == TYPED, F.col("item_tokens")).otherwise(F.col("item_raw"))))
+    out = None
+    for k in range(1, WINDOW + 1):
+        part, at = with_window_hashes(t.filter(F.col("size") == k), "_h", [k])
+        part = part.withColumn("hash", F.get(at[k], F.lit(0))).drop("_q", *[c for c in part.columns if c.startswith("_h")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, doc_key, _x)``; equal ids and texts share a key, and their verdict."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text).alias("doc_key"), text.alias("_x"))
 
 
 def meetings(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame) -> DataFrame:
-    """``(doc_id, at, raw, item ...)``: one row per window of a document that meets one of the benchmark."""
-    d = docs.select(F.col(id_col).alias("doc_id"), clean(F.col(text_col)).alias("_c"))
-    d = d.withColumn("_t", tokens(template(F.col("_c")))).withColumn("_l", tokens(F.lower("_c")))
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most WINDOW + 1 values
-    if not sizes:
-        sizes = [WINDOW]
-    every = F.concat(*[windows(F.col("_l" if k == RUN else "_t"), k) for k in sizes])
-    if bench.count() <= BROADCAST_WINDOWS:
-        met = d.select("doc_id", "_c", F.explode(every).alias("_w")).join(F.broadcast(bench), F.col("_w.hash") == F.col("hash"))
-        met = met.filter(F.col("_w.size") == F.col("size"))
-    else:
-        lean = d.select("doc_id", F.explode(every).alias("_w")).select("doc_id", F.col("_w.at").alias("_at"), F.col("_w.hash").alias("hash"))
-        lean = lean.join(bench, "hash").withColumnRenamed("doc_id", "_d")
-        met = lean.join(d.select("doc_id", "_c"), F.col("_d").eqNullSafe(F.col("doc_id"))).withColumn("_w", F.struct(F.col("_at").alias("at")))
-    raw = F.slice(tokens(F.lower("_c")), F.col("_w.at") + 1, F.col("size"))
-    met = met.select("doc_id", F.col("_w.at").alias("at"), raw.alias("raw"), "kind", "item_id", "item_at", "item_tokens", "item_raw", "item_windows", "item_typed")
-    return met.filter((F.col("kind") == TYPED) | (F.col("raw") == F.col("item_raw")))
+    """``(doc_id, doc_key, at, raw, item ...)``: one row per window of a document that meets one of the benchmark."""
+    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW values
+    d = keyed(docs, id_col, text_col)
+    h = typed_tokens(d.select("doc_id", "doc_key", clean(F.col("_x")).alias("_c"))).select(
+        "doc_id", "doc_key", hashes(F.col("_t")).alias("_t"), hashes(F.col("_r")).alias("_r"))
+    every = []
+    for column, kind in (("_t", TYPED), ("_r", WORDS)):
+        use = [k for k in sizes if kind == WORDS or k >= MIN_LITERALS]
+        if not use:
+            continue
+        h, at = with_window_hashes(h, column, use)
+        for k in use:
+            p = places(F.col(at[k]), k, kind)
+            every.append(p if k >= WHOLE else F.when(F.size("_t") == k, p))
+    empty = F.array().cast("array<struct<at:int,size:int,kind:int,hash:bigint>>")
+    lean = h.select("doc_id", "doc_key", F.explode(F.concat(*[F.coalesce(p, empty) for p in every])).alias("_w")).select("doc_id", "doc_key", "_w.*")
+    met = written(lean.join(bench, ["hash", "size", "kind"]).drop("hash"), "met")
+    # the texts of documents that meet by template, once each
+    keys = met.filter(F.col("kind") == TYPED).select("doc_key").distinct()
+    texts = written(d.join(keys, "doc_key", "left_semi").select("doc_key", "_x").distinct(), "met-texts")
+    texts = texts.select("doc_key", tokens(F.lower(clean(F.col("_x")))).alias("_r"))
+    typed = met.filter(F.col("kind") == TYPED).join(texts, "doc_key").withColumn("raw", F.slice("_r", F.col("at") + 1, F.col("size"))).drop("_r")
+    return typed.unionByName(met.filter(F.col("kind") == WORDS).withColumn("raw", F.col("item_raw")))
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -122,7 +179,12 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     """One row per document and item that leaked into it."""
     bench = written(benchmark_windows(items, item_col, item_text), "benchmark-windows")
     met = written(meetings(docs, id_col, text_col, bench), "meetings")
-    copy = ["doc_id", "item_id", "_shift"]
+    found = ["doc_id", "doc_key", "item_id", "item_key"]
+    copy = [*found, "_shift"]
+
+    def same(p: str, q: str, columns: list[str]) -> Column:
+        return reduce(lambda x, y: x & y, [F.col(f"{p}.{c}").eqNullSafe(F.col(f"{q}.{c}")) for c in columns])
+
     met = met.withColumn("_shift", F.col("at") - F.col("item_at"))
     slot = F.filter(F.arrays_zip(F.col("item_tokens").alias("t"), F.col("item_raw").alias("was"), F.col("raw").alias("now")),
                     lambda x: is_slot(x["t"]))
@@ -132,29 +194,35 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     votes = pairs.groupBy(*copy, "was", "now").agg(F.count("*").alias("n"))
     order = Window.partitionBy(*copy, "was").orderBy(F.desc("n"), "now")
     lost = votes.withColumn("_r", F.row_number().over(order)).filter("_r > 1").drop("_r", "n")
-    p, q = pairs.alias("p"), lost.alias("q")
-    bad = p.join(q, reduce(lambda x, y: x & y, [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in [*copy, "was", "now"]]), "left_semi")
-    bad = bad.select(*copy, "item_at").distinct()
-    good = typed.alias("p").join(bad.alias("q"), reduce(lambda x, y: x & y, [
-        F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in [*copy, "item_at"]]), "left_anti")
-    good = good.unionByName(met.filter(F.col("kind") != TYPED))
+    bad = pairs.alias("p").join(lost.alias("q"), same("p", "q", [*copy, "was", "now"]), "left_semi").select(*copy, "item_at").distinct()
+    good = typed.alias("p").join(bad.alias("q"), same("p", "q", [*copy, "item_at"]), "left_anti")
+    # own words in a row: windows of a copy that follow each other
+    words = met.filter((F.col("kind") == WORDS))
+    steps = words.filter(F.col("size") == WINDOW).select(*copy, "item_at").distinct()
+    island = F.col("item_at") - F.row_number().over(Window.partitionBy(*copy).orderBy("item_at"))
+    runs = steps.withColumn("_island", island).groupBy(*copy, "_island").agg(F.count("*").alias("n")).filter(F.col("n") > RUN - WINDOW)
+    row = words.alias("p").join(runs.alias("q"), same("p", "q", copy), "left_semi").withColumn("_row", F.lit(True))
+    good = good.unionByName(words.filter("counts")).withColumn("_row", F.lit(False)).unionByName(row)
     changed = F.exists(F.zip_with("item_raw", "raw", lambda a, b: a != b), lambda x: x)
-    found = good.groupBy("doc_id", "item_id").agg(
-        F.max("item_windows").alias("item_windows"), F.count_distinct(F.when(F.col("kind") != ROW, F.col("item_at"))).alias("windows_met"),
+    met_at = F.when((F.col("kind") == TYPED) | F.col("counts"), F.col("item_at"))
+    out = good.groupBy(*found).agg(
+        F.max("item_windows").alias("item_windows"), F.count_distinct(met_at).alias("windows_met"),
         F.min("at").cast("long").alias("first_token"), F.max(changed).alias("reparameterised"),
         F.max("item_typed").alias("_typed"), F.count_distinct(F.when(F.col("kind") == TYPED, F.col("item_at"))).alias("_typed_met"),
-        F.max(F.col("kind") == ROW).alias("_row"))
+        F.max("_row").alias("_row"))
     enough = F.col("windows_met") >= MIN_COVERAGE * F.col("item_windows")
     enough_typed = (F.col("_typed_met") > 0) & (F.col("_typed_met") >= MIN_COVERAGE * F.col("_typed"))
-    return found.filter(enough | enough_typed | F.col("_row")).drop("_typed", "_typed_met", "_row")
+    return out.filter(enough | enough_typed | F.col("_row")).drop("_typed", "_typed_met", "_row")
 
 
 def op10_template_leaks(spark, sf_dir):
     """Every document and benchmark item that leaked into it."""
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("doc_key", "item_key")
 
 
 def decontaminated(spark, docs, sf_dir):
-    """Pipeline stage: documents into which an item leaked go."""
-    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(written(found, "leaked"), F.col("doc_id").eqNullSafe(F.col("_leaked")), "left_anti")
+    """Pipeline stage: documents into which an item leaked go; rows that share an id
+    (or have none) are judged by their own texts."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", F.col("text").cast("string")) == F.col("_key"))
+    return docs.join(written(found, "leaked"), same, "left_anti")
