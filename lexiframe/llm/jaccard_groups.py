@@ -438,17 +438,31 @@ def op6_jaccard_groups(spark, sf_dir):
 
 
 def one_per_group(spark, docs, sf_dir):
-    """Pipeline stage: the document with the smallest id of each component stays.
-    Rows without an id stay; of rows that share an id one stays."""
+    """Pipeline stage: of each component the row with the smallest id stays (of rows
+    that share it, the one with the smallest hash of its text).
+
+    Rows are told apart by id and text, so rows that share an id but not their text
+    are judged apart; equal rows are one document, and one stays; rows without an id
+    stay."""
     from pyspark.sql import Window
 
-    found = jaccard_components(docs, "doc_id", "text")
-    gone = found.filter("component_id < id").select(F.col("id").alias("doc_id")).distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    named = left.filter("doc_id is not null").withColumn("_nth", nth).filter("_nth = 1")
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    return named.select(*cols).unionByName(docs.filter("doc_id is null").select(*cols))
+    text = F.col("text").cast("string")
+    key = F.xxhash64("doc_id", text, text.isNull())
+    named = docs.filter("doc_id is not null")
+    found = jaccard_components(named.select(key.alias("key"), "text"), "key", "text").select(F.col("id").alias("key"), "component_id").distinct()
+    ids = written(named.select("doc_id", key.alias("key")), "row-keys")
+    placed = written(ids.distinct().join(found, "key"), "row-components")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = written(placed.join(first, "component_id").filter(F.struct("doc_id", "key") != F.col("first")).select(F.col("key").alias("_gone")).distinct(), "gone")
+    left = docs.join(gone, (key == F.col("_gone")) & F.col("doc_id").isNotNull(), "left_anti")
+    again = ids.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_again"))
+    again = written(again.join(gone, F.col("_again") == F.col("_gone"), "left_anti"), "equal-rows")
+    same = (key == F.col("_again")) & F.col("doc_id").isNotNull()
+    # only equal rows move
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy("_all"))
+    equal = left.join(again, same, "left_semi").select("*", key.alias("_key"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    one = equal.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return left.join(again, same, "left_anti").unionByName(one)
 
 
 ORACLE = r"""

@@ -219,5 +219,13 @@ def op2_robust_rules(spark, sf_dir):
 
 
 def quality_stage(spark, docs, sf_dir):
-    """Pipeline stage: documents that the rules reject go."""
-    return with_verdicts(docs, [F.col(c) for c in docs.columns]).filter("kept").select("_row.*")
+    """Pipeline stage: documents that the rules reject go.
+
+    A verdict is a function of text, language and source, so rows meet the rejected
+    ones by a key of these three (96 bits of hash and which of them are NULL); only
+    keys and counts are written, never texts."""
+    parts = [F.col(c) for c in ("text", "lang", "source")]
+    key = F.struct(F.xxhash64(*parts, *[c.isNull() for c in parts]).alias("a"), F.hash(*parts).alias("b"))
+    judged = with_verdicts(docs, [key.alias("key")])
+    gone = written(judged.filter(~F.col("kept")).select(F.col("_row.key").alias("_gone")).distinct(), "rejected")
+    return docs.join(gone, key == F.col("_gone"), "left_anti")

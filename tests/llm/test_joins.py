@@ -95,6 +95,15 @@ def test_jaccard_edges(spark):
     assert kept.columns == clashing(documents(spark, rows)).columns
 
 
+def test_one_row_of_each_group_by_row_not_by_id(spark):
+    """Rows that share an id but not their text are judged apart; equal rows are one."""
+    near = text(70, 60)
+    rows = [(1, near), (7, near + " more"), (7, text(71, 60)), (7, text(71, 60)), (8, None), (8, ""), (8, text(72, 30)), (None, near), (9, text(72, 30)), (3, "a b")]
+    kept = jg.one_per_group(spark, documents(spark, rows), "")
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert got == sorted([(1, near), (7, text(71, 60)), (8, None), (8, ""), (8, text(72, 30)), (None, near), (3, "a b")], key=str)
+
+
 # ---- passages
 
 
