@@ -134,6 +134,8 @@ ORACLE = {
     "head_per_label": (
         "SELECT lang, doc_id, CAST(rn AS INTEGER) AS rank_in_label FROM (SELECT lang, doc_id, "
         "row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) x WHERE rn <= 20"),
+    "row_by_position": ("SELECT pos, doc_id, lang, text FROM (SELECT row_number() OVER () - 1 AS pos, doc_id, lang, text FROM documents) t "
+                        "WHERE pos >= 100 AND pos < 132"),
     "row_at": "SELECT doc_id, lang, text FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 1 OFFSET 30",
     "first_n": "SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 8",
     "shuffle": ("SELECT doc_id, row_number() OVER (ORDER BY " + SEED_KEY + ", doc_id) - 1 AS shuffle_rank "

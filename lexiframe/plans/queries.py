@@ -19,6 +19,7 @@ from lexiframe.operators import metrics as met
 from lexiframe.operators import naive_bayes as nb
 from lexiframe.operators import ranking as rk
 from lexiframe.operators import tables as tab
+from lexiframe.sources.positions import PositionIndex
 from lexiframe.plans.common import (SEED, TEST_SIZE, VAL_SIZE, SplitFeatures, doc_split, documents,
                                     quote_table, table)
 
@@ -123,6 +124,12 @@ def row_at(spark: SparkSession, d: str) -> DataFrame:
     return rk.row_at(fr, "doc_id", 30).select("doc_id", "lang", "text")
 
 
+def row_by_position(spark: SparkSession, d: str) -> DataFrame:
+    """A slice of the whole table by position, read from the files that hold it."""
+    index = PositionIndex.build(spark, f"{d.rstrip('/')}/documents.parquet")
+    return index.rows_between(100, 132).select("pos", "doc_id", "lang", "text")
+
+
 def first_n(spark: SparkSession, d: str) -> DataFrame:
     return rk.first_n(documents(spark, d).select("doc_id", "text"), "doc_id", 8)
 
@@ -253,6 +260,7 @@ QUERIES = {
     "union_by_name": union_by_name,
     "head_per_label": head_per_label,
     "row_at": row_at,
+    "row_by_position": row_by_position,
     "first_n": first_n,
     "shuffle": shuffle,
     "split_two_way": split_two_way,
