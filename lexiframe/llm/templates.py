@@ -21,8 +21,8 @@ Items shorter than a window are searched as one window of their own length; item
 fewer than ``WHOLE`` tokens are leaked only by a document that has no other tokens.
 
 Scale: windows leave their document as a hash and a place.  They meet the benchmark's
-written windows in one join that the planner makes by broadcast or by shuffle, with
-equal results; the texts of the few documents that meet are read once more for
+distinct hashes first (broadcast up to a checked number, beyond it by shuffle: the
+same join, the same rows) and the few that remain its windows; the texts of the few documents that meet are read once more for
 their slots.
 
 Defined results: NULL and empty texts meet nothing; rows that share an id (or have
@@ -44,6 +44,8 @@ from lexiframe.llm.storage import table, written
 WINDOW, MIN_LITERALS, MIN_COVERAGE, RUN, WHOLE = 8, 5, 0.4, 13, 4
 #: Kinds of windows: by template, by own words.
 TYPED, WORDS = 0, 1
+#: At most so many hashes of benchmark windows (8 bytes each) are broadcast; more are joined by shuffle, with the same rows.
+BROADCAST_HASHES = 2_000_000
 #: Unit words (lower case), typed as units after a number.
 UNITS = ("cm dm ft g gb h hz in kb kg km l lb lbs m mb mg min ml mm mph ms oz s sec t tb yd "
          "cent cents day days dollar dollars euro euros feet foot gram grams hour hours inch inches "
@@ -71,8 +73,9 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(text, " "), "")
 
 
-def hashes(t: Column) -> Column:
-    return F.transform(t, lambda x: F.xxhash64(x))
+def hashes(t: Column, kind) -> Column:
+    """Token hashes that differ between the kinds of windows."""
+    return F.transform(t, lambda x: F.xxhash64(x, kind))
 
 
 def longer(h: Column, size: int, other: Column, other_size: int) -> Column:
@@ -133,7 +136,7 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame
     t = t.join(one, F.col("item_id").eqNullSafe(F.col("_i")) & (F.col("item_key") == F.col("_k"))).drop("_i", "_k")
     kinds = F.array(F.struct(F.lit(TYPED).alias("kind"), (~few).alias("use")), F.struct(F.lit(WORDS).alias("kind"), F.lit(True).alias("use")))
     t = t.withColumn("_q", F.explode(F.filter(kinds, lambda x: x["use"]))).select("*", F.col("_q.kind").alias("kind"), few.alias("counts"))
-    t = t.withColumn("_h", hashes(F.when(F.col("kind") == TYPED, F.col("item_tokens")).otherwise(F.col("item_raw"))))
+    t = t.withColumn("_h", hashes(F.when(F.col("kind") == TYPED, F.col("item_tokens")).otherwise(F.col("item_raw")), F.col("kind")))
     out = None
     for k in range(1, WINDOW + 1):
         part, at = with_window_hashes(t.filter(F.col("size") == k), "_h", [k])
@@ -153,7 +156,7 @@ def meetings(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame) -> D
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect()) or [WINDOW]  # at most WINDOW values
     d = keyed(docs, id_col, text_col)
     h = typed_tokens(d.select("doc_id", "doc_key", clean(F.col("_x")).alias("_c"))).select(
-        "doc_id", "doc_key", hashes(F.col("_t")).alias("_t"), hashes(F.col("_r")).alias("_r"))
+        "doc_id", "doc_key", hashes(F.col("_t"), F.lit(TYPED)).alias("_t"), hashes(F.col("_r"), F.lit(WORDS)).alias("_r"))
     every = []
     for column, kind in (("_t", TYPED), ("_r", WORDS)):
         use = [k for k in sizes if kind == WORDS or k >= MIN_LITERALS]
@@ -165,7 +168,9 @@ def meetings(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame) -> D
             every.append(p if k >= WHOLE else F.when(F.size("_t") == k, p))
     empty = F.array().cast("array<struct<at:int,size:int,kind:int,hash:bigint>>")
     lean = h.select("doc_id", "doc_key", F.explode(F.concat(*[F.coalesce(p, empty) for p in every])).alias("_w")).select("doc_id", "doc_key", "_w.*")
-    met = written(lean.join(bench, ["hash", "size", "kind"]).drop("hash"), "met")
+    keys = written(bench.select("hash").distinct(), "benchmark-hashes")
+    known = F.broadcast(keys) if keys.count() <= BROADCAST_HASHES else keys
+    met = written(lean.join(known, "hash", "left_semi").join(bench, ["hash", "size", "kind"]).drop("hash"), "met")
     # the texts of documents that meet by template, once each
     keys = met.filter(F.col("kind") == TYPED).select("doc_key").distinct()
     texts = written(d.join(keys, "doc_key", "left_semi").select("doc_key", "_x").distinct(), "met-texts")

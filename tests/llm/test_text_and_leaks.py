@@ -66,7 +66,9 @@ def _twin(docs, items):
     return out
 
 
-def test_leaks_against_a_twin(spark):
+@pytest.mark.parametrize("limit", [2_000_000, 0])
+def test_leaks_against_a_twin(spark, monkeypatch, limit):
+    monkeypatch.setattr(tp, "BROADCAST_HASHES", limit)
     rnd = random.Random(8)
     pool = "Anna Bob 3 4 7 km days apples the of gives and Tom market ends 12 then rope Paris".split()
     items = [(i, " ".join(rnd.choice(pool) for _ in range(rnd.choice([1, 2, 4, 6, 7, 8, 9, 20, 40])))) for i in range(25)]
