@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from lexiframe.functions.vectors import as_doubles, logsumexp
@@ -88,6 +88,37 @@ def step_and_epoch(df: DataFrame, run: str, batch: str, label: str = "label",
     return out.withColumn("grain", F.when(F.col("_lf_g") == 1, "epoch").otherwise("step")).drop("_lf_g")
 
 
+def write_with_metrics(df: DataFrame, path: str, classes: Sequence, label: str = "label",
+                       prediction: str = "prediction") -> tuple[DataFrame, DataFrame]:
+    """Write predictions and count the confusion of ``classes`` in the same pass.
+
+    The counts are observed while rows go by (one per pair of classes, summed by
+    the tasks), so nothing is read again.  Returns the written rows and the
+    ``(label, prediction, n)`` grid; ``metrics_of`` turns the grid into accuracy and
+    macro F1.  Rows with a class outside ``classes`` are an error."""
+    classes = sorted(classes)
+    seen = Observation()
+    pairs = [(a, b) for a in classes for b in classes]
+    counts = [F.count_if((F.col(label) == F.lit(a)) & (F.col(prediction) == F.lit(b))).alias(f"n{i}") for i, (a, b) in enumerate(pairs)]
+    df.observe(seen, F.count(F.lit(1)).alias("n"), *counts).write.mode("overwrite").parquet(path)
+    got = seen.get
+    if sum(got[f"n{i}"] for i in range(len(pairs))) != got["n"]:
+        raise ValueError("rows with a class that was not named")
+    spark = df.sparkSession
+    kinds = f"label {df.schema[label].dataType.simpleString()}, prediction {df.schema[prediction].dataType.simpleString()}, n long"
+    return spark.read.parquet(path), spark.createDataFrame([(a, b, got[f"n{i}"]) for i, (a, b) in enumerate(pairs)], kinds)
+
+
+def metrics_of(grid: DataFrame) -> DataFrame:
+    """Accuracy, macro F1, rows and classes (of truth or predictions) of a confusion grid."""
+    tp = F.sum(F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(0))
+    ends = grid.select("n", (F.col("label") == F.col("prediction")).alias("right"), F.explode(F.array(
+        F.struct(F.col("label").alias("cls"), F.lit(True).alias("is_true")), F.struct(F.col("prediction").alias("cls"), F.lit(False).alias("is_true")))).alias("e"))
+    per = ends.groupBy("e.cls").agg(F.sum("n").alias("both"), F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("tp2")).filter("both > 0")
+    macro = per.agg(F.avg(F.col("tp2") / F.col("both")).alias("macro_f1"), F.count(F.lit(1)).alias("n_classes"))
+    return grid.agg((tp / F.sum("n")).alias("accuracy"), F.sum("n").alias("n")).join(macro, F.lit(True)).select("accuracy", "macro_f1", "n", "n_classes")
+
+
 def top_k_runs(metrics: DataFrame, run: str, step: str, value: str, k: int = 2, mode: str = "max",
                metric: str | None = None) -> DataFrame:
     """Best ``k`` entries per run by ``value`` (``mode`` max/min), earliest step on ties,

@@ -172,6 +172,8 @@ ORACLE = {
     "nb_tfidf_predict": NB_TFIDF + " SELECT doc_id, label, prediction FROM res",
     "nb_confusion": NB_TF + CONFUSION,
     "nb_metrics": NB_TF + METRICS,
+    "nb_metrics_observed": NB_TF + METRICS,
+    "nb_saved": NB_TF + " SELECT doc_id, label, prediction FROM res",
 }
 
 
@@ -329,6 +331,9 @@ ORACLE.update({
     "translations_wide": (
         "SELECT doc_id, text, lang AS label, " + ", ".join(f"'[{g}] ' || text AS augmented_{g}" for g in
                                             ("en", "tl", "vi", "th", "zh")) + " FROM documents"),
+    "translations_resumed": (
+        "SELECT doc_id, text, lang AS label, " + ", ".join(f"'[{g}] ' || text AS augmented_{g}" for g in ("en", "tl", "vi", "th", "zh"))
+        + ", CAST(0 AS BIGINT) AS sent_again FROM documents"),
     "csv_round_trip": "SELECT doc_id, text, lang FROM documents",
     "csv_split_quotes": "SELECT doc_id, text, lang FROM documents",
     "tsv_round_trip": "SELECT conv_id, turn, role, text FROM conversations",

@@ -19,6 +19,7 @@ from lexiframe.operators import metrics as met
 from lexiframe.operators import naive_bayes as nb
 from lexiframe.operators import ranking as rk
 from lexiframe.operators import tables as tab
+from lexiframe.session import scratch_path
 from lexiframe.sources.positions import PositionIndex
 from lexiframe.plans.common import (SEED, TEST_SIZE, VAL_SIZE, SplitFeatures, doc_split, documents,
                                     quote_table, table)
@@ -244,7 +245,27 @@ def nb_metrics(spark: SparkSession, d: str) -> DataFrame:
                      "n", "n_classes")
 
 
+def nb_metrics_observed(spark: SparkSession, d: str) -> DataFrame:
+    """``nb_metrics`` counted while the predictions are written: one pass over them."""
+    model, pred = _nb_fit_predict(spark, d)
+    classes = [r["label"] for r in model.classes.select("label").collect()]  # one value per class
+    _, grid = met.write_with_metrics(pred, scratch_path(spark, "predictions"), classes)
+    return met.metrics_of(grid).select(F.round("accuracy", R).alias("accuracy"), F.round("macro_f1", R).alias("macro_f1"), "n", "n_classes")
+
+
+def nb_saved(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of the saved and reloaded naive Bayes model."""
+    sf = SplitFeatures(spark, d)
+    model, test_x, value = _nb_fit(sf)
+    path = scratch_path(spark, "nb")
+    model.save(path)
+    back = nb.NaiveBayesModel.load(spark, path)
+    return nb.predict_naive_bayes(back, test_x, sf.labels_of("test"), "doc_id", value=value).select("doc_id", "label", "prediction")
+
+
 QUERIES = {
+    "nb_metrics_observed": nb_metrics_observed,
+    "nb_saved": nb_saved,
     "class_sizes": class_sizes,
     "min_class_size": min_class_size,
     "label_map_first_seen": label_map_first_seen,

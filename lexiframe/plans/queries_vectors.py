@@ -20,6 +20,7 @@ from lexiframe.operators import ranking as rk
 from lexiframe.operators import scoring as sc
 from lexiframe.operators import svm
 from lexiframe.operators import tables as tab
+from lexiframe.operators import translation_memory as tm
 from lexiframe.plans.common import SEED, SplitFeatures, documents, quote_table, table
 from lexiframe.session import scratch_path
 from lexiframe.sinks import writers as wr
@@ -161,6 +162,17 @@ def translations_wide(spark: SparkSession, d: str) -> DataFrame:
     return aug.translate_wide(docs, "text", TARGET_LANGS, tagging_translator)
 
 
+def translations_resumed(spark: SparkSession, d: str) -> DataFrame:
+    """English documents first, then all, then all again through one memory;
+    ``sent_again`` counts the texts of the last run."""
+    docs = documents(spark, d).select("doc_id", "text", F.col("lang").alias("label"))
+    memory = scratch_path(spark, "memory")
+    tm.fill_memory(docs.filter("label = 'en'"), "text", TARGET_LANGS, tagging_translator, memory)
+    tm.fill_memory(docs, "text", TARGET_LANGS, tagging_translator, memory)
+    out, again = tm.translate_with_memory(docs, "text", TARGET_LANGS, tagging_translator, memory)
+    return out.withColumn("sent_again", F.lit(again).cast("bigint"))
+
+
 # --------------------------------------------------------------------------
 # Step 8: sources and sinks round trips, metric log, registry
 # --------------------------------------------------------------------------
@@ -462,6 +474,7 @@ QUERIES = {
     "augment_pick": augment_pick,
     "contrastive_pairs": contrastive_pairs,
     "translations_wide": translations_wide,
+    "translations_resumed": translations_resumed,
     "csv_round_trip": csv_round_trip,
     "csv_split_quotes": csv_split_quotes,
     "csv_by_name": csv_by_name,

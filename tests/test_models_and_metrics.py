@@ -130,3 +130,17 @@ def test_naive_bayes_save_load_round_trip(spark, tmp_dir):
     b = {r.doc_id: r.prediction for r in
          nb.predict_naive_bayes(loaded, term_counts(te, "doc_id"), te.select("doc_id"), "doc_id").collect()}
     assert a == b == {5: "x", 6: "y"}
+
+
+def test_metrics_beside_the_write_read_nothing_again(spark, tmp_dir):
+    """Observed counts equal the grouped ones, zero cells and classes without rows included."""
+    from lexiframe.operators import metrics as met
+
+    rows = [("a", "a"), ("a", "b"), ("b", "b"), ("c", "a"), ("a", "a")]
+    df = spark.createDataFrame(rows, "label string, prediction string")
+    written, grid = met.write_with_metrics(df, f"{tmp_dir}/p", ["c", "a", "b", "d"])
+    assert sorted(map(tuple, written.collect())) == sorted(rows)
+    assert {(r.label, r.prediction): r.n for r in grid.collect()} == {(x, y): rows.count((x, y)) for x in "abcd" for y in "abcd"}
+    assert met.metrics_of(grid).first() == met.evaluate(df).first()
+    with pytest.raises(ValueError, match="not named"):
+        met.write_with_metrics(df, f"{tmp_dir}/q", ["a", "b"])
