@@ -58,6 +58,8 @@ WIDTH = MIN_WORDS - SHINGLE + 1
 PART = WIDTH // 2
 #: Windows tied together before they leave a task.
 TIE_ROWS = 1_500_000
+#: Rows handed to Spark at once: a batch is held by both sides.
+SLICE = 1 << 16
 #: Shingles that edits may interrupt a run by (two neighbouring words); beyond, stretches are searched.
 GAP = 2 * SHINGLE
 _SEEDS = mix(np.arange(1, 9, dtype=U64) * U64(0xA0761D6478BD642F))
@@ -200,9 +202,12 @@ def window_rows(docs: DataFrame) -> DataFrame:
             for c, f in zip(cols, finer, strict=True):
                 c[shared] = f[order]
             ties, heads = _ties(*cols)
-            yield padded(len(heads), **{x: pa.array(c[heads]) for x, c in zip(names, cols, strict=False)})
-            if ties.num_rows:
-                yield padded(ties.num_rows, **dict(zip(ties.schema.names, ties.columns, strict=True)))
+            for lo in range(0, len(heads), SLICE):
+                some = heads[lo: lo + SLICE]
+                yield padded(len(some), **{x: pa.array(c[some]) for x, c in zip(names, cols, strict=False)})
+            for lo in range(0, ties.num_rows, SLICE):
+                part = ties.slice(lo, SLICE)
+                yield padded(part.num_rows, **dict(zip(part.schema.names, part.columns, strict=True)))
 
         for batch in batches:
             ids = batch.column("id").to_numpy()
@@ -237,6 +242,10 @@ def all_ties(rows: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("_c", F.col("place").bitwiseAND(0xFFFFFFFF)).sortWithinPartitions("key", "doc", "_c").drop("_c")
     tie_names = [f.split()[0] for f in TIES.split(", ")]
 
+    def sliced(found):
+        for lo in range(0, found.num_rows, SLICE):
+            yield found.slice(lo, SLICE)
+
     def tie(batches):
         held, rows, known = [], 0, 0  # rows of one key not yet tied, after its known heads
         for batch in batches:
@@ -260,12 +269,10 @@ def all_ties(rows: DataFrame) -> DataFrame:
                 found, heads = _ties(*cols, known)
                 held, known = [[c[heads] for c in cols]], len(heads)
             rows = len(held[0][0])
-            if found.num_rows:
-                yield found
+            yield from sliced(found)
         if held:
             found, _ = _ties(*[np.concatenate(p) for p in zip(*held, strict=True)], known)
-            if found.num_rows:
-                yield found
+            yield from sliced(found)
 
     return dealt.mapInArrow(tie, TIES)
 
