@@ -105,6 +105,10 @@ RANK_BY_LANG = ("SELECT doc_id, lang AS label, row_number() OVER (PARTITION BY l
                 + ", doc_id) - 1 AS rk FROM documents")
 MIN_CLASS = "m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM documents GROUP BY lang) c)"
 
+def _feistel(round_: str, half: str) -> str:
+    return f"CAST('0x' || substr(md5('42:' || epoch || ':{round_}:' || {half}), 1, 8) AS BIGINT)"
+
+
 ORACLE = {
     "class_sizes": "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
     "min_class_size": "SELECT min(n) AS min_class_size FROM (SELECT count(*) AS n FROM documents GROUP BY lang) c",
@@ -134,6 +138,17 @@ ORACLE = {
     "head_per_label": (
         "SELECT lang, doc_id, CAST(rn AS INTEGER) AS rank_in_label FROM (SELECT lang, doc_id, "
         "row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) x WHERE rn <= 20"),
+    "epoch_orders": (
+        "WITH RECURSIVE size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS a FROM "
+        "(SELECT count(*) AS n FROM documents) c) s), "
+        "p AS (SELECT row_number() OVER () - 1 AS pos, doc_id FROM documents), "
+        "walk AS (SELECT epoch, doc_id, pos AS x, FALSE AS moved FROM p, (VALUES (0), (1)) e(epoch) UNION ALL "
+        "SELECT epoch, doc_id, l3 * b + (r2 + " + _feistel("3", "l3") + ") % b AS x, TRUE AS moved FROM ("
+        "SELECT *, (l1 + " + _feistel("2", "r2") + ") % a AS l3 FROM ("
+        "SELECT *, (r0 + " + _feistel("1", "l1") + ") % b AS r2 FROM ("
+        "SELECT *, (l0 + " + _feistel("0", "r0") + ") % a AS l1 FROM ("
+        "SELECT *, x // b AS l0, x % b AS r0 FROM walk, size WHERE NOT moved OR x >= n) t0) t1) t2) t3) "
+        "SELECT epoch, doc_id, x AS place, x // 8 AS batch_id FROM walk, size WHERE moved AND x < n"),
     "row_by_position": ("SELECT pos, doc_id, lang, text FROM (SELECT row_number() OVER () - 1 AS pos, doc_id, lang, text FROM documents) t "
                         "WHERE pos >= 100 AND pos < 132"),
     "row_at": "SELECT doc_id, lang, text FROM documents WHERE lang = 'fr' ORDER BY doc_id LIMIT 1 OFFSET 30",

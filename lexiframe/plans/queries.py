@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.functions.text import join_columns
 from lexiframe.operators import features as feat
+from lexiframe.operators.epochs import place_in_epoch
 from lexiframe.operators import labels as lab
 from lexiframe.operators import metrics as met
 from lexiframe.operators import naive_bayes as nb
@@ -131,6 +132,14 @@ def row_by_position(spark: SparkSession, d: str) -> DataFrame:
     return index.rows_between(100, 132).select("pos", "doc_id", "lang", "text")
 
 
+def epoch_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of two epochs of the documents, each row's place from its position alone."""
+    index = PositionIndex.build(spark, f"{d.rstrip('/')}/documents.parquet")
+    rows = index.with_positions("pos").select("pos", "doc_id").withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    place = place_in_epoch(F.col("pos"), index.rows, F.col("epoch"), SEED)
+    return rows.withColumn("place", place).select("epoch", "doc_id", "place", F.floor(F.col("place") / 8).cast("bigint").alias("batch_id"))
+
+
 def first_n(spark: SparkSession, d: str) -> DataFrame:
     return rk.first_n(documents(spark, d).select("doc_id", "text"), "doc_id", 8)
 
@@ -282,6 +291,7 @@ QUERIES = {
     "head_per_label": head_per_label,
     "row_at": row_at,
     "row_by_position": row_by_position,
+    "epoch_orders": epoch_orders,
     "first_n": first_n,
     "shuffle": shuffle,
     "split_two_way": split_two_way,
