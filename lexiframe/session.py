@@ -61,9 +61,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme Spark resolves it by, so that code in tasks which opens
+    files itself sees the same file system (a path without one is not the executor's own disk)."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """This application's sub-folder of the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/lexiframe/{spark.sparkContext.applicationId}"
+    """This application's sub-folder of the shared checkpoint folder, with its scheme."""
+    return f"{qualified(spark, checkpoint_dir(spark)).rstrip('/')}/lexiframe/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

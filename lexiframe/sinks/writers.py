@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexiframe.operators.ranking import range_rank
-from lexiframe.session import cut_lineage
+from lexiframe.session import cut_lineage, qualified
 from lexiframe.sources.workbook import workbook_bytes
 
 # Fixed value: schema of the metric log.
@@ -65,12 +65,12 @@ def write_workbooks(df: DataFrame, path: str, sheet: str, columns: Sequence[str]
     strings, NULL cells left out) into a shared folder; returns their paths.
     A task writes what it holds, one workbook at a time."""
     names = list(columns)
+    path = qualified(df.sparkSession, path)
 
     def run(batches):
         from pyarrow import fs
 
-        filesystem, folder = (fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")) if path.startswith("file:") else (
-            fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path))
+        filesystem, folder = (fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")) if path.startswith("file:") else fs.FileSystem.from_uri(path)
         filesystem.create_dir(folder, recursive=True)
         for pdf in batches:
             for lo in range(0, len(pdf), rows_per_book):
