@@ -172,7 +172,7 @@ def meetings(docs: DataFrame, id_col: str, text_col: str, bench: DataFrame) -> D
     known = F.broadcast(keys) if keys.count() <= BROADCAST_HASHES else keys
     met = written(lean.join(known, "hash", "left_semi").join(bench, ["hash", "size", "kind"]).drop("hash"), "met")
     # the texts of documents that meet by template, once each
-    keys = met.filter(F.col("kind") == TYPED).select("doc_key").distinct()
+    keys = written(met.filter(F.col("kind") == TYPED).select("doc_key").distinct(), "met-keys")  # its size is known to the planner
     texts = written(d.join(keys, "doc_key", "left_semi").select("doc_key", "_x").distinct(), "met-texts")
     texts = texts.select("doc_key", tokens(F.lower(clean(F.col("_x")))).alias("_r"))
     typed = met.filter(F.col("kind") == TYPED).join(texts, "doc_key").withColumn("raw", F.slice("_r", F.col("at") + 1, F.col("size"))).drop("_r")
