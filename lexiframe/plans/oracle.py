@@ -378,6 +378,13 @@ ORACLE.update({
         "SELECT doc_id, list_transform(l, lambda x: round(exp(x - list_max(l)) / "
         "list_sum(list_transform(l, lambda y: exp(y - list_max(l)))), 6)) AS probs, "
         "['de', 'en', 'es', 'fr'][" + ARGMAX_L + " + 1] AS prediction FROM lg"),
+    "pool_sequences": (
+        "WITH e AS (SELECT vec_id // 8 AS seq, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), "
+        "f AS (SELECT seq, count(*) AS n_states, arg_min(v, vec_id) AS e FROM e GROUP BY seq), "
+        "m AS (SELECT seq, list(a ORDER BY j) AS mean FROM (SELECT seq, j, round(avg(x), 6) AS a FROM (SELECT seq, unnest(v) AS x, "
+        "unnest(range(64)) AS j FROM e WHERE label <> 0) u GROUP BY seq, j) g GROUP BY seq) "
+        "SELECT f.seq, n_states, list_transform(range(8), lambda i: round(list_sum(list_transform(range(64), lambda j: "
+        "e[j + 1] * CAST(((i * 7 + j * 3) % 11 - 5) AS DOUBLE) / 10)), 6)) AS projected, mean FROM f LEFT JOIN m USING (seq)"),
     "pool_project": (
         "WITH f AS (SELECT label, CAST(arg_min(embedding, vec_id) AS DOUBLE[]) AS e FROM embeddings GROUP BY label) "
         "SELECT label, list_transform(range(8), lambda i: round(list_sum(list_transform(range(64), lambda j: "

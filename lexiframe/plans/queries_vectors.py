@@ -21,6 +21,7 @@ from lexiframe.operators import scoring as sc
 from lexiframe.operators import svm
 from lexiframe.operators import tables as tab
 from lexiframe.operators import translation_memory as tm
+from lexiframe.operators.pooling import pool_states
 from lexiframe.plans.common import SEED, SplitFeatures, documents, quote_table, table
 from lexiframe.session import scratch_path
 from lexiframe.sinks import writers as wr
@@ -457,7 +458,18 @@ def pool_project(spark: SparkSession, d: str) -> DataFrame:
     return pooled.select("label", round_all(sc.project("pooled", PROJECTION), R).alias("projected"))
 
 
+def pool_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """All vectors as sequences of up to eight states in order: the projected first
+    state, and the mean of the states that a mask leaves."""
+    emb = table(spark, d, "embeddings").withColumn("seq", F.floor(F.col("vec_id") / 8).cast("bigint")).withColumn("mask", (F.col("label") != 0).cast("int"))
+    first = pool_states(emb, "seq", "vec_id", "embedding", 64)
+    mean = pool_states(emb, "seq", "vec_id", "embedding", 64, "mean", "mask", out="mean").drop("n_states")
+    both = first.join(mean, "seq")
+    return both.select("seq", "n_states", round_all(sc.project("pooled", PROJECTION), R).alias("projected"), round_all("mean", R).alias("mean"))
+
+
 QUERIES = {
+    "pool_sequences": pool_sequences,
     "batches": batches,
     "batch_max_len": batch_max_len,
     "token_ids": token_ids,
