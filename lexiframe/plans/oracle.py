@@ -283,6 +283,7 @@ ORACLE.update({
         "(SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '" + TOKEN_RE + "')) AS INTEGER) AS n_tokens, "
         + _batch("doc_id", 8) + " AS batch_id FROM documents) x"),
     "token_ids": IDS_ALL + " SELECT doc_id, input_ids FROM ids",
+    "token_ids_hashed": IDS_ALL + " SELECT doc_id, input_ids FROM ids",
     "truncate_pad_mask": (
         IDS_ALL + ", tb AS (SELECT doc_id, " + _batch("doc_id", 8) + " AS batch_id, list_slice(input_ids, 1, 512) "
         "AS t FROM ids), tm AS (SELECT *, max(len(t)) OVER (PARTITION BY batch_id) AS m FROM tb) "

@@ -21,9 +21,10 @@ from lexiframe.operators import scoring as sc
 from lexiframe.operators import svm
 from lexiframe.operators import tables as tab
 from lexiframe.operators import translation_memory as tm
+from lexiframe.operators.perfect_vocabulary import PerfectVocabulary
 from lexiframe.operators.pooling import pool_states
 from lexiframe.plans.common import SEED, SplitFeatures, documents, quote_table, table
-from lexiframe.session import scratch_path
+from lexiframe.session import cut_lineage, scratch_path
 from lexiframe.sinks import writers as wr
 from lexiframe.sources import delimited as dl
 from lexiframe.sources.registry import DatasetSpec, Registry
@@ -61,6 +62,14 @@ def token_ids(spark: SparkSession, d: str) -> DataFrame:
     return _token_ids(spark, d)
 
 
+def token_ids_hashed(spark: SparkSession, d: str) -> DataFrame:
+    """``token_ids`` through a minimal perfect hash of the vocabulary (the join beyond its checked size)."""
+    v = cut_lineage(feat.vocabulary(SplitFeatures(spark, d).tc("train"), "doc_id", with_ids=True).select("token", "term_id"), "vocabulary")
+    docs = documents(spark, d).select("doc_id", "text")
+    hashed = PerfectVocabulary.build(v)
+    return hashed.token_ids(docs, "doc_id") if hashed else bt.token_ids(docs, "doc_id", v)
+
+
 def truncate_pad_mask(spark: SparkSession, d: str) -> DataFrame:
     # batches are made of the ids alone; the token arrays are attached afterwards
     b = rk.assign_batches(documents(spark, d).select("doc_id"), "doc_id", 8).join(_token_ids(spark, d), "doc_id")
@@ -473,6 +482,7 @@ QUERIES = {
     "batches": batches,
     "batch_max_len": batch_max_len,
     "token_ids": token_ids,
+    "token_ids_hashed": token_ids_hashed,
     "truncate_pad_mask": truncate_pad_mask,
     "step_epoch_accuracy": step_epoch_accuracy,
     "l2_normalise": l2_normalise,
