@@ -16,7 +16,8 @@ one array value through a scalar subquery, so every document scores all classes
 without a cross join.  The argmax takes the highest score and, on ties, the
 first class in sorted order.
 
-Fitting runs jobs: the term and class tables are written to the shared folder.
+Fitting runs jobs: the term table is written to the shared folder; the class table
+is one row per class.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.session import cut_lineage
@@ -57,34 +58,27 @@ def fit_naive_bayes(features: DataFrame, doc_labels: DataFrame, key: str, label:
     """Fit from rows ``(label, token, value)`` and ``(key, label)`` rows.
 
     ``features`` may hold several rows of a label and token: single
-    occurrences, or (document, token) counts or weights; they are summed in
-    every task before the exchange by (label, token).  Every labelled document
+    occurrences, or (document, token) counts or weights; they are summed per class in
+    every task before the one exchange by token.  Every labelled document
     counts toward the prior, even one without tokens.
     """
     labelled = features if label in features.columns else features.join(doc_labels.select(key, label), key, "inner")
-    log_alpha = math.log(alpha)
-    sums = labelled.groupBy(F.col(label).alias("label"), "token").agg(F.sum(value).cast("double").alias("n_ct"))
-    sums = cut_lineage(sums, "nb-sums")  # the training texts are tokenised once
-    per_class = doc_labels.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_docs"))
-    per_class = cut_lineage(per_class, "nb-docs")
-    mass = sums.groupBy("label").agg(F.sum("n_ct").alias("n_c"))
-    v_size = sums.select(F.countDistinct("token")).scalar()
-    n_docs = per_class.select(F.sum("n_docs")).scalar()
-    classes = (per_class.join(mass, "label", "left")
-               .select("label", "n_docs", F.coalesce(F.col("n_c"), F.lit(0.0)).alias("n_c")))
-    classes = cut_lineage(classes.select(
-        "label",
-        (F.row_number().over(Window.orderBy("label")) - 1).cast("int").alias("class_index"),  # one row per class
-        "n_docs",
-        F.log(F.col("n_docs") / n_docs).alias("log_prior"),
-        (F.lit(log_alpha) - F.log(F.col("n_c") + F.lit(alpha) * v_size)).alias("base_rate"),
-    ), "nb-classes")
-    order = [r["label"] for r in classes.orderBy("class_index").select("label").collect()]  # one value per class
-    excess = [F.coalesce(F.max(F.when(F.col("label") == F.lit(c), F.log(F.col("n_ct") + alpha) - F.lit(log_alpha))), F.lit(0.0))
-              for c in order]
-    terms = sums.groupBy("token").agg(F.array(*excess).alias("excess")) if order else sums.select(
-        "token", F.array().cast("array<double>").alias("excess"))
-    return NaiveBayesModel(classes, cut_lineage(terms, "nb-terms"), alpha)
+    spark, log_alpha = features.sparkSession, math.log(alpha)
+    # one row per class, in the order of the classes
+    per_class = doc_labels.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n_docs")).orderBy("label").collect()
+    order = [r["label"] for r in per_class]
+    sums = [F.coalesce(F.sum(F.when(F.col(label) == F.lit(c), F.col(value))), F.lit(0)).cast("double") for c in order]
+    # one pass over the training texts, one exchange by token
+    counted = cut_lineage(labelled.groupBy("token").agg(F.array(*sums).alias("n_ct") if order else F.array().cast("array<double>").alias("n_ct")), "nb-terms")
+    v_size = counted.count()  # read from the files' footers
+    mass = counted.agg(*[F.coalesce(F.sum(F.col("n_ct")[i]), F.lit(0.0)) for i in range(len(order))]).first() if order else []
+    n_docs = sum(r["n_docs"] for r in per_class)
+    rows = [(r["label"], i, r["n_docs"], math.log(r["n_docs"] / n_docs), log_alpha - math.log(mass[i] + alpha * v_size) if mass[i] + alpha * v_size > 0 else None)
+            for i, r in enumerate(per_class)]
+    kind = doc_labels.schema[label].dataType.simpleString()
+    classes = spark.createDataFrame(rows, f"label {kind}, class_index int, n_docs long, log_prior double, base_rate double")
+    terms = counted.select("token", F.transform("n_ct", lambda x: F.log(x + alpha) - F.lit(log_alpha)).alias("excess"))
+    return NaiveBayesModel(classes, terms, alpha)
 
 
 def predict_naive_bayes(model: NaiveBayesModel, features: DataFrame, docs: DataFrame, key: str,
