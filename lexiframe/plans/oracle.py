@@ -333,8 +333,8 @@ ORACLE.update({
     "augment_swap": "WITH " + _swap("s") + " SELECT doc_id, text FROM sout",
     "augment_delete": "WITH " + _delete("d") + " SELECT doc_id, text FROM dout",
     "augment_pick": (
-        "WITH " + QUOTES + ", c AS (SELECT conv_id, quote_1 AS anchor, list_filter([quote_2, quote_3, quote_4, "
-        "quote_5, quote_6], lambda x: x IS NOT NULL) AS cands, " + _pick_hash("conv_id") + " AS h FROM q) "
+        "WITH " + QUOTES + ", c AS (SELECT conv_id, quote_1 AS anchor, list_filter([" + ", ".join(f"quote_{i}" for i in range(2, 11)) + "], "
+        "lambda x: x IS NOT NULL) AS cands, " + _pick_hash("conv_id") + " AS h FROM q) "
         "SELECT conv_id, anchor, CASE WHEN len(cands) > 0 THEN cands[1 + (h % len(cands))] END AS pick FROM c"),
     "contrastive_pairs": (
         "WITH " + _swap("s") + ", " + _delete("d") + ", "

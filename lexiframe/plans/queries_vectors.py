@@ -142,9 +142,9 @@ def augment_delete(spark: SparkSession, d: str) -> DataFrame:
 
 
 def augment_pick(spark: SparkSession, d: str) -> DataFrame:
-    """Anchor = first turn; one of turns 2..6 (the translated views) picked per row."""
+    """Anchor = first turn; one of the other nine (the translated views) picked per row."""
     q = quote_table(spark, d)
-    cands = [f"quote_{i}" for i in range(2, 7)]
+    cands = [f"quote_{i}" for i in range(2, 11)]
     return q.select("conv_id", F.col("quote_1").alias("anchor"), aug.pick_one(cands, "conv_id", SEED).alias("pick"))
 
 
