@@ -8,7 +8,8 @@ objective grows (a line search in closed form, per task).  Nothing but one numbe
 against the rest, or a pair of classes) reaches the driver: the primal and the dual
 objective, whose gap bounds how far the fit is from the optimum.  The fit stops when
 every task's gap is at most ``tolerance`` of its primal objective; a fit that does
-not get there in ``rounds`` is an error, never a result.
+not get there in ``rounds`` is an error, never a result.  More rows than one block holds,
+of few different terms, are fitted by Newton steps (``svm_newton``), with the same gap.
 
 The objective of a task is ``|w|^2 / 2 + C sum(max(0, 1 - y w.x))``; the constant
 term ``BIAS`` (value 1 in every row) is regularised like any other.
@@ -31,6 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexiframe.operators import svm_newton
 from lexiframe.session import cut_lineage
 
 #: The constant term (word tokens are never empty).
@@ -175,6 +177,11 @@ def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.
     if not n:
         return LinearModel(classes, [], weights.withColumnRenamed("v", "w"), duals.select("row", F.col("v").alias("alpha")), [], c)
     blocks = max(1, -(-rows.count() // block_values))  # a written table: read from the files' footers
+    terms = svm_newton.few_terms(rows, n) if blocks > 1 else None
+    if terms is not None:
+        w, alphas, gaps = svm_newton.fit(rows, terms, task_signs(tasks, n_classes), c, tolerance, rounds)
+        table = spark.createDataFrame([(term, w[i].tolist()) for i, term in enumerate(terms)], "term string, w array<double>")
+        return LinearModel(classes, tasks, table, alphas, gaps, c)
     blocked = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
     terms = cut_lineage(blocked.select("block", "term").distinct(), "svm-terms")
     # dealt once; a lost executor's part is read again from the written rows
