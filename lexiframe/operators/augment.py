@@ -23,10 +23,13 @@ from pyspark.sql import types as T
 
 from lexiframe.functions.hashing import hex_to_long, seeded_md5
 from lexiframe.functions.text import whitespace_tokens
+from lexiframe.operators.batching import pieces
 
 # Share of words changed, and texts per translation request.
 DEFAULT_PCT = 0.3
 TRANSLATE_CHUNK = 32
+#: Requests' worth of rows that a task turns into Python texts at a time.
+PIECE_CHUNKS = 8
 
 
 def _c(c) -> Column:
@@ -56,16 +59,25 @@ def _join_words(structs: Column) -> Column:
     return F.array_join(F.transform(structs, lambda x: x["w"]), " ")
 
 
-def _swap_from_ranked(ranked: Column, pct: float) -> Column:
-    size = F.size(ranked)
-    n = _n_chosen(size, pct)
-    chosen = _by_position(F.slice(ranked, 1, n))
-    rest = _by_position(F.slice(ranked, n + 1, F.greatest(size - n, F.lit(0))))
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _rotated(chosen: Column, rest: Column) -> Column:
     k = F.size(chosen)
     rotated = F.concat(F.slice(chosen, 2, F.greatest(k - 1, F.lit(0))), F.slice(chosen, 1, 1))
     moved = F.zip_with(chosen, rotated, lambda a, b: F.struct(a["i"].alias("i"), b["w"].alias("w")))
-    merged = F.sort_array(F.concat(moved, rest))
-    return F.when(size > 0, _join_words(merged)).otherwise(F.lit(""))
+    return _join_words(F.sort_array(F.concat(moved, rest)))
+
+
+def _swap_from_ranked(ranked: Column, pct: float) -> Column:
+    size = F.size(ranked)
+    n = _n_chosen(size, pct)
+    # the last sort orders the rest as well
+    rest = F.transform(F.slice(ranked, n + 1, F.greatest(size - n, F.lit(0))), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))
+    swapped = _bound(_by_position(F.slice(ranked, 1, n)), lambda chosen: _rotated(chosen, rest))
+    return F.when(size > 0, swapped).otherwise(F.lit(""))
 
 
 def _delete_from_ranked(ranked: Column, pct: float) -> Column:
@@ -129,7 +141,7 @@ def translate_wide(df: DataFrame, text: str, langs: Sequence[str],
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.StringType()) for c in out_cols]])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, PIECE_CHUNKS * chunk):
             texts = batch.column(text).to_pylist()
             at = [i for i, t in enumerate(texts) if t is not None]
             columns = []

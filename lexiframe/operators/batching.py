@@ -18,6 +18,13 @@ UNK_ID = 1
 FIRST_TERM_ID = 2
 
 
+def pieces(batches, rows: int):
+    """Arrow batches cut to at most ``rows`` rows, so that a task's Python holds few at a time."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            yield batch.slice(begin, rows)
+
+
 def token_ids(df: DataFrame, key: str, vocab: DataFrame, text: str = "text", out: str = "input_ids") -> DataFrame:
     """Whole-text token ids: ``term_id + 2`` for known tokens, 1 for unknown ones.
 
