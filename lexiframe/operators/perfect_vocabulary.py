@@ -26,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiframe.functions.text import word_tokens
-from lexiframe.operators.batching import FIRST_TERM_ID, UNK_ID
+from lexiframe.operators.batching import FIRST_TERM_ID, UNK_ID, pieces
 
 #: Terms of a part and of a bucket; seeds tried at once; terms of the largest table that is shipped.
 PART_TERMS, BUCKET, TRIES, MOST_TERMS = 1 << 15, 4, 64, 4_000_000
+#: Rows whose tokens are looked up at once.
+PIECE_ROWS = 256
 BYTES_PER_TERM = 8 + 8 + 4 + 4 // BUCKET
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -142,7 +144,7 @@ class PerfectVocabulary:
             F.transform(t, lambda x: _hashes(x)[0]).alias("one"), F.transform(t, lambda x: _hashes(x)[1]).alias("two")))[0].alias("_lf_h"))
 
         def run(batches):
-            for batch in batches:
+            for batch in pieces(batches, PIECE_ROWS):
                 h = batch.column("_lf_h")
                 one, two = h.field("one"), h.field("two")
                 ids = shared.value.look_up(one.flatten().to_numpy(), two.flatten().to_numpy())
