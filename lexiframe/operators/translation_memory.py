@@ -1,9 +1,9 @@
 """Translation through a memory: no text is sent twice.
 
 The memory is a folder of Parquet files, ``(lang, key, translated)`` with the key the
-SHA-256 of a text.  A run takes the distinct texts of a table, leaves out those the
-memory has for a language (an anti-join), and sends the others in requests of
-``chunk`` texts in the order of their keys.  Requests are dealt into pages of about
+SHA-256 of a text.  A run takes the keys of a table's distinct texts, leaves out those
+the memory has for a language, moves the texts that are left once for all languages, and
+sends them in requests of ``chunk`` texts, in each task in the order of their keys.  Requests are dealt into pages of about
 ``page_texts`` texts; a page's results are committed to the memory before the next
 page starts and before any is used, so a run that fails goes on after the last whole
 page.  Rows then take their translations from the memory by key.
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.operators.augment import TRANSLATE_CHUNK
+from lexiframe.operators.augment import PIECE_CHUNKS, TRANSLATE_CHUNK
+from lexiframe.operators.batching import pieces
 from lexiframe.session import cut_lineage, scratch_path
 
 _SCHEMA = "lang string, key string, translated string"
@@ -44,31 +45,34 @@ def _key(text):
 
 
 def missing(df: DataFrame, text: str, langs: Sequence[str], path: str) -> DataFrame:
-    """``(lang, key, text)``: distinct texts that the memory lacks."""
-    texts = df.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), F.col(text).alias("text")).groupBy("key").agg(F.first("text").alias("text"))
-    wanted = texts.select(F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"), "key", "text") if langs else texts.select(F.lit("").alias("lang"), "*").limit(0)
-    return wanted.join(open_memory(df.sparkSession, path).select("lang", "key"), ["lang", "key"], "left_anti")
+    """``(key, langs)``: keys of the distinct texts with the languages that the memory lacks; no text moves."""
+    keys = df.filter(F.col(text).isNotNull()).select(_key(text).alias("key")).distinct()
+    have = open_memory(df.sparkSession, path).select("lang", "key").groupBy("key").agg(F.collect_set("lang").alias("have"))
+    wanted = F.array(*[F.lit(x) for x in langs]).cast("array<string>")
+    lacking = F.array_except(wanted, F.coalesce("have", F.array().cast("array<string>")))
+    return keys.join(have, "key", "left").select("key", lacking.alias("langs")).filter(F.size("langs") > 0)
 
 
 def _requests(translate, chunk):
     def run(batches):
-        held: list[tuple[str, str, str]] = []
+        held: dict[str, list[tuple[str, str]]] = {}
 
-        def send(rows):
-            got = list(translate([r[2] for r in rows], rows[0][0]))
+        def send(lang):
+            rows = held.pop(lang)
+            got = list(translate([r[1] for r in rows], lang))
             if len(got) != len(rows):
                 raise ValueError(f"translator returned {len(got)} texts for {len(rows)}")
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array(got, pa.string())],
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(rows)), pa.array([r[0] for r in rows]), pa.array(got, pa.string())],
                                               names=["lang", "key", "translated"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("lang", "key", "text")), strict=True):
-                if held and (len(held) == chunk or held[0][0] != row[0]):
-                    yield send(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield send(held)
+        for piece in pieces(batches, PIECE_CHUNKS * chunk):
+            for key, text, langs in zip(*(piece.column(c).to_pylist() for c in ("key", "text", "langs")), strict=True):
+                for lang in langs:
+                    held.setdefault(lang, []).append((key, text))
+                    if len(held[lang]) == chunk:
+                        yield send(lang)
+        for lang in sorted(held):
+            yield send(lang)
 
     return run
 
@@ -78,17 +82,19 @@ def fill_memory(df: DataFrame, text: str, langs: Sequence[str], translate: Calla
     """Send what is missing, page by page; the number of texts sent."""
     spark = df.sparkSession
     todo = cut_lineage(missing(df, text, langs, path), "untranslated")
-    n = todo.count()
+    n = todo.agg(F.coalesce(F.sum(F.size("langs")), F.lit(0))).first()[0]
     if not n:
         return 0
     pages = -(-n // page_texts)
     folder = scratch_path(spark, "pages")
-    todo.withColumn("page", F.pmod(F.xxhash64("lang", "key"), F.lit(pages))).write.partitionBy("page").parquet(folder)
+    # every text moves once, to its key; a task's texts are written in the order of their keys
+    texts = df.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), F.col(text).alias("text"))
+    one = todo.join(texts.groupBy("key").agg(F.first("text").alias("text")), "key").withColumn("page", F.pmod(F.xxhash64("key"), F.lit(pages)))
+    one.sortWithinPartitions("page", "key").write.partitionBy("page").parquet(folder)
     dealt = spark.read.parquet(folder)
     for page in range(pages):
-        rows = dealt.filter(F.col("page") == page).select("lang", "key", "text")
-        ordered = rows.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
-        ordered.mapInArrow(_requests(translate, chunk), _SCHEMA).write.mode("append").parquet(path)
+        rows = dealt.filter(F.col("page") == page).select("key", "text", "langs")
+        rows.mapInArrow(_requests(translate, chunk), _SCHEMA).write.mode("append").parquet(path)
     return n
 
 
