@@ -64,8 +64,11 @@ def vocabulary(tc: DataFrame, key: str, with_ids: bool = False) -> DataFrame:
     # Term-count rows are unique per (key, token): a plain count is the
     # document frequency (no distinct aggregation needed).
     vocab = tc.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    if not with_ids:
-        return vocab
+    return with_term_ids(vocab) if with_ids else vocab
+
+
+def with_term_ids(vocab: DataFrame) -> DataFrame:
+    """Add ``term_id``: the place of each token in binary string order."""
     ranked = range_rank(vocab, "token", out="term_id")
     return ranked.withColumn("term_id", F.col("term_id").cast("int"))
 
