@@ -1,15 +1,15 @@
 """Linear support-vector machines whose weights are a table.
 
 Training rows are ``(row, label, term, value)``.  The solver is dual coordinate
-ascent in blocks of rows that are solved side by side (CoCoA, Jaggi et al. 2014): each round joins the weights with the terms of every block, each block
-improves the dual variables of its own rows against these weights, the changes of
-the weights are summed by term, and all move along that sum as far as the dual
-objective grows (a line search in closed form, per task).  Nothing but one number per task (a class
-against the rest, or a pair of classes) reaches the driver: the primal and the dual
-objective, whose gap bounds how far the fit is from the optimum.  The fit stops when
-every task's gap is at most ``tolerance`` of its primal objective; a fit that does
-not get there in ``rounds`` is an error, never a result.  More rows than one block holds,
-of few different terms, are fitted by Newton steps (``svm_newton``), with the same gap.
+ascent on the rows that decide the fit (``svm_working_set``): blocks of rows are solved
+by themselves once, the rows that got a dual variable are solved together, and every
+round takes the slack of all rows and goes on with those inside the margin.  Nothing
+but a few numbers per task (a class against the rest, or a pair of classes) reaches
+the driver: the primal and the dual objective, whose gap bounds how far the fit is
+from the optimum.  The fit stops when every task's gap is at most ``tolerance`` of its
+primal objective; a fit that does not get there in ``rounds`` is an error, never a
+result.  More rows than one block holds, of few different terms, are fitted by Newton
+steps (``svm_newton``), with the same gap.
 
 The objective of a task is ``|w|^2 / 2 + C sum(max(0, 1 - y w.x))``; the constant
 term ``BIAS`` (value 1 in every row) is regularised like any other.
@@ -26,22 +26,16 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.operators import svm_newton
+from lexiframe.operators import svm_newton, svm_working_set
 from lexiframe.session import cut_lineage
 
 #: The constant term (word tokens are never empty).
 BIAS = ""
-#: Values of a block of rows, passes over it per round, and rounds before the fit fails.
-BLOCK_VALUES, PASSES, ROUNDS = 1 << 22, 16, 400
-
-_OUT = "block long, kind int, term string, row string, v array<double>"
-_WEIGHTS, _DUALS, _SUMS = 0, 1, 2
+#: Values that one group of rows is solved with, and rounds before the fit fails.
+BLOCK_VALUES, ROUNDS = 1 << 22, 400
 
 
 @dataclass
@@ -85,74 +79,6 @@ def task_signs(tasks: list[tuple[int, int | None]], n_classes: int) -> np.ndarra
     return out
 
 
-def ascend(w, alpha, signs, starts, code, value, c, passes, seed):
-    """Dual coordinate ascent on the rows of a block, in place."""
-    rng = np.random.default_rng(seed)
-    square = np.add.reduceat(value * value, starts[:-1])
-    for _ in range(passes):
-        for i in rng.permutation(len(alpha)):
-            lo, hi = starts[i], starts[i + 1]
-            at, x, y = code[lo:hi], value[lo:hi], signs[i]
-            here = w[at]
-            new = np.clip(alpha[i] + (1 - y * (x @ here)) / square[i], 0.0, c) * (y != 0)
-            step = (new - alpha[i]) * y
-            if step.any():
-                w[at] = here + np.outer(x, step)
-                alpha[i] = new
-
-
-def _solver(signs_of: np.ndarray, c: float, round_: int):
-    n_tasks = signs_of.shape[1]
-
-    def solve(rows: pa.Table, known: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(("block", "kind", "term", "row", "v"), _TYPES, strict=True)})
-        block = rows.column("block")[0].as_py()
-        rows = rows.sort_by([("row", "ascending"), ("term", "ascending")])
-        row = rows.column("row").combine_chunks().dictionary_encode()
-        index = row.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.r_[np.flatnonzero(np.r_[True, index[1:] != index[:-1]]), len(index)]
-        term = rows.column("term").combine_chunks().dictionary_encode()
-        code, value = term.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows.column("value").to_numpy()
-        signs = signs_of[rows.column("class").to_numpy()[starts[:-1]]]
-        w, alpha = np.zeros((len(term.dictionary), n_tasks)), np.zeros((len(row.dictionary), n_tasks))
-        for name, names, into in (("term", term.dictionary, w), ("row", row.dictionary, alpha)):
-            mine = known.filter(pc.is_valid(known.column(name)))
-            if mine.num_rows:
-                at = pc.index_in(mine.column(name), value_set=names).to_numpy()
-                into[at.astype(np.int64)] = np.asarray(pc.list_flatten(mine.column("v")).to_numpy()).reshape(-1, n_tasks)
-        hinge = np.zeros(n_tasks)
-        for i in range(len(alpha)):
-            lo, hi = starts[i], starts[i + 1]
-            hinge += np.maximum(0, 1 - signs[i] * (value[lo:hi] @ w[code[lo:hi]])) * (signs[i] != 0)
-        before, old = w.copy(), alpha.copy()
-        ascend(w, alpha, signs, starts, code, value, c, PASSES, (round_, block & 0x7FFFFFFF))
-        change = w - before
-        moved, held = np.flatnonzero(change.any(axis=1)), np.flatnonzero((old != 0).any(axis=1) | alpha.any(axis=1))
-        sums = np.r_[hinge, old.sum(axis=0), (alpha - old).sum(axis=0)]
-        terms, ids = term.dictionary.take(pa.array(moved)), row.dictionary.take(pa.array(held))
-        n, m = len(moved), len(held)
-        lists = pa.ListArray.from_arrays(
-            pa.array(np.cumsum(np.r_[0, np.repeat([1, 2, 3], [n, m, 1])] * n_tasks).astype(np.int32)),
-            pa.array(np.concatenate([change[moved].ravel(), np.hstack([old[held], alpha[held]]).ravel(), sums])))
-        return pa.table({
-            "block": pa.array(np.full(n + m + 1, block), pa.int64()),
-            "kind": pa.array(np.repeat([_WEIGHTS, _DUALS, _SUMS], [n, m, 1]), pa.int32()),
-            "term": pa.concat_arrays([terms.cast(pa.string()), pa.nulls(m + 1, pa.string())]),
-            "row": pa.concat_arrays([pa.nulls(n, pa.string()), ids.cast(pa.string()), pa.nulls(1, pa.string())]),
-            "v": lists})
-
-    return solve
-
-
-_TYPES = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()))
-
-
-def _summed(values: DataFrame, by: str, n: int) -> DataFrame:
-    """Arrays of ``n`` numbers added up per ``by``."""
-    return values.groupBy(by).agg(F.array(*[F.sum(F.col("v")[i]) for i in range(n)]).alias("v"))
-
-
 def training_rows(features: DataFrame, docs: DataFrame, key: str, label: str, value: str, term: str = "token") -> tuple[DataFrame, list]:
     """``(row, class, term, value)``, the bias included, written once; and the classes in order."""
     classes = [r[0] for r in docs.filter(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]  # one value per class
@@ -172,52 +98,16 @@ def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.
     if n_classes < 2:
         tasks = []
     n = len(tasks)
-    weights = spark.createDataFrame([], "term string, v array<double>")
-    duals = spark.createDataFrame([], "block long, row string, v array<double>")
     if not n:
-        return LinearModel(classes, [], weights.withColumnRenamed("v", "w"), duals.select("row", F.col("v").alias("alpha")), [], c)
+        return LinearModel(classes, [], spark.createDataFrame([], "term string, w array<double>"), spark.createDataFrame([], "row string, alpha array<double>"), [], c)
     blocks = max(1, -(-rows.count() // block_values))  # a written table: read from the files' footers
     terms = svm_newton.few_terms(rows, n) if blocks > 1 else None
     if terms is not None:
         w, alphas, gaps = svm_newton.fit(rows, terms, task_signs(tasks, n_classes), c, tolerance, rounds)
         table = spark.createDataFrame([(term, w[i].tolist()) for i, term in enumerate(terms)], "term string, w array<double>")
         return LinearModel(classes, tasks, table, alphas, gaps, c)
-    blocked = rows.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)))
-    terms = cut_lineage(blocked.select("block", "term").distinct(), "svm-terms")
-    # dealt once; a lost executor's part is read again from the written rows
-    blocked = blocked.repartition(blocks, "block").persist(StorageLevel.DISK_ONLY)
-    signs = task_signs(tasks, n_classes)
-    try:
-        for round_ in range(rounds):
-            known = terms.join(weights, "term").select("block", "term", F.lit(None).cast("string").alias("row"), "v").unionByName(
-                duals.select("block", F.lit(None).cast("string").alias("term"), "row", "v"))
-            moved = blocked.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_solver(signs, c, round_), _OUT)
-            moved = cut_lineage(moved, "svm-round")
-            sums = moved.filter(F.col("kind") == _SUMS).agg(*[F.sum(F.col("v")[i]) for i in range(3 * n)]).first()
-            steps = cut_lineage(_summed(moved.filter(F.col("kind") == _WEIGHTS), "term", n).withColumnRenamed("v", "step"), "svm-step")
-            both = weights.join(steps, "term", "full")
-            w, step = ([F.coalesce(F.col(x)[i], F.lit(0.0)) for i in range(n)] for x in ("v", "step"))
-            products = both.agg(*[F.coalesce(F.sum(x * y), F.lit(0.0)) for x, y in [*zip(w, w), *zip(w, step), *zip(step, step)]]).first()
-            gaps = relative_gaps(products[:n], products[:n], sums[:n], sums[n: 2 * n], c)
-            if max(gaps) <= tolerance:
-                return LinearModel(classes, tasks, weights.select("term", F.col("v").alias("w")), duals.select("row", F.col("v").alias("alpha")), gaps, c)
-            # the dual along the summed change is a parabola: its top, within the feasible part
-            far = [min(1.0, max(0.0, (sums[2 * n + i] - products[n + i]) / products[2 * n + i])) if products[2 * n + i] > 0 else 1.0 for i in range(n)]
-            weights = cut_lineage(both.select("term", F.array(*[x + g * y for x, y, g in zip(w, step, far, strict=True)]).alias("v")), "svm-weights")
-            between = [F.col("v")[i] + g * (F.col("v")[n + i] - F.col("v")[i]) for i, g in enumerate(far)]
-            duals = moved.filter(F.col("kind") == _DUALS).select("block", "row", F.array(*between).alias("v"))
-    finally:
-        blocked.unpersist()
-    raise RuntimeError(f"no convergence in {rounds} rounds: relative gaps {gaps}")
-
-
-def relative_gaps(primal_squares, dual_squares, hinges, alphas, c) -> list[float]:
-    """Gap over primal objective of each task; at most 0 part of it is the distance to the optimum."""
-    out = []
-    for p, d, h, a in zip(primal_squares, dual_squares, hinges, alphas, strict=True):
-        primal = p / 2 + c * h
-        out.append((primal - (a - d / 2)) / primal if primal else 0.0)
-    return out
+    table, alphas, gaps = svm_working_set.fit(rows, task_signs(tasks, n_classes), c, tolerance, rounds, block_values)
+    return LinearModel(classes, tasks, table, alphas, gaps, c)
 
 
 def margins(features: DataFrame, docs: DataFrame, model: LinearModel, key: str, value: str, term: str = "token") -> DataFrame:
