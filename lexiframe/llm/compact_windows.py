@@ -483,6 +483,7 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, befor
     # shorter chains reach the least length with shingles that differ at an end
     top = np.append(-1, [x1 for _, x1, _, _ in spans])  # ends ascend
     starts = np.array([x0 for x0, _, _, _ in spans], np.int64)
+    reach = np.full(len(x), -1)  # the furthest end of these spans that begin up to each place: it rises
     for n in range(least, WIDTH):
         if n > m:
             break
@@ -490,10 +491,11 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, befor
         wide_x, wide_y = np.maximum(p[e] - p[s] + 1, WIDTH), np.maximum(q[e] - q[s] + 1, WIDTH)
         free = top[np.searchsorted(starts, p[s], side="right")] < p[e]
         for i in np.flatnonzero(free & ((100 + PERCENT) * n >= PERCENT * (wide_x + wide_y))).tolist():
-            if any(x0 <= p[s[i]] and p[e[i]] <= x1 for x0, x1, _, _ in spans[len(starts):]):
+            if reach[p[s[i]]] >= p[e[i]]:
                 continue
             x0, y0 = min(int(p[s[i]]), len(x) - int(wide_x[i])), min(int(q[s[i]]), len(y) - int(wide_y[i]))
             spans.append((x0, x0 + int(wide_x[i]) - 1, y0, y0 + int(wide_y[i]) - 1))
+            reach[x0: max(x0, int(np.searchsorted(reach, spans[-1][1])))] = spans[-1][1]
     return spans
 
 
