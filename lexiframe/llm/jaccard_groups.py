@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.llm.graph import components
 from lexiframe.llm.kernels import U64, Words, blocks, mix, shingles, string_buffers, words_of
+from lexiframe.llm.presence import split_by
 from lexiframe.llm.storage import release, table, written
 
 SHINGLE, PERCENT = 3, 90
@@ -274,7 +275,9 @@ def strongest(ties: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs ``(node, to)`` that link, by the sets of their whole texts.
-    The texts of both sides meet by pair, so a class of many pairs is spread."""
+    Only texts that may be in a pair move; those of both sides meet by pair, so a
+    class of many pairs is spread."""
+    docs, _ = split_by(docs, F.col("id"), pairs.select(F.explode(F.array("node", "to")).alias("id")), "id")
     named = pairs.select("node", "to", F.xxhash64("node", "to").alias("pair"))
     ends = named.select("pair", F.explode(F.array(F.struct(F.col("node").alias("id"), F.lit(0).alias("side")),
                                                   F.struct(F.col("to").alias("id"), F.lit(1).alias("side")))).alias("e")).select("pair", "e.*")
@@ -358,8 +361,9 @@ def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame, close
     near = classes.join(groups, "node")  # classes with a tie: (node, n, keys, marks, label)
     tokens = written(near.select("node", F.col("n").alias("size"), "label", F.explode("keys").alias("token")), "group-keys")
     # min and max are pre-aggregated in each task
-    split = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    cross = written(tokens.join(split, "token"), "cross-keys").join(near.select("node", "marks"), "node")
+    split = written(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token"), "split-keys")
+    some, _ = split_by(tokens, F.col("token"), split, "token")
+    cross = written(some.join(split, "token"), "cross-keys").join(classes.select("node", "marks"), "node")
     dealt = cross.select("token", "node", "size", "label", "marks").repartition("token").sortWithinPartitions("token", "size", "node")
 
     def compare(batches):
@@ -412,10 +416,12 @@ def jaccard_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame
     # classes with a tie but no link are groups of one
     nodes = ties.select("node").unionByName(ties.select(F.col("to").alias("node"))).distinct()
     nodes = written(nodes, "tied-nodes")
+    some, _ = split_by(classes, F.col("node"), nodes, "node")
+    tied = written(some.join(nodes, "node", "left_semi"), "tied-classes")  # all rounds look at these alone
     labels, closest = groups, True
     while True:
         groups_of = written(nodes.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")), "groups")
-        opened = written(opened_pairs(classes, groups_of, tested, closest), "pairs")
+        opened = written(opened_pairs(tied, groups_of, tested, closest), "pairs")
         release(spark)
         more = written(verified(opened, keyed), "links")
         release(spark)
@@ -454,15 +460,16 @@ def one_per_group(spark, docs, sf_dir):
     placed = written(ids.distinct().join(found, "key"), "row-components")
     first = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     gone = written(placed.join(first, "component_id").filter(F.struct("doc_id", "key") != F.col("first")).select(F.col("key").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, (key == F.col("_gone")) & F.col("doc_id").isNotNull(), "left_anti")
     again = ids.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("key").alias("_again"))
     again = written(again.join(gone, F.col("_again") == F.col("_gone"), "left_anti"), "equal-rows")
+    # only rows that may go or be equal move
+    may, stay = split_by(docs, key, gone.unionByName(again.select(F.col("_again").alias("_gone"))), "_gone")
+    left = may.join(gone, (key == F.col("_gone")) & F.col("doc_id").isNotNull(), "left_anti")
     same = (key == F.col("_again")) & F.col("doc_id").isNotNull()
-    # only equal rows move
     nth = F.row_number().over(Window.partitionBy("_key").orderBy("_all"))
     equal = left.join(again, same, "left_semi").select("*", key.alias("_key"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
     one = equal.withColumn("_nth", nth).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return left.join(again, same, "left_anti").unionByName(one)
+    return stay.unionByName(left.join(again, same, "left_anti")).unionByName(one)
 
 
 ORACLE = r"""

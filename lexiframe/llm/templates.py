@@ -39,6 +39,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiframe.llm.presence import split_by
 from lexiframe.llm.storage import table, written
 
 WINDOW, MIN_LITERALS, MIN_COVERAGE, RUN, WHOLE = 8, 5, 0.4, 13, 4
@@ -229,5 +230,7 @@ def decontaminated(spark, docs, sf_dir):
     """Pipeline stage: documents into which an item leaked go; rows that share an id
     (or have none) are judged by their own texts."""
     found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("doc_id", F.col("text").cast("string")) == F.col("_key"))
-    return docs.join(written(found, "leaked"), same, "left_anti")
+    found, key = written(found, "leaked"), F.xxhash64("doc_id", F.col("text").cast("string"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    may, stay = split_by(docs, key, found, "_key")  # only rows that may hold a leak move
+    return stay.unionByName(may.join(found, same, "left_anti"))
