@@ -218,8 +218,8 @@ def _nb_fit(sf: SplitFeatures, weights: str = "tf"):
         train_x, test_x, value = feat.occurrences(sf.docs_of("train"), ["label"]), feat.occurrences(sf.docs_of("test"), ["doc_id"]), "tf"
     else:
         idf = _train_idf(sf)
-        train_x = feat.tfidf(sf.tc("train", with_label=True), idf, "doc_id")
-        test_x = feat.tfidf(sf.tc("test"), idf, "doc_id")
+        train_x = feat.tfidf(sf.tc("train", with_label=True, gathered=True), idf, "doc_id")
+        test_x = feat.tfidf(sf.tc("test", gathered=True), idf, "doc_id")
         value = "weight"
     return nb.fit_naive_bayes(train_x, sf.labels_of("train"), "doc_id", "label", value=value), test_x, value
 

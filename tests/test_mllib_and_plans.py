@@ -52,3 +52,16 @@ def test_filter_reaches_scan(spark):
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(lang), In(lang, [en,fr])]" in plan or "In(lang, [en,fr])" in plan
+
+
+def test_tfidf_of_gathered_documents_has_one_exchange_of_rows(spark):
+    from lexiframe.operators import features as feat
+    from lexiframe.plans.common import SplitFeatures
+
+    sf = SplitFeatures(spark, SF_SMALL)
+    idf = F.broadcast(feat.idf_table(sf.docs_of("train")))
+    plain, gathered = (feat.tfidf(sf.tc("test", gathered=g), idf, "doc_id") for g in (False, True))
+    exchanges = [w._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") for w in (plain, gathered)]
+    assert exchanges[1] == 1 < exchanges[0]
+    rows = [{(r.doc_id, r.token): (r.tf, round(r.weight, 9)) for r in w.collect()} for w in (plain, gathered)]
+    assert rows[0] == rows[1]
