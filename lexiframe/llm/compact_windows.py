@@ -48,6 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiframe.llm.kernels import U64, blocks, mix, shingle_lists, shingles, string_buffers, words_of
+from lexiframe.llm.presence import split_by
 from lexiframe.llm.storage import plus, release, table, written
 
 SHINGLE, MIN_WORDS, PERCENT = 5, 50, 80
@@ -348,7 +349,9 @@ def regions(ties: DataFrame) -> DataFrame:
 
 
 def slices(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Both sides of every region with their words: ``(region, side, lo, words)``."""
+    """Both sides of every region with their words: ``(region, side, lo, words)``.
+    Only texts that may hold a region move."""
+    docs, _ = split_by(docs, F.col("id"), found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
     side = lambda x, s: F.struct(F.col(x).alias("id"), F.lit(s).alias("side"), F.col(f"{x}_lo").alias("lo"), F.col(f"{x}_hi").alias("hi"))
     needed = found.select("region", F.explode(F.array(side("a", 0), side("b", 1))).alias("s")).select("region", "s.*")
     joined = docs.join(needed, "id").select("region", "side", "lo", "hi", "text")
@@ -391,24 +394,41 @@ def _along(lo: np.ndarray, hi: np.ndarray, order: list[int], step: int) -> np.nd
     return place
 
 
-def _chains(p: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+#: Fewest matches of a passage in which no shingle occurs twice.
+LEAST = -(-2 * PERCENT * WIDTH // (100 + PERCENT))
+
+
+def _chains(p: np.ndarray, q: np.ndarray, plain: bool) -> list[np.ndarray]:
     """Matches ``(p, q)``, sorted by p, as chains that rise in both texts.  Two
-    unbroken stretches are linked if some passage could hold the gap between."""
+    unbroken stretches are linked if some passage could hold the gap between.
+    Chains of fewer than ``LEAST`` matches are given only if shingles may occur
+    twice (not ``plain``) and they reach the least length."""
     cut = np.flatnonzero((np.diff(p) != 1) | (np.diff(q) != 1)) + 1
     first, end = np.append(0, cut), np.append(cut, len(p))
     gain = (100 - PERCENT) * (end - first)
     left = np.cumsum(gain[::-1])[::-1]
     best, before = gain.copy(), np.full(len(gain), -1)
+    low = np.iinfo(np.int64).min
+    start_p, start_q, last_p, last_q = p[first], q[first], p[end - 1], q[end - 1]
+    reach = best + PERCENT * (last_p + last_q)  # less the place of the next stretch: the best of a chain that goes on there
+    root, many = np.arange(len(gain)), end - first  # first stretch and matches of each chain
     for k in range(1, len(gain)):
-        gap_x, gap_y = p[first[k]] - p[end[:k] - 1] - 1, q[first[k]] - q[end[:k] - 1] - 1
-        value = np.where(gap_y >= 0, best[:k] - PERCENT * (gap_x + gap_y), -left[0] - left[k] - 100)
-        j = int(np.argmax(value))
-        if value[j] + left[k] + 100 - PERCENT >= 0:
-            before[k] = j
-            best[k] += max(int(value[j]), 0)
+        fits = np.where(last_q[:k] < start_q[k], reach[:k], low)
+        j = int(fits.argmax())
+        if fits[j] == low:
+            continue
+        value = int(fits[j]) - PERCENT * int(start_p[k] + start_q[k] - 2)
+        if value + left[k] + 100 - PERCENT >= 0:
+            before[k], root[k] = j, root[j]
+            many[k] += many[j]
+            best[k] += max(value, 0)
+            reach[k] = best[k] + PERCENT * (last_p[k] + last_q[k])
     inner = set(before.tolist())
     out = []
-    for k in range(len(gain)):
+    use = many >= LEAST
+    if not plain:
+        use |= np.minimum(last_p - start_p[root], last_q - start_q[root]) + 1 >= WIDTH
+    for k in np.flatnonzero(use).tolist():
         if k not in inner:  # a last stretch
             path = []
             while k >= 0:
@@ -452,8 +472,7 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, befor
     """Stretches of a chain of matches with enough shingles and Jaccard, ``(from,
     to, from, to)`` in shingles, ends included, that cover all there are.
     ``before``: places of the same shingles before in x and y, if any occurs twice."""
-    m, each = len(p), np.arange(len(p))
-    least = -(-2 * PERCENT * WIDTH // (100 + PERCENT))
+    m, each, least = len(p), np.arange(len(p)), LEAST
     if m < least and (before is None or min(p[-1] - p[0], q[-1] - q[0]) + 1 < WIDTH):
         return []
     out = []
@@ -463,7 +482,7 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, befor
         out = _cover(each[ok], e[ok])
     else:
         before_x, before_y = before
-        before = _earlier(x[p])
+        before = None
         fresh_x, fresh_y = np.cumsum(before_x < 0), np.cumsum(before_y < 0)
         most = _furthest((100 + PERCENT) * each - PERCENT * (fresh_x[p] + fresh_y[q] - 2))  # no stretch goes further
         done = -1
@@ -471,6 +490,8 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, befor
             e = int(most[s])
             if e <= done:
                 continue
+            if before is None:
+                before = _earlier(x[p])
             n_x = np.cumsum(before_x[p[s]: p[e] + 1] < p[s])[p[s: e + 1] - p[s]]
             n_y = np.cumsum(before_y[q[s]: q[e] + 1] < q[s])[q[s: e + 1] - q[s]]
             both = np.cumsum(before[s: e + 1] < s)
@@ -480,7 +501,10 @@ def _stretches(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, befor
                 done = int(s + found[-1])
                 out.append((s, done))
     spans = [(int(p[s]), int(p[e]), int(q[s]), int(q[e])) for s, e in out]
-    # shorter chains reach the least length with shingles that differ at an end
+    # shorter chains reach the least length with shingles that differ at an end, if they are dense enough
+    widest = (100 + PERCENT) * (WIDTH - 1) // PERCENT - WIDTH
+    if m < least or not ((p[least - 1:] - p[: m - least + 1] < widest) & (q[least - 1:] - q[: m - least + 1] < widest)).any():
+        return spans
     top = np.append(-1, [x1 for _, x1, _, _ in spans])  # ends ascend
     starts = np.array([x0 for x0, _, _, _ in spans], np.int64)
     reach = np.full(len(x), -1)  # the furthest end of these spans that begin up to each place: it rises
@@ -514,15 +538,23 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, flo
     if not len(at) or plain and (100 + PERCENT) * len(at) < 2 * PERCENT * WIDTH:
         return []
     places = [order[np.minimum(lo, len(y) - 1)]] if once else [_along(lo, hi, order.tolist(), step) for step in (1, -1)]
+    if len(places) > 1 and np.array_equal(*places):
+        places.pop()
     before = None
     out: list[tuple[int, int, int, int, float]] = []
+    seen: set[bytes] = set()
 
     def check(x0: int, x1: int, y0: int, y1: int) -> bool:
         if x1 - x0 + 1 < WIDTH or y1 - y0 + 1 < WIDTH:
             return False
-        p, q = np.unique(x[x0: x1 + 1]), np.unique(y[y0: y1 + 1])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        union = len(p) + len(q) - both
+        if plain:  # every shingle has one place
+            among = place[x0: x1 + 1][hi[x0: x1 + 1] > lo[x0: x1 + 1]]
+            both = int(np.count_nonzero((among >= y0) & (among <= y1)))
+            union = x1 - x0 + 1 + y1 - y0 + 1 - both
+        else:
+            p, q = np.unique(x[x0: x1 + 1]), np.unique(y[y0: y1 + 1])
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            union = len(p) + len(q) - both
         if 100 * both < PERCENT * union:
             return False
         out.append((x0, x1 + SHINGLE, y0, y1 + SHINGLE, both / union))
@@ -535,8 +567,14 @@ def passages(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int, flo
             return out[-1:]
         if not plain and before is None:
             before = _earlier(x), _earlier(y)
-        for chain in _chains(at, place[at]):
-            for span in _stretches(x, y, at[chain], place[at][chain], before):
+        for chain in _chains(at, place[at], plain):
+            p, q = at[chain], place[at][chain]
+            if not plain:  # both directions may lead to the same chain
+                name = p.tobytes() + q.tobytes()
+                if name in seen:
+                    continue
+                seen.add(name)
+            for span in _stretches(x, y, p, q, before):
                 check(*span)
     out = list(dict.fromkeys(out))
     return [r for r in out if not any(r is not o and o[0] <= r[0] and r[1] <= o[1] and o[2] <= r[2] and r[3] <= o[3] for o in out)]
@@ -701,7 +739,8 @@ def without_repeats(spark, docs, sf_dir):
     follows the text.  Rows without an id or text stay."""
     spans = repeated_passages(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("_spans"))
     spans = written(spans.select(F.col("doc_id").alias("_id"), "_spans"), "spans")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
+    may, stay = split_by(docs, F.col("doc_id").cast("long"), spans, "_id")  # rows without a passage to cut stay where they are
+    rows = may.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(spans, "_id", "left").select("row", "text", "_spans")
 
     def cut(batches):
@@ -731,4 +770,4 @@ def without_repeats(spark, docs, sf_dir):
     for f in docs.schema.fields:
         old = F.col("row").getField(f.name)
         cols.append(F.when(F.col("_cut"), fresh[f.name].cast(f.dataType)).otherwise(old).alias(f.name) if f.name in fresh else old.alias(f.name))
-    return done.select(*cols)
+    return stay.unionByName(done.select(*cols))

@@ -29,3 +29,10 @@ def test_long_repetitive_chains_take_a_moment():
     begin = time.perf_counter()
     assert len(stretches(10_000)) > 1_000
     assert time.perf_counter() - begin < 5
+
+
+def test_short_dead_ends_are_not_built():
+    # one long run, and single matches that no chain can use
+    p = np.concatenate([np.arange(60), np.arange(100, 4100, 20)])
+    q = np.concatenate([np.arange(60), np.arange(9000, 5000, -20)])
+    assert [len(c) for c in cw._chains(p, q, False)] == [60]
