@@ -23,12 +23,12 @@ def split_by(rows: DataFrame, key: Column, keys: DataFrame, column: str) -> tupl
     read twice); NULL keys and repeated ones are allowed."""
     bits = min(MOST, max(FEWEST, 1 << (BITS_PER_KEY * keys.count()).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    hashed = keys.select(place(F.col(column)).alias("_at"))
-    dealt = hashed.select(F.bitmap_bucket_number("_at").alias("_page"), F.bitmap_bit_position("_at").alias("_bit")).repartition("_page")
-    pages = written(dealt.groupBy("_page").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "key-bits")
-    at = rows.withColumn("_at", place(key)).join(F.broadcast(pages), F.bitmap_bucket_number("_at") == F.col("_page"), "left")
-    bit = F.bitmap_bit_position("_at")
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hashed = keys.select(place(F.col(column)).alias("_lf_at"))
+    dealt = hashed.select(F.bitmap_bucket_number("_lf_at").alias("_lf_page"), F.bitmap_bit_position("_lf_at").alias("_lf_bit")).repartition("_lf_page")
+    pages = written(dealt.groupBy("_lf_page").agg(F.bitmap_construct_agg("_lf_bit").alias("_lf_bits")), "key-bits")
+    at = rows.withColumn("_lf_at", place(key)).join(F.broadcast(pages), F.bitmap_bucket_number("_lf_at") == F.col("_lf_page"), "left")
+    bit = F.bitmap_bit_position("_lf_at")
+    byte = F.conv(F.hex(F.substring("_lf_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     may = F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))
     names = [F.col(f"`{c}`") for c in rows.columns]
     return at.filter(may).select(*names), at.filter(~may).select(*names)
