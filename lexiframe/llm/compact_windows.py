@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 from lexiframe.llm.kernels import U64, blocks, mix, shingle_lists, shingles, string_buffers, words_of
 from lexiframe.llm.presence import split_by
 from lexiframe.llm.storage import plus, release, table, written
+from lexiframe.llm.worker_memory import frugal, gathered, give_back
 
 SHINGLE, MIN_WORDS, PERCENT = 5, 50, 80
 #: Hash functions, at most 8 (a function's number sits in the low bits of its hashes).
@@ -193,16 +194,20 @@ def window_rows(docs: DataFrame) -> DataFrame:
         held, rows = [], 0
 
         def flush():
-            key, doc, place, reach, second = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.argsort(key, kind="stable")
-            cols = [c[order] for c in (key, doc, place, reach, second)]
+            cols = gathered(held)
+            order = np.argsort(cols[0], kind="stable")
+            for i, c in enumerate(cols):
+                cols[i] = c[order]
+            del order, c
             new = np.append(True, cols[0][1:] != cols[0][:-1])
             shared = np.flatnonzero(~(new & np.append(new[1:], True)))
             finer = [c[shared] for c in cols]
             order = np.lexsort((finer[2] & 0xFFFFFFFF, finer[1], finer[0]))
             for c, f in zip(cols, finer, strict=True):
                 c[shared] = f[order]
+            del finer, f, order, new, shared
             ties, heads = _ties(*cols)
+            give_back()
             for lo in range(0, len(heads), SLICE):
                 some = heads[lo: lo + SLICE]
                 yield padded(len(some), **{x: pa.array(c[some]) for x, c in zip(names, cols, strict=False)})
@@ -225,11 +230,11 @@ def window_rows(docs: DataFrame) -> DataFrame:
                     rows += len(c)
                 if rows >= TIE_ROWS:
                     yield from flush()
-                    held, rows = [], 0
+                    rows = 0
         if held:
             yield from flush()
 
-    return docs.mapInArrow(build, f"{ROWS}, {TIES}")
+    return docs.mapInArrow(frugal(build), f"{ROWS}, {TIES}")
 
 
 def all_ties(rows: DataFrame) -> DataFrame:
@@ -275,7 +280,7 @@ def all_ties(rows: DataFrame) -> DataFrame:
             found, _ = _ties(*[np.concatenate(p) for p in zip(*held, strict=True)], known)
             yield from sliced(found)
 
-    return dealt.mapInArrow(tie, TIES)
+    return dealt.mapInArrow(frugal(tie), TIES)
 
 
 REGIONS = "a long, b long, a_lo int, a_hi int, b_lo int, b_hi int, core_lo int, core_hi int, held boolean"
@@ -344,7 +349,7 @@ def regions(ties: DataFrame) -> DataFrame:
         if rest is not None and len(rest["a"]):
             yield _join_intervals(rest)
 
-    found = dealt.mapInArrow(join, REGIONS)
+    found = dealt.mapInArrow(frugal(join), REGIONS)
     return found.withColumn("region", F.xxhash64("a", "b", "a_lo", "a_hi", "b_lo", "b_hi"))
 
 
@@ -373,7 +378,7 @@ def slices(docs: DataFrame, found: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out["region"], pa.int64()), pa.array(out["side"], pa.int32()),
                                               pa.array(out["lo"], pa.int32()), pa.array(out["words"], pa.binary())], names=list(out))
 
-    return joined.mapInArrow(cut, "region long, side int, lo int, words binary")
+    return joined.mapInArrow(frugal(cut), "region long, side int, lo int, words binary")
 
 
 def _along(lo: np.ndarray, hi: np.ndarray, order: list[int], step: int) -> np.ndarray:
@@ -603,7 +608,7 @@ def verified(found: DataFrame, sliced: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
                                                  names=[f.split()[0] for f in RESULT.split(", ")])
 
-    return both.mapInArrow(check, RESULT).distinct()
+    return both.mapInArrow(frugal(check), RESULT).distinct()
 
 
 def spans(sh: np.ndarray, size: int) -> np.ndarray:
@@ -652,7 +657,7 @@ def chosen_parts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(part[c].view(np.int64)), pa.array(ids[at][doc[u]]), pa.array((u - start).astype(np.int32)),
                                                   pa.array((v - start).astype(np.int32))], names=["part", "doc", "u", "v"])
 
-    return docs.mapInArrow(build, PARTS)
+    return docs.mapInArrow(frugal(build), PARTS)
 
 
 def whole_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -674,7 +679,7 @@ def whole_windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(whole[at].view(np.int64)), pa.array(ids[docs_of][doc[at]]), pa.array((at - first[doc[at]]).astype(np.int32)),
                                                   pa.array(use[at] > 1)], names=["key", "doc", "at", "open"])
 
-    return docs.join(ranges, "id").mapInArrow(build, "key long, doc long, at int, open boolean")
+    return docs.join(ranges, "id").mapInArrow(frugal(build), "key long, doc long, at int, open boolean")
 
 
 def equal_rest(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -763,7 +768,7 @@ def without_repeats(spark, docs, sf_dir):
             cuts = pa.array([bool(s) for s in batch.column("_spans").to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), cuts], names=["row", "_text", "_cut"])
 
-    done = joined.mapInArrow(cut, plus(rows.select("row").schema, _text="string", _cut="boolean"))
+    done = joined.mapInArrow(frugal(cut), plus(rows.select("row").schema, _text="string", _cut="boolean"))
     done = done.filter(~F.col("_cut") | F.col("_text").isNotNull())
     fresh = {"text": F.col("_text"), "n_chars": F.char_length("_text")}
     cols = []

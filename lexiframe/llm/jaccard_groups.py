@@ -46,6 +46,7 @@ from lexiframe.llm.graph import components
 from lexiframe.llm.kernels import U64, Words, blocks, mix, shingles, string_buffers, words_of
 from lexiframe.llm.presence import split_by
 from lexiframe.llm.storage import release, table, written
+from lexiframe.llm.worker_memory import frugal, gathered, give_back
 
 SHINGLE, PERCENT = 3, 90
 #: Parts in which two linked sets agree at least.  A set with this many empty
@@ -55,6 +56,8 @@ SPARE = 2
 BITS, BLOCK = 2048, 1 << 22
 #: Key rows that one task ties before they are shuffled.
 TIE_ROWS = 2_000_000
+#: Rows handed to Spark at once: a batch is held by both sides.
+SLICE = 1 << 16
 
 
 def doc_shingles(w: Words, i: int, sh: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -156,7 +159,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                      pa.array(np.array(s2, dtype=U64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                     names=["id", "n", "s1", "s2", "keys", "marks"])
 
-    return docs.mapInArrow(sets, SETS)
+    return docs.mapInArrow(frugal(sets), SETS)
 
 
 TIES = "token long, node long, size long, to long"
@@ -205,11 +208,11 @@ def tied_tokens(classes: DataFrame) -> DataFrame:
         held, rows = [], 0
 
         def flush():
-            token, node, size = (np.concatenate(c) for c in zip(*held, strict=True))
-            (t, m, s), (x, sx, y) = _tie_block(token, node, size)
-            pairs = _distinct_pairs(x, sx, y)
-            yield _tie_rows(t, m, s, None)
-            yield _tie_rows(None, *pairs)
+            heads, pairs = _tie_block(*gathered(held))
+            pairs = _distinct_pairs(*pairs)
+            give_back()
+            yield from _sliced(_tie_rows(*heads, None))
+            yield from _sliced(_tie_rows(None, *pairs))
 
         for batch in batches:
             lists = batch.column("keys")
@@ -219,11 +222,11 @@ def tied_tokens(classes: DataFrame) -> DataFrame:
             rows += int(lengths.sum())
             if rows >= TIE_ROWS:
                 yield from flush()
-                held, rows = [], 0
+                rows = 0
         if held:
             yield from flush()
 
-    return classes.select("node", "n", "keys").mapInArrow(tie, TIES)
+    return classes.select("node", "n", "keys").mapInArrow(frugal(tie), TIES)
 
 
 def _distinct_pairs(x: np.ndarray, size: np.ndarray, y: np.ndarray):
@@ -243,6 +246,11 @@ def _tie_rows(token, node, size, to) -> pa.RecordBatch:
         names=["token", "node", "size", "to"])
 
 
+def _sliced(rows: pa.RecordBatch):
+    for lo in range(0, rows.num_rows, SLICE):
+        yield rows.slice(lo, SLICE)
+
+
 def grouped_ties(tied: DataFrame) -> DataFrame:
     """Ties over all tasks: rows of a token meet once per task, sorted by size."""
     heads = tied.filter("token is not null").select("token", "node", "size")
@@ -257,11 +265,11 @@ def grouped_ties(tied: DataFrame) -> DataFrame:
             cut = int(np.searchsorted(token, token[-1])) if len(token) and np.all(token[1:] >= token[:-1]) else 0
             rest = (token[cut:], node[cut:], size[cut:])
             if cut:
-                yield _tie_rows(None, *_distinct_pairs(*_tie_block(token[:cut], node[:cut], size[:cut])[1]))
+                yield from _sliced(_tie_rows(None, *_distinct_pairs(*_tie_block(token[:cut], node[:cut], size[:cut])[1])))
         if rest is not None and len(rest[0]):
-            yield _tie_rows(None, *_distinct_pairs(*_tie_block(*rest)[1]))
+            yield from _sliced(_tie_rows(None, *_distinct_pairs(*_tie_block(*rest)[1])))
 
-    found = dealt.mapInArrow(tie, TIES)
+    found = dealt.mapInArrow(frugal(tie), TIES)
     both = found.select("node", "to").unionByName(tied.filter("token is null").select("node", "to"))
     return both.groupBy(F.greatest("node", "to").alias("node"), F.least("node", "to").alias("to")).agg(F.count("*").alias("ties"))
 
@@ -302,7 +310,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 mask = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(c).filter(mask) for c in ("node", "to")], names=["node", "to"])
 
-    return a.join(b, "pair").select("node", "to", "a", "b").mapInArrow(compare, "node long, to long").distinct()
+    return a.join(b, "pair").select("node", "to", "a", "b").mapInArrow(frugal(compare), "node long, to long").distinct()
 
 
 def _open_groups(node: np.ndarray, size: np.ndarray, label: np.ndarray, row: np.ndarray, closest: bool) -> np.ndarray:
@@ -390,7 +398,7 @@ def opened_pairs(classes: DataFrame, groups: DataFrame, tested: DataFrame, close
         if rest is not None and len(rest[0]):
             yield from pairs(rest)
 
-    found = dealt.mapInArrow(compare, "low long, high long, miss long, node long, to long")
+    found = dealt.mapInArrow(frugal(compare), "low long, high long, miss long, node long, to long")
     if closest:
         ends = found.select(F.explode(F.array("low", "high")).alias("label"), "miss", "node", "to")
         found = ends.groupBy("label").agg(F.min(F.struct("miss", "node", "to")).alias("b")).select("b.node", "b.to")
