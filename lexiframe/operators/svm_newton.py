@@ -121,7 +121,7 @@ def fit(rows: DataFrame, terms: list, signs: np.ndarray, c: float, tolerance: fl
             over, smooth, alphas = here[t][:3]
             g, matrix = here[t][3:3 + width], here[t][3 + width:].reshape(width, width)
             primal, rest = w[:, t] @ w[:, t] / 2 + over, w[:, t] - g
-            gaps[t] = (primal - (alphas - g @ g / 2)) / primal if primal else 0.0
+            gaps[t] = float((primal - (alphas - g @ g / 2)) / primal) if primal else 0.0
             if gaps[t] <= tolerance:
                 continue
             if rest @ rest / 2 <= 0.3 * smooth:

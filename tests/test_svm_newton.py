@@ -18,3 +18,13 @@ def test_many_terms_still_meet_block_by_block(spark, monkeypatch):
     _, _, rows, model = fitted(spark, docs, features, block_values=150, tolerance=0.5)
     assert svm_newton.few_terms(rows, 3) is None
     assert svm.certificate(rows, model).first().gap <= 0.5 + 1e-9
+
+
+def test_a_fit_by_newton_steps_is_saved_with_its_gaps(spark, tmp_dir):
+    docs, features = table_of(11, n=60)
+    d, f, rows, model = fitted(spark, docs, features, block_values=60, tolerance=0.03, rounds=40)
+    model.save(f"{tmp_dir}/m")
+    back = svm.LinearModel.load(spark, f"{tmp_dir}/m")
+    assert back.gaps == model.gaps and max(back.gaps) <= 0.03
+    before, after = (svm.predict_svm(m, f, d, "id", "v").collect() for m in (model, back))
+    assert sorted(before) == sorted(after)
