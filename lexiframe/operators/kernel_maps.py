@@ -28,24 +28,106 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiframe.functions.text import term_frequencies
+from lexiframe.functions.text import word_tokens
+from lexiframe.functions.worker import frugal
 from lexiframe.operators import svm
 from lexiframe.operators.features import idf_table, term_counts, tfidf
 from lexiframe.session import cut_lineage
 
 #: Landmarks and the terms of the longest; components that stand for the kernel in random features.
 MOST_LANDMARKS, LONGEST, RFF_COMPONENTS = 256, 4096, 256
+#: Terms of an IDF table that is shipped to the tasks; rows that are packed or mapped at once; numbers of
+#: directions made for them at once, by so many terms.
+SHIPPED_TERMS, PIECE_ROWS, NUMBERS, NEAR_ROWS = 4_000_000, 512, 1 << 23, 64
 #: Eigenvalues below this share of the largest are left out of the inverse root.
 FLOOR = 1e-10
 
 
+def _lists(lengths, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(values))
+
+
+def _pieces(batches):
+    return (batch.slice(i, PIECE_ROWS) for batch in batches for i in range(0, batch.num_rows, PIECE_ROWS))
+
+
+def _packed(table: DataFrame, key: str, *steps) -> DataFrame:
+    """``(key, ids, values)``: each step makes new rows' places, ids and values of some rows' ones."""
+    def each(batches):
+        for piece in _pieces(batches):
+            n, ids = piece.num_rows, piece.column("ids")
+            now = np.repeat(np.arange(n), ids.value_lengths().to_numpy(zero_copy_only=False)), ids.flatten().to_numpy(), piece.column("values").flatten().to_numpy() if "values" in piece.schema.names else None
+            for step in steps:
+                now = step(n, *now)
+            lengths = np.bincount(now[0], minlength=n)
+            yield pa.RecordBatch.from_arrays([piece.column(key), _lists(lengths, now[1]), _lists(lengths, now[2])], names=[key, "ids", "values"])
+
+    kind = table.schema[key].dataType.simpleString()
+    return table.mapInArrow(frugal(each), f"`{key}` {kind}, ids array<bigint>, values array<double>")
+
+
+def _counted(n, row, ids, _):
+    order = np.lexsort((ids, row))
+    ids, row = ids[order], row[order]
+    first = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])]) if len(ids) else np.zeros(0, np.int64)
+    return row[first], ids[first], np.diff(np.r_[first, len(ids)]).astype(float)
+
+
+def _weights(shared, others: bool = False):
+    """Counts times IDF, 0 for terms that are not shipped; or the counts of those."""
+    def run(n, row, ids, tf):
+        known, idf = shared.value
+        at = np.minimum(np.searchsorted(known, ids), max(len(known) - 1, 0))
+        held = known[at] == ids if len(known) else np.zeros(len(ids), bool)
+        if others:
+            return row[~held], ids[~held], tf[~held]
+        return row, ids, np.where(held, tf * idf[at], 0.0) if len(known) else np.zeros(len(ids))
+
+    return run
+
+
+def _normalised(n, row, ids, weight):
+    held = weight > 0
+    row, ids, weight = row[held], ids[held], weight[held]
+    return row, ids, weight / np.sqrt(np.bincount(row, weights=weight * weight, minlength=n)[row])
+
+
+def _tfidf_rows(hashed: DataFrame, key: str, idf: DataFrame) -> DataFrame:
+    """Weights of rows ``(key, ids)`` whose keys are distinct.  The commonest terms, at most ``SHIPPED_TERMS``,
+    are shipped to the tasks; only the rows' other terms are joined."""
+    coded = idf.groupBy(F.xxhash64("token").alias("_lf_i")).agg(F.min("idf").alias("_lf_idf"))
+    last = None
+    if idf.count() > SHIPPED_TERMS:
+        # one row per document frequency: about the root of all occurrences at most
+        sizes = idf.groupBy("idf").count().orderBy("idf").collect()
+        shipped = [r["idf"] for r, n in zip(sizes, np.cumsum([r["count"] for r in sizes]), strict=True) if n <= SHIPPED_TERMS]
+        last = shipped[-1] if shipped else -1.0
+    held = (coded if last is None else coded.filter(F.col("_lf_idf") <= last)).orderBy("_lf_i").toArrow()  # at most SHIPPED_TERMS rows of two numbers
+    shared = hashed.sparkSession.sparkContext.broadcast((held.column("_lf_i").to_numpy(), held.column("_lf_idf").to_numpy()))
+    if last is None:
+        return _packed(hashed, key, _counted, _weights(shared), _normalised)
+    counts = cut_lineage(_packed(hashed, key, _counted), "counts")
+    other = _packed(counts, key, _weights(shared, others=True)).select(F.col(key).alias("_lf_k"), F.explode(F.arrays_zip("ids", "values")).alias("c"))
+    weighed = other.select("_lf_k", F.col("c.ids").alias("_lf_i"), F.col("c.values").alias("_lf_tf")).join(coded.filter(F.col("_lf_idf") > last), "_lf_i")
+    found = weighed.groupBy("_lf_k").agg(F.collect_list(F.struct(F.col("_lf_i").alias("id"), (F.col("_lf_tf") * F.col("_lf_idf")).alias("w"))).alias("_lf_o"))
+    both = _packed(counts, key, _weights(shared)).join(found, F.col(key) == F.col("_lf_k"), "left")
+    ids, values = (F.coalesce(F.col("_lf_o")[x], F.array().cast(f"array<{kind}>")) for x, kind in (("id", "bigint"), ("w", "double")))
+    return _packed(both.select(key, F.concat("ids", ids).alias("ids"), F.concat("values", values).alias("values")), key, _normalised)
+
+
 def packed_rows(df: DataFrame, key: str, text: str, idf: DataFrame | None = None) -> DataFrame:
     """``(key, ids, values)``: 64-bit hashes of a row's terms with counts, or with
-    normalised TF-IDF weights if ``idf`` is given."""
+    normalised TF-IDF weights if ``idf`` is given.
+
+    Every row is packed where it lies.  Rows that share a key share one bag of weighted
+    terms, and rows without a key have none: tables with such rows are joined by term."""
+    ids = F.transform(word_tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t))
+    hashed = df.select(key, ids.alias("ids"))
     if idf is None:
-        pairs = term_frequencies(F.coalesce(text, F.lit("")))
-        return df.select(key, F.transform(pairs, lambda p: F.xxhash64(p["token"])).alias("ids"),
-                         F.transform(pairs, lambda p: p["tf"].cast("double")).alias("values"))
+        return _packed(hashed, key, _counted)
+    odd = df.groupBy(key).agg(F.count(F.lit(1)).alias("_lf_n")).filter((F.col("_lf_n") > 1) | F.col(key).isNull())
+    if odd.isEmpty():
+        return _tfidf_rows(hashed, key, idf)
     weighted = tfidf(term_counts(df, key, text), idf, key)
     per = weighted.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("_lf_t"))
     pairs = F.coalesce("_lf_t", F.array().cast("array<struct<token:string,weight:double>>"))
@@ -62,21 +144,18 @@ def scale_gamma(packed: DataFrame) -> float:
     return 1.0 / (cells["v"] * variance) if variance > 0 else 1.0
 
 
-def _mapped(packed: DataFrame, key: str, width: int, image) -> DataFrame:
-    """``(key, token, value)``: the dense image of every row, in long form."""
+def _mapped(packed: DataFrame, key: str, width: int, images) -> DataFrame:
+    """``(key, value)``: the dense image of every row, from starts, ids and values of some rows."""
 
     def run(batches):
-        for batch in batches:
-            ids, values = batch.column("ids"), batch.column("values")
-            rows = [image(ids[i].values.to_numpy(), values[i].values.to_numpy()) for i in range(batch.num_rows)]
-            flat = np.concatenate(rows) if rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(key).take(pa.array(np.repeat(np.arange(batch.num_rows), width))),
-                 pa.array([str(j) for j in range(width)]).take(pa.array(np.tile(np.arange(width), batch.num_rows))), pa.array(flat)],
-                names=[key, "token", "value"])
+        for piece in _pieces(batches):
+            ids = piece.column("ids")
+            starts = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+            out = images(starts, ids.flatten().to_numpy(), piece.column("values").flatten().to_numpy())
+            yield pa.RecordBatch.from_arrays([piece.column(key), _lists(np.full(piece.num_rows, width), out.ravel())], names=[key, "value"])
 
     kind = packed.schema[key].dataType.simpleString()
-    return packed.select(key, "ids", "values").mapInArrow(run, f"`{key}` {kind}, token string, value double")
+    return packed.select(key, "ids", "values").mapInArrow(frugal(run), f"`{key}` {kind}, value array<double>")
 
 
 @dataclass
@@ -119,12 +198,13 @@ class Landmarks:
         inner = np.bincount(self.owner[place], weights=np.repeat(values[known], n) * self.value[place], minlength=len(self.square))
         return np.exp(-self.gamma * np.maximum(0.0, self.square + (values * values).sum() - 2 * inner))
 
-    def image(self, ids, values):
-        return self.against(ids, values) @ self.root
+    def images(self, starts, ids, values):
+        rows = [self.against(ids[lo:hi], values[lo:hi]) for lo, hi in zip(starts, starts[1:])]
+        return np.stack(rows) @ self.root
 
     def map(self, packed: DataFrame, key: str) -> DataFrame:
         shared = packed.sparkSession.sparkContext.broadcast(self)
-        return _mapped(packed, key, len(self.square), lambda i, v: shared.value.image(i, v))
+        return _mapped(packed, key, len(self.square), lambda *some: shared.value.images(*some))
 
 
 def choose_landmarks(packed: DataFrame, key: str, most: int, gamma: float, seed: int) -> Landmarks:
@@ -143,26 +223,53 @@ class FourierFeatures:
     seed: int
 
     def directions(self, ids: np.ndarray) -> np.ndarray:
-        cell = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(self.width, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(self.seed)
-        a, b = (_uniform(cell + np.uint64(k)) for k in (1, 2))
-        return np.sqrt(-2 * np.log(a)) * np.cos(2 * np.pi * b) * np.sqrt(2 * self.gamma)
-
-    def image(self, ids, values):
+        """A row per term: pairs of normal numbers (Box and Muller) from 24 bits each of a hash."""
+        half = (self.width + 1) // 2
+        out = np.empty((len(ids), 2 * half), np.float32)
+        for i in range(0, len(ids), NEAR_ROWS):
+            cell = ids[i:i + NEAR_ROWS].astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(half, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            x = _hashed(cell + np.uint64(self.seed))
+            far = np.sqrt(np.float32(-4 * self.gamma) * np.log(_share(x >> np.uint64(40))))
+            angle = np.float32(2 * np.pi) * _share(x & np.uint64(0xFFFFFF))
+            np.multiply(far, np.cos(angle), out=out[i:i + NEAR_ROWS, :half])
+            np.multiply(far, np.sin(angle), out=out[i:i + NEAR_ROWS, half:])
+        return out[:, :self.width]
+
+    def images(self, starts, ids, values):
         shift = 2 * np.pi * _uniform(np.arange(self.width, dtype=np.uint64) + np.uint64(self.seed + 77))
-        return np.sqrt(2 / self.width) * np.cos(values @ self.directions(ids) + shift if len(ids) else shift)
+        out = np.tile(shift, (len(starts) - 1, 1))
+        step = max(1, NUMBERS // self.width)
+        for a in range(0, len(ids), step):
+            b = min(a + step, len(ids))
+            some, at = np.unique(ids[a:b], return_inverse=True)  # a term's direction is made once for these values
+            directions = self.directions(some)
+            for r in range(np.searchsorted(starts, a, "right") - 1, np.searchsorted(starts, b, "left")):
+                lo, hi = max(starts[r], a), min(starts[r + 1], b)
+                if lo < hi:
+                    out[r] += values[lo:hi] @ directions[at[lo - a:hi - a]]
+        return np.sqrt(2 / self.width) * np.cos(out)
 
     def map(self, packed: DataFrame, key: str) -> DataFrame:
-        return _mapped(packed, key, self.width, self.image)
+        return _mapped(packed, key, self.width, self.images)
 
 
-def _uniform(x: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1] from 64-bit integers (finaliser of splitmix64)."""
+def _hashed(x: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64."""
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
-    x = x ^ (x >> np.uint64(31))
-    return ((x >> np.uint64(11)).astype(np.float64) + 1) / 2.0 ** 53
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1] from 64-bit integers."""
+    return ((_hashed(x) >> np.uint64(11)).astype(np.float64) + 1) / 2.0 ** 53
+
+
+def _share(bits: np.ndarray) -> np.ndarray:
+    """Numbers in (0, 1] from 24-bit integers."""
+    return (bits.astype(np.int32) + 1).astype(np.float32) * np.float32(2.0 ** -24)
 
 
 @dataclass
@@ -174,11 +281,16 @@ class KernelModel:
     idf: DataFrame | None
     linear: svm.LinearModel
 
-    def features(self, df: DataFrame, key: str, text: str) -> DataFrame:
+    def images(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """``(key, value)``, the image as an array."""
         return self.map.map(packed_rows(df, key, text, self.idf), key)
 
+    def features(self, df: DataFrame, key: str, text: str) -> DataFrame:
+        """``(key, token, value)``: the images in long form."""
+        return self.images(df, key, text).select(key, F.posexplode("value").alias("token", "value")).withColumn("token", F.col("token").cast("string"))
+
     def predict(self, df: DataFrame, key: str, text: str, keep=(), out: str = "prediction") -> DataFrame:
-        return svm.predict_svm(self.linear, self.features(df, key, text), df.select(key, *keep), key, "value", out=out)
+        return svm.predict_svm(self.linear, self.images(df, key, text), df.select(key, *keep), key, "value", out=out)
 
     def save(self, path: str) -> None:
         spark = self.linear.weights.sparkSession

@@ -1,6 +1,7 @@
 """Linear support-vector machines whose weights are a table.
 
-Training rows are ``(row, label, term, value)``.  The solver is dual coordinate
+Training rows are ``(row, label, term, value)``, or for images of a kernel map, whose
+terms are the places 0, 1, ..., ``(row, label, width, values, bias)``, a row of numbers each.  The solver is dual coordinate
 ascent on the rows that decide the fit (``svm_working_set``): blocks of rows are solved
 by themselves once, the rows that got a dual variable are solved together, and every
 round takes the slack of all rows and goes on with those inside the margin.  Nothing
@@ -26,9 +27,12 @@ from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
+from lexiframe.functions.worker import frugal
 from lexiframe.operators import svm_newton, svm_working_set
 from lexiframe.session import cut_lineage
 
@@ -84,11 +88,35 @@ def training_rows(features: DataFrame, docs: DataFrame, key: str, label: str, va
     classes = [r[0] for r in docs.filter(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]  # one value per class
     place = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1 if classes else F.lit(0)
     known = docs.filter(F.col(label).isNotNull()).select(F.col(key).cast("string").alias("row"), place.alias("class"))
+    if _is_dense(features, value):
+        return cut_lineage(_dense_rows(features.select(F.col(key).cast("string").alias("row"), F.col(value).alias("values")), known), "svm-rows"), classes
     own = features.select(F.col(key).cast("string").alias("row"), F.col(term).alias("term"), F.col(value).cast("double").alias("value"))
     rows = own.join(known, "row").select("row", "class", "term", "value").unionByName(known.select("row", "class", F.lit(BIAS).alias("term"), F.lit(1.0).alias("value")))
     return cut_lineage(rows, "svm-rows"), classes
 
 
+def _is_dense(table: DataFrame, value: str) -> bool:
+    return value in table.columns and isinstance(table.schema[value].dataType, ArrayType)
+
+
+def _dense_rows(own: DataFrame, known: DataFrame) -> DataFrame:
+    """``(row, class, width, values, bias)``: one row per row and class; those that share a row are added."""
+    both = own.filter(F.col("row").isNotNull()).withColumn("class", F.lit(None).cast("int")).unionByName(known.withColumn("values", F.lit(None).cast("array<double>")))
+    per = both.groupBy("row").agg(F.collect_list("values").alias("x"), F.collect_list("class").alias("c"))
+    rest = F.slice("x", F.lit(2), F.greatest(F.size("x") - 1, F.lit(0)))
+    added = F.when(F.size("x") <= 1, F.get("x", F.lit(0))).otherwise(F.aggregate(rest, F.get("x", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b)))
+    each = per.select("row", "c", F.coalesce(added, F.array().cast("array<double>")).alias("x"), F.explode(F.array_distinct("c")).alias("class"))
+    times = each.withColumn("n", F.size(F.filter("c", lambda k: k == F.col("class"))).cast("double"))
+    return times.select("row", "class", F.size("x").alias("width"), F.when(F.col("n") == 1, F.col("x")).otherwise(F.transform("x", lambda v: v * F.col("n"))).alias("values"),
+                        F.col("n").alias("bias"))
+
+
+def long_rows(rows: DataFrame) -> DataFrame:
+    """Dense training rows as ``(row, class, term, value)``."""
+    values = rows.select("row", "class", F.posexplode("values").alias("term", "value")).withColumn("term", F.col("term").cast("string"))
+    return values.unionByName(rows.select("row", "class", F.lit(BIAS).alias("term"), F.col("bias").alias("value")))
+
+
 def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.0, tolerance: float = 0.01, rounds: int = ROUNDS,
             block_values: int = BLOCK_VALUES) -> LinearModel:
     """Fit on ``training_rows``: every class against the ``rest``, or all ``pairs`` of classes."""
@@ -100,8 +128,16 @@ def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.
     n = len(tasks)
     if not n:
         return LinearModel(classes, [], spark.createDataFrame([], "term string, w array<double>"), spark.createDataFrame([], "row string, alpha array<double>"), [], c)
-    blocks = max(1, -(-rows.count() // block_values))  # a written table: read from the files' footers
-    terms = svm_newton.few_terms(rows, n) if blocks > 1 else None
+    terms, size = None, rows.count()  # a written table: read from the files' footers
+    if _is_dense(rows, "values"):
+        width = rows.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
+        size *= width + 1
+        if size > block_values and svm_newton.fits(width + 1, n):
+            terms = [*map(str, range(width)), BIAS]
+        else:
+            rows = cut_lineage(long_rows(rows), "svm-long")
+    elif size > block_values:
+        terms = svm_newton.few_terms(rows, n)
     if terms is not None:
         w, alphas, gaps = svm_newton.fit(rows, terms, task_signs(tasks, n_classes), c, tolerance, rounds)
         table = spark.createDataFrame([(term, w[i].tolist()) for i, term in enumerate(terms)], "term string, w array<double>")
@@ -113,14 +149,67 @@ def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.
 def margins(features: DataFrame, docs: DataFrame, model: LinearModel, key: str, value: str, term: str = "token") -> DataFrame:
     """``docs`` with ``_lf_m``: the margin of every task.  One join by term and one sum per row."""
     n = len(model.tasks)
-    known = features.select(key, F.col(term).alias("term"), F.col(value).cast("double").alias("_lf_v")).join(model.weights, "term")
-    per = known.groupBy(key).agg(*[F.sum(F.col("_lf_v") * F.col("w")[i]).alias(f"_lf_{i}") for i in range(n)])
+    if _is_dense(features, value):
+        per = _image_margins(features, model, key, value).groupBy(key).agg(*[F.sum(F.col("_lf_v")[i]).alias(f"_lf_{i}") for i in range(n)])
+    else:
+        known = features.select(key, F.col(term).alias("term"), F.col(value).cast("double").alias("_lf_v")).join(model.weights, "term")
+        per = known.groupBy(key).agg(*[F.sum(F.col("_lf_v") * F.col("w")[i]).alias(f"_lf_{i}") for i in range(n)])
     bias = model.weights.filter(F.col("term") == BIAS).select("w").scalar()
     out = docs.join(per, key, "left").withColumn("_lf_b", bias)
     m = F.array(*[F.coalesce(f"_lf_{i}", F.lit(0.0)) + F.coalesce(F.col("_lf_b")[i], F.lit(0.0)) for i in range(n)]) if n else F.array().cast("array<double>")
     return out.withColumn("_lf_m", m).select(*docs.columns, "_lf_m")
 
 
+def _matrix(model: LinearModel, width: int | None = None) -> np.ndarray:
+    """Weights of a model of images, terms by tasks, the bias last; bounded by the map's width."""
+    held = {r["term"]: r["w"] for r in model.weights.collect()}
+    width = max([int(t) + 1 for t in held if t != BIAS], default=0) if width is None else width
+    return np.array([held.get(t, [0.0] * len(model.tasks)) for t in [*map(str, range(width)), BIAS]])
+
+
+def _image_margins(features: DataFrame, model: LinearModel, key: str, value: str) -> DataFrame:
+    """``(key, _lf_v)``: the margins of images, without the bias."""
+    w = _matrix(model)[:-1]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(value).flatten().to_numpy().reshape(batch.num_rows, -1)[:, :len(w)]
+                m = x @ w
+                yield pa.RecordBatch.from_arrays([batch.column(key), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))],
+                                                 names=[key, "_lf_v"])
+
+    return features.select(key, value).mapInArrow(frugal(run), f"`{key}` {features.schema[key].dataType.simpleString()}, _lf_v array<double>")
+
+
+def _image_sums(rows: DataFrame, model: LinearModel, signs: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Of dense training rows: the weights that the dual variables imply, ``(term, d..)``, and the hinges, ``(h..)``."""
+    n = len(model.tasks)
+    width = rows.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
+    w = _matrix(model, width)
+
+    def hinge(batches):
+        total = np.zeros(n)
+        for batch in batches:
+            y = signs[batch.column("class").to_numpy()]
+            total += (np.maximum(0, 1 - y * (svm_newton.dense(batch, width + 1) @ w)) * (y != 0)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=[f"p{t}" for t in range(n)])
+
+    def imply(batches):
+        total = np.zeros((width + 1, n))
+        for batch in batches:
+            if batch.num_rows:
+                alpha = batch.column("alpha").flatten().to_numpy().reshape(-1, n)
+                total += svm_newton.dense(batch, width + 1).T @ (alpha * signs[batch.column("class").to_numpy()])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width + 1)), *[pa.array(total[:, t]) for t in range(n)]], names=["term", *[f"p{t}" for t in range(n)]])
+
+    parts = ", ".join(f"p{t} double" for t in range(n))
+    hinges = rows.select("class", "values", "bias").mapInArrow(frugal(hinge), parts).agg(*[F.coalesce(F.sum(f"p{t}"), F.lit(0.0)).alias(f"h{t}") for t in range(n)])
+    joined = rows.select("row", "class", "values", "bias").join(model.duals, "row").drop("row")
+    implied = joined.mapInArrow(frugal(imply), f"term long, {parts}").groupBy("term").agg(*[F.sum(f"p{t}").alias(f"d{t}") for t in range(n)])
+    return implied, hinges
+
+
 def predict_svm(model: LinearModel, features: DataFrame, docs: DataFrame, key: str, value: str, term: str = "token", out: str = "prediction") -> DataFrame:
     """Add the predicted class: the largest margin, or the most votes of the pairs."""
     if not model.tasks:
@@ -146,13 +235,16 @@ def certificate(rows: DataFrame, model: LinearModel) -> DataFrame:
     n, c = len(model.tasks), model.c
     signs = task_signs(model.tasks, len(model.classes))
     sign = [F.element_at(F.array(*[F.lit(float(s)) for s in signs[:, t]]), F.col("class") + 1) for t in range(n)]
-    duals = rows.join(model.duals, "row")
-    implied = duals.groupBy("term").agg(*[F.sum(F.col("alpha")[t] * sign[t] * F.col("value")).alias(f"d{t}") for t in range(n)])
+    if _is_dense(rows, "values"):
+        implied, hinges = _image_sums(rows, model, signs)
+    else:
+        duals = rows.join(model.duals, "row")
+        implied = duals.groupBy("term").agg(*[F.sum(F.col("alpha")[t] * sign[t] * F.col("value")).alias(f"d{t}") for t in range(n)])
+        scored = rows.join(model.weights, "term", "left").groupBy("row", "class").agg(
+            *[F.sum(F.col("value") * F.coalesce(F.col("w")[t], F.lit(0.0))).alias(f"m{t}") for t in range(n)])
+        hinges = scored.agg(*[F.sum(F.when(sign[t] != 0, F.greatest(F.lit(0.0), 1 - sign[t] * F.col(f"m{t}"))).otherwise(0.0)).alias(f"h{t}") for t in range(n)])
     alphas = model.duals.agg(*[F.coalesce(F.sum(F.col("alpha")[t]), F.lit(0.0)).alias(f"a{t}") for t in range(n)],
                              F.coalesce(F.max(F.array_max("alpha")) <= c * (1 + 1e-9), F.lit(True)).alias("feasible"))
-    scored = rows.join(model.weights, "term", "left").groupBy("row", "class").agg(
-        *[F.sum(F.col("value") * F.coalesce(F.col("w")[t], F.lit(0.0))).alias(f"m{t}") for t in range(n)])
-    hinges = scored.agg(*[F.sum(F.when(sign[t] != 0, F.greatest(F.lit(0.0), 1 - sign[t] * F.col(f"m{t}"))).otherwise(0.0)).alias(f"h{t}") for t in range(n)])
     squares = model.weights.agg(*[F.coalesce(F.sum(F.col("w")[t] * F.col("w")[t]), F.lit(0.0)).alias(f"p{t}") for t in range(n)])
     other = implied.agg(*[F.coalesce(F.sum(F.col(f"d{t}") * F.col(f"d{t}")), F.lit(0.0)).alias(f"q{t}") for t in range(n)])
     # four tables of one row each

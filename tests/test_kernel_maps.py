@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexiframe.operators import kernel_maps as km
 from lexiframe.operators import svm
@@ -94,3 +95,62 @@ def test_long_and_empty_rows_are_no_landmarks_but_are_mapped(spark):
     assert len(marks.square) == 3
     z = images(spark, km.KernelModel("landmarks", marks, None, None), rows)
     assert z.shape == (4, 3) and np.isfinite(z).all()
+
+
+def _bags(packed):
+    return {r["id"]: {i: round(v, 12) for i, v in zip(r["ids"], r["values"], strict=True)} for r in packed.collect()}
+
+
+@pytest.mark.parametrize("shipped", [1000, 9, 0])
+def test_weights_are_the_same_whatever_part_of_the_terms_is_shipped(spark, monkeypatch, shipped):
+    rows = [(r[0], r[1]) for r in corpus(3)] + [(100, None), (101, "nowhere else"), (102, "Ab ab AB w1")]
+    d = spark.createDataFrame(rows, "id long, text string")
+    idf = km.idf_table(d.filter("id <> 101"), "text")
+    want = {}
+    for r in km.tfidf(km.term_counts(d, "id", "text"), idf, "id").select("id", F.xxhash64("token").alias("t"), "weight").collect():
+        want.setdefault(r["id"], {})[r["t"]] = round(r["weight"], 12)
+    monkeypatch.setattr(km, "SHIPPED_TERMS", shipped)
+    packed = km.packed_rows(d, "id", "text", idf)
+    assert _bags(packed) == {i: want.get(i, {}) for i, _ in rows}
+    if shipped == 1000:  # nothing but texts is read
+        assert "Exchange" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_share_a_key_share_their_weighted_terms(spark):
+    d = spark.createDataFrame([(1, "one two"), (1, "two three"), (2, "one"), (None, "two")], "id long, text string")
+    got = [(r["id"], len(r["ids"])) for r in km.packed_rows(d, "id", "text", km.idf_table(d, "text")).collect()]
+    assert sorted(got, key=str) == [(1, 3), (1, 3), (2, 1), (None, 0)]
+    assert sorted(len(r["ids"]) for r in km.packed_rows(d, "id", "text").collect()) == [1, 1, 2, 2]
+
+
+def test_images_reach_the_fit_as_one_row_per_document(spark):
+    """Newton steps on images: no row per component, proved by the certificate, predictions as in long form."""
+    rows = corpus(5)
+    d = spark.createDataFrame(rows, "id long, text string, label string")
+    model, trained = km.fit_kernel_svm(d, "id", "text", "label", kind="fourier", width=20, gamma=0.2, against="rest", block_values=300)
+    assert trained.count() == len(rows) and model.linear.weights.count() == 21
+    proof = svm.certificate(trained, model.linear).first()
+    long = svm.certificate(svm.long_rows(trained), model.linear).first()
+    assert proof.feasible and proof.gap <= 0.01 + 1e-9 and np.isclose(proof.gap, long.gap)
+    by_term = svm.predict_svm(model.linear, model.features(d, "id", "text"), d.select("id"), "id", "value")
+    assert sorted(by_term.collect()) == sorted(model.predict(d, "id", "text").collect())
+
+
+def test_rows_of_one_key_are_added(spark):
+    images = spark.createDataFrame([(1, [1.0, 2.0]), (1, [3.0, 5.0]), (2, [1.0, 1.0]), (None, [9.0, 9.0])], "id long, v array<double>")
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None), (None, "b")], "id long, label string")
+    dense, classes = svm.training_rows(images, docs, "id", "label", "v")
+    long, _ = svm.training_rows(images.select("id", F.posexplode("v").alias("token", "w")).withColumn("token", F.col("token").cast("string")), docs, "id", "label", "w")
+
+    def sums(rows):
+        return sorted((str(r["row"]), r["class"], r["term"], r["v"]) for r in rows.groupBy("row", "class", "term").agg(F.sum("value").alias("v")).collect())
+
+    assert classes == ["a", "b"] and sums(svm.long_rows(dense)) == sums(long)
+
+
+def test_directions_are_normal_numbers_of_the_term_alone(spark):
+    f = km.FourierFeatures(101, 0.5, 3)
+    w = f.directions(np.arange(4000) * 7919)
+    assert np.array_equal(w[5:9], f.directions(np.arange(5, 9) * 7919))
+    assert abs(w.mean()) < 0.01 and abs(w.std() - 1) < 0.01 and abs(np.corrcoef(w[:, 0], w[:, 51])[0, 1]) < 0.06
+    assert abs((w ** 4).mean() - 3) < 0.1 and (np.abs(w) > 3).mean() < 0.004
