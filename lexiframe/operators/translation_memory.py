@@ -29,8 +29,8 @@ from lexiframe.operators.batching import pieces
 from lexiframe.session import cut_lineage, scratch_path
 
 _SCHEMA = "lang string, key string, translated string"
-#: Texts of a page, at most about.
-PAGE_TEXTS = 1_000_000
+#: Texts of a page, at most about; how the memory and its pages are compressed (a memory holds each text once per language).
+PAGE_TEXTS, CODEC = 1_000_000, "zstd"
 
 
 def open_memory(spark: SparkSession, path: str) -> DataFrame:
@@ -80,6 +80,14 @@ def _requests(translate, chunk):
 def fill_memory(df: DataFrame, text: str, langs: Sequence[str], translate: Callable[[list[str], str], list[str]], path: str,
                 chunk: int = TRANSLATE_CHUNK, page_texts: int = PAGE_TEXTS) -> int:
     """Send what is missing, page by page; the number of texts sent."""
+    sent = _filled(df, text, langs, translate, path, chunk, page_texts)
+    if sent:
+        # the files of its exchanges go once the driver's objects are collected
+        df.sparkSession.sparkContext._jvm.System.gc()
+    return sent
+
+
+def _filled(df, text, langs, translate, path, chunk, page_texts) -> int:
     spark = df.sparkSession
     todo = cut_lineage(missing(df, text, langs, path), "untranslated")
     n = todo.agg(F.coalesce(F.sum(F.size("langs")), F.lit(0))).first()[0]
@@ -90,11 +98,16 @@ def fill_memory(df: DataFrame, text: str, langs: Sequence[str], translate: Calla
     # every text moves once, to its key; a task's texts are written in the order of their keys
     texts = df.filter(F.col(text).isNotNull()).select(_key(text).alias("key"), F.col(text).alias("text"))
     one = todo.join(texts.groupBy("key").agg(F.first("text").alias("text")), "key").withColumn("page", F.pmod(F.xxhash64("key"), F.lit(pages)))
-    one.sortWithinPartitions("page", "key").write.partitionBy("page").parquet(folder)
+    one.sortWithinPartitions("page", "key").write.partitionBy("page").option("compression", CODEC).parquet(folder)
     dealt = spark.read.parquet(folder)
-    for page in range(pages):
-        rows = dealt.filter(F.col("page") == page).select("key", "text", "langs")
-        rows.mapInArrow(_requests(translate, chunk), _SCHEMA).write.mode("append").parquet(path)
+    try:
+        for page in range(pages):
+            rows = dealt.filter(F.col("page") == page).select("key", "text", "langs")
+            rows.mapInArrow(_requests(translate, chunk), _SCHEMA).write.mode("append").option("compression", CODEC).parquet(path)
+    finally:
+        # what is not committed is dealt anew by the next run
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
     return n
 
 

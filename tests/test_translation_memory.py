@@ -2,9 +2,11 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
 
 from lexiframe.operators import translation_memory as tm
+from lexiframe.session import scratch_root
 
 LANGS = ["es", "de"]
 
@@ -70,3 +72,14 @@ def test_wrong_number_of_texts_and_empty_table(spark, tmp_dir, rows):
     empty = rows[0].filter("id < 0")
     out, n = tm.translate_with_memory(empty, "text", LANGS, lambda texts, lang: texts, f"{tmp_dir}/n")
     assert n == 0 and out.count() == 0 and out.columns == ["id", "text", "augmented_es", "augmented_de"]
+
+
+def test_pages_go_after_their_commit_and_the_memory_is_compressed(spark, tmp_dir, rows):
+    df, memory = rows[0], f"{tmp_dir}/memory"
+    kept = scratch_root(spark).removeprefix("file:")
+    before = {x for x in os.listdir(kept) if x.startswith("pages-")} if os.path.isdir(kept) else set()
+    assert tm.fill_memory(df, "text", LANGS, lambda texts, lang: texts, memory, page_texts=30) == 2 * 71
+    with pytest.raises(Exception, match="returned 0 texts"):
+        tm.fill_memory(df, "text", ["fr"], lambda texts, lang: [], memory)
+    assert {x for x in os.listdir(kept) if x.startswith("pages-")} == before
+    assert {pq.ParquetFile(f"{memory}/{x}").metadata.row_group(0).column(2).compression for x in os.listdir(memory) if x.endswith(".parquet")} == {"ZSTD"}
