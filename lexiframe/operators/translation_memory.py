@@ -18,6 +18,7 @@ entries of a memory that two runs filled at once count once (the smallest).
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 import pyarrow as pa
@@ -111,13 +112,45 @@ def _filled(df, text, langs, translate, path, chunk, page_texts) -> int:
     return n
 
 
+def _bundled(batches):
+    """``(key, bundle)``: a batch's entries of a key, compressed together."""
+    for batch in batches:
+        held: dict[str, list] = {}
+        for lang, key, got in zip(*(batch.column(c).to_pylist() for c in ("lang", "key", "translated")), strict=True):
+            held.setdefault(key, []).append((lang, got))
+        bundles = []
+        for entries in held.values():
+            plain = json.dumps(entries, ensure_ascii=False).encode()
+            bundles.append(len(plain).to_bytes(8, "little") + pa.compress(plain, codec=CODEC, asbytes=True))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(bundles, pa.binary())], names=["key", "bundle"])
+
+
+def _translations(langs: Sequence[str]):
+    """Column expression: the smallest entry of each language in bundles of a key."""
+    def of(bundles: pa.Array) -> pa.Array:
+        out = []
+        for some in bundles.to_pylist():
+            best: dict[str, str] = {}
+            for bundle in some or []:
+                size = int.from_bytes(bundle[:8], "little")
+                for lang, got in json.loads(pa.decompress(bundle[8:], decompressed_size=size, codec=CODEC, asbytes=True)):
+                    if got is not None and (lang not in best or got.encode() < best[lang].encode()):
+                        best[lang] = got
+            out.append([best.get(x) for x in langs])
+        return pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(of, "array<string>")
+
+
 def translate_with_memory(df: DataFrame, text: str, langs: Sequence[str], translate: Callable[[list[str], str], list[str]], path: str,
                           chunk: int = TRANSLATE_CHUNK, prefix: str = "augmented_", page_texts: int = PAGE_TEXTS) -> tuple[DataFrame, int]:
     """``df`` with one column per language, and how many texts were sent."""
     sent = fill_memory(df, text, langs, translate, path, chunk, page_texts)
-    entries = open_memory(df.sparkSession, path)
-    wide = entries.groupBy(F.col("key").alias("_lf_key")).agg(*[F.min(F.when(F.col("lang") == x, F.col("translated"))).alias(f"{prefix}{x}") for x in langs]) if langs else None
-    if wide is None:
+    if not langs:
         return df, sent
-    joined = df.withColumn("_lf_text_key", _key(text)).join(wide, F.col("_lf_text_key") == F.col("_lf_key"), "left")
-    return joined.drop("_lf_text_key", "_lf_key"), sent
+    # a key's entries cross the exchange compressed together
+    entries = open_memory(df.sparkSession, path).filter(F.col("lang").isin(*langs))
+    bundles = entries.mapInArrow(_bundled, "key string, bundle binary").groupBy(F.col("key").alias("_lf_key")).agg(F.collect_list("bundle").alias("_lf_bundles"))
+    joined = df.withColumn("_lf_text_key", _key(text)).join(bundles, F.col("_lf_text_key") == F.col("_lf_key"), "left")
+    read = joined.withColumn("_lf_got", _translations(list(langs))("_lf_bundles"))
+    return read.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col("_lf_got")[i].alias(f"{prefix}{x}") for i, x in enumerate(langs)]), sent

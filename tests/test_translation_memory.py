@@ -83,3 +83,14 @@ def test_pages_go_after_their_commit_and_the_memory_is_compressed(spark, tmp_dir
         tm.fill_memory(df, "text", ["fr"], lambda texts, lang: [], memory)
     assert {x for x in os.listdir(kept) if x.startswith("pages-")} == before
     assert {pq.ParquetFile(f"{memory}/{x}").metadata.row_group(0).column(2).compression for x in os.listdir(memory) if x.endswith(".parquet")} == {"ZSTD"}
+
+
+def test_entries_of_a_key_move_together_and_the_smallest_counts(spark, tmp_dir):
+    memory = f"{tmp_dir}/memory"
+    texts = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "é")], "id long, `the text` string").withColumnRenamed("the text", "text")
+    entries = [("es", "a", "ñ2"), ("es", "a", "z1"), ("de", "a", None), ("es", "é", "ü"), ("de", "é", "x"), ("fr", "a", "other")]
+    for part in (entries[:1], entries[1:]):
+        spark.createDataFrame(part, "lang string, text string, translated string").select(
+            "lang", tm._key("text").alias("key"), "translated").coalesce(1).write.mode("append").parquet(memory)
+    out, n = tm.translate_with_memory(texts, "text", LANGS, lambda texts, lang: texts, memory)
+    assert n == 0 and sorted(out.collect()) == [(1, "a", "z1", None), (2, "a", "z1", None), (3, None, None, None), (4, "é", "ü", "x")]
