@@ -38,7 +38,7 @@ from lexiframe.session import cut_lineage
 MOST_LANDMARKS, LONGEST, RFF_COMPONENTS = 256, 4096, 256
 #: Terms of an IDF table that is shipped to the tasks; rows that are packed or mapped at once; numbers of
 #: directions made for them at once, by so many terms.
-SHIPPED_TERMS, PIECE_ROWS, NUMBERS, NEAR_ROWS = 4_000_000, 512, 1 << 23, 64
+SHIPPED_TERMS, PIECE_ROWS, NUMBERS, NEAR_ROWS = 4_000_000, 512, 1 << 22, 64
 #: Eigenvalues below this share of the largest are left out of the inverse root.
 FLOOR = 1e-10
 
@@ -144,15 +144,18 @@ def scale_gamma(packed: DataFrame) -> float:
     return 1.0 / (cells["v"] * variance) if variance > 0 else 1.0
 
 
-def _mapped(packed: DataFrame, key: str, width: int, images) -> DataFrame:
-    """``(key, value)``: the dense image of every row, from starts, ids and values of some rows."""
+def _mapped(packed: DataFrame, key: str, images, weights: np.ndarray | None) -> DataFrame:
+    """``(key, value)``: the dense image of every row, from starts, ids and values of some rows;
+    or its product with ``weights``, made in the same worker."""
 
     def run(batches):
         for piece in _pieces(batches):
             ids = piece.column("ids")
             starts = np.r_[0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
             out = images(starts, ids.flatten().to_numpy(), piece.column("values").flatten().to_numpy())
-            yield pa.RecordBatch.from_arrays([piece.column(key), _lists(np.full(piece.num_rows, width), out.ravel())], names=[key, "value"])
+            if weights is not None:
+                out = out[:, :len(weights)] @ weights
+            yield pa.RecordBatch.from_arrays([piece.column(key), _lists(np.full(piece.num_rows, out.shape[1]), out.ravel())], names=[key, "value"])
 
     kind = packed.schema[key].dataType.simpleString()
     return packed.select(key, "ids", "values").mapInArrow(frugal(run), f"`{key}` {kind}, value array<double>")
@@ -202,9 +205,9 @@ class Landmarks:
         rows = [self.against(ids[lo:hi], values[lo:hi]) for lo, hi in zip(starts, starts[1:])]
         return np.stack(rows) @ self.root
 
-    def map(self, packed: DataFrame, key: str) -> DataFrame:
+    def map(self, packed: DataFrame, key: str, weights: np.ndarray | None = None) -> DataFrame:
         shared = packed.sparkSession.sparkContext.broadcast(self)
-        return _mapped(packed, key, len(self.square), lambda *some: shared.value.images(*some))
+        return _mapped(packed, key, lambda *some: shared.value.images(*some), weights)
 
 
 def choose_landmarks(packed: DataFrame, key: str, most: int, gamma: float, seed: int) -> Landmarks:
@@ -249,8 +252,8 @@ class FourierFeatures:
                     out[r] += values[lo:hi] @ directions[at[lo - a:hi - a]]
         return np.sqrt(2 / self.width) * np.cos(out)
 
-    def map(self, packed: DataFrame, key: str) -> DataFrame:
-        return _mapped(packed, key, self.width, self.images)
+    def map(self, packed: DataFrame, key: str, weights: np.ndarray | None = None) -> DataFrame:
+        return _mapped(packed, key, self.images, weights)
 
 
 def _hashed(x: np.ndarray) -> np.ndarray:
@@ -290,7 +293,9 @@ class KernelModel:
         return self.images(df, key, text).select(key, F.posexplode("value").alias("token", "value")).withColumn("token", F.col("token").cast("string"))
 
     def predict(self, df: DataFrame, key: str, text: str, keep=(), out: str = "prediction") -> DataFrame:
-        return svm.predict_svm(self.linear, self.images(df, key, text), df.select(key, *keep), key, "value", out=out)
+        weights = svm.image_weights(self.linear)[:-1] if self.linear.tasks else None
+        margins = self.map.map(packed_rows(df, key, text, self.idf), key, weights)
+        return svm.predict_svm(self.linear, margins, df.select(key, *keep), key, "value", out=out)
 
     def save(self, path: str) -> None:
         spark = self.linear.weights.sparkSession

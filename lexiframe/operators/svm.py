@@ -147,10 +147,11 @@ def fit_svm(rows: DataFrame, classes: list, against: str = "rest", c: float = 1.
 
 
 def margins(features: DataFrame, docs: DataFrame, model: LinearModel, key: str, value: str, term: str = "token") -> DataFrame:
-    """``docs`` with ``_lf_m``: the margin of every task.  One join by term and one sum per row."""
+    """``docs`` with ``_lf_m``: the margin of every task.  One join by term and one sum per row;
+    ``features`` with arrays hold products with the weights already, without the bias."""
     n = len(model.tasks)
     if _is_dense(features, value):
-        per = _image_margins(features, model, key, value).groupBy(key).agg(*[F.sum(F.col("_lf_v")[i]).alias(f"_lf_{i}") for i in range(n)])
+        per = features.groupBy(key).agg(*[F.sum(F.col(value)[i]).alias(f"_lf_{i}") for i in range(n)])
     else:
         known = features.select(key, F.col(term).alias("term"), F.col(value).cast("double").alias("_lf_v")).join(model.weights, "term")
         per = known.groupBy(key).agg(*[F.sum(F.col("_lf_v") * F.col("w")[i]).alias(f"_lf_{i}") for i in range(n)])
@@ -160,33 +161,18 @@ def margins(features: DataFrame, docs: DataFrame, model: LinearModel, key: str,
     return out.withColumn("_lf_m", m).select(*docs.columns, "_lf_m")
 
 
-def _matrix(model: LinearModel, width: int | None = None) -> np.ndarray:
+def image_weights(model: LinearModel, width: int | None = None) -> np.ndarray:
     """Weights of a model of images, terms by tasks, the bias last; bounded by the map's width."""
     held = {r["term"]: r["w"] for r in model.weights.collect()}
     width = max([int(t) + 1 for t in held if t != BIAS], default=0) if width is None else width
     return np.array([held.get(t, [0.0] * len(model.tasks)) for t in [*map(str, range(width)), BIAS]])
 
 
-def _image_margins(features: DataFrame, model: LinearModel, key: str, value: str) -> DataFrame:
-    """``(key, _lf_v)``: the margins of images, without the bias."""
-    w = _matrix(model)[:-1]
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(value).flatten().to_numpy().reshape(batch.num_rows, -1)[:, :len(w)]
-                m = x @ w
-                yield pa.RecordBatch.from_arrays([batch.column(key), pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.float64()))],
-                                                 names=[key, "_lf_v"])
-
-    return features.select(key, value).mapInArrow(frugal(run), f"`{key}` {features.schema[key].dataType.simpleString()}, _lf_v array<double>")
-
-
 def _image_sums(rows: DataFrame, model: LinearModel, signs: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Of dense training rows: the weights that the dual variables imply, ``(term, d..)``, and the hinges, ``(h..)``."""
     n = len(model.tasks)
     width = rows.agg(F.coalesce(F.max("width"), F.lit(0))).first()[0]
-    w = _matrix(model, width)
+    w = image_weights(model, width)
 
     def hinge(batches):
         total = np.zeros(n)
